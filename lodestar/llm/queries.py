@@ -23,6 +23,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and the texts that they decode to, as digests."""
+    from .bpe import decode, encode
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    both = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best inner products of every fiftieth vector."""
     from .topk import top_k
@@ -42,5 +52,5 @@ r as (select query_id, cast(row_number() over (partition by query_id order by sc
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-QUERIES = {"op3_packing": op3_packing, "op7_exact_topk": op7_exact_topk}
+QUERIES = {"op3_packing": op3_packing, "op5_bpe": op5_bpe, "op7_exact_topk": op7_exact_topk}
 ORACLE_SQL = {"op7_exact_topk": OP7_SQL}
