@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+#: Key of the pseudonyms that the registered queries make. A real run brings its own.
+PII_KEY = "registered-query-key"
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public tokenizer's file; the package that holds them is outside the repository."""
     import public_tokenizers
@@ -15,6 +19,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of all documents."""
+    from .quality import judged
+
+    out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc.doc_id", *[f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "rule")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing of all documents: one row per piece."""
     from .packing import pack
@@ -33,6 +45,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms, and the number of values replaced by kind."""
+    from .pii import KINDS, pseudonymised
+
+    out = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select("doc.doc_id", "text", *[F.col(f"found.{k}").alias(f"n_{k}") for k in KINDS])
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best inner products of every fiftieth vector."""
     from .topk import top_k
@@ -52,5 +72,5 @@ r as (select query_id, cast(row_number() over (partition by query_id order by sc
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-QUERIES = {"op3_packing": op3_packing, "op5_bpe": op5_bpe, "op7_exact_topk": op7_exact_topk}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op5_bpe": op5_bpe, "op7_exact_topk": op7_exact_topk, "op9_pii": op9_pii}
 ORACLE_SQL = {"op7_exact_topk": OP7_SQL}
