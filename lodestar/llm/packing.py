@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +23,29 @@ WIDTH = 4
 OUT_ROWS, OUT_BYTES = 4096, 8 << 20
 #: Encoded words that a task remembers; beyond it the memory is emptied.
 CACHE = 250_000
+#: Letters whose normal form is themselves, then ASCII signs but the apostrophe.
+LETTERS_THEN_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Normalisers and pre-tokenizers under which such a word falls into its letters and its signs.
+PLAIN_STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+#: The byte alphabet of byte-level vocabularies: bytes that have no printable character take those from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_ALPHABET = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
-class WordEncoder:
+def _steps(tokenizer_json: str) -> tuple[list[str], list[str]]:
+    found = json.loads(tokenizer_json)
+    kinds = lambda part, inner: [x["type"] for x in (found.get(part) or {}).get(inner, [])]
+    return kinds("normalizer", "normalizers"), kinds("pre_tokenizer", "pretokenizers")
+
+
+class WordEncoder(dict):
     """Ids of whole texts from a tokenizer that drops white space.
 
     Such a tokenizer encodes each blank-separated word by itself, so a word is
-    encoded when a task first meets it and looked up afterwards.
+    encoded when a task first meets it and looked up afterwards. A word of
+    letters and then signs goes to the model as those two parts, lower-cased
+    and in the byte alphabet, as the tokenizer's own steps would hand them
+    over; any other word takes the tokenizer's whole way.
     """
 
     def __init__(self, tokenizer_json: str, end_id: int):
@@ -36,20 +54,36 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.tokenize = self.tokenizer.model.tokenize
         self.end = int(end_id).to_bytes(WIDTH, "little")
-        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.plain = _steps(tokenizer_json) == PLAIN_STEPS
+
+    def part(self, text: str) -> bytes:
+        found = self.parts.get(text)
+        if found is None:
+            if len(self.parts) > CACHE:
+                self.parts.clear()
+            letters = text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_ALPHABET)
+            found = self.parts[text] = b"".join([t.id.to_bytes(WIDTH, "little") for t in self.tokenize(letters)])
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        match = self.plain and LETTERS_THEN_SIGNS(text)
+        if match:
+            signs = match[2]
+            ids = self.part(match[1].lower()) + (self.part(signs) if signs else b"")
+        else:
+            ids = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        fresh = list({w for words in split for w in words if w not in self.known})
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            found = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) + self.end for words in split]
+        if len(self) > CACHE:
+            self.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, (t or "").encode().split())) + self.end for t in texts]
 
 
 class LevelArray:
