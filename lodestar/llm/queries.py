@@ -27,6 +27,30 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", *[f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "rule")
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, written as mail that quotes, back in reply order."""
+    from .quotes import quoting, replies
+
+    out = replies(quoting(table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "turn", "role", "n_quotes", "n_linked", "parent_conv", "parent_turn", "thread_conv", "thread_turn", "depth", "position", F.sha2(F.col("own").cast("binary"), 256).alias("own_sha256"))
+
+
+OP2_SQL = """
+with m as (select conv_id, turn, role, coalesce(text, '') as text,
+                  trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) <> '' as says from conversations),
+l as (select *, coalesce(lag(says, 1) over w, false) as p1, coalesce(lag(says, 2) over w, false) as p2,
+             lag(turn) over w as before
+      from m window w as (partition by conv_id order by turn)),
+r as (select *, max(case when not p1 then turn end) over (partition by conv_id order by turn) as root from l),
+d as (select *, row_number() over (partition by conv_id, root order by turn) - 1 as depth from r)
+select conv_id, turn, role, cast(p1 as bigint) + cast(p2 as bigint) as n_quotes,
+       cast(p1 as bigint) + cast(p2 as bigint) as n_linked,
+       case when p1 then conv_id end as parent_conv, case when p1 then before end as parent_turn,
+       conv_id as thread_conv, root as thread_turn, depth, depth as position, sha256(text) as own_sha256
+from d
+"""
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing of all documents: one row per piece."""
     from .packing import pack
@@ -72,5 +96,39 @@ r as (select query_id, cast(row_number() over (partition by query_id order by sc
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op5_bpe": op5_bpe, "op7_exact_topk": op7_exact_topk, "op9_pii": op9_pii}
-ORACLE_SQL = {"op7_exact_topk": OP7_SQL}
+def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as archive records, the revisits among them resolved."""
+    from .revisits import captures, resolved
+
+    out = resolved(captures(table(spark, sf_dir, "pages")))
+    h = F.col("headers")
+    return out.select("record_id", "canonical_url", "ts", "status", "refers_to", F.size(F.map_keys("headers")).cast("long").alias("n_headers"), h["etag"].alias("etag"), h["date"].alias("date"), h["content-length"].alias("content_length"), F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"))
+
+
+OP10_SQL = """
+with p as (select page_id, html, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare,
+                  '"' || md5(coalesce(html, '')) || '"' as tag from pages),
+h as (select *, regexp_extract(bare, '^[^/?]*') as host from p),
+s as (select *, bare[len(host) + 1:] as rest from h),
+c as (select page_id, html, tag,
+             regexp_replace(regexp_replace(lower(host), ':(80|443)$', ''), '^www[.]', '')
+             || regexp_replace(regexp_extract(rest, '^[^?]*'), '/+$', '') as base,
+             array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
+               lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|gclid|fbclid)(=|$)'))), '&') as query from s),
+k as (select page_id, html, tag, base || case when query <> '' then '?' || query else '' end as canonical_url,
+             page_id * 600 as at, case when page_id % 11 = 0 then page_id * 600 - 1 else page_id * 600 + 300 end as later from c),
+v as (select r.page_id as rid, r.canonical_url, r.later, o.page_id as oid, o.html, o.tag as otag, o.at,
+             case when r.page_id % 5 = 0 then '"changed"' else r.tag end as rtag
+      from k r asof left join (select * from k where html is not null) o on r.canonical_url = o.canonical_url and r.later > o.at)
+select rid * 2 + 1 as record_id, canonical_url, later as ts,
+       case when oid is null then 'no-original' when rtag = otag then 'resolved' else 'mismatch' end as status,
+       case when rtag = otag then oid * 2 end as refers_to,
+       cast(case when rtag = otag then 4 else 3 end as bigint) as n_headers,
+       case when rid % 5 = 0 then rtag else 'W/' || rtag end as etag, cast(later as varchar) as date,
+       case when rtag = otag then cast(strlen(html) as varchar) else '0' end as content_length,
+       case when rtag = otag then sha256(html) end as body_sha256
+from v
+"""
+
+QUERIES = {"op2_quotation_linking": op2_quotation_linking, "op10_revisits": op10_revisits, "op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op5_bpe": op5_bpe, "op7_exact_topk": op7_exact_topk, "op9_pii": op9_pii}
+ORACLE_SQL = {"op2_quotation_linking": OP2_SQL, "op10_revisits": OP10_SQL, "op7_exact_topk": OP7_SQL}
