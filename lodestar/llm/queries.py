@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, words_of
 
 
 #: Key of the pseudonyms that the registered queries make. A real run brings its own.
@@ -84,6 +84,29 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "text", *[F.col(f"found.{k}").alias(f"n_{k}") for k in KINDS])
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated windows of twenty words."""
+    from .substrings import without_repeats
+
+    out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.array_join(words_of(F.col("text")), " ")
+    return out.select("doc.doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = """
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words from documents),
+w as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as p from d),
+v as (select doc_id, p, array_to_string(words[p:p + 19], ' ') as run
+      from (select doc_id, words, unnest(range(1, len(words) - 18)) as p from d where len(words) >= 20)),
+f as (select doc_id, p from (select doc_id, p, row_number() over (partition by run order by doc_id, p) as n from v) where n > 1),
+g as (select distinct doc_id, p + i as p from f, range(20) t(i)),
+k as (select w.doc_id, count(g.p) as n_removed, coalesce(string_agg(w.word, ' ' order by w.p) filter (where g.p is null), '') as kept
+      from w left join g on w.doc_id = g.doc_id and w.p = g.p group by w.doc_id)
+select d.doc_id, cast(len(words) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join k on d.doc_id = k.doc_id
+"""
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best inner products of every fiftieth vector."""
     from .topk import top_k
@@ -137,5 +160,5 @@ select rid * 2 + 1 as record_id, canonical_url, later as ts,
 from v
 """
 
-QUERIES = {"op2_quotation_linking": op2_quotation_linking, "op10_revisits": op10_revisits, "op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op4_minhash": op4_minhash, "op5_bpe": op5_bpe, "op7_exact_topk": op7_exact_topk, "op9_pii": op9_pii}
-ORACLE_SQL = {"op2_quotation_linking": OP2_SQL, "op10_revisits": OP10_SQL, "op7_exact_topk": OP7_SQL}
+QUERIES = {"op2_quotation_linking": op2_quotation_linking, "op10_revisits": op10_revisits, "op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op4_minhash": op4_minhash, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_exact_topk": op7_exact_topk, "op9_pii": op9_pii}
+ORACLE_SQL = {"op6_substrings": OP6_SQL, "op2_quotation_linking": OP2_SQL, "op10_revisits": OP10_SQL, "op7_exact_topk": OP7_SQL}
