@@ -76,6 +76,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under a Katz model of most of them."""
+    from .katz import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms, and the number of values replaced by kind."""
     from .pii import KINDS, pseudonymised
@@ -160,5 +167,5 @@ select rid * 2 + 1 as record_id, canonical_url, later as ts,
 from v
 """
 
-QUERIES = {"op2_quotation_linking": op2_quotation_linking, "op10_revisits": op10_revisits, "op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op4_minhash": op4_minhash, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_exact_topk": op7_exact_topk, "op9_pii": op9_pii}
+QUERIES = {"op2_quotation_linking": op2_quotation_linking, "op10_revisits": op10_revisits, "op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op4_minhash": op4_minhash, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_exact_topk": op7_exact_topk, "op8_katz": op8_katz, "op9_pii": op9_pii}
 ORACLE_SQL = {"op6_substrings": OP6_SQL, "op2_quotation_linking": OP2_SQL, "op10_revisits": OP10_SQL, "op7_exact_topk": OP7_SQL}
