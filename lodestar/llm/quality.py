@@ -82,7 +82,8 @@ def with_stats(docs: DataFrame) -> DataFrame:
         F.col("n").cast("long").alias("n_words"), F.col("chars").cast("long").alias("word_chars"), F.col("symbols").cast("long").alias("n_symbols"), F.col("dup_lines").cast("long").alias("n_dup_lines"), F.col("repeat").cast("long").alias("n_repeat_words"),
         share("chars", "n").alias("mean_word_chars"), share("symbols", "n").alias("symbols_per_word"), share("dup_lines", "n_lines").alias("dup_line_share"), share("repeat", "n").alias("repeat_share"), share("distinct", "n").alias("distinct_share"),
     )
-    return step.select("doc", stats.alias("stats"))
+    # behind a generator, so that a filter on the statistics is not moved down and works them out again for each of its terms
+    return step.select("doc", F.explode(F.array(stats)).alias("stats"))
 
 
 def base_failed() -> Column:
