@@ -19,6 +19,8 @@ FEATURES = ("n_words", "mean_word_chars", "symbols_per_word", "dup_line_share",
 SAMPLE = 10_000
 #: Cuts of a feature that are tried, conditions of a rule, rules of a list.
 CUTS, CONDITIONS, RULES = 31, 3, 6
+#: Shares of the sample at either end where a feature is cut as well.
+TAIL = (0.001, 0.003, 0.01)
 #: Share of rejected documents among those that a rule catches in the pruning part, and their least number.
 PRECISION, COVER = 0.9, 5
 
@@ -117,7 +119,7 @@ def learn(sample: DataFrame) -> list[Rule]:
     sought. All counts are grouped aggregates; the driver holds the counts of a
     feature's cuts.
     """
-    cuts = sample.agg(*[F.percentile_approx(f"stats.{f}", [i / (CUTS + 1) for i in range(1, CUTS + 1)], 10_000).alias(f) for f in FEATURES]).first()
+    cuts = sample.agg(*[F.percentile_approx(f"stats.{f}", [*TAIL, *[i / (CUTS + 1) for i in range(1, CUTS + 1)], *[1 - t for t in TAIL]], 10_000).alias(f) for f in FEATURES]).first()
     cuts = {f: sorted(set(map(float, cuts[f] or []))) for f in FEATURES}
     place = lambda f: F.size(F.filter(F.array(*map(F.lit, cuts[f])), lambda c: F.col(f"stats.{f}") > c)) if cuts[f] else F.lit(0)
     rest = stored(sample.select("stats", "bad", "prune", F.array(*map(place, FEATURES)).alias("places")), "rule-sample")
