@@ -1,0 +1,203 @@
+"""Operators of the document engine on literal rows."""
+
+import json
+
+import pandas as pd
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lodestar.operators import batches, chunking, evaluation, incremental, layout, rows, sections, stats
+from lodestar.sources import readers, seams, sinks
+from lodestar.streaming.ingest import current, ingest
+
+
+def restated_chunks(spans, target, overlap):
+    """First paragraph a and last paragraph b of each chunk, from the definition."""
+    out, a, n = [], 0, len(spans)
+    b = 0
+    while n:
+        b = max([b, *(j for j in range(b, n) if spans[j][1] - spans[a][0] <= target)]) if spans[min(b, n - 1)][1] - spans[a][0] <= target else b
+        out.append((spans[a][0], spans[b][1]))
+        if b == n - 1:
+            return out
+        a = next((t for t in range(b, a, -1) if sum(e - s for s, e in spans[t : b + 1]) >= overlap), a)
+        b += 1
+    return out
+
+
+def test_chunks_match_definition(spark):
+    texts = ["", "\n\n \n\n", "a", "\n\n".join("x" * (n * 7 % 13) for n in range(40)), "\n\n".join("ab" * (n % 5 + 1) for n in range(30)), "z" * 500 + "\n\nq\n\n" + "é" * 90]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", chunking.paragraphs(F.col("text")).alias("p")).select("i", "p", *[chunking.chunks(F.col("p"), t, o).alias(f"c{t}_{o}") for t, o in ((20, 5), (20, 0), (100, 30))]).collect()
+    for r in found:
+        spans = [(p.s, p.e) for p in r.p]
+        assert all(texts[r.i][s:e].strip() for s, e in spans)
+        for t, o in ((20, 5), (20, 0), (100, 30)):
+            assert [(c.s, c.e) for c in r[f"c{t}_{o}"]] == restated_chunks(spans, t, o), (r.i, t, o)
+
+
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40), st.integers(1, 15), st.integers(1, 15)), max_size=12))
+def test_reading_order_is_a_permutation(boxes):
+    boxes = [(float(x), float(y), float(x + w), float(y + h)) for x, y, w, h in boxes]
+    assert sorted(layout.reading_order(boxes)) == list(range(len(boxes)))
+
+
+def test_two_columns_are_read_one_after_the_other(spark):
+    boxes = [("d", 1, i, x, y, x + 100.0, y + 10.0) for i, (x, y) in enumerate([(0.0, 0.0), (150.0, 0.0), (0.0, 20.0), (150.0, 20.0)])]
+    out = layout.page_order(spark.createDataFrame(boxes, "doc_id string, page int, seq int, x0 double, y0 double, x1 double, y1 double")).collect()
+    assert [r.seq for r in sorted(out, key=lambda r: r.place)] == [0, 2, 1, 3]
+
+
+def test_figures(spark):
+    panel = lambda n, x, y: ("d", 1, n, "raster", None, x, y, x + 100.0, y + 100.0)
+    data = [panel(0, 0.0, 0.0), panel(1, 105.0, 0.0), panel(2, 0.0, 400.0), ("d", 1, 3, "text", "axis", 20.0, 102.0, 40.0, 108.0), ("d", 1, 4, "text", "Figure 1: two panels", 0.0, 130.0, 200.0, 140.0), panel(5, 0.0, 0.0), ("d", 1, 6, "raster", None, 300.0, 0.0, 310.0, 10.0)]
+    out = layout.page_figures(spark.createDataFrame(data, "doc_id string, page int, seq int, kind string, text string, x0 double, y0 double, x1 double, y1 double")).orderBy("figure").collect()
+    assert [tuple(r)[3:] for r in out] == [(0.0, 0.0, 205.0, 108.0), (0.0, 400.0, 100.0, 500.0)]
+    assert layout.split_at_prose((0, 0, 200, 300), [(0, 100, 200, 120)], [(10, 5, 150, 90), (10, 130, 150, 290)]) == [(10, 5, 150, 90), (10, 130, 150, 290)]
+    assert layout.trimmed((0, 0, 200, 100), [(180, 0, 300, 50)]) == (0, 0, 180, 100)
+
+
+def test_captions_and_text_outside(spark):
+    b = lambda *v: list(map(float, v))
+    assets = spark.createDataFrame([("d", 1, "a", b(0, 0, 100, 100)), ("d", 1, "b", b(300, 0, 400, 100))], "doc_id string, page int, asset_id string, bbox array<double>")
+    blocks = spark.createDataFrame([("d", 1, 0, b(0, 110, 90, 120), "Fig. 1 near"), ("d", 1, 1, b(0, 130, 90, 140), "Fig. 2 far"), ("d", 1, 2, b(10, 10, 50, 20), "inside")], "doc_id string, page int, seq int, bbox array<double>, text string")
+    assert {r.asset_id: r.caption for r in layout.captions(assets, blocks).collect()} == {"a": "Fig. 1 near", "b": None}
+    assert {r.seq for r in layout.text_outside(blocks, assets).collect()} == {0, 1}
+
+
+def test_sections(spark):
+    e = [("d", 0, False, "intro", None, 1), ("d", 1, True, "# A", "A", 1), ("d", 2, False, "x", None, 2), ("e", 0, True, "# B", "B", 1)]
+    df = spark.createDataFrame(e, "doc_id string, seq int, is_heading boolean, text string, heading string, page int").withColumn("level", F.lit(1))
+    out = sections.sections(sections.with_sections(df)).orderBy("doc_id", "section_id").collect()
+    assert [(r.doc_id, r.section_id, r.heading, r.text, r.pages) for r in out] == [("d", 0, None, "intro", [1]), ("d", 1, "A", "# A\n\nx", [1, 2]), ("e", 0, "B", "# B", [1])]
+    at = {(r.doc_id, r.seq): r.char_offset for r in sections.with_sections(df).collect()}
+    assert at == {("d", 0): 0, ("d", 1): 0, ("d", 2): 5, ("e", 0): 0}
+
+
+def test_running_heads(spark):
+    lines = [("d", p, f"Journal p-{p}", True) for p in range(4)] + [("d", 0, "once", True)]
+    el = spark.createDataFrame(lines, "doc_id string, page int, text string, in_margin boolean")
+    heads = sections.running_heads(el, el.select("doc_id", "page"))
+    assert [r.masked for r in heads.collect()] == ["Journal p-#"]
+    assert [r.text for r in sections.without_running_heads(el, heads).collect()] == ["once"]
+
+
+def test_styles_and_sizes(spark):
+    spans = spark.createDataFrame([("d", 0, 0, 10.0, True, 5), ("d", 0, 1, 9.0, False, 5), ("d", 0, 2, 8.0, False, 1)], "doc_id string, block int, seq int, size double, bold boolean, n int")
+    r = sections.block_styles(spans).first()
+    assert (r["size"], round(r["bold_share"], 3)) == (10.0, 0.455)
+    assert sections.body_sizes(spans).first()["body_size"] == 9.0
+    assert spark.range(1).select(sections.is_real_table(F.array(F.array(F.lit("a"), F.lit("")), F.array(F.lit(None).cast("string"), F.lit("b"))))).first()[0]
+
+
+def test_recall_repeats_use_places(spark):
+    run = spark.createDataFrame([("q", 1, "a", 0), ("q", 2, "a", 0), ("q", 3, "b", 0), ("r", 1, "z", 0)], "query_id string, rank int, doc_id string, section_id int")
+    gold = spark.createDataFrame([("q", "a", 0), ("q", "b", 0), ("r", "y", 0)], "query_id string, doc_id string, section_id int")
+    asked = spark.createDataFrame([("q", "text"), ("r", "text-table"), ("s", "text")], "query_id string, source string")
+    assert {r.source: (r.n, r.recall) for r in evaluation.recall(run, gold, asked, 2).collect()} == {"text": (1, 0.5), "text-table": (1, 0.0), "ALL": (2, 0.25)}
+    assert {r.query_id: r.ndcg for r in evaluation.ndcg(run, gold, 3).collect()} == {"q": pytest.approx((1 + 0.5) / (1 + 1 / 1.5849625), abs=1e-5), "r": 0.0}
+
+
+def test_quantiles_exclusive(spark):
+    import statistics
+
+    values = [float(x * x % 97) for x in range(50)]
+    want = statistics.quantiles(values, n=100)
+    got = stats.exclusive_quantiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", 100, (10, 50, 90)).collect()
+    assert {r.cut: r.value for r in got} == {c: pytest.approx(want[c - 1]) for c in (10, 50, 90)}
+    assert stats.exclusive_quantiles(spark.createDataFrame([(1.0,)], "v double"), "v").count() == 0
+
+
+def test_incremental(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
+    new = spark.createDataFrame([("b", 2), ("c", 2)], "k string, v int")
+    assert sorted(map(tuple, incremental.upserted(old, new, ["k"]).collect())) == [("a", 1), ("b", 2), ("c", 2)]
+    assert [r.k for r in incremental.pending(old, new, ["k"], limit=1).collect()] == ["a"]
+    docs = spark.createDataFrame([("d",)], "doc_id string")
+    ledger = spark.createDataFrame([("d", "text")], "doc_id string, kind string")
+    assert [r.kind for r in incremental.pending_kinds(docs, ["text", "figure"], ledger).collect()] == ["figure"]
+    maps = spark.createDataFrame([("1", {"p": "u1"}), ("2", {"p": "u2", "q": "v"})], "file string, urls map<string,string>")
+    assert dict(map(tuple, incremental.url_map(maps).collect())) == {"p": "u2", "q": "v"}
+    figs = spark.createDataFrame([("d", "i", "h1", "d::i"), ("d", "j", "h2", "d::j"), ("d", "k", "h3", "d::k")], "doc_id string, image_id string, image_sha256 string, custom_id string")
+    made = spark.createDataFrame([("h1", "m", "p")], "image_sha256 string, model string, prompt_version string")
+    fly = spark.createDataFrame([("d::j",)], "custom_id string")
+    assert [r.image_id for r in incremental.pending_figures(figs, made, fly, "m", "p").collect()] == ["k"]
+
+
+def test_batches(spark):
+    df = spark.createDataFrame([("g", i, 40) for i in range(5)] + [("h", 0, 500), ("h", 1, 1)], "g string, i int, size int")
+    out = {(r.g, r.i): r.batch for r in batches.by_bytes(df, "g", "i", "size", 100).collect()}
+    assert [out["g", i] for i in range(5)] == [0, 0, 1, 1, 2] and (out["h", 0], out["h", 1]) == (0, 1)
+    assert batches.requests_per_batch() == 1384
+    lines = batches.request_lines(spark.createDataFrame([("d::i", "say")], "custom_id string, prompt string"), "m").first()
+    assert json.loads(lines.line)["body"]["messages"] == [{"role": "user", "content": "say"}]
+    body = {"choices": [{"message": {"content": " hi "}}]}
+    results = [json.dumps(x) for x in ({"custom_id": "a", "response": {"status_code": 200, "body": body}}, {"custom_id": "b", "response": {"status_code": 500, "body": {}}}, {"custom_id": "c", "error": {"message": "gone"}})] + ["{"]
+    got = {r.custom_id: (r.content, r.error) for r in batches.result_lines(spark.createDataFrame([(x,) for x in results], "value string")).collect()}
+    assert got == {"a": ("hi", None), "b": (None, "HTTP 500: {}"), "c": (None, "gone"), None: (None, "malformed line")}
+    asked = spark.createDataFrame([(1, "why?")], "query_id int, question string")
+    assert batches.answer_prompt(asked, batches.passages(spark.createDataFrame([], "query_id int, rank int, label string, text string"))).first().prompt == "(no passages retrieved)\n\nQuestion: why?"
+
+
+def test_documents_to_index(spark, tmp_path):
+    image = {"page": 1, "bbox": [0, 0, 1, 1], "caption": "Figure 1", "char_offset": 6, "path": "p", "description": "a plot"}
+    doc = {"id": "d1", "title": "", "sections": [{"section_id": 0, "heading": "H", "text": "start\n\n![img-0.png](img-0.png)\n\nend", "pages": [1], "images": {"img-0.png": image, "img-1.png": {"page": 1, "char_offset": 99}}, "tables": {"table-0": {"page": 2, "markdown": "|x|", "rows": 1, "cols": 1, "char_offset": 0}}}]}
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/d1.json").write_text(json.dumps(doc))
+    docs = readers.documents(spark, str(tmp_path / "docs"))
+    made = rows.index_rows(readers.sections(docs), readers.assets(docs)).collect()
+    assert sorted((r.kind, r.ord) for r in made) == [("figure", "img-0.png"), ("table", "table-0"), ("text", "0")]
+    text = next(r for r in made if r.kind == "text")
+    assert text.asset_ids == ["img-0.png", "table-0"] and text.title == "H" and text.embed_text.startswith("H\n\nstart")
+    assert len({r.id for r in made}) == 3
+    sinks.index(rows.index_rows(readers.sections(docs), readers.assets(docs), ("text",)), str(tmp_path / "index"))
+    assert spark.read.parquet(str(tmp_path / "index")).count() == 1
+
+
+def test_seams_with_fakes(spark):
+    def make():
+        return lambda texts: [([float(len(t))], {"1": 2.0}) for t in texts]
+
+    out = seams.embedded(spark.createDataFrame([("a", "xyz")], "id string, embed_text string"), make).first()
+    assert (list(out.dense), out.sparse) == ([3.0], {"1": 2.0})
+
+    def broken():
+        def call(prompt):
+            raise ValueError("no")
+
+        return call
+
+    assert tuple(seams.completed(spark.createDataFrame([("c", "p")], "custom_id string, prompt string"), broken).first()) == ("c", None, "no")
+
+    def extractor():
+        def extract(doc_id, content):
+            if not content:
+                raise ValueError("empty")
+            return [(1, 0, "text", "t", 10.0, 0, 0.0, 0.0, 1.0, 1.0)]
+
+        return extract
+
+    kinds = seams.extracted(spark.createDataFrame([("d", b"x"), ("e", b"")], "doc_id string, content binary"), extractor).collect()
+    assert sorted((r.doc_id, r.kind) for r in kinds) == [("d", "text"), ("e", "failure")]
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/ok.pdf").write_bytes(b"%PDF-1")
+    (tmp_path / "a/no.pdf").write_bytes(b"html")
+    (tmp_path / "a/pdf_urls.json").write_text('{"ok": "u"}')
+    assert [r.paper_id for r in readers.complete_pdfs(spark, str(tmp_path)).collect()] == ["ok"]
+    assert readers.files(spark, str(tmp_path)).count() == 3
+    assert readers.url_maps(spark, str(tmp_path)).first().urls == {"ok": "u"}
+
+
+def test_stream_ingest_replaces_owners(spark, tmp_path):
+    write = lambda n, data: pd.DataFrame(data, columns=["doc_id", "text"]).to_parquet(tmp_path / f"in/{n}.parquet")
+    (tmp_path / "in").mkdir()
+    go = lambda: ingest(spark, str(tmp_path / "in"), "doc_id string, text string", str(tmp_path / "ck"), lambda b: b.select("doc_id", F.explode(F.split("text", " ")).alias("w")), str(tmp_path / "idx"), ["doc_id"])
+    write(1, [("a", "x y"), ("b", "z")])
+    go()
+    write(2, [("a", "q")])
+    go()
+    assert sorted(map(tuple, current(spark, str(tmp_path / "idx")).collect())) == [("a", "q"), ("b", "z")]
