@@ -21,11 +21,9 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: A word takes one blank before it; of other white space the last character stands alone before a word.
 WORD = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: A block of documents ends when it holds so many words or characters.
-BLOCK_WORDS, BLOCK_CHARS = 1_500_000, 12_000_000
-ENCODED = "doc_id long, ids binary"
-_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-WORDS = "bucket int, block long, digest long, places binary, words binary"
-PLACED = "block long, digest long, places binary, lengths binary, ids binary"
+BLOCK_WORDS, BLOCK_CHARS = 3_000_000, 24_000_000
+WORDS = "bucket int, block long, digest long, words binary"
+PLACED = "bucket int, block long, digest long, lengths binary, ids binary"
 DOCS = "block long, digest long, doc_ids binary, known_ids binary, lengths binary, places binary"
 
 
@@ -71,6 +69,15 @@ class Block:
     def digest(self) -> int:
         return zlib.crc32("\0".join(self.word_at).encode()) if self.word_at else 0
 
+    def by_bucket(self, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words sorted by bucket, where each bucket ends, and the documents as places in that order."""
+        words = [w.encode() for w in self.word_at]
+        bucket = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(words), np.uint32)
+        place[order] = np.arange(len(words), dtype=np.uint32)
+        return [words[i] for i in order], np.searchsorted(bucket[order], np.arange(buckets + 1)), place[np.concatenate(self.places)]
+
 
 def blocks_of(batches: Iterator[pa.RecordBatch], split: Splitter) -> Iterator[tuple[int, Block]]:
     """Numbered blocks of a partition of (doc_id, text); the number holds the partition's."""
@@ -90,22 +97,19 @@ def _rows(rows: list[tuple], ddl: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ddl, strict=True)], schema=ddl)
 
 
-_WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("digest", pa.int64()), ("places", pa.binary()), ("words", pa.binary())])
+_WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("digest", pa.int64()), ("words", pa.binary())])
 _DOCS = pa.schema([("block", pa.int64()), ("digest", pa.int64()), ("doc_ids", pa.binary()), ("known_ids", pa.binary()), ("lengths", pa.binary()), ("places", pa.binary())])
 
 
 def word_requests(docs: DataFrame, tokenizer_json: str, buckets: int) -> DataFrame:
-    """A row per block and bucket of words: the block's distinct words in that bucket and their places."""
+    """A row per block and bucket of words: the block's distinct words in that bucket."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in blocks_of(batches, Splitter(tokenizer_json)):
-            words = [w.encode() for w in block.word_at]
-            bucket = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            words, ends, _ = block.by_bucket(buckets)
             digest = block.digest()
             for at in range(0, buckets, 64):
-                rows = [(b, number, digest, pack_numbers(mine), pack_words([words[i] for i in mine])) for b in range(at, min(at + 64, buckets)) if len(mine := order[ends[b] : ends[b + 1]])]
+                rows = [(b, number, digest, pack_words(words[ends[b] : ends[b + 1]])) for b in range(at, min(at + 64, buckets)) if ends[b] < ends[b + 1]]
                 if rows:
                     yield _rows(rows, _WORDS)
 
@@ -133,46 +137,37 @@ def encoded_words(requests: DataFrame, tokenizer_json: str) -> DataFrame:
                 ids.extend(e.ids)
         lengths, ids = np.asarray(lengths, np.int64), np.asarray(ids, np.uint32)
         starts = np.cumsum(lengths) - lengths
-        return pd.DataFrame({"block": rows["block"], "digest": rows["digest"], "places": rows["places"], "lengths": [pack_numbers(lengths[a]) for a in asked], "ids": [pack_numbers(ids[spread(starts[a], lengths[a])]) for a in asked]})
+        return pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"], "digest": rows["digest"], "lengths": [pack_numbers(lengths[a]) for a in asked], "ids": [pack_numbers(ids[spread(starts[a], lengths[a])]) for a in asked]})
 
     return requests.groupBy("bucket").applyInPandas(task, PLACED)
 
 
-def placed_documents(docs: DataFrame, tokenizer_json: str) -> DataFrame:
+def placed_documents(docs: DataFrame, tokenizer_json: str, buckets: int) -> DataFrame:
     """A row per block: its documents as places of their words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, block in blocks_of(batches, Splitter(tokenizer_json)):
             ids = np.array([i or 0 for i in block.doc_ids], np.int64).astype("<i8").tobytes()
             known = np.array([i is not None for i in block.doc_ids], np.uint8).tobytes()
-            yield _rows([(number, block.digest(), ids, known, pack_numbers(np.array(block.lengths)), pack_numbers(np.concatenate(block.places)))], _DOCS)
+            yield _rows([(number, block.digest(), ids, known, pack_numbers(np.array(block.lengths)), pack_numbers(block.by_bucket(buckets)[2]))], _DOCS)
 
     return docs.mapInArrow(task, DOCS)
 
 
-def joined_back(key: tuple, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """Ids of the documents of one block from the ids of its words."""
-    doc = docs.iloc[0]
+def block_ids(doc: pd.Series, words: pd.DataFrame) -> Iterator[bytes]:
+    """Ids of the documents of one block, in order, from the ids of its words."""
     if len(words) and (words["digest"] != doc["digest"]).any():
         raise RuntimeError("the input's partitions changed between two reads; store it as a table first")
+    words = words.sort_values("bucket")
     places, counts = unpack_numbers(doc["places"]), unpack_numbers(doc["lengths"]).astype(np.int64)
-    n = int(places.max()) + 1 if len(places) else 0
-    starts, lengths, flat, held = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
-    for at, size, ids in zip(words["places"], words["lengths"], words["ids"], strict=True):
-        at, size, ids = unpack_numbers(at), unpack_numbers(size).astype(np.int64), unpack_numbers(ids)
-        lengths[at], starts[at] = size, held + np.cumsum(size) - size
-        flat.append(ids.astype("<u4"))
-        held += len(ids)
-    flat = np.concatenate(flat) if flat else np.zeros(0, "<u4")
-    out, ends = [], np.cumsum(counts)
+    lengths = np.concatenate([np.zeros(0, np.int64), *[unpack_numbers(b).astype(np.int64) for b in words["lengths"]]])
+    flat = np.concatenate([np.zeros(0, "<u4"), *[unpack_numbers(b).astype("<u4") for b in words["ids"]]])
+    starts, ends = np.cumsum(lengths) - lengths, np.cumsum(counts)
     for a, b in zip(ends - counts, ends, strict=True):
-        mine = places[a:b]
-        out.append(flat[spread(starts[mine], lengths[mine])].tobytes())
-    known = np.frombuffer(doc["known_ids"], np.uint8).astype(bool)
-    return pd.DataFrame({"doc_id": pd.array(np.frombuffer(doc["doc_ids"], "<i8"), "Int64").copy(), "ids": out}).assign(doc_id=lambda x: x["doc_id"].where(known))
+        yield flat[spread(starts[places[a:b]], lengths[places[a:b]])].tobytes()
 
 
-def encode(docs: DataFrame, tokenizer_path: str, buckets: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, buckets: int | None = None, with_text: bool = False) -> DataFrame:
     """(doc_id, ids) of every document of ``docs`` (doc_id, text); ids are little-endian unsigned 32-bit.
 
     Texts are split into words such that a text's ids are those of its words in
@@ -180,7 +175,9 @@ def encode(docs: DataFrame, tokenizer_path: str, buckets: int | None = None) ->
     words encodes each distinct word once, and a block's ids are joined back by
     place. Neither texts nor single words are shuffled: only the distinct words
     of the blocks, their ids, and the blocks' places, all compressed. A word
-    that makes up a third of a corpus is asked for once per block.
+    that makes up a third of a corpus is asked for once per block. With
+    ``with_text`` the ids are decoded in the same tasks (``decode``), into a
+    column ``text``.
 
     ``docs`` is read twice and must be a table in files, whose partitions are
     the same each time; a change between the reads raises an error.
@@ -193,8 +190,18 @@ def encode(docs: DataFrame, tokenizer_path: str, buckets: int | None = None) ->
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
     docs = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    words = encoded_words(word_requests(docs, tokenizer_json, buckets or 2 * shuffle_partitions(docs.sparkSession)), tokenizer_json)
-    return placed_documents(docs, tokenizer_json).groupBy("block").cogroup(words.groupBy("block")).applyInPandas(joined_back, ENCODED)
+    buckets = buckets or 2 * shuffle_partitions(docs.sparkSession)
+    pieces = piece_table(tokenizer_json) if with_text else []
+
+    def joined_back(key: tuple, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        doc = docs.iloc[0]
+        known = np.frombuffer(doc["known_ids"], np.uint8).astype(bool)
+        out = {"doc_id": pd.Series(pd.array(np.frombuffer(doc["doc_ids"], "<i8"), "Int64")).where(known), "ids": list(block_ids(doc, words))}
+        return pd.DataFrame(out | {"text": list(map(Decoder(pieces), out["ids"]))} if with_text else out)
+
+    words = encoded_words(word_requests(docs, tokenizer_json, buckets), tokenizer_json)
+    placed = placed_documents(docs, tokenizer_json, buckets)
+    return placed.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(joined_back, "doc_id long, ids binary" + ", text string" * with_text)
 
 
 def piece_table(tokenizer_json: str) -> list[bytes]:
@@ -209,24 +216,32 @@ def piece_table(tokenizer_json: str) -> list[bytes]:
     return pieces
 
 
+class Decoder:
+    """Texts of ids: the ids meet the table of pieces by position."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.lengths = np.array([len(p) for p in pieces], np.int64)
+        self.starts, self.flat = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(pieces), np.uint8)
+
+    def __call__(self, ids: bytes | None) -> str | None:
+        if ids is None:
+            return None
+        ids = np.frombuffer(ids, "<u4")
+        return self.flat[spread(self.starts[ids], self.lengths[ids])].tobytes().decode("utf-8", "replace")
+
+
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """``encoded`` (doc_id, ids) with its text, special tokens included.
 
-    The ids meet the table of pieces, which is as large as the vocabulary and
-    goes to every task, by position. Bytes that are no UTF-8 become U+FFFD.
-    Null ids give a null text.
+    The table of pieces, which is as large as the vocabulary, goes to every
+    task. Bytes that are no UTF-8 become U+FFFD. Null ids give a null text.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         pieces = piece_table(f.read())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = np.array([len(p) for p in pieces], np.int64)
-        starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(pieces), np.uint8)
+        text = Decoder(pieces)
         for part in slices(batches):
-            texts = []
-            for ids in part.column(1).to_pylist():
-                ids = None if ids is None else np.frombuffer(ids, "<u4")
-                texts.append(None if ids is None else flat[spread(starts[ids], lengths[ids])].tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(map(text, part.column(1).to_pylist()), pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(task, "doc_id long, ids binary, text string")

@@ -68,10 +68,9 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the texts that they decode to, as digests."""
-    from .bpe import decode, encode
+    from .bpe import encode
 
-    path = tokenizer_file("byte_bpe_50k.json")
-    both = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    both = encode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), with_text=True)
     n = (F.octet_length("ids") / 4).cast("long")
     return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
