@@ -66,6 +66,18 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+OP4_SQL = """
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, array_to_string(w[p:p + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as p from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+l as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+e as (select l.a, l.b from l join n x on l.a = x.doc_id join n y on l.b = y.doc_id where 100 * c >= 85 * (x.n + y.n - c)),
+r as (select doc_id as a, doc_id as b from d union select r.a, e.b from r join e on r.b = e.a),
+c as (select a as doc_id, min(b) as component_id from r group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept from d join c on d.doc_id = c.doc_id left join n on d.doc_id = n.doc_id
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the texts that they decode to, as digests."""
     from .bpe import encode
@@ -167,4 +179,4 @@ from v
 """
 
 QUERIES = {"op2_quotation_linking": op2_quotation_linking, "op10_revisits": op10_revisits, "op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op4_minhash": op4_minhash, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_exact_topk": op7_exact_topk, "op8_katz": op8_katz, "op9_pii": op9_pii}
-ORACLE_SQL = {"op6_substrings": OP6_SQL, "op2_quotation_linking": OP2_SQL, "op10_revisits": OP10_SQL, "op7_exact_topk": OP7_SQL}
+ORACLE_SQL = {"op4_minhash": OP4_SQL, "op6_substrings": OP6_SQL, "op2_quotation_linking": OP2_SQL, "op10_revisits": OP10_SQL, "op7_exact_topk": OP7_SQL}
