@@ -20,10 +20,10 @@ from .filters import bit_filter, passing
 WORDS, COORDINATES = 5, 64
 #: Chance that a pair just at the similarity has fewer matching coordinates than are asked for.
 MISS = 1e-9
-#: Members of a posting list that meet in one piece of work.
-LIST = 512
+#: Nodes that meet as many others in one piece of work; columns of a product of their sets.
+STRETCH, COLUMNS = 1024, 4096
 #: Words whose hashes a task remembers.
-CACHE = 400_000
+CACHE = 200_000
 _RANDOM = np.random.default_rng(20_240_601)
 #: Odd multipliers: of the places in a shingle, and of the coordinates.
 _PLACES = _RANDOM.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -141,68 +141,91 @@ def agreement(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose shingle sets have at least ``percent`` hundredths of their union in common."""
-    a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 64):
-            keep = []
-            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sizes = nodes.select("node", "n_shingles")
-    able = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b")), "b")
-    able = able.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
-    return able.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(task, "a long, b long")
-
-
-def starred(lists: DataFrame, nodes: DataFrame, needed: int) -> DataFrame:
-    """Pairs (a, b) of each list's least node with its others that agree in ``needed`` coordinates."""
-    heads = lists.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    pairs = lists.join(heads, "key").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
-    return _agreeing(pairs, nodes, needed)
+def heads(lists: DataFrame) -> DataFrame:
+    """(a, b): the least node of each posting list with each of its others."""
+    least = lists.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+    return lists.join(least, "key").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
 
 
-def _agreeing(pairs: DataFrame, nodes: DataFrame, needed: int) -> DataFrame:
+def colliding(pairs: DataFrame, nodes: DataFrame, needed: int) -> DataFrame:
+    """Those of the ``pairs`` that agree in ``needed`` coordinates."""
     a, b = (nodes.select(F.col("node").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").where(agreement(F.col("sig_a"), F.col("sig_b")) >= needed).select("a", "b")
 
 
-def crossing(lists: DataFrame, nodes: DataFrame, labels: DataFrame, needed: int) -> DataFrame:
-    """Pairs (a, b) of one list but of different components that agree in ``needed`` coordinates.
+def star_units(pairs: DataFrame) -> DataFrame:
+    """Work of confirming (a, b): each a with a stretch of its partners. Columns: unit, part, side, node, component."""
+    cuts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STRETCH).cast("int").alias("cuts"))
+    dealt = pairs.join(cuts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("cuts")).cast("long"))
+    first = dealt.select("a", "part").distinct().select(F.col("a").alias("unit"), "part", F.lit(0).alias("side"), F.col("a").alias("node"))
+    return first.unionByName(dealt.select(F.col("a").alias("unit"), "part", F.lit(1).alias("side"), F.col("b").alias("node"))).withColumn("component", F.col("node"))
 
-    Lists whose members are one component by now are left out. A long list is
-    cut into stretches that meet two by two, so no task holds more than two of
-    them; only pairs that agree are returned.
+
+def cluster_units(clusters: DataFrame, labels: DataFrame) -> DataFrame:
+    """Work of comparing all that is not joined yet in each cluster (node, component): stretches of it two by two.
+
+    Clusters that are one component by now, and pairs, which have met already,
+    are left out.
+    """
+    known = clusters.select("node", F.col("component").alias("unit")).join(labels, "node", "left").select("unit", "node", F.coalesce("component", "node").alias("component"))
+    open_ = known.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where((F.col("low") != F.col("high")) & (F.col("n") > 2))
+    dealt = known.join(open_.select("unit", F.ceil(F.col("n") / STRETCH).cast("int").alias("cuts")), "unit").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    return dealt.select("unit", (low.cast("long") * F.col("cuts") + high).alias("part"), F.when(F.col("mine") == low, 0).otherwise(1).alias("side"), "node", "component")
+
+
+def shared(one: list[np.ndarray], other: list[np.ndarray] | None) -> np.ndarray:
+    """Number of common elements of every set of one list and every one of the other (None: of the same list)."""
+    both = one + (other or [])
+    place = np.unique(np.concatenate(both), return_inverse=True)[1]
+    often = np.bincount(place) > 1
+    column = np.where(often, np.cumsum(often) - 1, -1)[place]
+    row = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(one), len(other) if other else len(one)), np.int64)
+    for at in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        held = np.zeros((len(both), COLUMNS), np.float32)
+        held[row[a:b], column[a:b] - at] = 1
+        out += np.rint(held[: len(one)] @ (held[len(one) :] if other else held).T).astype(np.int64)
+    return out
+
+
+def linked(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the sides of each unit, enough of them to join all that is linked.
+
+    Two nodes are linked if their whole sets have ``percent`` hundredths of
+    their union in common. A link between what is joined already is left out,
+    so a unit returns fewer links than it has nodes, whatever the number of
+    its pairs.
     """
-    component = F.coalesce("component", "node")
-    known = lists.join(labels, "node", "left").select("key", "node", component.alias("component"))
-    mixed_lists = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where(F.col("low") != F.col("high")).select("key", F.ceil(F.col("n") / LIST).cast("int").alias("cuts"))
-    members = known.join(mixed_lists, "key").join(nodes.select("node", "signature"), "node")
-    mine = F.when(F.col("cuts") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    members = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    members = members.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    groups = F.pmod(F.xxhash64("key", "i", "j"), F.lit(8 * shuffle_partitions(lists.sparkSession))).cast("int")
+    groups = F.pmod(F.xxhash64("unit", "part"), F.lit(8 * shuffle_partitions(units.sparkSession))).cast("int")
+
+    def unit_links(rows: pd.DataFrame) -> list[tuple[int, int]]:
+        rows = rows.sort_values(["side", "node"])
+        held = [np.frombuffer(b, np.uint64) for b in rows["shingles"]]
+        node, size = rows["node"].to_numpy(), np.array([len(x) for x in held])
+        label = np.unique(rows["component"], return_inverse=True)[1]
+        n = int((rows["side"] == 0).sum())
+        left, right = np.arange(n), np.arange(n, len(rows)) if n < len(rows) else np.arange(n)
+        both = shared(held[:n], held[n:] or None)
+        ok = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+        found = []
+        for x in left:
+            near = right[ok[x]]
+            while len(near := near[label[near] != label[x]]):
+                found.append((int(node[x]), int(node[near[0]])))
+                label[label == label[near[0]]] = label[x]
+        return found
 
     def task(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["key", "i", "j"], kind="stable")
-        signatures = np.array(rows["signature"].tolist(), np.int32)
-        place = rows[["key", "i", "j"]].to_numpy()
-        edges = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(axis=1), True]) if len(rows) else []
-        node, component, mine = (rows[c].to_numpy() for c in ("node", "component", "mine"))
-        found = []
-        for start, end in zip(edges[:-1], edges[1:], strict=True):
-            for x in range(start, end - 1):
-                agree = (signatures[x + 1 : end] == signatures[x]).sum(axis=1) >= needed
-                for y in np.flatnonzero(agree & (component[x + 1 : end] != component[x])) + x + 1:
-                    found.append((min(node[x], node[y]), max(node[x], node[y])))
-        return pd.DataFrame(list(dict.fromkeys(found)), columns=["a", "b"], dtype="int64")
+        found = [link for _, part in rows.groupby(["unit", "part"], sort=False) for link in unit_links(part)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return members.withColumn("group", groups).select("group", "key", "i", "j", "node", "component", "mine", "signature").groupBy("group").applyInPandas(task, "a long, b long").distinct()
+    return units.withColumn("group", groups).join(sets, "node").groupBy("group").applyInPandas(task, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -214,12 +237,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     doc_id reachable over links, ``kept`` says that it is the row's own.
 
     Rows of the same words are one node. Nodes are posted under the values of
-    their MinHash coordinates (``postings``), pairs that collide in enough
-    coordinates (``matches_needed``: a true pair is missed with a chance of
-    1e-9) are confirmed on whole sets. First each posting list's least node
-    meets the others, which joins large groups at once; then the pairs of a
-    list that are not in one component yet. Links inside a component would not
-    change it, so none of them is needed.
+    their MinHash coordinates (``postings``). The least node of each posting
+    list is confirmed, on whole sets, against those that collide with it in
+    enough coordinates (``matches_needed``: a true pair is missed with a chance
+    of 1e-9); that joins large groups at once. What hangs together over posting
+    lists but is not one component yet is compared in stretches, on whole sets.
+    Links inside a component would not change it, so none of them is needed.
 
     ``docs`` should be a table in files: it is read twice.
 
@@ -236,14 +259,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     nodes = stored(nodes, "nodes")
     needed = matches_needed(percent / 100)
     lists = stored(postings(nodes, needed), "postings")
-    labels, links = None, None
-    for find in (starred, crossing):
-        pairs = stored(find(lists, nodes, needed) if labels is None else find(lists, nodes, labels, needed), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "node_digest"), "node")
-        wanted = stored(wanted, "wanted")
-        new = confirmed(pairs, nodes, stored(shingle_sets(texts, wanted), "sets"), percent)
-        links = stored(new if links is None else links.unionByName(new), "links")
-        labels = components(links)
+    near = stored(heads(lists), "heads")
+    clusters = components(near)
+    wanted = stored(clusters.select("node").join(nodes.select("node", "node_digest"), "node"), "wanted")
+    sets = stored(shingle_sets(texts, wanted), "sets")
+    links = stored(linked(star_units(colliding(near, nodes, needed)), sets, percent), "links")
+    rest = linked(cluster_units(clusters, components(links)), sets, percent)
+    labels = components(links.unionByName(rest))
     own = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("found"))
     out = rows.join(own, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
