@@ -192,7 +192,7 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     text = F.col("text").cast("string")
     step = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text.alias("text"))
     none = F.array().cast("array<string>")
-    step = step.select("doc", "text", F.when(F.col("text").rlike("[0-9@=:]"), F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(none).alias("matches"))
+    step = step.select("doc", "text", F.when(F.col("text").rlike("[0-9@=:]|AKIA"), F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(none).alias("matches"))
     step = step.select("doc", "text", F.transform("matches", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))).alias("matches"))
     step = step.select("doc", "text", F.transform("matches", lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("to"))).alias("matches"))
     parts = F.split("text", ANY, -1)
