@@ -19,11 +19,11 @@ from .blobs import pack_numbers, unpack_numbers
 from .common import shuffle_partitions, slices, stored
 
 #: Tokens of a block of documents.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_500_000
 #: Parts over which the followers of one word are spread.
 SALT = 16
 #: Words whose hashes a task remembers.
-CACHE = 400_000
+CACHE = 150_000
 #: Hashes of the two marks, which no word stands for: of texts with a blank.
 START, END = (xxhash.xxh3_64_intdigest(t) for t in (b" start", b" end"))
 TRAINED = 10
