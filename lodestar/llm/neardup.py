@@ -23,7 +23,7 @@ MISS = 1e-9
 #: Nodes that meet as many others in one piece of work; columns of a product of their sets.
 STRETCH, COLUMNS = 1024, 4096
 #: Words whose hashes a task remembers.
-CACHE = 200_000
+CACHE = 150_000
 _RANDOM = np.random.default_rng(20_240_601)
 #: Odd multipliers: of the places in a shingle, and of the coordinates.
 _PLACES = _RANDOM.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
