@@ -25,7 +25,7 @@ BLOCK = 1_500_000
 #: Bits of the filter of repeated prefixes.
 BITS = 1 << 27
 #: Words whose hashes a task remembers.
-CACHE = 400_000
+CACHE = 150_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
