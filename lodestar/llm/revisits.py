@@ -76,7 +76,10 @@ def resolved(records: DataFrame) -> DataFrame:
     fits = F.col("status") == "resolved"
     judged = judged.select("record_id", "canonical_url", "ts", "status", F.when(fits, F.col("original.record_id")).alias("refers_to"), F.when(fits, merged_headers(F.col("original.headers"), F.col("headers"))).otherwise(F.col("headers")).alias("headers"))
     bodies = records.where((F.col("type") == "response") & F.col("body").isNotNull() & F.col("record_id").isNotNull()).select(F.col("record_id").alias("refers_to"), "body").dropDuplicates(["refers_to"])
-    return judged.join(bodies, "refers_to", "left").select("record_id", "canonical_url", "ts", "status", "refers_to", "headers", "body")
+    # what refers to nothing has no key to be dealt by, and is spread by its own id
+    spread = F.when(F.col("refers_to").isNull(), F.xxhash64("record_id", "ts")).otherwise(F.lit(0))
+    both = judged.withColumn("_spread", spread).join(bodies.withColumn("_spread", F.lit(0).cast("long")), ["refers_to", "_spread"], "left")
+    return both.select("record_id", "canonical_url", "ts", "status", "refers_to", "headers", "body")
 
 
 def captures(pages: DataFrame) -> DataFrame:
