@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import masked
+from ..functions.text import heading_level, is_heading, joined_lines, masked, stripped
 
 #: Share of a page's height that is margin; pages, and share of pages, on which a running head repeats.
 MARGIN, HEAD_PAGES, HEAD_SHARE = 0.08, 3, 0.30
 #: Characters below which a page with so large a share of images needs OCR.
 OCR_CHARS, OCR_SHARE = 50, 0.60
+#: Flags of bold and italic spans, size of an emphatic one against the body, lines of a heading.
+BOLD, ITALIC, EMPHASIS, HEADING_LINES = 16, 2, 1.10, 3
 
 
 def running_heads(elements: DataFrame, pages: DataFrame, least: int = HEAD_PAGES, share: float = HEAD_SHARE) -> DataFrame:
@@ -113,3 +115,69 @@ def is_real_table(cells: Column) -> Column:
     flat = F.flatten(cells)
     filled = F.size(F.filter(flat, lambda c: c.isNotNull() & c.rlike(r"(?U)\S")))
     return (F.size(cells) >= 2) & (F.coalesce(F.array_max(F.transform(cells, lambda r: F.size(r))), F.lit(0)) >= 2) & (filled >= F.size(flat) * 0.35)
+
+
+def is_emphatic(span: Column, body: Column) -> Column:
+    """Bold, italic, or larger than the body text."""
+    return (span["flags"].bitwiseAND(BOLD | ITALIC) != 0) | (span["size"] >= body * EMPHASIS)
+
+
+def is_rotated(lines: Column) -> Column:
+    return F.exists(lines, lambda x: F.abs(x["dir"][1]) > 0.01)
+
+
+def _said(spans: Column) -> Column:
+    return stripped(F.array_join(F.transform(spans, lambda s: s["text"]), ""))
+
+
+def block_text(lines: Column) -> Column:
+    """A block's lines as one text, hyphens at line ends resolved, blanks collapsed."""
+    said = F.filter(F.transform(lines, lambda x: _said(x["spans"])), lambda t: t != "")
+    return stripped(F.regexp_replace(joined_lines(said), "[ \\t]+", " "))
+
+
+def _leading(spans: Column, body: Column) -> Column:
+    """How many spans the line's emphatic beginning takes: blank ones do not break it and do not end it."""
+    blank = lambda s: stripped(s["text"]) == ""
+    at = F.transform(spans, lambda s, i: F.struct(i.alias("i"), (~blank(s) & ~is_emphatic(s, body)).alias("plain"), (~blank(s) & is_emphatic(s, body)).alias("strong")))
+    end = F.coalesce(F.get(F.filter(at, lambda x: x["plain"]), 0)["i"], F.size(spans))
+    return F.coalesce(F.array_max(F.transform(F.filter(at, lambda x: x["strong"] & (x["i"] < end)), lambda x: x["i"])) + 1, F.lit(0))
+
+
+def with_split_headings(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (lines, body_size, ...) with heading, level and body.
+
+    A heading is the emphatic beginning of a block, over up to three lines, if
+    it looks like one; the rest of its last line and the lines behind it are the
+    body. Rotated blocks and documents without a body size have no headings.
+    """
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(True).alias("open"), none.alias("heads"), F.lit(0.0).alias("size"), none.alias("rest"))
+
+    def step(acc: Column, line: Column) -> Column:
+        spans, n = line["spans"], _leading(line["spans"], F.col("body_size"))
+        blank = _said(spans) == ""
+        takes = acc["open"] & ~blank & (n > 0)
+        run, tail = F.slice(spans, 1, n), F.slice(spans, n + 1, F.size(spans))
+        size = F.array_max(F.transform(F.filter(run, lambda s: stripped(s["text"]) != ""), lambda s: s["size"]))
+        heads = F.when(takes, F.array_append(acc["heads"], _said(run))).otherwise(acc["heads"])
+        left = F.when(takes, _said(tail)).otherwise(_said(spans))
+        more = acc["open"] & (blank | (takes & (n == F.size(spans)) & (F.size(heads) < HEADING_LINES)))
+        return F.struct(more.alias("open"), heads.alias("heads"), F.when(takes, F.greatest(acc["size"], size)).otherwise(acc["size"]).alias("size"), F.when(left != "", F.array_append(acc["rest"], left)).otherwise(acc["rest"]).alias("rest"))
+
+    found = blocks.withColumn("_split", F.aggregate("lines", start, step))
+    heading = stripped(F.regexp_replace(joined_lines(F.col("_split.heads")), "[ \\t]+", " "))
+    found = found.withColumn("_heading", heading)
+    is_one = (F.col("body_size") > 0) & ~is_rotated(F.col("lines")) & is_heading(F.col("_heading"), F.col("_split.size"), F.col("body_size"))
+    body = stripped(F.regexp_replace(joined_lines(F.col("_split.rest")), "[ \\t]+", " "))
+    return found.withColumns({
+        "heading": F.when(is_one, F.col("_heading")),
+        "level": F.when(is_one, heading_level(F.col("_heading"), F.col("_split.size"), F.col("body_size"))),
+        "body": F.when(is_one, body).otherwise(block_text(F.col("lines"))),
+    }).drop("_split", "_heading")
+
+
+def distinct_placements(rasters: DataFrame) -> DataFrame:
+    """Raster placements (doc_id, page, xref, bbox), each image and place once, sides of 24 points and more."""
+    wide = F.least(F.col("bbox")[2] - F.col("bbox")[0], F.col("bbox")[3] - F.col("bbox")[1]) >= 24
+    return rasters.where(wide).withColumn("_place", F.transform("bbox", lambda x: F.bround(x, 1))).dropDuplicates(["doc_id", "page", "xref", "_place"]).drop("_place")

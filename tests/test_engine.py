@@ -201,3 +201,23 @@ def test_stream_ingest_replaces_owners(spark, tmp_path):
     write(2, [("a", "q")])
     go()
     assert sorted(map(tuple, current(spark, str(tmp_path / "idx")).collect())) == [("a", "q"), ("b", "z")]
+
+
+def test_split_headings(spark):
+    line = lambda *spans, dir=(1.0, 0.0): (list(dir), [(t, z, f) for t, z, f in spans])
+    rows = [
+        (0, [line(("Proof.", 10.0, 16), (" We begin with", 10.0, 0)), line(("the sec-", 10.0, 0)), line(("ond case.", 10.0, 0))], 10.0),
+        (1, [line(("2. A Long", 14.5, 0), (" ", 10.0, 0)), line(("Title", 14.5, 0))], 10.0),
+        (2, [line(("plain text only", 10.0, 0))], 10.0),
+        (3, [line(("INTRODUCTION", 12.0, 16), dir=(0.0, 1.0))], 10.0),
+        (4, [line(("  ", 10.0, 0)), line(("1. First", 10.0, 16)), line(("Second", 10.0, 16)), line(("third. Body", 10.0, 0))], 10.0),
+        (5, [line(("x = y", 10.0, 2), (" holds", 10.0, 0))], 10.0),
+    ]
+    df = spark.createDataFrame(rows, "i int, lines array<struct<dir:array<double>,spans:array<struct<text:string,size:double,flags:int>>>>, body_size double")
+    got = {r.i: (r.heading, r.level, r.body) for r in sections.with_split_headings(df).collect()}
+    assert got == {
+        0: ("Proof.", 3, "We begin with the second case."), 1: ("2. A Long", 1, "Title"), 2: (None, None, "plain text only"),
+        3: (None, None, "INTRODUCTION"), 4: ("1. First Second", 1, "third. Body"), 5: (None, None, "x = y holds"),
+    }
+    placed = [("d", 1, 7, [0.0, 0.0, 30.0, 30.0]), ("d", 1, 7, [0.01, 0.0, 30.0, 30.0]), ("d", 1, 8, [0.0, 0.0, 9.0, 30.0])]
+    assert sections.distinct_placements(spark.createDataFrame(placed, "doc_id string, page int, xref long, bbox array<double>")).count() == 1
