@@ -170,4 +170,12 @@ p as (select conv_id, string_agg('[' || i || '] ' || role || chr(10) || text, ch
 select q.conv_id as query_id, md5(coalesce(passages, '(no passages retrieved)') || chr(10) || chr(10) || 'Question: ' || question) as prompt_md5 from q left join p on q.conv_id = p.conv_id""",
     "custom_id_codec": "select conv_id, turn, conv_id || '::' || role || '::' || turn as custom_id, cast(conv_id as varchar) as doc_id, role || '::' || turn as image_id from conversations",
     "snippets": "select doc_id, md5(replace(left(text, 200), chr(10), ' ')) as snippet_md5, left(sha256(text), 8) as version from documents",
+    "near_box_captions": f"""with {_LINES},
+x as (select cast(doc_id as varchar) as doc_id, seq, case when seq % 7 = 3 and seq % 4 <> 0 then 'Figure ' || seq else text end as text,
+             seq % 2 * 300 + 10.0::double as x0, seq // 2 * 14 + 20.0::double as y0, seq % 2 * 300 + 10.0::double + least(270, length(text)) as x1, seq // 2 * 14 + 32.0::double as y1 from lines where text <> ''),
+a as (select * from x where seq % 4 = 0), b as (select * from x where seq % 4 <> 0 and {_CAPTION}),
+d as (select a.doc_id, a.seq, b.seq as place, b.text, case when b.y0 >= a.y1 then b.y0 - a.y1 when b.y1 <= a.y0 then a.y0 - b.y1 end as distance
+      from a join b on a.doc_id = b.doc_id and least(a.x1, b.x1) > greatest(a.x0, b.x0)),
+n as (select doc_id, seq, text, row_number() over (partition by doc_id, seq order by distance, place) as r from d where distance <= 80)
+select a.doc_id, cast(1 as int) as page, 'img-' || a.seq as asset_id, n.text as caption from a left join n on a.doc_id = n.doc_id and a.seq = n.seq and r = 1""",
 }
