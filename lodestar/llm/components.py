@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -11,17 +11,25 @@ from .common import stored
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): component is the smallest node that it reaches.
 
-    Each round gives a node the smallest label among its own and its
-    neighbours', then the label of that label, until no label changes. Every
-    round is written to the shared folder, so lineage stays short.
+    By contraction: each round maps a label to the smallest of its neighbours
+    if that is smaller, and to that one's, and carries the links over to the
+    new labels; those inside a label vanish. At least half of the labels that
+    still have links go in a round. The rounds' maps, one small table each in
+    the shared folder, are put together at the end.
     """
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
+    ends = [links.select(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba")]
+    left = stored(ends[0].unionByName(ends[1]).where(F.col("a") != F.col("b")).distinct(), "links")
+    labels = left.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        least = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "near").alias("new"))
-        above = labels.select(F.col("node").alias("new"), F.col("component").alias("above"))
-        moved = stored(least.join(above, "new", "left").select("node", F.least("new", F.coalesce("above", "new")).alias("component"), (F.least("new", F.coalesce("above", "new")) != F.col("component")).alias("changed")), "labels")
-        labels = moved.select("node", "component")
-        if moved.where("changed").isEmpty():
-            return labels
+        down = left.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to"))
+        for _ in range(2):
+            further = down.select(F.col("a").alias("to"), F.col("to").alias("further"))
+            down = down.join(further, "to").select("a", F.col("further").alias("to"))
+        down = stored(down, "labels")
+        labels = labels.join(down.select(F.col("a").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        seen = Observation()
+        moved = left.join(down, "a").select(F.col("to").alias("x"), "b").join(down.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+        moved = moved.where(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        left = stored(moved.observe(seen, F.count(F.lit(1)).alias("n")), "links")
+        if not seen.get["n"]:
+            return stored(labels, "components")

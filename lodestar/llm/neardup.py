@@ -264,8 +264,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     wanted = stored(clusters.select("node").join(nodes.select("node", "node_digest"), "node"), "wanted")
     sets = stored(shingle_sets(texts, wanted), "sets")
     links = stored(linked(star_units(colliding(near, nodes, needed)), sets, percent), "links")
-    rest = linked(cluster_units(clusters, components(links)), sets, percent)
-    labels = components(links.unionByName(rest))
+    labels = components(links)
+    rest = stored(linked(cluster_units(clusters, labels), sets, percent), "links")
+    if not rest.isEmpty():
+        labels = components(links.unionByName(rest))
     own = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("found"))
     out = rows.join(own, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
