@@ -21,7 +21,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: A word takes one blank before it; of other white space the last character stands alone before a word.
 WORD = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: A block of documents ends when it holds so many words or characters.
-BLOCK_WORDS, BLOCK_CHARS = 3_000_000, 24_000_000
+BLOCK_WORDS, BLOCK_CHARS = 1_000_000, 8_000_000
 WORDS = "bucket int, block long, digest long, words binary"
 PLACED = "bucket int, block long, digest long, lengths binary, ids binary"
 DOCS = "block long, digest long, doc_ids binary, known_ids binary, lengths binary, places binary"
