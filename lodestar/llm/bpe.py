@@ -104,14 +104,17 @@ _DOCS = pa.schema([("block", pa.int64()), ("digest", pa.int64()), ("doc_ids", pa
 def word_requests(docs: DataFrame, tokenizer_json: str, buckets: int) -> DataFrame:
     """A row per block and bucket of words: the block's distinct words in that bucket."""
 
+    split = Splitter(tokenizer_json)  # once, here: tasks need the special tokens, not the vocabulary
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in blocks_of(batches, Splitter(tokenizer_json)):
-            words, ends, _ = block.by_bucket(buckets)
+        for number, block in blocks_of(batches, split):
+            words, ends = block.by_bucket(buckets)[:2]
             digest = block.digest()
             for at in range(0, buckets, 64):
                 rows = [(b, number, digest, pack_words(words[ends[b] : ends[b + 1]])) for b in range(at, min(at + 64, buckets)) if ends[b] < ends[b + 1]]
                 if rows:
                     yield _rows(rows, _WORDS)
+            del block, words  # the next block fills before the loop lets go of this one
 
     return docs.mapInArrow(task, WORDS)
 
@@ -145,11 +148,14 @@ def encoded_words(requests: DataFrame, tokenizer_json: str) -> DataFrame:
 def placed_documents(docs: DataFrame, tokenizer_json: str, buckets: int) -> DataFrame:
     """A row per block: its documents as places of their words."""
 
+    split = Splitter(tokenizer_json)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in blocks_of(batches, Splitter(tokenizer_json)):
+        for number, block in blocks_of(batches, split):
             ids = np.array([i or 0 for i in block.doc_ids], np.int64).astype("<i8").tobytes()
             known = np.array([i is not None for i in block.doc_ids], np.uint8).tobytes()
             yield _rows([(number, block.digest(), ids, known, pack_numbers(np.array(block.lengths)), pack_numbers(block.by_bucket(buckets)[2]))], _DOCS)
+            del block
 
     return docs.mapInArrow(task, DOCS)
 
