@@ -35,7 +35,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values become pseudonyms of the same format."""
-    return _counted(pseudonymised_documents(docs, PII_KEY))
+    return _counted(pseudonymised_documents(docs, PII_KEY, any_area=True))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

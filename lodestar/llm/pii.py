@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:password|passwd|secret|token|api_?key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_/+-]{8,}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "date": r"(?<![0-9/.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})(?![0-9]|[/.-][0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 KINDS = tuple(PATTERNS)
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Phone numbers by their marks alone (+1, parentheses, separators), whatever the area code and exchange.
+MARKED_PHONE = r"(?<![0-9+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"
 ROUNDS = 10
 #: Days from 1900-01-01 to 2099-12-31 are 17 * 4297.
 DAY_MODULI = (17, 4297)
@@ -91,18 +92,32 @@ def _number(s: Column, at: int, n: int) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """Area code and exchange from 200, line of four digits: 80,000 * 80,000 numbers."""
+    """Area code and exchange from 200, line of four digits: 80,000 * 80,000 numbers; all others: 60,000 * 60,000."""
     all_digits = _digits(m)
     d = F.substr(all_digits, F.char_length(all_digits) - 9, F.lit(10))
-    n = (_number(d, 1, 3) - 200) * 8_000_000 + (_number(d, 4, 3) - 200) * 10_000 + _number(d, 7, 4)
-    pair = permuted_number(F.floor(n / 80_000), n % 80_000, (80_000, 80_000), key, "phone")
+    area, exchange, line = _number(d, 1, 3), _number(d, 4, 3), _number(d, 7, 4)
+    three = lambda x: F.lpad(x.cast("string"), 3, "0")
+
+    def put(area: Column, exchange: Column, v: Column) -> Column:
+        ten = F.concat(three(area), three(exchange), F.lpad((v % 10_000).cast("string"), 4, "0"))
+        return _poured(m, F.concat(F.substr(all_digits, F.lit(1), F.char_length(all_digits) - 10), ten))
 
     def written(p: Column) -> Column:
         v = p["l"] * 80_000 + p["r"]
-        ten = F.concat((F.floor(v / 8_000_000) + 200).cast("string"), (F.floor(v % 8_000_000 / 10_000) + 200).cast("string"), F.lpad((v % 10_000).cast("string"), 4, "0"))
-        return _poured(m, F.concat(F.substr(all_digits, F.lit(1), F.char_length(all_digits) - 10), ten))
+        return put(F.floor(v / 8_000_000) + 200, F.floor(v % 8_000_000 / 10_000) + 200, v)
 
-    return F.transform(F.array(pair), written)[0]
+    def other_written(p: Column) -> Column:
+        v = p["l"] * 60_000 + p["r"]
+        at = F.floor(v / 10_000)
+        low = at < 200_000
+        return put(F.when(low, F.floor(at / 1000)).otherwise(F.floor((at - 200_000) / 200) + 200), F.when(low, at % 1000).otherwise(at % 200), v)
+
+    n = (area - 200) * 8_000_000 + (exchange - 200) * 10_000 + line
+    other = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange) * 10_000 + line
+    pair = permuted_number(F.floor(n / 80_000), n % 80_000, (80_000, 80_000), key, "phone")
+    other_pair = permuted_number(F.floor(other / 60_000), other % 60_000, (60_000, 60_000), key, "phone-other")
+    valid = (area >= 200) & (exchange >= 200)
+    return F.when(valid, F.transform(F.array(pair), written)[0]).otherwise(F.transform(F.array(other_pair), other_written)[0])
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -151,9 +166,9 @@ def _secret(m: Column, key: str) -> Column:
     return F.concat(name, permuted_string(F.substr(m, F.char_length(name) + 1, F.char_length(m)), key, "secret"))
 
 
-def kind_of(m: Column) -> Column:
+def kind_of(m: Column, patterns: dict[str, str]) -> Column:
     """Kind of a match, null where it fails its kind's validation."""
-    whole = {k: m.rlike(f"^(?:{p})$") for k, p in PATTERNS.items()}
+    whole = {k: m.rlike(f"^(?:{p})$") for k, p in patterns.items()}
     luhn = F.pmod(luhn_sum(_digits(m)), F.lit(10)) == 0
     ssn = ~_number(m, 1, 3).isin(0, 666) & (_number(m, 1, 3) < 900) & (_number(m, 5, 2) > 0) & (_number(m, 8, 4) > 0)
     return (
@@ -171,7 +186,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, any_area: bool = False) -> DataFrame:
     """``docs`` as (doc, text, found): each row whole, its text with pseudonyms, and the number of each kind replaced.
 
     Card numbers (Luhn), North American phone and social security numbers,
@@ -181,28 +196,32 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     characters. The permutation depends on ``key`` and the kind alone: equal
     values get equal pseudonyms in all documents, unlike values unlike ones
     (a card number keeps its first digit and a valid check digit; separators
-    stay and play no part). All in Spark expressions, row by row: nothing is
-    shuffled.
+    stay and play no part). With ``any_area`` a phone number is what +1,
+    parentheses or separators mark as one: area codes and exchanges below 200,
+    which are not assigned, are permuted among themselves. All in Spark
+    expressions, row by row: nothing is shuffled.
 
     Defined results: a null text stays null, an empty one empty; matches that
     fail validation stay; texts without digits and @ are not touched; repeated
     rows are treated alike; an empty table gives no rows; further columns stay
     inside ``doc`` whatever their names.
     """
+    patterns = {**PATTERNS, "phone": MARKED_PHONE} if any_area else PATTERNS
+    any_ = "|".join(f"(?:{p})" for p in patterns.values())
     text = F.col("text").cast("string")
     step = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text.alias("text"))
     none = F.array().cast("array<string>")
-    step = step.select("doc", "text", F.when(F.col("text").rlike("[0-9@=:]|AKIA"), F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(none).alias("matches"))
-    step = step.select("doc", "text", F.transform("matches", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))).alias("matches"))
+    step = step.select("doc", "text", F.when(F.col("text").rlike("[0-9@=:]|AKIA"), F.regexp_extract_all("text", F.lit(any_), 0)).otherwise(none).alias("matches"))
+    step = step.select("doc", "text", F.transform("matches", lambda m: F.struct(m.alias("m"), kind_of(m, patterns).alias("kind"))).alias("matches"))
     step = step.select("doc", "text", F.transform("matches", lambda x: F.struct(x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("to"))).alias("matches"))
-    parts = F.split("text", ANY, -1)
+    parts = F.split("text", any_, -1)
     woven = F.transform(F.array(parts), lambda p: F.concat(p[0], F.array_join(F.transform(F.col("matches"), lambda x, i: F.concat(x["to"], p[i + 1])), "")))[0]
     count = lambda k: F.size(F.filter("matches", lambda x: x["kind"] == k)).cast("long")
     found = F.struct(*[count(k).alias(k) for k in KINDS])
     return step.select("doc", F.when(F.exists("matches", lambda x: x["kind"].isNotNull()), woven).otherwise(F.col("text")).alias("text"), found.alias("found"))
 
 
-def pseudonymised_documents(docs: DataFrame, key: str) -> DataFrame:
+def pseudonymised_documents(docs: DataFrame, key: str, any_area: bool = False) -> DataFrame:
     """``docs`` with the texts of ``pseudonymised`` and its own other columns."""
-    out = pseudonymised(docs, key)
+    out = pseudonymised(docs, key, any_area)
     return out.select(*[F.col("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -98,7 +98,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms, and the number of values replaced by kind."""
     from .pii import KINDS, pseudonymised
 
-    out = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    out = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, any_area=True)
     return out.select("doc.doc_id", "text", *[F.col(f"found.{k}").alias(f"n_{k}") for k in KINDS])
 
 

@@ -108,3 +108,28 @@ def test_many_and_odd(spark, table):
     for i, text in ODD:
         assert text in by_id[i]
     assert pseudonymised(table([], name="none"), KEY).count() == 0
+
+
+def test_any_area_code(spark):
+    rnd = random.Random(9)
+    numbers = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (188) 555-2485", "415 555 2671", "(988) 055-0001", "+14155552671", "+1 (988) 555-2485"]
+    numbers += [f"+1 ({rnd.randrange(1000):03d}) {rnd.randrange(1000):03d}-{rnd.randrange(10000):04d}" for _ in range(300)]
+    texts = [f"call {n} now" for n in numbers] + ["0175557713", "12-345-6789 and 4 100 200 30000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc["doc_id"]: r for r in pseudonymised(df, KEY, any_area=True).collect()}
+    ten = lambda t: re.sub(r"\D", "", t)[-10:]
+    valid = lambda t: t[0] > "1" and t[3] > "1"
+    out = {}
+    for i, n in enumerate(numbers):
+        assert got[i].found.phone == 1 and re.sub(r"\d", "x", got[i].text) == re.sub(r"\d", "x", texts[i])
+        assert valid(ten(got[i].text)) == valid(ten(n))
+        assert out.setdefault(ten(n), ten(got[i].text)) == ten(got[i].text)
+    assert len(set(out.values())) == len(out) and out["0175557713"] != "0175557713"
+    area, exchange, line = 17, 555, 7713
+    left, right = number(*divmod((area * 1000 + exchange) * 10_000 + line, 60_000), (60_000, 60_000), "phone-other")
+    at, line = divmod(left * 60_000 + right, 10_000)
+    want = divmod(at, 1000) if at < 200_000 else ((at - 200_000) // 200 + 200, at % 200)
+    assert out["0175557713"] == f"{want[0]:03d}{want[1]:03d}{line:04d}"
+    assert all(got[i].text == texts[i] for i in range(len(numbers), len(texts)))
+    # the query calls with any_area; without it only assigned area codes count, with a blank too
+    assert made(spark, ["415 555 2671"])[0].found.phone == 1
