@@ -91,7 +91,7 @@ def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents under a Katz model of most of them."""
     from .katz import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents"), least=1)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

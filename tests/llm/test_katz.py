@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from lodestar.llm.katz import good_turing, score_documents
+from lodestar.llm.queries import op8_katz
 
 DDL = "doc_id long, text string"
 
@@ -78,3 +79,12 @@ def test_empty_null_and_repeated(spark, tmp_path):
 def test_discounts_lie_between_nought_and_one():
     for sizes in ({}, {1: 5}, {1: 100, 2: 40, 3: 20, 4: 12, 5: 8, 6: 5}, {2: 3, 6: 900}):
         assert all(0 < d < 1 for d in good_turing(sizes, 5)[1:])
+
+
+def test_query_keeps_pairs_seen_once(spark, tmp_path):
+    vocabulary = ["the", "of", "cat", "sat", "mat", "on", "a", "é", "x1", "dog", "ran", "by"]
+    rows = [(n, " ".join(vocabulary[(n * n + j * j * (n % 5) + 3 * j) % len(vocabulary)] for j in range(n % 9))) for n in range(60)]
+    rows += [(200, None), (201, "only here once"), (203, "the cat " * 50)]
+    spark.createDataFrame(rows, DDL).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found = got(op8_katz(spark, str(tmp_path)))
+    assert found == restated(rows, least=1) and found != restated(rows)
