@@ -42,23 +42,69 @@ def _line(line: Column) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, own, quotes): each message's own text, and its quoted passages that hold anything."""
+    """(conv_id, turn, role, own, parts, quotes): each message's own text, its passages, and the quoted ones that hold anything."""
     found = messages.select("conv_id", "turn", "role", passages(F.col("text").cast("string")).alias("all"))
-    own = F.array_join(F.transform(F.filter("all", lambda p: p["level"] == 0), lambda p: p["text"]), "\n")
+    parts = F.transform(F.filter("all", lambda p: p["level"] == 0), lambda p: p["text"])
     quotes = F.filter("all", lambda p: (p["level"] > 0) & (normalised(p["text"]) != ""))
-    return found.select("conv_id", "turn", "role", own.alias("own"), quotes.alias("quotes"))
+    return found.select("conv_id", "turn", "role", F.array_join(parts, "\n").alias("own"), parts.alias("parts"), quotes.alias("quotes"))
+
+
+def _lines(text: Column) -> Column:
+    """The lines of a text that hold anything, normalised."""
+    return F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
+
+
+def _runs(lines: Column) -> Column:
+    """All runs of 2, 4, 8 ... of two lines or more, as (k, p, h): 2^k lines from place p on, and their hash out of the halves' hashes."""
+    sha = lambda b: F.unhex(F.sha2(b, 256))
+    none = F.array().cast("array<struct<k:int,p:int,h:binary>>")
+
+    def doubled(acc: Column, k: Column) -> Column:
+        half = F.pow(F.lit(2), k - 1).cast("int")
+        heads = F.slice(acc["now"], F.lit(1), F.size(acc["now"]) - half)
+        now = F.transform(heads, lambda h, i: sha(F.concat(h, F.get(acc["now"], i + half))))
+        return F.transform(F.array(now), lambda n: F.struct(n.alias("now"), F.concat(acc["all"], F.transform(n, lambda h, i: F.struct(k.cast("int").alias("k"), i.cast("int").alias("p"), h.alias("h")))).alias("all")))[0]
+
+    start = F.struct(F.transform(lines, lambda x: sha(x.cast("binary"))).alias("now"), none.alias("all"))
+    return F.aggregate(F.sequence(F.lit(1), _doublings(lines)), start, doubled, lambda acc: acc["all"])
+
+
+def _doublings(lines: Column) -> Column:
+    return F.char_length(F.bin(F.size(lines).cast("long"))) - 1
+
+
+def quoted_runs(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, hash): the quoted passages of two lines or more that stand in a message's own text as consecutive lines.
+
+    Blank lines do not count. A run of n lines is its first and its last 2^k
+    lines, the largest power that fits, at their distance in one text; equal
+    texts and equal passages are looked at once.
+    """
+    several = lambda df: df.where(F.size("lines") >= 2)
+    quotes = several(messages.select(F.explode("quotes").alias("quote")).select(_hash(F.col("quote.text")).alias("hash"), _lines(F.col("quote.text")).alias("lines")).distinct())
+    at = lambda place: F.filter("runs", lambda r: (r["k"] == F.col("k")) & (r["p"] == place))[0]["h"]
+    apart = (F.size("lines") - F.pow(F.lit(2), F.col("k")).cast("int")).alias("apart")
+    quotes = quotes.select("hash", "lines", _doublings(F.col("lines")).alias("k"), _runs(F.col("lines")).alias("runs")).select("hash", "k", "runs", apart)
+    quotes = quotes.select("hash", "k", "apart", at(F.lit(0)).alias("head"), at(F.col("apart")).alias("tail")).distinct()
+    texts = several(messages.select("conv_id", "turn", _lines(F.col("own")).alias("lines"))).withColumn("own_hash", F.unhex(F.sha2(F.array_join("lines", "\n").cast("binary"), 256)))
+    posts = texts.select("own_hash", "lines").dropDuplicates(["own_hash"]).select("own_hash", F.explode(_runs(F.col("lines"))).alias("run")).select("own_hash", "run.*")
+    heads = quotes.join(posts.withColumnRenamed("h", "head"), ["k", "head"]).select("hash", "k", "own_hash", "tail", (F.col("p") + F.col("apart")).alias("p"))
+    whole = heads.join(posts.withColumnRenamed("h", "tail"), ["own_hash", "k", "p", "tail"], "left_semi").select("hash", "own_hash").distinct()
+    return texts.select("conv_id", "turn", "own_hash").join(whole, "own_hash").select("conv_id", "turn", "hash")
 
 
 def linked(messages: DataFrame) -> DataFrame:
     """A row per quoted passage: (conv_id, turn, place, level, source), ``source`` (conv_id, turn) null where nothing matches.
 
-    A message can be quoted as a whole or by one of its lines. The latest
+    A message can be quoted as a whole, by a stretch of its own between quotes,
+    by a paragraph, or by any of its lines that follow each other. The latest
     earlier message of the same conversation is taken; failing that the first
     of all messages that hold the passage, if it comes before.
     """
     quotes = messages.select("conv_id", "turn", F.posexplode("quotes").alias("place", "quote")).select("conv_id", "turn", "place", "quote.level", _hash(F.col("quote.text")).alias("hash"))
-    pieces = F.array_distinct(F.array_append(F.split("own", "\n"), F.col("own")))
-    originals = messages.select("conv_id", "turn", F.explode(F.filter(pieces, lambda p: normalised(p) != "")).alias("piece")).select("conv_id", "turn", _hash(F.col("piece")).alias("hash")).distinct()
+    paragraphs = F.flatten(F.transform("parts", lambda p: F.split(p, r"\n\s*\n")))
+    pieces = F.array_distinct(F.concat(F.split("own", "\n"), F.col("parts"), paragraphs, F.array("own")))
+    originals = messages.select("conv_id", "turn", F.explode(F.filter(pieces, lambda p: normalised(p) != "")).alias("piece")).select("conv_id", "turn", _hash(F.col("piece")).alias("hash")).unionByName(quoted_runs(messages)).distinct()
     both = quotes.select("conv_id", "turn", "hash", "place", "level", F.lit(1).alias("kind")).unionByName(originals.select("conv_id", "turn", "hash", F.lit(-1).alias("place"), F.lit(0).alias("level"), F.lit(0).alias("kind")))
     # quotes of a turn stand before its own pieces: no message quotes itself
     at = both.withColumn("after", F.col("kind") == 0)
@@ -114,9 +160,26 @@ def _roots(base: DataFrame) -> DataFrame:
         state = state.where("done").unionByName(moved)
 
 
-def quoting(conversations: DataFrame, levels: int = 2) -> DataFrame:
-    """Conversations as mail writes them: each turn quotes the turn before, and that one's quotes, to ``levels`` levels."""
+def quoting(conversations: DataFrame, levels: int = 2, style: str = "whole") -> DataFrame:
+    """Conversations as mail writes them: each turn quotes the turn before, and that one's quotes, to ``levels`` levels.
+
+    Style ``part`` quotes the turn before without its first line and, of four
+    lines or more, its last; ``interleaved`` quotes the first half of its lines
+    ahead of the first half of the own ones, and the rest ahead of the rest.
+    Both quote one level.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    quoted = [F.concat(F.lit("> " * n), F.replace(F.lag(text, n).over(order), F.lit("\n"), F.lit("\n" + "> " * n))) for n in range(levels, 0, -1)]
-    return conversations.select("conv_id", "turn", "role", F.concat_ws("\n", *quoted, text).alias("text"))
+    if style == "whole":
+        quoted = [F.concat(F.lit("> " * n), F.replace(F.lag(text, n).over(order), F.lit("\n"), F.lit("\n" + "> " * n))) for n in range(levels, 0, -1)]
+        return conversations.select("conv_id", "turn", "role", F.concat_ws("\n", *quoted, text).alias("text"))
+    lines = conversations.select("conv_id", "turn", "role", F.split(text, "\n").alias("own"), F.split(F.lag(text).over(order), "\n").alias("before"))
+    marked = lambda ls: F.transform(ls, lambda x: F.concat(F.lit("> "), x))
+    before, n = F.coalesce("before", F.array().cast("array<string>")), F.size(F.coalesce("before", F.array().cast("array<string>")))
+    if style == "part":
+        some = F.when(n >= 4, F.slice(before, F.lit(2), F.greatest(n - 2, F.lit(0)))).when(n >= 2, F.slice(before, F.lit(2), F.greatest(n - 1, F.lit(0)))).otherwise(before)
+        return lines.select("conv_id", "turn", "role", F.array_join(F.concat(marked(some), F.col("own")), "\n").alias("text"))
+    half = lambda ls: F.ceil(F.size(ls) / 2).cast("int")
+    first = lambda ls: F.slice(ls, F.lit(1), half(ls))
+    rest = lambda ls: F.slice(ls, half(ls) + 1, F.size(ls))
+    return lines.select("conv_id", "turn", "role", F.array_join(F.concat(marked(first(before)), first(F.col("own")), marked(rest(before)), rest(F.col("own"))), "\n").alias("text"))

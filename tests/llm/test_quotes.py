@@ -54,3 +54,29 @@ def test_odd_rows(spark):
     out = replies(spark.createDataFrame([(*r, "z") for r in rows], DDL + ", own string")).collect()
     assert len(out) == 3 and sum(r.position is None for r in out) == 2
     assert replies(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_partial_quotes(spark):
+    rows = [
+        (1, 0, "a", "one\ntwo\n\nthree\nfour\nfive\nsix"),
+        (1, 1, "b", "> Two\n> three\nmiddle"),
+        (1, 2, "c", "> two\n> four\nnot consecutive"),
+        (1, 3, "d", "> two\n> three\n> four\n> five\n> six\nfive of six"),
+        (1, 4, "e", "> one two\na paragraph, wrapped anew"),
+        (1, 5, "f", "> three\n> two\nwrong order"),
+        (1, 6, "g", "> one\nx1\nx2\n> six\ny1\ny2"),
+        (1, 7, "h", "> x1 x2\nan own stretch"),
+        (1, 8, "i", "> one\n> two\n> three\n> four\n> five\n> seven\nlast line differs"),
+    ]
+    parent = {k: r.parent_turn for k, r in got(spark, rows).items()}
+    assert parent == {(1, 0): None, (1, 1): 0, (1, 2): None, (1, 3): 0, (1, 4): 0, (1, 5): None, (1, 6): 0, (1, 7): 6, (1, 8): None}
+
+
+def test_partial_and_interleaved_mail(spark):
+    talk = [(7, t, "u", "\n".join(f"t{t} line {i}" for i in range(3 + t % 7))) for t in range(16)]
+    for style in ("part", "interleaved"):
+        out = {(r.conv_id, r.turn): r for r in replies(quoting(spark.createDataFrame(talk, DDL), style=style)).collect()}
+        for conv, turn, _, text in talk:
+            r = out[conv, turn]
+            assert r.own == text and r.depth == r.position == turn and r.n_linked == r.n_quotes, (style, turn)
+            assert r.parent_turn == (turn - 1 if turn else None)
