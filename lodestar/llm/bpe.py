@@ -6,6 +6,8 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -98,6 +100,7 @@ def _rows(rows: list[tuple], ddl: pa.Schema) -> pa.RecordBatch:
 
 
 _WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("digest", pa.int64()), ("words", pa.binary())])
+_PLACED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("digest", pa.int64()), ("lengths", pa.binary()), ("ids", pa.binary())])
 _DOCS = pa.schema([("block", pa.int64()), ("digest", pa.int64()), ("doc_ids", pa.binary()), ("known_ids", pa.binary()), ("lengths", pa.binary()), ("places", pa.binary())])
 
 
@@ -119,30 +122,46 @@ def word_requests(docs: DataFrame, tokenizer_json: str, buckets: int) -> DataFra
     return docs.mapInArrow(task, WORDS)
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(tokenizer_json: str):
+    """The tokenizer, parsed once for all tasks of a worker."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_str(tokenizer_json)
+    made.no_padding()
+    made.no_truncation()
+    return made
+
+
 def encoded_words(requests: DataFrame, tokenizer_json: str) -> DataFrame:
-    """The ids of the requested words: each bucket's distinct words are encoded once, whatever the number of blocks that ask."""
-    held: dict[str, object] = {}
+    """The ids of the requested words: each bucket's distinct words are encoded once, whatever the number of blocks that ask.
 
-    def task(rows: pd.DataFrame) -> pd.DataFrame:
-        if "tokenizer" not in held:
-            from tokenizers import Tokenizer
+    Rows come sorted by bucket, so a task goes through its buckets one after
+    the other and holds the words of one at a time.
+    """
 
-            made = Tokenizer.from_str(tokenizer_json)
-            made.no_padding()
-            made.no_truncation()
-            held["tokenizer"] = made
+    def answered(bucket: int, rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(tokenizer_json)
         at: dict[bytes, int] = {}
-        asked = [np.fromiter((at.setdefault(w, len(at)) for w in unpack_words(blob)), np.int64) for blob in rows["words"]]
-        distinct, lengths, ids = list(at), [], []
-        for i in range(0, len(distinct), 4096):
-            for e in held["tokenizer"].encode_batch([w.decode() for w in distinct[i : i + 4096]], add_special_tokens=False):
-                lengths.append(len(e.ids))
-                ids.extend(e.ids)
-        lengths, ids = np.asarray(lengths, np.int64), np.asarray(ids, np.uint32)
-        starts = np.cumsum(lengths) - lengths
-        return pd.DataFrame({"bucket": rows["bucket"], "block": rows["block"], "digest": rows["digest"], "lengths": [pack_numbers(lengths[a]) for a in asked], "ids": [pack_numbers(ids[spread(starts[a], lengths[a])]) for a in asked]})
+        asked = [np.fromiter((at.setdefault(w, len(at)) for w in unpack_words(blob)), np.int64) for *_, blob in rows]
+        distinct, lengths, ids = list(at), np.zeros(len(at), np.int64), []
+        del at
+        for i in range(0, len(distinct), 2048):
+            found = [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in distinct[i : i + 2048]], add_special_tokens=False)]
+            lengths[i : i + len(found)] = [len(x) for x in found]
+            ids.append(np.fromiter((x for one in found for x in one), np.uint32))
+        del distinct
+        flat, starts = np.concatenate(ids), np.cumsum(lengths) - lengths
+        for n, (block, digest, _) in enumerate(rows):
+            mine = asked[n]
+            yield _rows([(bucket, block, digest, pack_numbers(lengths[mine]), pack_numbers(flat[spread(starts[mine], lengths[mine])]))], _PLACED)
 
-    return requests.groupBy("bucket").applyInPandas(task, PLACED)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for part in slices(batches, 64) for row in zip(*(c.to_pylist() for c in part.columns), strict=True))
+        for bucket, mine in groupby(rows, key=lambda row: row[0]):
+            yield from answered(bucket, [row[1:] for row in mine])
+
+    return requests.repartition(shuffle_partitions(requests.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(task, PLACED)
 
 
 def placed_documents(docs: DataFrame, tokenizer_json: str, buckets: int) -> DataFrame:
@@ -197,13 +216,12 @@ def encode(docs: DataFrame, tokenizer_path: str, buckets: int | None = None, wit
         tokenizer_json = f.read()
     docs = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))
     buckets = buckets or 2 * shuffle_partitions(docs.sparkSession)
-    pieces = piece_table(tokenizer_json) if with_text else []
 
     def joined_back(key: tuple, docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         doc = docs.iloc[0]
         known = np.frombuffer(doc["known_ids"], np.uint8).astype(bool)
         out = {"doc_id": pd.Series(pd.array(np.frombuffer(doc["doc_ids"], "<i8"), "Int64")).where(known), "ids": list(block_ids(doc, words))}
-        return pd.DataFrame(out | {"text": list(map(Decoder(pieces), out["ids"]))} if with_text else out)
+        return pd.DataFrame(out | {"text": list(map(_decoder(tokenizer_json), out["ids"]))} if with_text else out)
 
     words = encoded_words(word_requests(docs, tokenizer_json, buckets), tokenizer_json)
     placed = placed_documents(docs, tokenizer_json, buckets)
@@ -236,6 +254,12 @@ class Decoder:
         return self.flat[spread(self.starts[ids], self.lengths[ids])].tobytes().decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def _decoder(tokenizer_json: str) -> Decoder:
+    """The table of pieces, built once for all tasks of a worker."""
+    return Decoder(piece_table(tokenizer_json))
+
+
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """``encoded`` (doc_id, ids) with its text, special tokens included.
 
@@ -243,10 +267,10 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     task. Bytes that are no UTF-8 become U+FFFD. Null ids give a null text.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
-        pieces = piece_table(f.read())
+        tokenizer_json = f.read()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = Decoder(pieces)
+        text = _decoder(tokenizer_json)
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(map(text, part.column(1).to_pylist()), pa.string())], names=["doc_id", "ids", "text"])
 
