@@ -37,7 +37,7 @@ def passages(text: Column) -> Column:
 
 
 def _line(line: Column) -> Column:
-    marks = F.regexp_extract(line, "^((?:>[ ]?)*)", 1)
+    marks = F.regexp_extract(line, "^((?:>[ ]?+)*+)", 1)
     return F.struct(F.char_length(F.replace(marks, F.lit(" "), F.lit(""))).alias("level"), F.substr(line, F.char_length(marks) + 1, F.char_length(line)).alias("text"))
 
 
