@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Formats that are looked for, the first that fits at a place wins. Fixed patterns.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,}",
     "secret": r"(?i:password|passwd|secret|token|api_?key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_/+-]{8,}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "phone": r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -55,9 +55,9 @@ def permuted_string(s: Column, key: str, kind: str) -> Column:
     half = F.floor(F.char_length(s) / 2).cast("int")
 
     def turn(acc: Column, r: Column) -> Column:
-        digest = _digest(key, kind, r, acc["r"])
-        moved = F.transform(F.split(acc["l"], ""), lambda c, i: _shifted(c, F.conv(F.substr(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")))
-        return F.struct(acc["r"].alias("l"), F.array_join(moved, "").alias("r"))
+        digest = F.array(_digest(key, kind, r, acc["r"]))  # bound once, not worked out again for each character
+        moved = F.transform(digest, lambda d: F.array_join(F.transform(F.split(acc["l"], ""), lambda c, i: _shifted(c, F.conv(F.substr(d, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int"))), ""))
+        return F.struct(acc["r"].alias("l"), moved[0].alias("r"))
 
     start = F.struct(F.substr(s, F.lit(1), half).alias("l"), F.substr(s, half + 1, F.char_length(s)).alias("r"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda acc: F.concat(acc["l"], acc["r"]))
@@ -202,7 +202,8 @@ def pseudonymised(docs: DataFrame, key: str, any_area: bool = False) -> DataFram
     expressions, row by row: nothing is shuffled.
 
     Defined results: a null text stays null, an empty one empty; matches that
-    fail validation stay; texts without digits and @ are not touched; repeated
+    fail validation stay; of an address with more domain labels than the 128
+    that DNS allows the first 128 count as the domain; texts without digits and @ are not touched; repeated
     rows are treated alike; an empty table gives no rows; further columns stay
     inside ``doc`` whatever their names.
     """
