@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, slices, stored
 from .components import components
 from .filters import bit_filter, passing
+from .hashing import WordHashes, mixed
 
 #: Words of a shingle; coordinates of a signature.
 WORDS, COORDINATES = 5, 64
@@ -22,12 +23,13 @@ WORDS, COORDINATES = 5, 64
 MISS = 1e-9
 #: Nodes that meet as many others in one piece of work; columns of a product of their sets.
 STRETCH, COLUMNS = 1024, 4096
-#: Words whose hashes a task remembers.
-CACHE = 150_000
+#: Posting lists up to this length are merged pair by pair; longer ones go through their least node.
+SHORT = 16
 _RANDOM = np.random.default_rng(20_240_601)
 #: Odd multipliers: of the places in a shingle, and of the coordinates.
 _PLACES = _RANDOM.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLIERS = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_NUMBERS = np.arange(1, COORDINATES + 1, dtype=np.uint64) << np.uint64(57)
 
 
 def matches_needed(similarity: float, coordinates: int = COORDINATES, miss: float = MISS) -> int:
@@ -40,21 +42,6 @@ def matches_needed(similarity: float, coordinates: int = COORDINATES, miss: floa
     return coordinates
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 class Shingler:
     """Distinct shingles of a text, as sorted 64-bit hashes."""
 
@@ -68,7 +55,7 @@ class Shingler:
         n = len(words)
         if n < WORDS:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)] if n else [], np.uint64)
-        w = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, n)
+        w = self.hashes.of(words)
         h = w[: n - WORDS + 1] * _PLACES[0]
         for i in range(1, WORDS):
             h = h + w[i : n - WORDS + 1 + i] * _PLACES[i]
@@ -76,15 +63,15 @@ class Shingler:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Upper halves of the least products, a coordinate per multiplier."""
+    """The least product of each multiplier, mixed with the coordinate's number: equal for two sets where they agree in the coordinate."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 4096):
         least = np.minimum(least, (_MULTIPLIERS[:, None] * shingles[None, at : at + 4096]).min(axis=1))
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return mixed(least ^ _NUMBERS).view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, digest binary, signature array<int>"
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.list_(pa.int32()))])
+SIGNED = "doc_id long, n_shingles long, digest binary, signature array<long>"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.list_(pa.int64()))])
 SETS = "doc_id long, digest binary, shingles binary"
 
 
@@ -103,8 +90,8 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The shingle sets of the rows of (doc_id, text) whose id is in ``wanted`` (node): one per node."""
-    held = bit_filter(wanted, F.xxhash64("node"))
+    """(node, shingles): the shingle sets of the texts of ``wanted`` (node, least, digest), out of the rows of ``docs`` (doc_id, text)."""
+    held = bit_filter(wanted, F.xxhash64("least"))
     hashed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,25 +102,43 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 words = [shingle.words(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()), pa.array([shingle(w).tobytes() for w in words], pa.binary())], names=["doc_id", "digest", "shingles"])
 
-    found = hashed.mapInArrow(task, SETS)
-    return found.join(wanted, (found["doc_id"] == wanted["node"]) & (found["digest"] == wanted["node_digest"]), "left_semi").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "shingles")
+    found = hashed.mapInArrow(task, SETS).withColumnRenamed("doc_id", "least")
+    return found.join(wanted, ["least", "digest"]).dropDuplicates(["node"]).select("node", "shingles")
 
 
 def postings(nodes: DataFrame, needed: int) -> DataFrame:
-    """(key, node, signature): each node under the coordinate values of its prefix that another node's prefix may share.
+    """(key, node, skipped): each node under the coordinate values of its prefix that another node's prefix may share.
 
     A pair with ``needed`` of the coordinates in common shares one of the first
     COORDINATES - needed + 1 of each, whatever the common order. The order is
-    by rarity, so values that many share come last and are skipped; values of
-    one node alone fill the prefix without being posted.
+    by rarity, so values that many share come last and are skipped
+    (``skipped`` counts them); values of one node alone fill the prefix without
+    being posted.
     """
-    key = F.shiftleft(F.col("at").cast("long"), 32) + F.pmod(F.col("value").cast("long"), F.lit(1 << 32))
-    keys = nodes.select("node", F.posexplode("signature").alias("at", "value")).select("node", key.alias("key"))
+    keys = nodes.select("node", F.explode("signature").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     mine = Window.partitionBy("node")
     ranked = keys.join(shared, "key").withColumns({"rank": F.row_number().over(mine.orderBy("n", "key")), "shared": F.count("*").over(mine)})
-    prefix = ranked.where(F.col("rank") + (COORDINATES - F.col("shared")) <= COORDINATES - needed + 1)
-    return prefix.select("key", "node")
+    place = F.col("rank") + (COORDINATES - F.col("shared"))
+    prefix = COORDINATES - needed + 1
+    return ranked.where(place <= prefix).select("key", "node", F.least("shared", F.lit(COORDINATES - prefix)).cast("int").alias("skipped"))
+
+
+def collisions(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, most) that meet in posting lists, and the long lists (head, node).
+
+    Short lists are merged: all their pairs, each once, with the number of
+    lists that it meets in. A long list pairs its least node, its head, with
+    each of the others. ``most`` bounds the coordinates that a pair can have in
+    common: those counted, and those skipped.
+    """
+    sized = lists.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).where(F.col("n") > 1)
+    listed = lists.join(sized, "key")
+    short = listed.where(F.col("n") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "skipped"))).alias("l"))
+    each = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.least(x["skipped"], y["skipped"]).alias("rest")))))
+    merged = short.select(F.explode(each).alias("p")).groupBy("p.a", "p.b").agg((F.count("*") + F.max("p.rest")).alias("most"))
+    long = listed.where((F.col("n") > SHORT) & (F.col("head") != F.col("node"))).select("head", "node").distinct()
+    return merged.unionByName(long.select(F.col("head").alias("a"), F.col("node").alias("b"), F.lit(COORDINATES).cast("long").alias("most"))), long
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -141,16 +146,11 @@ def agreement(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
-def heads(lists: DataFrame) -> DataFrame:
-    """(a, b): the least node of each posting list with each of its others."""
-    least = lists.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    return lists.join(least, "key").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
-
-
 def colliding(pairs: DataFrame, nodes: DataFrame, needed: int) -> DataFrame:
-    """Those of the ``pairs`` that agree in ``needed`` coordinates."""
+    """(a, b): those of the ``pairs`` (a, b, most) that agree in ``needed`` coordinates. The skipped ones are looked up where they could decide."""
     a, b = (nodes.select(F.col("node").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").where(agreement(F.col("sig_a"), F.col("sig_b")) >= needed).select("a", "b")
+    open_ = pairs.where(F.col("most") >= needed).select("a", "b").distinct()
+    return open_.join(a, "a").join(b, "b").where(agreement(F.col("sig_a"), F.col("sig_b")) >= needed).select("a", "b")
 
 
 def star_units(pairs: DataFrame) -> DataFrame:
@@ -161,13 +161,16 @@ def star_units(pairs: DataFrame) -> DataFrame:
     return first.unionByName(dealt.select(F.col("a").alias("unit"), "part", F.lit(1).alias("side"), F.col("b").alias("node"))).withColumn("component", F.col("node"))
 
 
-def cluster_units(clusters: DataFrame, labels: DataFrame) -> DataFrame:
-    """Work of comparing all that is not joined yet in each cluster (node, component): stretches of it two by two.
+def list_units(long: DataFrame, labels: DataFrame) -> DataFrame:
+    """Work of comparing the nodes of the long lists (head, node) that are not joined yet: stretches two by two, by head.
 
-    Clusters that are one component by now, and pairs, which have met already,
-    are left out.
+    Lists of one head are taken together, so a pair that meets in many of them
+    is compared once. Heads whose lists are one component by now are left out;
+    of the others every node meets every other, as two nodes may be linked
+    though neither is linked with the head.
     """
-    known = clusters.select("node", F.col("component").alias("unit")).join(labels, "node", "left").select("unit", "node", F.coalesce("component", "node").alias("component"))
+    both = long.unionByName(long.select("head", F.col("head").alias("node")).distinct())
+    known = both.join(labels, "node", "left").select(F.col("head").alias("unit"), "node", F.coalesce("component", "node").alias("component"))
     open_ = known.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where((F.col("low") != F.col("high")) & (F.col("n") > 2))
     dealt = known.join(open_.select("unit", F.ceil(F.col("n") / STRETCH).cast("int").alias("cuts")), "unit").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
@@ -237,45 +240,53 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     doc_id reachable over links, ``kept`` says that it is the row's own.
 
     Rows of the same words are one node. Nodes are posted under the values of
-    their MinHash coordinates (``postings``). The least node of each posting
-    list is confirmed, on whole sets, against those that collide with it in
-    enough coordinates (``matches_needed``: a true pair is missed with a chance
-    of 1e-9); that joins large groups at once. What hangs together over posting
-    lists but is not one component yet is compared in stretches, on whole sets.
+    their MinHash coordinates (``postings``); collisions are counted over the
+    lists (``collisions``), and pairs above the threshold (``matches_needed``:
+    a true pair is missed with a chance of 1e-9) are confirmed on whole sets.
+    Long lists go through their heads first, which joins large groups at once;
+    what is in one of them but not one component yet is compared in stretches.
     Links inside a component would not change it, so none of them is needed.
 
     ``docs`` should be a table in files: it is read twice.
 
     Defined results: rows without words (null or empty text) have no shingles
     and are their own component; rows without id have a null component and are
-    kept; rows that repeat an id are judged by their own text; an empty table
+    kept; rows that repeat an id are judged by their own text, and what any of
+    them is linked with can take the id for its component; an empty table
     gives no rows; other columns are ignored.
     """
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     rows = stored(signed(texts), "signatures")
     real = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = stored(real.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = real.join(classes, (real["digest"] == classes["digest"]) & (real["doc_id"] == classes["node"])).select("node", classes["digest"].alias("node_digest"), "n_shingles", "signature").dropDuplicates(["node"])
-    nodes = stored(nodes, "nodes")
+    classes = real.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature"))
+    nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     needed = matches_needed(percent / 100)
     lists = stored(postings(nodes, needed), "postings")
-    near = stored(heads(lists), "heads")
-    clusters = components(near)
-    wanted = stored(clusters.select("node").join(nodes.select("node", "node_digest"), "node"), "wanted")
-    sets = stored(shingle_sets(texts, wanted), "sets")
-    links = stored(linked(star_units(colliding(near, nodes, needed)), sets, percent), "links")
+    pairs, long = collisions(lists)
+    near, long = stored(colliding(pairs, nodes, needed), "collisions"), stored(long, "long-lists")
+    met = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select(F.explode(F.array("head", "node")).alias("node"))).distinct()
+    sets = stored(shingle_sets(texts, stored(nodes.join(met, "node").select("node", "least", "digest"), "wanted")), "sets")
+    links = stored(linked(star_units(near), sets, percent), "links")
     labels = components(links)
-    rest = stored(linked(cluster_units(clusters, labels), sets, percent), "links")
+    rest = stored(linked(list_units(long, labels), sets, percent), "links")
     if not rest.isEmpty():
         labels = components(links.unionByName(rest))
-    own = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("found"))
-    out = rows.join(own, "digest", "left")
+    known = nodes.select("node", "digest", "least").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = known.join(labels.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("least").alias("name"))
+    own = known.join(named, "component", "left").select("digest", F.coalesce("name", "least").alias("found"))
     component = F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
+    out = rows.join(own, "digest", "left")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def distinct_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component, with all its columns."""
-    marks = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(marks, docs["doc_id"] == marks["_gone"], "left_anti")
+    """The rows of ``docs`` that stay: one document of each component, with all its columns.
+
+    Of rows that repeat an id and its text one stays; rows without id all stay.
+    """
+    found = near_duplicates(docs, percent).where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"))
+    marks = found.agg(F.bool_or(~F.col("kept")).alias("_gone"), (F.count("*") > 1).alias("_often")).where(F.col("_gone") | F.col("_often"))
+    left = docs.join(marks, docs["doc_id"] == marks["_id"], "left").where(~F.coalesce("_gone", F.lit(False)))
+    often = F.coalesce("_often", F.lit(False))
+    return left.where(~often).select(*[docs[c] for c in docs.columns]).unionByName(left.where(often).dropDuplicates(["_id", "text"]).select(*[docs[c] for c in docs.columns]))

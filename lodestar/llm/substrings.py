@@ -4,49 +4,37 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import pack_numbers, unpack_numbers
+from .blobs import pack_numbers, spread, unpack_numbers
 from .common import shuffle_partitions, slices, stored
 from .filters import bit_filter, passing
+from .hashing import WordHashes, mixed
 
-#: Words of a window, and of the shortest prefix by which suffixes are grouped.
-WINDOW, PREFIX = 20, 8
-#: Suffixes under one prefix from which it is extended to the whole window.
+#: Words of a window, of the shortest prefix by which suffixes are grouped, and of each extension of a prefix.
+WINDOW, PREFIX, STEP = 20, 8, 4
+#: Suffixes under one prefix beyond which it is extended.
 LARGE = 100_000
-#: Windows that a task compares among themselves before it sends the first of each on.
-BLOCK = 1_500_000
+#: Windows of a group: what a task holds as one subtree.
+GROUP = 250_000
+#: Windows, and bytes of their texts, that a task compares among themselves before it sends the first of each on.
+BLOCK, BLOCK_BYTES = 1_000_000, 24 << 20
 #: Bits of the filter of repeated prefixes.
 BITS = 1 << 27
-#: Words whose hashes a task remembers.
-CACHE = 150_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 class Suffixes:
-    """Fingerprints of the suffixes of texts at chosen depths, and the sampled ones among them.
+    """Fingerprints of the suffixes of a text at chosen depths, and the sampled ones among them.
 
     The fingerprint of depth k at a place is a 64-bit hash of the k words from
     there. Of the prefixes that lie inside a window the one of the smallest
@@ -57,7 +45,8 @@ class Suffixes:
 
     def __init__(self, window: int = WINDOW, prefix: int = PREFIX):
         self.window, self.prefix = window, prefix
-        self.hashes = _Hashes()
+        self.depths = tuple(range(prefix, window, STEP))
+        self.hashes = WordHashes()
         self.up = self.down = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -66,159 +55,282 @@ class Suffixes:
                 self.up = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, _BASE, np.uint64)])
                 self.down = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, _INVERSE, np.uint64)])
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each window: its fingerprint, its anchor's, and the anchor's place."""
-        words = text.encode().split()
-        n = len(words)
+    def read(self, text: str) -> bool:
+        """Take a text; whether it holds a window. Its ``words``, each window's ``anchor`` and their fingerprints follow."""
+        self.words = text.encode().split()
+        n = len(self.words)
         if n < self.window:
-            none = np.zeros(0, np.uint64)
-            return none, none, np.zeros(0, np.int64)
+            return False
         self._powers(n)
-        w = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, n)
-        sums = np.r_[np.uint64(0), np.cumsum(w * self.up[:n])]
-        deep, short = (_mixed((sums[k:] - sums[: n + 1 - k]) * self.down[: n + 1 - k]) for k in (self.window, self.prefix))
+        self.sums = np.r_[np.uint64(0), np.cumsum(self.hashes.of(self.words) * self.up[:n])]
+        short = self.at(np.arange(n + 1 - self.prefix), self.prefix)
         inside = np.lib.stride_tricks.sliding_window_view(short, self.window - self.prefix + 1)
-        anchor = inside.argmin(axis=1) + np.arange(len(inside))
-        return deep, short[anchor], anchor
-
-
-def prefix_counts(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """(prefix, n): how many sampled suffixes begin with each prefix; those of one suffix are left out."""
+        self.anchor = inside.argmin(axis=1) + np.arange(len(inside))
+        self.short = short[self.anchor]
+        return True
+
+    def at(self, places: np.ndarray, depth: int) -> np.ndarray:
+        return mixed((self.sums[places + depth] - self.sums[places]) * self.down[places])
+
+    def anchors(self) -> np.ndarray:
+        """The places that are anchors, once each."""
+        return self.anchor[np.r_[True, self.anchor[1:] != self.anchor[:-1]]]
+
+    def groups(self, windows: np.ndarray, deep: np.ndarray, large: list[np.ndarray]) -> np.ndarray:
+        """Of each window the prefix that names its group: extended step by step while too many suffixes share it.
+
+        A prefix reaches from the anchor to the window's end at most; where
+        that is still shared by too many, the whole window is the prefix.
+        """
+        anchor, key = self.anchor[windows], self.short[windows].copy()
+        if not large:
+            return key
+        open_ = passing(large[0], key.view(np.int64))
+        for depth, shared in zip(self.depths[1:], large[1:], strict=True):
+            fits = np.flatnonzero(open_ & (anchor - windows + depth <= self.window))
+            if len(fits):
+                key[fits] = self.at(anchor[fits], depth)
+                open_[fits] = passing(shared, key[fits].view(np.int64))
+        return np.where(open_, deep, key)
+
+
+def prefix_counts(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, large: np.ndarray | None = None) -> DataFrame:
+    """(depth, prefix, n): how many sampled suffixes begin with each prefix; those of one suffix are left out.
+
+    Of the shortest depth, or with ``large``, a filter of the prefixes to be
+    extended, of the longer depths of the suffixes under those.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         suffixes = Suffixes(window, prefix)
         for part in slices(batches):
-            found = []
-            for text in part.column(1).to_pylist():
-                _, short, anchor = suffixes(text)
-                found.append(short[np.r_[True, anchor[1:] != anchor[:-1]]] if len(anchor) else short)
-            values, counts = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["prefix", "n"])
-
-    return docs.mapInArrow(task, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
-
-
-SENT = "kind string, bucket int, doc_id long, starts array<int>, ends array<int>, deep binary, docs binary, places binary"
-_SENT = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("deep", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())])
-SPANS = "doc_id long, starts array<int>, ends array<int>"
-
-
-def _first_leaves(deep: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by deep node and then by leaf; and which leaves in that order are later than their node's first."""
-    order = np.lexsort((place, doc, deep))
-    deep, doc, place = deep[order], doc[order], place[order]
-    node = np.cumsum(np.r_[True, deep[1:] != deep[:-1]]) - 1 if len(deep) else np.zeros(0, np.int64)
-    first = np.flatnonzero(np.r_[True, deep[1:] != deep[:-1]]) if len(deep) else node
-    return order, (doc != doc[first][node]) | (place != place[first][node])
-
-
-def _spans(doc: np.ndarray, place: np.ndarray, window: int) -> Iterator[tuple[int, list[int], list[int]]]:
-    """Spans of words that the windows cover, by document."""
-    if not len(doc):
-        return
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + window)]
-    start = np.flatnonzero(new)
+            found: dict[int, list[np.ndarray]] = {}
+            for text in part.column(2).to_pylist():
+                if not suffixes.read(text):
+                    continue
+                at = suffixes.anchors()
+                short = suffixes.at(at, prefix)
+                if large is None:
+                    found.setdefault(prefix, []).append(short)
+                    continue
+                at = at[passing(large, short.view(np.int64))]
+                for depth in suffixes.depths[1:]:
+                    whole = at[at + depth <= len(suffixes.words)]
+                    found.setdefault(depth, []).append(suffixes.at(whole, depth))
+            for depth, values in found.items():
+                values, counts = np.unique(np.concatenate(values), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), depth, np.int32)), pa.array(values.view(np.int64)), pa.array(counts)], names=["depth", "prefix", "n"])
+
+    return docs.mapInArrow(task, "depth int, prefix long, n long").groupBy("depth", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
+
+
+SENT = "kind string, bucket int, doc_id long, row long, starts array<int>, ends array<int>, docs binary, rows binary, places binary, runs binary, words binary"
+_SENT = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("docs", pa.binary()), ("rows", pa.binary()), ("places", pa.binary()), ("runs", pa.binary()), ("words", pa.binary())])
+SPANS = "doc_id long, row long, starts array<int>, ends array<int>"
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the one before; the first always does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _later(node: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which leaves, in order of node, document and place, are not at the place of their node's first."""
+    first = np.flatnonzero(_changes(node))[np.cumsum(_changes(node)) - 1]
+    return (doc != doc[first]) | (place != place[first])
+
+
+def _spans(doc: np.ndarray, row: np.ndarray, place: np.ndarray, window: int) -> Iterator[tuple[int, int, list[int], list[int]]]:
+    """Spans of words that the windows cover, by text."""
+    order = np.lexsort((place, row, doc))
+    doc, row, place = doc[order], row[order], place[order]
+    text = _changes(doc, row)
+    start = np.flatnonzero(text | np.r_[True, place[1:] > place[:-1] + window][: len(text)])
     end = np.r_[start[1:], len(doc)] - 1
-    owner, starts, ends = doc[start], place[start], place[end] + window
-    edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
+    edges = np.r_[np.flatnonzero(text[start]), len(start)]
+    starts, ends = place[start], place[end] + window
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(owner[a]), starts[a:b].tolist(), ends[a:b].tolist()
-
-
-def sent_windows(docs: DataFrame, repeated: np.ndarray, large: np.ndarray, buckets: int, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
+        yield int(doc[start[a]]), int(row[start[a]]), starts[a:b].tolist(), ends[a:b].tolist()
+
+
+class Held:
+    """Windows of a block of texts, and the words of those texts as bytes with the place of each."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple] = []
+        self.texts: list[tuple[bytes, np.ndarray]] = []
+        self.windows = self.bytes = 0
+
+    def add(self, suffixes: Suffixes, doc_id: int, row: int, windows: np.ndarray, deep: np.ndarray, group: np.ndarray) -> None:
+        lengths = np.fromiter(map(len, suffixes.words), np.int64, len(suffixes.words)) + 1
+        self.texts.append((b" ".join(suffixes.words), np.r_[0, np.cumsum(lengths)].astype(np.int32 if lengths.sum() < 1 << 31 else np.int64)))
+        n = len(windows)
+        self.parts.append((deep, group, np.full(n, doc_id, np.int64), np.full(n, row, np.int64), windows, np.full(n, len(self.texts) - 1, np.int64)))
+        self.windows, self.bytes = self.windows + n, self.bytes + len(self.texts[-1][0])
+
+    @property
+    def full(self) -> bool:
+        return self.windows >= BLOCK or self.bytes >= BLOCK_BYTES
+
+    def sent(self, buckets: int, window: int) -> Iterator[pa.RecordBatch]:
+        """The first of equal windows, by bucket and in runs of words; of the others the spans."""
+        deep, group, doc, row, place, text = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        self.parts = []
+        order = np.lexsort((row, place, doc, deep))
+        deep, doc, row, place = deep[order], doc[order], row[order], place[order]
+        later = _later(deep, doc, place)
+        out = [("again", None, *span, *[None] * 5) for span in _spans(doc[later], row[later], place[later], window)]
+        for at in range(0, len(out), 5000):
+            yield _sent(out[at : at + 5000])
+        keep = ~later & _changes(deep, row)
+        bucket, doc, row, place, text = (group[order[keep]] % np.uint64(buckets)).astype(np.int64), doc[keep], row[keep], place[keep], text[order[keep]]
+        order = np.lexsort((place, text, bucket))
+        bucket, doc, row, place, text = bucket[order], doc[order], row[order], place[order], text[order]
+        first = np.flatnonzero(_changes(bucket, text) | np.r_[True, place[1:] != place[:-1] + 1][: len(bucket)])
+        runs = np.diff(np.r_[first, len(bucket)])
+        edges = np.r_[np.flatnonzero(_changes(bucket[first])), len(first)]
+        out = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            said = []
+            for i, n in zip(first[a:b], runs[a:b], strict=True):
+                joined, at = self.texts[text[i]]
+                said.append(joined[at[place[i]] : at[place[i] + n + window - 1] - 1])
+            mine = first[a:b]
+            out.append(("first", int(bucket[mine[0]]), None, None, None, None, pack_numbers(doc[mine].view(np.uint64)), pack_numbers(row[mine].view(np.uint64)), pack_numbers(place[mine]), pack_numbers(runs[a:b]), zstandard.compress(b" ".join(said), 3)))
+            if len(out) == 256:
+                yield _sent(out)
+                out = []
+        if out:
+            yield _sent(out)
+
+
+def sent_windows(docs: DataFrame, repeated: np.ndarray, large: list[np.ndarray], buckets: int, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """Windows whose anchor may be repeated, compared inside their task.
 
     Of equal windows in a task only the first is sent on (kind ``first``, packed
-    by bucket); the spans of the others are known by then (kind ``again``). A
-    bucket is that of the anchor's prefix, or of the whole window where many
-    suffixes share the prefix.
+    by bucket, each run of neighbours with its words once); the spans of the
+    others are known by then (kind ``again``). A bucket holds whole groups
+    (``Suffixes.groups``).
     """
 
-    def flushed(held: list) -> Iterator[pa.RecordBatch]:
-        deep, group, doc, place = (np.concatenate(c) for c in zip(*held, strict=True))
-        order, later = _first_leaves(deep, doc, place)
-        again = order[later]
-        rows = [("again", None, d, s, e, None, None, None) for d, s, e in _spans(doc[again], place[again], window)]
-        for at in range(0, len(rows), 5000):
-            yield _batch(rows[at : at + 5000])
-        keep = order[~later]
-        keep = keep[np.r_[True, (deep[keep][1:] != deep[keep][:-1])]] if len(keep) else keep
-        bucket = (group[keep] % np.uint64(buckets)).astype(np.int64)
-        keep = keep[np.lexsort((place[keep], doc[keep], bucket))]
-        bucket = (group[keep] % np.uint64(buckets)).astype(np.int64)
-        ends = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = []
-        for b in range(buckets):
-            mine = keep[ends[b] : ends[b + 1]]
-            if len(mine):
-                rows.append(("first", b, None, None, None, deep[mine].tobytes(), pack_numbers(doc[mine].view(np.uint64)), pack_numbers(place[mine])))
-            if len(rows) == 256 or b == buckets - 1 and rows:
-                yield _batch(rows)
-                rows = []
-
-    def _batch(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suffixes, held, size = Suffixes(window, prefix), [], 0
+        suffixes, held = Suffixes(window, prefix), Held()
         for part in slices(batches):
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                deep, short, _ = suffixes(text)
-                at = np.flatnonzero(passing(repeated, short.view(np.int64), BITS))
+            for doc_id, row, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                if not suffixes.read(text):
+                    continue
+                at = np.flatnonzero(passing(repeated, suffixes.short.view(np.int64), BITS))
                 if len(at):
-                    deep, short = deep[at], short[at]
-                    group = np.where(passing(large, short.view(np.int64)), deep, short)
-                    held.append((deep, group, np.full(len(at), doc_id, np.int64), at.astype(np.int64)))
-                    size += len(at)
-                if size >= BLOCK:
-                    yield from flushed(held)
-                    held, size = [], 0
-        if held:
-            yield from flushed(held)
+                    deep = suffixes.at(at, window)
+                    held.add(suffixes, doc_id, row, at, deep, suffixes.groups(at, deep, large))
+                if held.full:
+                    yield from held.sent(buckets, window)
+                    held = Held()
+        if held.windows:
+            yield from held.sent(buckets, window)
 
     return docs.mapInArrow(task, SENT)
 
 
-def later_leaves(first: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Spans of the windows that are not the first of their deep node.
+def sorted_suffixes(words: np.ndarray, starts: np.ndarray, depth: int, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array and common-prefix lengths of the suffixes at ``starts``, both down to ``depth`` words.
+
+    ``words`` are numbers from 0 on; every suffix must have ``depth`` of them.
+    As many as fit go into one 63-bit key, so a suffix is a few keys. Suffixes
+    that agree go by ``ties``, the first of them first. The second array holds
+    how many words each suffix shares with the one before it, 0 for the first.
+    """
+    bits = max(1, int(words.max()).bit_length()) if len(words) else 1
+    rows = np.lib.stride_tricks.sliding_window_view(words, depth)[starts]
+    keys = []
+    for at in range(0, depth, 63 // bits):
+        key = np.zeros(len(rows), np.int64)
+        for word in rows[:, at : at + 63 // bits].T:
+            key = (key << bits) | word
+        keys.append(key)
+    order = np.lexsort((*reversed(ties), *reversed(keys)))
+    shared = np.zeros(len(order), np.int64)
+    for at in range(1, len(order), 1 << 16):
+        upto = min(len(order), at + (1 << 16))
+        differ = rows[order[at:upto]] != rows[order[at - 1 : upto - 1]]
+        shared[at:upto] = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)
+    return order, shared
+
+
+def deep_nodes(shared: np.ndarray, least: int) -> np.ndarray:
+    """Of each leaf in the suffix array, the number of its node of ``least`` words.
+
+    Neighbours with so long a common prefix hang under one internal node of that
+    depth; a leaf that shares it with neither is a node by itself.
+    """
+    return np.cumsum(shared < least)
+
 
-    Each group is the part of the suffix tree below the prefixes of its bucket,
-    cut at the depth of a window, below which nothing is asked. The leaves
-    under a deep node are the places of one window; all but the first are repeats.
+def later_leaves(first: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Spans of the windows that are not the first leaf of their deep node.
+
+    Each bucket is built into its part of the suffix tree: its suffixes are
+    sorted by their words, and where neighbours share a whole window they hang
+    under one node of that depth. The rule asks for nothing deeper, so the tree
+    is cut there: its deep nodes are runs of the suffix array, and all their
+    leaves but the first in the corpus are repeats. Longer repeats are windows
+    that follow each other, and come together as spans.
     """
 
     def task(rows: pd.DataFrame) -> pd.DataFrame:
-        deep = np.concatenate([np.frombuffer(b, np.uint64) for b in rows["deep"]])
-        doc = np.concatenate([unpack_numbers(b).astype(np.uint64).view(np.int64) for b in rows["docs"]])
-        place = np.concatenate([unpack_numbers(b).astype(np.int64) for b in rows["places"]])
-        order, later = _first_leaves(deep, doc, place)
-        found = order[later]
-        return pd.DataFrame(list(_spans(doc[found], place[found], window)), columns=["doc_id", "starts", "ends"])
+        number: dict[bytes, int] = {}
+        words = np.concatenate([np.fromiter([number.setdefault(w, len(number)) for w in zstandard.decompress(b).split(b" ")], np.int32) for b in rows["words"]])
+        number.clear()
+        doc, row, place, runs = (np.concatenate([unpack_numbers(b).astype(np.uint64) for b in rows[c]]).view(np.int64) for c in ("docs", "rows", "places", "runs"))
+        long = runs + window - 1
+        at, inside = spread(np.cumsum(long) - long, runs), spread(np.zeros(len(runs), np.int64), runs)
+        doc, row, place = np.repeat(doc, runs), np.repeat(row, runs), np.repeat(place, runs) + inside
+        order, shared = sorted_suffixes(words, at, window, doc, place)
+        doc, row, place = doc[order], row[order], place[order]
+        later = _later(deep_nodes(shared, window), doc, place)
+        return pd.DataFrame(list(_spans(doc[later], row[later], place[later], window)), columns=["doc_id", "row", "starts", "ends"])
+
+    return first.select("bucket", "docs", "rows", "places", "runs", "words").groupBy("bucket").applyInPandas(task, SPANS)
+
 
-    return first.select("bucket", "deep", "docs", "places").groupBy("bucket").applyInPandas(task, SPANS)
+def _row(text: Column) -> Column:
+    """What tells texts of one id apart."""
+    return F.xxhash64(text)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """(doc_id, starts, ends): spans of words, by document and unmerged, that windows which start earlier elsewhere cover.
+    """(doc_id, row, starts, ends): spans of words, by text and unmerged, that windows which start earlier elsewhere cover.
 
-    Two reads of ``docs``: the first counts the prefixes of sampled suffixes,
-    the second sends on what lies around repeated ones. The filters between
-    them have a fixed size and only let too much pass, never too little.
+    Two reads of ``docs``, and a third where prefixes must be extended: the
+    first counts the prefixes of sampled suffixes, the last sends on what lies
+    around repeated ones, in as many buckets as hold a group each. The filters
+    between them have a fixed size and only let too much pass, never too little.
     """
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), _row(text).alias("row"), text.alias("text"))
     counts = stored(prefix_counts(texts, window, prefix), "prefixes")
     repeated = bit_filter(counts, F.col("prefix"), BITS)
-    large = bit_filter(counts.where(F.col("n") > LARGE), F.col("prefix"))
-    sent = stored(sent_windows(texts, repeated, large, 4 * shuffle_partitions(docs.sparkSession), window, prefix), "windows", "kind")
-    again = sent.where(F.col("kind") == "again").select("doc_id", "starts", "ends")
+    size = counts.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > LARGE).alias("large")).first()
+    large = []
+    if size["large"]:
+        shortest = bit_filter(counts.where(F.col("n") > LARGE), F.col("prefix"))
+        longer = stored(prefix_counts(texts, window, prefix, shortest).where(F.col("n") > LARGE), "prefixes")
+        large = [shortest, *(bit_filter(longer.where(F.col("depth") == d), F.col("prefix")) for d in range(prefix + STEP, window, STEP))]
+    windows = (size["n"] or 0) * (window - prefix + 2) // 2
+    buckets = max(shuffle_partitions(docs.sparkSession), ceil(windows / GROUP))
+    sent = stored(sent_windows(texts, repeated, large, buckets, window, prefix), "windows", "kind")
+    again = sent.where(F.col("kind") == "again").select("doc_id", "row", "starts", "ends")
     return again.unionByName(later_leaves(sent.where(F.col("kind") == "first"), window))
 
 
-CUT = "doc_id long, text string, n_words long, n_removed long"
-
-
 def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """``docs`` (doc_id, text, ...) as (doc, text, n_words, n_removed), repeated words cut out of the text.
 
@@ -227,17 +339,20 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     one. All windows are judged on the texts as given. A cut takes the blanks
     behind it along; texts without repeats stay as they are.
 
-    ``docs`` should be a table in files: it is read three times.
+    ``docs`` should be a table in files: it is read three or four times.
 
     Defined results: a null text stays null, with no words; texts shorter than
     a window keep all; rows without id keep all and count for nobody; rows that
-    repeat an id count as one document, of which the windows at the same place
-    are equally early; an empty table gives no rows; further columns stay
-    inside ``doc`` whatever their names.
+    repeat an id, with one text or several, count as one document: windows at
+    the same place are equally early, and each row loses what is repeated of
+    its own text; an empty table gives no rows; further columns stay inside
+    ``doc`` whatever their names.
     """
-    by_doc = repeated_spans(docs, window, prefix).groupBy(F.col("doc_id").alias("_id")).agg(F.flatten(F.collect_list("starts")).alias("_starts"), F.flatten(F.collect_list("ends")).alias("_ends"))
+    spans = repeated_spans(docs, window, prefix)
+    by_doc = spans.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.flatten(F.collect_list("starts")).alias("_starts"), F.flatten(F.collect_list("ends")).alias("_ends"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    both = whole.join(by_doc, F.col("doc.doc_id").cast("long") == F.col("_id"), "left")
+    text = F.col("doc.text").cast("string")
+    both = whole.join(by_doc, (F.col("doc.doc_id").cast("long") == F.col("_id")) & (_row(text) == F.col("_row")), "left")
     rest = [c for c in docs.columns if c != "text"]
     flat = both.select(F.struct(*[F.col(f"doc.`{c}`") for c in rest]).alias("doc"), F.col("doc.text").cast("string").alias("text"), "_starts", "_ends")
 

@@ -15,5 +15,8 @@ def table(spark, tmp_path):
     return make
 
 
-#: Null and empty texts, null and repeated ids, blanks only, one word, and one very long text.
-ODD = [(None, "no id here at all"), (901, None), (902, ""), (903, " \n\t "), (904, "word"), (905, "again and again"), (905, "again and again"), (906, "long " * 30_000)]
+#: Null and empty texts, null and repeated ids (with one text and with unlike ones), blanks only, one word, a very long text, and very many marks and labels.
+ODD = [
+    (None, "no id here at all"), (901, None), (902, ""), (903, " \n\t "), (904, "word"), (905, "again and again"), (905, "again and again"), (906, "long " * 30_000),
+    (907, "one id with two texts, and this is the longer one, " * 9), (907, "one id with two texts"), (908, "> " * 20_000 + "quoted"), (909, "a@b" + ".x1" * 20_000 + ".org"),
+]

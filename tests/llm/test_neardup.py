@@ -67,7 +67,9 @@ def test_distinct_documents_and_empty(spark, table):
     rows = corpus()
     left = distinct_documents(table(rows), 80)
     want = {i for i, _, c in restated(rows, 80) if i is None or i == c}
-    assert {r.doc_id for r in left.collect()} == want and left.columns == ["doc_id", "text"]
+    kept = left.collect()
+    assert {r.doc_id for r in kept} == want and left.columns == ["doc_id", "text"]
+    assert sorted(r.text for r in kept if r.doc_id in (905, 907)) == sorted({t for i, t in rows if i in (905, 907)})
     assert near_duplicates(table([], name="none")).count() == 0
     assert near_duplicates(table([(1, None), (2, "")], name="nothing")).count() == 2
 
@@ -79,6 +81,24 @@ def test_large_clusters_meet_in_stretches(spark, table, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(table(rows), 60).collect()), key=repr) == restated(rows, 60)
 
 
+def test_long_lists_go_through_their_heads(spark, table, monkeypatch):
+    monkeypatch.setattr("lodestar.llm.neardup.SHORT", 2)
+    rows = corpus()
+    for percent in (60, 85):
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(table(rows, name=f"t{percent}"), percent).collect()), key=repr) == restated(rows, percent)
+
+
+def test_two_texts_of_one_id_are_both_linked(spark, table):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    out = near_duplicates(table([(1, a), (1, b), (2, a + " more"), (3, b + " more")]), 85)
+    assert {(r.doc_id, r.component_id) for r in out.collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_hub_is_one_component(spark):
+    links = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(i, 5000 + i) for i in range(1, 40)], "a long, b long")
+    assert {r.component for r in components(links).collect()} == {0}
+
+
 def test_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 70)] + [(100, 101)], "a long, b long")
     assert {r.node: r.component for r in components(links).collect()} == {i: 0 for i in range(71)} | {100: 100, 101: 100}

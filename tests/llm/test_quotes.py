@@ -80,3 +80,10 @@ def test_partial_and_interleaved_mail(spark):
             r = out[conv, turn]
             assert r.own == text and r.depth == r.position == turn and r.n_linked == r.n_quotes, (style, turn)
             assert r.parent_turn == (turn - 1 if turn else None)
+
+
+def test_many_marks_and_long_texts(spark):
+    rows = [(1, 0, "a", "> " * 200_000 + "deep"), (1, 1, "b", ">" * 200_000), (1, 2, "c", "\n".join(f"line {i}" for i in range(3000))), (1, 3, "d", "> line 7\n> line 8\nYes")]
+    found = got(spark, rows)
+    assert [found[1, n].n_quotes for n in range(4)] == [1, 0, 0, 1]
+    assert (found[1, 3].parent_conv, found[1, 3].parent_turn) == (1, 2)

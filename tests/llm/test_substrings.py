@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 from lodestar.llm import substrings
-from lodestar.llm.substrings import cut, cut_documents, without_repeats
+from lodestar.llm.substrings import cut, cut_documents, deep_nodes, sorted_suffixes, without_repeats
 
 from .conftest import ODD
 
@@ -13,16 +15,17 @@ def restated(rows, window):
     texts = sorted((i, (t or "").encode().split()) for i, t in rows if i is not None)
     for i, w in texts:
         for p in range(len(w) - window + 1):
-            first.setdefault(tuple(w[p : p + window]), (i, p))
+            at = tuple(w[p : p + window])
+            first[at] = min(first.get(at, (i, p)), (i, p))
     for i, w in texts:
-        gone.setdefault(i, set())
+        mine = gone.setdefault((i, tuple(w)), set())
         for p in range(len(w) - window + 1):
             if first[tuple(w[p : p + window])] != (i, p):
-                gone[i].update(range(p, p + window))
+                mine.update(range(p, p + window))
     out = []
     for i, t in rows:
         w = (t or "").encode().split()
-        mine = gone.get(i, set())
+        mine = gone.get((i, tuple(w)), set())
         out.append((i, len(w), len(mine), b" ".join(x for p, x in enumerate(w) if p not in mine).decode()))
     return sorted(out, key=repr)
 
@@ -39,6 +42,7 @@ def corpus():
             text[at:at] = rnd.choice(passages)
         rows.append((n, rnd.choice([" ", "\n", "  "]).join(text)))
     rows += [(100, "same " * 70), (101, "a b " * 30), (102, rows[-1][1]), (103, " ".join(passages[3]) + "\n")]
+    rows += [(104, " ".join(passages[4])), (104, " ".join(passages[4][:50] + passages[3]))]
     return rows
 
 
@@ -60,6 +64,23 @@ def test_small_blocks_and_extended_prefixes(spark, table, monkeypatch):
     assert got(without_repeats(table(rows), 12, 5)) == restated(rows, 12)
 
 
+def test_suffix_array_and_its_deep_nodes():
+    rnd = random.Random(4)
+    for words, depth in ((3, 7), (400, 5), (70_000, 20)):
+        w = np.array([rnd.randrange(words) for _ in range(400)] + [rnd.randrange(3) for _ in range(60)] * 2, np.int32)
+        starts = np.array(rnd.sample(range(len(w) - depth + 1), 300))
+        tie = np.arange(len(starts))
+        order, shared = sorted_suffixes(w, starts, depth, tie)
+        said = [tuple(w[s : s + depth]) for s in starts]
+        assert order.tolist() == sorted(range(len(starts)), key=lambda i: (said[i], i))
+        common = [next((n for n in range(depth) if said[a][n] != said[b][n]), depth) for a, b in zip(order[:-1], order[1:], strict=True)]
+        assert shared.tolist() == [0, *common]
+        nodes = {}
+        for leaf, node in zip(order, deep_nodes(shared, depth - 1), strict=True):
+            nodes.setdefault(node, set()).add(said[leaf][: depth - 1])
+        assert all(len(x) == 1 for x in nodes.values()) and len(nodes) == len({x[: depth - 1] for x in said})
+
+
 def test_cut_leaves_the_rest_as_it_was(spark, table):
     assert cut(" a  b c\nd e ", [1], [3]) == (" a  d e ", 5, 2)
     assert cut("a b", [0], [2]) == ("", 2, 2)
