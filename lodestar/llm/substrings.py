@@ -150,6 +150,8 @@ def _later(node: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def _spans(doc: np.ndarray, row: np.ndarray, place: np.ndarray, window: int) -> Iterator[tuple[int, int, list[int], list[int]]]:
     """Spans of words that the windows cover, by text."""
+    if not len(doc):
+        return
     order = np.lexsort((place, row, doc))
     doc, row, place = doc[order], row[order], place[order]
     text = _changes(doc, row)
