@@ -23,9 +23,9 @@ WINDOW, PREFIX, STEP = 20, 8, 4
 #: Suffixes under one prefix beyond which it is extended.
 LARGE = 100_000
 #: Windows of a group: what a task holds as one subtree.
-GROUP = 250_000
+GROUP = 150_000
 #: Windows, and bytes of their texts, that a task compares among themselves before it sends the first of each on.
-BLOCK, BLOCK_BYTES = 1_000_000, 24 << 20
+BLOCK, BLOCK_BYTES = 400_000, 10 << 20
 #: Bits of the filter of repeated prefixes.
 BITS = 1 << 27
 _BASE = 0x9E3779B97F4A7C15
