@@ -20,6 +20,7 @@ CHARS_PER_TOKEN, ROW_TOKENS, CHUNK_TOKENS, OVERLAP_TOKENS = 4, 2048, 500, 75
 RETRY_DOWNLOAD = (408, 425, 429, 500, 502, 503, 504)
 RETRY_CALL = (408, 409, 425, 429, 500, 502, 503, 504)
 LONGEST_WAIT = 60
+#: Fixed pattern: numbers of sections with dots between them, before a title.
 NUMBERED = r"^(\d+(?:\.\d+)*\.?)\s+\S"
 BLANKS = r"(?U)\s+"
 

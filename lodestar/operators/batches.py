@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import readable, split_custom_id
+from .stats import by_rank
+
 #: Bytes and requests of a batch, enqueued tokens and tokens of a request.
 BATCH_BYTES, BATCH_REQUESTS, ENQUEUED_TOKENS, REQUEST_TOKENS = 180 * 1024 * 1024, 40_000, 1_800_000, 1_300
 MESSAGE, DETAIL = 300, 200
@@ -41,22 +44,32 @@ def by_bytes(rows: DataFrame, group: str, order: str, size: str, cap: int, n: in
     return rows.select(group, order, size).groupBy(group).applyInPandas(task, f"{group} {kind[group]}, {order} {kind[order]}, batch long")
 
 
-def describe_prompt(title: Column, heading: Column, caption: Column) -> Column:
-    """Context lines of a figure; those without content are left out."""
-    line = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}: "), c))
-    return F.concat_ws("\n", line("Paper", title), line("Section", heading), line("Caption", caption))
+def _given(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")) != ""
+
+
+def describe_prompt(title: Column, heading: Column, caption: Column, context: Column | None = None) -> Column:
+    """What a model is told about a figure: the lines that have content, and what it shall do."""
+    line = lambda name, c: F.when(_given(c), F.concat(F.lit(f"{name}: "), c))
+    named = {"Paper": title, "Section": heading, "Caption": caption, "Surrounding text": F.lit(None).cast("string") if context is None else context}  # fixed values
+    return F.concat_ws("\n", *[line(name, c) for name, c in named.items()], F.lit("Describe the figure."))
 
 
 def passages(found: DataFrame) -> DataFrame:
-    """(query_id, passages): blocks ``[n] label`` and text, in rank order, numbered from 1. ``found``: query_id, rank, label, text."""
-    block = F.transform(F.array_sort(F.collect_list(F.struct("rank", "label", "text"))), lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(p["label"], F.lit("")), F.lit("\n"), F.coalesce(p["text"], F.lit(""))))
-    return found.groupBy("query_id").agg(F.array_join(block, "\n\n").alias("passages"))
+    """(query_id, passages): blocks ``[n] label`` and text, in rank order, numbered from 1; no blank where there is no label. ``found``: query_id, rank, label, text."""
+
+    def block(p: Column, i: Column) -> Column:
+        label = F.when(_given(p["label"]), F.concat(F.lit(" "), p["label"])).otherwise(F.lit(""))
+        return F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]"), label, F.lit("\n"), F.coalesce(p["text"], F.lit("")))
+
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("rank", "label", "text"))), block)
+    return found.groupBy("query_id").agg(F.array_join(blocks, "\n\n").alias("passages"))
 
 
 def answer_prompt(questions: DataFrame, blocks: DataFrame) -> DataFrame:
     """(query_id, prompt): the passages, or that there are none, and the question."""
     context = F.coalesce("passages", F.lit("(no passages retrieved)"))
-    return questions.join(blocks, "query_id", "left").select("query_id", F.concat(context, F.lit("\n\nQuestion: "), F.col("question")).alias("prompt"))
+    return questions.join(blocks, "query_id", "left").select("query_id", F.concat(F.lit("Context passages:\n\n"), context, F.lit("\n\nQuestion: "), F.col("question")).alias("prompt"))
 
 
 def request_lines(rows: DataFrame, model: str, max_tokens: int = 400) -> DataFrame:
@@ -78,8 +91,68 @@ def result_lines(lines: DataFrame) -> DataFrame:
     return lines.select(at("$.custom_id").alias("custom_id"), F.when(error.isNull(), content).alias("content"), error.alias("error"))
 
 
+def collected(results: DataFrame, figures: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Descriptions and failures out of ``results`` (batch, custom_id, content, error).
+
+    Descriptions carry the hash of their image (``figures``: custom_id,
+    image_sha256), null where the figure is not known any more, and the model
+    and prompt of their batch (``state``: batch, model, prompt_version). What
+    the model could not read is kept as an empty description.
+    """
+    named = results.where(F.col("custom_id").isNotNull()).join(state.select("batch", "model", "prompt_version"), "batch", "left")
+    bad = F.col("error").isNotNull() | ~_given(F.col("content"))
+    parts = split_custom_id(F.col("custom_id"))
+    good = named.where(~bad).join(figures.select("custom_id", "image_sha256"), "custom_id", "left")
+    descriptions = good.select(parts["doc_id"].alias("doc_id"), parts["image_id"].alias("image_id"), readable(F.col("content")).alias("description"), "model", "prompt_version", "image_sha256", "batch")
+    return descriptions, named.where(bad).select("custom_id", F.coalesce("error", F.lit("empty completion")).alias("reason"), "batch")
+
+
+def collected_counts(results: DataFrame) -> DataFrame:
+    """(batch, ok, failed) of ``results`` (batch, content, error)."""
+    bad = F.col("error").isNotNull() | ~_given(F.col("content"))
+    return results.groupBy("batch").agg(F.count_if(~bad).alias("ok"), F.count_if(bad).alias("failed"))
+
+
+def enqueued(lines: DataFrame) -> DataFrame:
+    """(batch, requests, bytes) of request ``lines`` (batch, line): UTF-8 with a line end each."""
+    return lines.groupBy("batch").agg(F.count("*").alias("requests"), F.sum(F.octet_length("line") + 1).alias("bytes"))
+
+
+def first_batches(rows: DataFrame, n: int | None) -> DataFrame:
+    """The rows of the first ``n`` batches of a run."""
+    return rows if n is None else rows.where(F.col("batch") < n)
+
+
+def requested(prompts: DataFrame, memo: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Answers that the memo holds, and the prompts that must be sent: requests without randomness, known by the hash of model and prompt.
+
+    ``prompts``: custom_id, model, prompt; ``memo``: request_hash, content.
+    """
+    keyed = prompts.withColumn("request_hash", request_hash(F.col("model"), F.col("prompt")))
+    known = memo.groupBy("request_hash").agg(F.max("content").alias("content"))
+    return keyed.join(known, "request_hash").select("custom_id", "content"), keyed.join(known, "request_hash", "left_anti")
+
+
+def request_hash(model: Column, prompt: Column) -> Column:
+    return F.sha2(F.concat_ws("\n", model, prompt).cast("binary"), 256)
+
+
+def routed(prompts: DataFrame, providers: list[str]) -> DataFrame:
+    """``prompts`` (custom_id, tried, ...) with the next of the ``providers`` to ask, in their order; null when all were tried."""
+    tried = F.coalesce("tried", F.array().cast("array<string>"))
+    return prompts.withColumn("provider", F.get(F.filter(F.array(*map(F.lit, providers)), lambda p: ~F.array_contains(tried, p)), 0))
+
+
+def compared(figures: DataFrame, models: list[str]) -> DataFrame:
+    """A request (custom_id, model, prompt) of every figure (custom_id, title, heading, caption) to every model."""
+    prompt = describe_prompt(F.col("title"), F.col("heading"), F.col("caption"))
+    return figures.select("custom_id", F.explode(F.array(*map(F.lit, models))).alias("model"), prompt.alias("prompt"))
+
+
 def latencies(calls: DataFrame) -> DataFrame:
     """(model, n, failures, median, mean_chars) of ``calls`` (model, seconds, description): upper median of all, characters of the successes."""
     ok = F.col("description").isNotNull()
-    median = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY seconds DESC)")
-    return calls.groupBy("model").agg(F.count("*").alias("n"), F.count_if(~ok).alias("failures"), median.alias("median"), F.round(F.avg(F.when(ok, F.char_length("description"))), 6).alias("mean_chars"))
+    sums = calls.groupBy("model").agg(F.count("*").alias("n"), F.count_if(~ok).alias("failures"), F.round(F.avg(F.when(ok, F.char_length("description"))), 6).alias("mean_chars"))
+    timed = calls.where(F.col("seconds").isNotNull()).select("model", "seconds")
+    middle = by_rank(timed, "model", "seconds", lambda n: [n // 2 + 1]).select("model", F.col("value").alias("median"))
+    return sums.join(F.broadcast(middle), "model", "left").select("model", "n", "failures", "median", "mean_chars")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import custom_id
+
 
 def pending(known: DataFrame, done: DataFrame, key: list[str], only: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Rows of ``known`` that are not done yet; of those in ``only`` if given; the first ``limit`` by key if asked for."""
@@ -40,6 +42,16 @@ def pending_figures(figures: DataFrame, descriptions: DataFrame, flying: DataFra
     return out if failures is None else out.join(failures.select("custom_id").distinct(), "custom_id", "left_semi")
 
 
+def figure_view(documents: DataFrame, sections: DataFrame, images: DataFrame, files: DataFrame) -> DataFrame:
+    """Every figure whose image is there, with what its prompt needs: title, heading, caption, and the hash of the image.
+
+    ``documents``: doc_id, title; ``sections``: doc_id, section_id, heading;
+    ``images``: doc_id, section_id, image_id, path, caption; ``files``: path, image_sha256.
+    """
+    both = images.join(files.select("path", "image_sha256").dropDuplicates(["path"]), "path").join(sections.select("doc_id", "section_id", "heading"), ["doc_id", "section_id"]).join(documents.select("doc_id", "title"), "doc_id")
+    return both.select(custom_id(F.col("doc_id"), F.col("image_id")).alias("custom_id"), "doc_id", "image_id", "path", "image_sha256", "caption", "title", "heading")
+
+
 def latest(rows: DataFrame, key: list[str], order: Column) -> DataFrame:
     """The last row of each key: one aggregate with partial sums instead of a window."""
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), order).alias("_row")).select("_row.*")
@@ -74,9 +86,10 @@ def ledger(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).distinct()
 
 
-def sampled(figures: DataFrame, n: int, seed: int, key: str = "image_id") -> DataFrame:
-    """``n`` figures by a seeded hash of their id: the same for every run and partitioning."""
-    return figures.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+def sampled(figures: DataFrame, n: int, seed: int, key: str = "image_id", require_caption: bool = True) -> DataFrame:
+    """``n`` figures, of those with a caption unless told otherwise, by a seeded hash of their id: the same for every run and partitioning."""
+    some = figures.where(F.coalesce("caption", F.lit("")) != "") if require_caption else figures
+    return some.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
 def url_map(entries: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import accumulate
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import covered
@@ -77,37 +80,39 @@ def merged_figures(boxes: list[Box], prose: list[Box], gap: float = MERGE_GAP) -
     return groups
 
 
+def _takes(box: Box, label: Box, limit: float, prose: list[Box]) -> bool:
+    """Whether a figure may grow over a label: it is near, the whole stays small enough and clear of prose."""
+    edge = (box[0] - LABEL_GAP, box[1] - LABEL_GAP, box[2] + LABEL_GAP, box[3] + LABEL_GAP)
+    whole = _hull(box, label)
+    return _overlap(label, edge) > 0 and _area(whole) <= limit and not _prose_hit(whole, prose)
+
+
 def with_labels(box: Box, labels: list[Box], prose: list[Box]) -> Box:
-    """A figure grown over the short labels at its edge, in three rounds, to at most half as much area again."""
+    """A figure grown over the short labels at its edge, to at most half as much area again.
+
+    Labels are gone through three times, as one that was taken brings others near.
+    """
     limit = _area(box) * GROWTH
-    for _ in range(3):
-        before = box
-        for label in labels:
-            grown = _hull(box, label)
-            near = (box[0] - LABEL_GAP, box[1] - LABEL_GAP, box[2] + LABEL_GAP, box[3] + LABEL_GAP)
-            if _overlap(label, near) > 0 and _area(grown) <= limit and not _prose_hit(grown, prose):
-                box = grown
-        if box == before:
-            break
-    return box
+    return reduce(lambda grown, label: _hull(grown, label) if _takes(grown, label, limit, prose) else grown, labels * 3, box)
+
+
+def _within(band: Box, drawings: list[Box]) -> Box | None:
+    """The smallest box around what of the drawings lies in a band; nothing if that is too small for a figure."""
+    parts = [(max(d[0], band[0]), max(d[1], band[1]), min(d[2], band[2]), min(d[3], band[3])) for d in drawings if _overlap(d, band) > 0]
+    tight = _hull(*parts) if parts else (0.0, 0.0, 0.0, 0.0)
+    return tight if min(tight[2] - tight[0], tight[3] - tight[1]) >= MIN_FIGURE else None
 
 
 def split_at_prose(box: Box, prose: list[Box], drawings: list[Box]) -> list[Box]:
     """A cluster cut into the bands around prose that spans half its width, each drawn tight around its drawings."""
-    wide = (box[2] - box[0]) * CUT_SHARE
-    walls = sorted((p for p in prose if _overlap(p, box) > 0 and min(box[2], p[2]) - max(box[0], p[0]) >= wide), key=lambda p: p[1])
+    across = lambda p: min(box[2], p[2]) - max(box[0], p[0])
+    walls = sorted((p[1], p[3]) for p in prose if _overlap(p, box) > 0 and across(p) >= (box[2] - box[0]) * CUT_SHARE)
     if not walls:
         return [box]
-    out, top = [], box[1]
-    for wall_top, wall_bottom in [*((w[1], w[3]) for w in walls), (float("inf"), float("inf"))]:
-        band = (box[0], top, box[2], min(wall_top, box[3]))
-        if band[3] > top:
-            inside = [(max(d[0], band[0]), max(d[1], band[1]), min(d[2], band[2]), min(d[3], band[3])) for d in drawings if _overlap(d, band) > 0]
-            tight = _hull(*inside) if inside else (0.0, 0.0, 0.0, 0.0)
-            if min(tight[2] - tight[0], tight[3] - tight[1]) >= MIN_FIGURE:
-                out.append(tight)
-        top = max(top, wall_bottom)
-    return out
+    bottoms = list(accumulate((bottom for _, bottom in walls), max, initial=box[1]))
+    tops = [*(top for top, _ in walls), box[3]]
+    bands = [(box[0], low, box[2], min(high, box[3])) for low, high in zip(bottoms, tops, strict=True) if min(high, box[3]) > low]
+    return [b for band in bands if (b := _within(band, drawings))]
 
 
 def trimmed(box: Box, prose: list[Box]) -> Box:
@@ -171,9 +176,3 @@ def text_outside(blocks: DataFrame, assets: DataFrame) -> DataFrame:
     """Text blocks of which no asset on the page covers six tenths."""
     a = assets.select("doc_id", "page", F.col("bbox").alias("asset"))
     return blocks.join(a, (blocks["doc_id"] == a["doc_id"]) & (blocks["page"] == a["page"]) & covered(blocks["bbox"], a["asset"]), "left_anti")
-
-
-def numbered(assets: DataFrame) -> DataFrame:
-    """Ids of tables and images in reading order of the document."""
-    place = F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("page", "seq")) - 1
-    return assets.withColumn("asset_id", F.when(F.col("kind") == "table", F.concat(F.lit("table-"), place.cast("string"))).otherwise(F.concat(F.lit("img-"), place.cast("string"), F.lit(".png"))))

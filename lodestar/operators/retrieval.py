@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Constant of reciprocal rank fusion, from its published description.
 RRF = 60
-#: Rows of a set of queries that is sent to every task; a larger one is joined without that.
+#: Rows of a table of asked terms or anchors that is sent to every task; a larger one is joined by a shuffle.
 SMALL = 10_000
+#: Vectors, and queries, of one piece of a dense search.
+BLOCK, CHUNK = 16_384, 4_096
+#: Words of a passage by which documents that hold it are found.
+ANCHOR = 5
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """``df``, to be sent to every task if it is small enough."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def words(text: Column) -> Column:
+    """Lower-case words of letters and digits."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def terms(texts: DataFrame, key: str) -> DataFrame:
-    """(key, term, n): lower-case words of letters and digits, counted."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return texts.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    """(key, term, n): the words of each text, counted."""
+    return texts.select(key, F.explode(words(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+
+
+def asked_terms(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(doc_id, term, n, length) of ``docs`` (doc_id, text; an id is one text), for terms of ``queries`` (query_id, term, n) only.
+
+    Other terms go before anything is shuffled. The rows are dealt by document,
+    and what follows per document needs no other shuffle.
+    """
+    wanted = _sent(queries.select("term").distinct())
+    each = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("length"), F.explode("w").alias("term"))
+    return each.join(wanted, "term", "left_semi").repartition("doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.max("length").alias("length"))
 
 
 def ranked(scores: DataFrame, k: int, query: str = "query_id", item: str = "doc_id") -> DataFrame:
@@ -24,51 +53,100 @@ def ranked(scores: DataFrame, k: int, query: str = "query_id", item: str = "doc_
 
 
 def sparse_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Dot products of lexical weights: ``queries`` (query_id, term, n), ``docs`` (doc_id, term, n)."""
-    q = queries.select("query_id", "term", F.col("n").alias("q"))
-    return docs.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("n")).alias("score"))
+    """Dot products of lexical weights: ``queries`` (query_id, term, n), ``docs`` (doc_id, term, n; as ``asked_terms`` deals them)."""
+    q = _sent(queries.select("query_id", "term", F.col("n").alias("q")))
+    return docs.join(q, "term").groupBy("doc_id", "query_id").agg(F.sum(F.col("q") * F.col("n")).alias("score")).select("query_id", "doc_id", "score")
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over term tables as in ``sparse_scores``; query terms count once."""
-    lengths = docs.groupBy("doc_id").agg(F.sum("n").alias("length"))
-    total = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean")).first()
-    asked = queries.select("query_id", "term").distinct()
-    found = docs.join(asked.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    """BM25 of ``queries`` (query_id, term, n) over ``docs`` (doc_id, text); query terms count once."""
+    length = F.size(words(F.col("text")))
+    total = docs.select(length.alias("length")).where(F.col("length") > 0).agg(F.count("*").alias("docs"), F.avg("length").alias("mean")).first()
+    found = asked_terms(docs, queries)
+    df = _sent(found.groupBy("term").agg(F.count("*").alias("df")))
     n, mean = total["docs"], total["mean"] or 1.0
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
-    weighed = found.join(df, "term").join(lengths, "doc_id").select("doc_id", "term", (idf * tf).alias("w"))
-    return weighed.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    weighed = found.join(df, "term").select("doc_id", "term", (idf * tf).alias("w"))
+    asked = _sent(queries.select("query_id", "term").distinct())
+    return weighed.join(asked, "term").groupBy("doc_id", "query_id").agg(F.round(F.sum("w"), 6).alias("score")).select("query_id", "doc_id", "score")
+
 
+def _unit(rows: pd.Series) -> np.ndarray:
+    x = np.array([np.asarray(v, np.float64) for v in rows])
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
+def dense_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The k best cosines, to six digits, of every query (query_id, v) over all documents (doc_id, v): exact.
 
-def dense_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Cosines of every query (query_id, v) with every document (doc_id, v): exact, the queries beside each block of documents."""
-    unit = lambda df, key: df.select(key, "v", F.sqrt(_dot(F.col("v"), F.col("v"))).alias(f"norm_{key}"))
-    q, d = unit(queries, "query_id").withColumnRenamed("v", "q"), unit(docs, "doc_id")
-    small = queries.limit(SMALL + 1).count() <= SMALL
-    pairs = d.crossJoin(F.broadcast(q) if small else q)
-    norm = F.col("norm_query_id") * F.col("norm_doc_id")
-    return pairs.select("query_id", "doc_id", F.round(F.when(norm > 0, _dot(F.col("q"), F.col("v")) / F.when(norm > 0, norm)).otherwise(0.0), 6).alias("score"))
+    Documents lie in blocks and queries in chunks; a task multiplies one with
+    the other and returns the k best of each query, so what is ranked at the end
+    is k rows per query and block. Vectors have one length; of no length, their
+    cosines are 0.
+    """
+    n, asked = docs.count(), queries.count()
+    blocks, chunks = max(1, ceil(n / BLOCK)), max(1, ceil(asked / CHUNK))
+    kind = {**{f.name: f.dataType.simpleString() for f in queries.schema}, **{f.name: f.dataType.simpleString() for f in docs.schema}}
+
+    def task(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(found) or not len(asked):
+            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+        found = found.sort_values("doc_id", ignore_index=True)
+        scores = np.floor(_unit(asked["v"]) @ _unit(found["v"]).T * 1e6 + 0.5) / 1e6
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"query_id": np.repeat(asked["query_id"].to_numpy(), best.shape[1]), "doc_id": found["doc_id"].to_numpy()[best.ravel()], "score": np.take_along_axis(scores, best, 1).ravel()})
+
+    dealt = lambda df, key, parts, name: df.select(key, "v", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(name))
+    every = lambda parts, name: F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(name)
+    left = dealt(docs, "doc_id", blocks, "block").select("*", every(chunks, "chunk"))
+    right = dealt(queries, "query_id", chunks, "chunk").select("*", every(blocks, "block"))
+    hits = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(task, f"query_id {kind['query_id']}, doc_id {kind['doc_id']}, score double")
+    return ranked(hits, k)
 
 
 def fused(runs: list[DataFrame], k: int, constant: int = RRF) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (query_id, doc_id, rank)."""
     parts = [r.select("query_id", "doc_id", (1.0 / (constant + F.col("rank"))).alias("s")) for r in runs]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
+    both = reduce(DataFrame.unionByName, parts)
     return ranked(both.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score")), k)
 
 
-def search(queries: DataFrame, sparse_docs: DataFrame, dense_queries: DataFrame, dense_docs: DataFrame, k: int = 5, allowed: DataFrame | None = None) -> DataFrame:
-    """Hybrid search: both legs give 4k rows, fused to k. ``allowed`` (doc_id) restricts both legs before they rank, so it costs no recall."""
+def search(queries: DataFrame, docs: DataFrame, dense_queries: DataFrame, dense_docs: DataFrame, k: int = 5, allowed: DataFrame | None = None) -> DataFrame:
+    """Hybrid search of ``queries`` (query_id, text) over ``docs`` (doc_id, text): both legs give 4k rows, fused to k.
+
+    ``allowed`` (doc_id) restricts both legs before they rank, so it costs no recall.
+    """
     if allowed is not None:
         keep = allowed.select("doc_id").distinct()
-        sparse_docs, dense_docs = (d.join(keep, "doc_id", "left_semi") for d in (sparse_docs, dense_docs))
-    return fused([ranked(sparse_scores(queries, sparse_docs), 4 * k), ranked(dense_scores(dense_queries, dense_docs), 4 * k)], k)
+        docs, dense_docs = (d.join(keep, "doc_id", "left_semi") for d in (docs, dense_docs))
+    asked = terms(queries, "query_id")
+    sparse = ranked(sparse_scores(asked, asked_terms(docs, asked)), 4 * k)
+    return fused([sparse, dense_topk(dense_queries, dense_docs, 4 * k)], k)
+
+
+def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, doc_id): the documents (doc_id, text) that hold a passage (query_id, passage) letter by letter.
+
+    A passage's words but the first and the last stand whole in such a text. Up
+    to five of them, hashed, are its anchor; texts are joined by the hashes of
+    as many words at each place, and what meets is compared. Passages of fewer
+    than three words have no anchor and meet every text if they are few.
+    """
+    split = lambda text: F.filter(F.split(text, " "), lambda w: w != "")
+    inner = passages.select("query_id", "passage", F.regexp_count("passage", F.lit("  +")).alias("gaps"), split(F.col("passage")).alias("w"))
+    inner = inner.withColumn("n", F.when((F.size("w") >= 3) & (F.col("gaps") == 0), F.least(F.size("w") - 2, F.lit(ANCHOR))).otherwise(0))
+    lengths = sorted(r["n"] for r in inner.select("n").distinct().collect())
+    found = []
+    for n in lengths:
+        mine = inner.where(F.col("n") == n)
+        if n == 0:
+            found.append(docs.join(_sent(mine.select("query_id", "passage")), F.contains("text", "passage")))
+            continue
+        anchors = mine.select("query_id", "passage", F.xxhash64(*[F.get("w", i + 1) for i in range(n)]).alias("h"))
+        places = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(n)]))
+        held = docs.select("doc_id", "text", split(F.col("text")).alias("w")).where(F.size("w") >= n + 2)
+        held = held.select("doc_id", "text", F.explode(F.array_distinct(places)).alias("h"))
+        found.append(held.join(_sent(anchors), "h").where(F.contains("text", "passage")))
+    return reduce(DataFrame.unionByName, [f.select("query_id", "doc_id") for f in found]).distinct() if found else docs.select(F.lit(None).cast("long").alias("query_id"), "doc_id").limit(0)

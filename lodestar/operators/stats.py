@@ -2,28 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def exclusive_quantiles(df: DataFrame, column: str, n: int = 100, cuts: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
-    """(cut, value) of the exclusive method: the i-th of n cuts lies at i (N + 1) / n among N sorted values. Needs two values.
+def by_rank(df: DataFrame, group: str, column: str, wanted: Callable[[int], list[int]]) -> DataFrame:
+    """(group, rank, value): the values at the ranks, from 1, that ``wanted`` names for a group's number of rows.
 
-    The order statistics come from one distributed aggregate at exact positions.
+    Rows are dealt by range of (group, value) and sorted inside; a row's rank is
+    its place in its range behind the sizes of the ranges before. No task holds
+    a whole group. The driver holds a count per group and range, and the ranks
+    asked for. Null values must be left out before.
     """
-    count = df.where(F.col(column).isNotNull()).count()
-    if count < 2:
-        return df.sparkSession.createDataFrame([], "cut int, value double")
-    places = {}
-    for i in cuts:
-        j = min(max(i * (count + 1) // n, 1), count - 1)
-        places[i] = (j, i * (count + 1) - j * n)
-    wanted = sorted({x for j, _ in places.values() for x in (j, j + 1)})
-    found = F.percentile(F.col(column).cast("double"), F.array(*[F.lit((j - 1) / (count - 1)) for j in wanted]))
-    at = {j: i for i, j in enumerate(wanted)}
-    x = lambda j: F.round(F.col("p")[at[j]], 6)
-    rows = F.array(*[F.struct(F.lit(i).alias("cut"), ((x(j) * (n - d) + x(j + 1) * d) / n).alias("value")) for i, (j, d) in places.items()])
-    return df.agg(found.alias("p")).select(F.explode(rows).alias("r")).select("r.cut", F.round("r.value", 6).alias("value"))
+    spark = df.sparkSession
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+    dealt = df.select(group, column).repartitionByRange(group, column).sortWithinPartitions(group, column)
+    ranged = dealt.select(group, column, F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")).persist(StorageLevel.DISK_ONLY)
+    try:
+        sizes = ranged.groupBy("_range", group).agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect()
+        seen: dict[object, int] = {}
+        totals: dict[object, int] = {}
+        for r in sizes:
+            totals[r[group]] = totals.get(r[group], 0) + r["n"]
+        asked = []
+        for r in sorted(sizes, key=lambda r: r["_range"]):
+            before = seen.get(r[group], 0)
+            asked += [(r["first"] + rank - before - 1, rank) for rank in wanted(totals[r[group]]) if before < rank <= before + r["n"]]
+            seen[r[group]] = before + r["n"]
+        at = spark.createDataFrame(asked, "_at long, rank long")
+        found = ranged.join(F.broadcast(at), "_at").select(group, "rank", F.col(column).alias("value")).collect()
+    finally:
+        ranged.unpersist()
+    return spark.createDataFrame(found, f"`{group}` {kind[group]}, rank long, value {kind[column]}")
+
+
+def exclusive_quantiles(df: DataFrame, column: str, n: int = 100, cuts: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
+    """(cut, value) of the exclusive method: the i-th of n cuts lies at i (N + 1) / n among N sorted values. Needs two values."""
+    values = df.where(F.col(column).isNotNull()).select(F.lit(1).alias("all"), F.col(column).cast("double").alias("x"))
+    places: dict[int, tuple[int, int]] = {}
+
+    def wanted(count: int) -> list[int]:
+        for i in cuts if count > 1 else ():
+            j = min(max(i * (count + 1) // n, 1), count - 1)
+            places[i] = (j, i * (count + 1) - j * n)
+        return sorted({x for j, _ in places.values() for x in (j, j + 1)})
+
+    x = {r["rank"]: r["value"] for r in by_rank(values, "all", "x", wanted).collect()}
+    rows = [(i, round((x[j] * (n - d) + x[j + 1] * d) / n, 6)) for i, (j, d) in places.items()]
+    return df.sparkSession.createDataFrame(rows, "cut int, value double")
 
 
 def mix(df: DataFrame, column: str) -> DataFrame:
@@ -32,6 +61,48 @@ def mix(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.lit(max(1, total)), 6))
 
 
+def modalities(df: DataFrame, column: str) -> DataFrame:
+    """One row: how many rows there are, and how many have images, tables, or text alone, by the parts of a name such as ``text-image-table``."""
+    has = lambda part: F.array_contains(F.split(column, "-"), part)
+    return df.agg(F.count("*").alias("n"), F.count_if(has("image")).alias("with_image"), F.count_if(has("table")).alias("with_table"), F.count_if(F.col(column) == "text").alias("text_only"))
+
+
+def density(counts: DataFrame, columns: list[str], group: str | None = None) -> DataFrame:
+    """Mean, median and largest of per-document counts (whole numbers, of which few differ), by group or over all."""
+    made = [f for c in columns for f in (F.round(F.avg(c), 6).alias(f"mean_{c}"), F.percentile(c, 0.5).alias(f"median_{c}"), F.max(c).cast("long").alias(f"most_{c}"))]
+    return counts.agg(*made) if group is None else counts.groupBy(group).agg(*made)
+
+
+def over(df: DataFrame, group: str, size: Column, limits: dict[str, float]) -> DataFrame:
+    """(group, n, ...): rows, and rows whose size is over each named limit, with their share."""
+    out = df.groupBy(group).agg(F.count("*").alias("n"), *[F.count_if(size > limit).alias(name) for name, limit in limits.items()])
+    return out.select("*", *[F.round(F.col(name) / F.col("n"), 6).alias(f"share_{name}") for name in limits])
+
+
+def coverage(assets: DataFrame, group: str, caption: str = "caption") -> DataFrame:
+    """(group, n, captioned, share, median_chars): how many have a caption, and how long those are."""
+    has = F.coalesce(caption, F.lit("")) != ""
+    return assets.groupBy(group).agg(F.count("*").alias("n"), F.count_if(has).alias("captioned"), F.round(F.count_if(has) / F.count("*"), 6).alias("share"), F.percentile(F.when(has, F.char_length(caption)), 0.5).alias("median_chars"))
+
+
+def call_costs(calls: DataFrame, prices: dict[str, tuple[float, float, float]]) -> DataFrame:
+    """(task, model, calls, input_tokens, output_tokens, cost) of every task at every model's prices.
+
+    ``calls``: task, calls, input_each, output_each (tokens). ``prices``, by
+    model: input and output price of a million tokens, and the share of it that
+    is paid, as batches cost less.
+    """
+    million = 1e6
+    price = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), *[F.lit(float(x)).alias(c) for c, x in zip(("input", "output", "share"), p, strict=True)]) for m, p in prices.items()]))
+    both = calls.select("task", "calls", (F.col("calls") * F.col("input_each")).alias("input_tokens"), (F.col("calls") * F.col("output_each")).alias("output_tokens"), price.alias("p"))
+    cost = (F.col("input_tokens") / million * F.col("p.input") + F.col("output_tokens") / million * F.col("p.output")) * F.col("p.share")
+    return both.select("task", "p.model", "calls", "input_tokens", "output_tokens", F.round(cost, 6).alias("cost"))
+
+
+def rows_by_kind(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def histogram(df: DataFrame, column: str, missing: str = "unknown") -> DataFrame:
     return df.groupBy(F.coalesce(column, F.lit(missing)).alias(column)).agg(F.count("*").alias("n"))
 

@@ -118,9 +118,10 @@ where masked <> '' and on_pages >= greatest(3, pages * 0.01::double)""",
     "length_quantiles_exclusive": """with x as (select list(n_chars order by n_chars) as v, count(*) as m from documents where n_chars is not null),
 c as (select unnest([1, 25, 50, 90, 99]) as cut), j as (select cut, v, m, least(greatest(cut * (m + 1) // 100, 1), m - 1) as j from c, x)
 select cast(cut as int) as cut, round((v[j] * (100 - (cut * (m + 1) - j * 100)) + v[j + 1] * (cut * (m + 1) - j * 100)) / 100, 6) as value from j""",
-    "threshold_counts": "select lang, count(*) as n, count(*) filter (where length(text) > 2000) as over_2000_chars, "
-    + ", ".join(f"count(*) filter (where length(text) / 4 > {n}) as over_{n}_tokens" for n in (512, 2048, 8192)) + " from documents group by lang",
-    "density_stats": "select lang, round(avg(n), 6) as mean, median(n) as median, max(n) as most from (select lang, len(string_split(coalesce(text, ''), chr(10))) as n from documents) group by lang",
+    "threshold_counts": "select lang, count(*) as n, "
+    + ", ".join(f"count(*) filter (where length(text) > {n}) as {name}, round(count(*) filter (where length(text) > {n}) / count(*), 6) as share_{name}" for name, n in (("over_2000_chars", 2000), ("over_512_tokens", 2048), ("over_2048_tokens", 8192), ("over_8192_tokens", 32768)))
+    + " from documents group by lang",
+    "density_stats": "select lang, round(avg(n), 6) as mean_lines, median(n) as median_lines, max(n) as most_lines from (select lang, len(string_split(coalesce(text, ''), chr(10))) as n from documents) group by lang",
     "modality_mix": "select role, count(*) as n, round(count(*) / (select count(*) from conversations), 6) as share from conversations group by role",
     "coverage_ratio": "select lang, count(*) as n, count(l.doc_id) as labelled, round(count(l.doc_id) / count(*), 6) as share from documents d left join (select distinct doc_id from labels) l on d.doc_id = l.doc_id group by lang",
     "corpus_sizing": """with x as (select sum(length(text)) as chars from documents), s as (select cast(unnest([256, 300, 512]) as int) as size)
@@ -162,12 +163,14 @@ select source, doc_id, batch from r""",
     "parse_results_json": rf"""with c as (select *, conv_id * 31 + turn as n, regexp_replace(text, {_STRIP}) as content from conversations),
 k as (select case when n % 11 = 0 then 'expired' when n % 13 = 0 then 'malformed line' when n % 7 = 0 then 'http' when coalesce(content, '') = '' then 'no content' else 'ok' end as kind, content from c)
 select kind, count(*) as n, cast(sum(case when kind = 'ok' then length(content) else 0 end) as bigint) as chars from k group by kind""",
+    "xy_cut_order": f"""with {_LINES} select cast(doc_id as varchar) as doc_id, cast(1 as int) as page, cast(seq as int) as seq,
+  cast(row_number() over (partition by doc_id order by seq % 2, seq) - 1 as int) as place from lines where text <> ''""",
     "passages_numbered": """with c as (select *, row_number() over (partition by conv_id order by turn) as i from conversations)
-select conv_id as query_id, md5(string_agg('[' || i || '] ' || role || chr(10) || text, chr(10) || chr(10) order by turn)) as passages_md5 from c group by conv_id""",
+select conv_id as query_id, md5(string_agg('[' || i || ']' || case when i % 3 = 0 then '' else ' ' || role end || chr(10) || text, chr(10) || chr(10) order by turn)) as passages_md5 from c group by conv_id""",
     "chat_prompt_assembly": """with q as (select conv_id, arg_min(text, turn) as question from conversations where role = 'user' group by conv_id),
 a as (select *, row_number() over (partition by conv_id order by turn) as i from conversations where role = 'assistant'),
 p as (select conv_id, string_agg('[' || i || '] ' || role || chr(10) || text, chr(10) || chr(10) order by turn) as passages from a group by conv_id)
-select q.conv_id as query_id, md5(coalesce(passages, '(no passages retrieved)') || chr(10) || chr(10) || 'Question: ' || question) as prompt_md5 from q left join p on q.conv_id = p.conv_id""",
+select q.conv_id as query_id, md5('Context passages:' || chr(10) || chr(10) || coalesce(passages, '(no passages retrieved)') || chr(10) || chr(10) || 'Question: ' || question) as prompt_md5 from q left join p on q.conv_id = p.conv_id""",
     "custom_id_codec": "select conv_id, turn, conv_id || '::' || role || '::' || turn as custom_id, cast(conv_id as varchar) as doc_id, role || '::' || turn as image_id from conversations",
     "snippets": "select doc_id, md5(replace(left(text, 200), chr(10), ' ')) as snippet_md5, left(sha256(text), 8) as version from documents",
     "near_box_captions": f"""with {_LINES},

@@ -123,13 +123,13 @@ def length_quantiles_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def threshold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = F.char_length("text") / 4
-    return _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.char_length("text") > 2000).alias("over_2000_chars"), *[F.count_if(tokens > n).alias(f"over_{n}_tokens") for n in (512, 2048, 8192)])
+    limits = {"over_2000_chars": 2000, **{f"over_{n}_tokens": 4 * n for n in (512, 2048, 8192)}}
+    return stats.over(_docs(spark, sf_dir), "lang", F.char_length("text"), limits)
 
 
 def density_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = _docs(spark, sf_dir).select("lang", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("lines"))
-    return each.groupBy("lang").agg(F.round(F.avg("lines"), 6).alias("mean"), F.percentile("lines", 0.5).alias("median"), F.max("lines").cast("long").alias("most"))
+    return stats.density(each, ["lines"], "lang")
 
 
 def modality_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,12 +167,8 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _both_terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return retrieval.terms(_items(spark, sf_dir), "query_id"), retrieval.terms(_docs(spark, sf_dir), "doc_id")
-
-
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return retrieval.ranked(retrieval.bm25_scores(*_both_terms(spark, sf_dir)), k)
+    return retrieval.ranked(retrieval.bm25_scores(retrieval.terms(_items(spark, sf_dir), "query_id"), _docs(spark, sf_dir).select("doc_id", "text")), k)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +176,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.ranked(retrieval.sparse_scores(*_both_terms(spark, sf_dir)), 10).select("query_id", "doc_id", "rank", "score")
+    asked = retrieval.terms(_items(spark, sf_dir), "query_id")
+    return retrieval.ranked(retrieval.sparse_scores(asked, retrieval.asked_terms(_docs(spark, sf_dir), asked)), 10).select("query_id", "doc_id", "rank", "score")
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +185,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _t(spark, sf_dir, "embeddings")
     means = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 4).alias("x"))
     queries = means.groupBy(F.col("label").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    return retrieval.ranked(retrieval.dense_scores(queries, vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))), 10).select("query_id", "doc_id", "rank", "score")
+    return retrieval.dense_topk(queries, vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), 10).select("query_id", "doc_id", "rank", "score")
 
 
 def _letter_counts(texts: DataFrame, key: str) -> DataFrame:
@@ -197,7 +194,7 @@ def _letter_counts(texts: DataFrame, key: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, english: bool) -> DataFrame:
-    asked, docs = _both_terms(spark, sf_dir)
+    asked, docs = _items(spark, sf_dir), _docs(spark, sf_dir).select("doc_id", "text")
     allowed = _docs(spark, sf_dir).where(F.col("lang") == "en").select("doc_id") if english else None
     return retrieval.search(asked, docs, _letter_counts(_items(spark, sf_dir), "query_id"), _letter_counts(_docs(spark, sf_dir), "doc_id"), 5, allowed).select("query_id", "doc_id", "rank", "score")
 
@@ -214,7 +211,7 @@ def recall_at_k_by_modality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25's ten best against the documents that hold an item's text; the modality goes by the item's number."""
     items = _items(spark, sf_dir)
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    gold = docs.join(F.broadcast(items.withColumnRenamed("text", "passage")) if items.limit(retrieval.SMALL + 1).count() <= retrieval.SMALL else items.withColumnRenamed("text", "passage"), F.contains("text", "passage")).select("query_id", "doc_id", F.lit(0).alias("section_id"))
+    gold = retrieval.holding(docs, items.withColumnRenamed("text", "passage")).select("query_id", "doc_id", F.lit(0).alias("section_id"))
     sources = F.element_at(F.array(*map(F.lit, ("text", "text-image", "text-table", "text-table-image"))), (F.col("query_id") % 4 + 1).cast("int"))
     run = _bm25(spark, sf_dir, 10).withColumn("section_id", F.lit(0))
     return evaluation.recall(run, gold, items.select("query_id", sources.alias("source")), 10)
@@ -282,7 +279,9 @@ def parse_results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passages_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("role").alias("label"), "text")
+    """Turns as passages, every third without a label."""
+    turns = _t(spark, sf_dir, "conversations").withColumn("i", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    found = turns.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.when(F.col("i") % 3 != 0, F.col("role")).otherwise("").alias("label"), "text")
     return B.passages(found).select("query_id", F.md5(F.col("passages").cast("binary")).alias("passages_md5"))
 
 

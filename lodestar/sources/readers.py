@@ -16,12 +16,23 @@ CORPUS = "id string, title string, authors array<string>, categories array<strin
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed documents, one JSON file each; a broken file gives no row."""
-    return spark.read.schema(DOCUMENT).option("mode", "DROPMALFORMED").json(path, multiLine=True)
+    """Parsed documents, one JSON file each. A broken file gives no row here and one in ``broken``."""
+    return _parsed(spark, path, DOCUMENT).where(F.col("_broken").isNull()).drop("_broken", "_file")
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CORPUS).option("mode", "DROPMALFORMED").json(path, multiLine=True)
+    return _parsed(spark, path, CORPUS).where(F.col("_broken").isNull()).drop("_broken", "_file")
+
+
+def broken(spark: SparkSession, path: str, schema: str = DOCUMENT) -> DataFrame:
+    """(file, reason, detail) of the files that are no JSON of the schema, for the table of failures."""
+    bad = _parsed(spark, path, schema).where(F.col("_broken").isNotNull())
+    return bad.select(F.col("_file").alias("file"), F.lit("malformed JSON").alias("reason"), F.substring("_broken", 1, 200).alias("detail"))
+
+
+def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    found = spark.read.schema(f"{schema}, _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path, multiLine=True)
+    return found.withColumn("_file", F.col("_metadata.file_path"))
 
 
 def sections(docs: DataFrame) -> DataFrame:
@@ -51,6 +62,13 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return found.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
+def image_hashes(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
+    """(path, image_sha256) of the image files below a path; ``path`` as they are named below it."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    below = F.substring_index("path", F.lit(f"{path.rstrip('/').rsplit('/', 1)[-1]}/"), -1)
+    return found.select(below.alias("path"), F.sha2("content", 256).alias("image_sha256"))
+
+
 def url_maps(spark: SparkSession, path: str) -> DataFrame:
     """(file, urls) of every ``pdf_urls.json`` below a path."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "pdf_urls.json").text(path, wholetext=True)

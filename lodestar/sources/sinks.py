@@ -16,5 +16,21 @@ def lines(requests: DataFrame, path: str) -> None:
     requests.select("batch", F.col("line").alias("value")).write.mode("overwrite").partitionBy("batch").text(path)
 
 
+def failures(rows: DataFrame, path: str) -> None:
+    """A table of failures, written even if there are none: an absent one would mean that nothing ran."""
+    table(rows, path)
+
+
+def layout(rows: DataFrame, path: str) -> None:
+    """The side table of element places, by document."""
+    rows.repartition("doc_id").sortWithinPartitions("doc_id", "section_id").write.mode("overwrite").parquet(path)
+
+
+def populated(rows: DataFrame, ledger: DataFrame, path: str, ledger_path: str) -> None:
+    """The index, and then the ledger of what is in it: a run that ends between the two is done again."""
+    index(rows, path)
+    table(ledger, ledger_path)
+
+
 def table(rows: DataFrame, path: str, mode: str = "overwrite", by: tuple[str, ...] = ()) -> None:
     rows.write.mode(mode).partitionBy(*by).parquet(path)
