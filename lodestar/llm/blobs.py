@@ -10,21 +10,35 @@ import numpy as np
 import zstandard
 
 
+_KINDS = {"u1": b"1", "u2": b"2", "u4": b"4", "u8": b"8", "f8": b"f"}
+
+
 def pack_numbers(values: np.ndarray) -> bytes:
-    """Whole numbers, compressed in the narrowest width that holds them all."""
+    """Whole numbers in the narrowest width that holds them all, or floats, compressed byte by byte place."""
     values = np.asarray(values)
     if values.dtype.kind != "f":
         top = int(values.max()) if len(values) else 0
         values = values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
     else:
         values = values.astype("<f8")
-    kind = {"u1": b"1", "u2": b"2", "u4": b"4", "u8": b"8", "f8": b"f"}[values.dtype.str[1:]]
-    return kind + zstandard.compress(values.tobytes(), 3)
+    places = values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return _KINDS[values.dtype.str[1:]] + zstandard.compress(places.tobytes(), 3)
 
 
 def unpack_numbers(blob: bytes) -> np.ndarray:
-    dtype = {b"1": "<u1", b"2": "<u2", b"4": "<u4", b"8": "<u8", b"f": "<f8"}[blob[:1]]
-    return np.frombuffer(zstandard.decompress(blob[1:]), dtype)
+    dtype = np.dtype({b: f"<{k}" for k, b in _KINDS.items()}[blob[:1]])
+    places = np.frombuffer(zstandard.decompress(blob[1:]), np.uint8)
+    return np.ascontiguousarray(places.reshape(dtype.itemsize, -1).T).view(dtype).ravel()
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Rising 64-bit numbers as their steps."""
+    values = values.astype(np.uint64)
+    return pack_numbers(np.diff(values, prepend=np.uint64(0)))
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack_numbers(blob), dtype=np.uint64)
 
 
 def pack_words(words: list[bytes]) -> bytes:

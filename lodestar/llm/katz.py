@@ -5,186 +5,200 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, log2
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import pack_numbers, unpack_numbers
+from .blobs import pack_numbers, pack_sorted, unpack_numbers, unpack_sorted
 from .common import shuffle_partitions, slices, stored
+from .hashing import WordHashes, mixed
 
 #: Tokens of a block of documents.
-BLOCK_TOKENS = 2_500_000
-#: Parts over which the followers of one word are spread.
-SALT = 16
-#: Words whose hashes a task remembers.
-CACHE = 150_000
+BLOCK_TOKENS = 1_250_000
+#: Occurrences in training from which an n-gram of each order counts as seen; its length is the order of the model.
+LEAST = (1, 1, 2)
+#: Share of every history's probability that is kept for what it was not seen with, whatever the discounts leave.
+RESERVE = 1e-3
 #: Hashes of the two marks, which no word stands for: of texts with a blank.
-START, END = (xxhash.xxh3_64_intdigest(t) for t in (b" start", b" end"))
+START, END = (np.uint64(xxhash.xxh3_64_intdigest(t)) for t in (b" start", b" end"))
 TRAINED = 10
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def held_out(doc_id: int | None) -> bool:
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % TRAINED == 0
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(27))
+BLOCKS = "block long, doc_ids array<long>, lengths binary, words binary, tokens binary"
+_BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary())])
 
 
-def held_out(doc_id: int | None) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % TRAINED == 0
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) in blocks: the hashes of a block's words, the frequent ones first, and its tokens as places in them.
+
+    Words have A-Z in lower case; an end stands behind each text.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, number = WordHashes(), TaskContext.get().partitionId() << 32
+        ids, parts, size = [], [], 0
+
+        def made() -> pa.RecordBatch:
+            words, tokens, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            return _batch([(number, ids, pack_numbers(np.array([len(p) for p in parts])), words[order].tobytes(), pack_numbers(place[tokens]))], _BLOCKS)
+
+        for part in slices(batches):
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                words = (text or "").encode().lower().split()
+                parts.append(np.r_[hashes.of(words), END])
+                ids.append(doc_id)
+                size += len(words) + 1
+                if size >= BLOCK_TOKENS:
+                    yield made()
+                    number, ids, parts, size = number + 1, [], [], 0
+        if ids:
+            yield made()
+
+    return docs.mapInArrow(task, BLOCKS)
 
 
 @dataclass
-class Block:
-    """Documents of a partition that follow each other, as places in the sorted list of their words' hashes."""
+class Grams:
+    """The n-grams of one order in a block: distinct keys, and for every token the place of its n-gram, -1 where its text is too young."""
 
-    number: int
-    doc_ids: list
-    lengths: np.ndarray
-    words: np.ndarray
-    tokens: np.ndarray
+    keys: np.ndarray
+    first: np.ndarray
+    place: np.ndarray
 
-    @property
-    def digest(self) -> int:
-        return zlib.crc32(self.words.tobytes())
+    def spread(self, values: np.ndarray, nothing: float) -> np.ndarray:
+        """Of every token the value of its n-gram."""
+        return np.r_[values, nothing][self.place]
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Code (place of history * words + place of token) of every token, and whether it is for training."""
-        return pair_codes(self.tokens, self.lengths, int(np.searchsorted(self.words, np.uint64(START))), len(self.words))
 
+class Block:
+    """A block's tokens as keys of n-grams.
 
-def pair_codes(tokens: np.ndarray, lengths: np.ndarray, start: int, words: int) -> np.ndarray:
-    history = np.empty(len(tokens), np.int64)
-    history[1:] = tokens[:-1]
-    history[np.cumsum(lengths) - lengths] = start
-    return history * words + tokens
+    The key of a word is its hash; that of a longer n-gram is mixed from the key
+    of what precedes its last word, its history, and that word. The history of a
+    text's first word is the start mark, of which nothing longer is made.
+    """
 
+    def __init__(self, lengths: bytes, words: bytes, tokens: bytes):
+        self.lengths = unpack_numbers(lengths).astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.words = np.frombuffer(words, np.uint64)[unpack_numbers(tokens)]
+        self.age = np.arange(len(self.words)) - np.repeat(self.starts, self.lengths)
+
+    def history(self, keys: np.ndarray) -> np.ndarray:
+        """Of every token the key of the n-gram that ends before it; the start mark for a text's first."""
+        out = np.empty_like(keys)
+        out[1:] = keys[:-1]
+        out[self.starts] = START
+        return out
 
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    """Blocks of a partition of (doc_id, text): words with A-Z in lower case, and an end behind each text."""
-    hashes = _Hashes()
-    number, ids, parts, size = TaskContext.get().partitionId() << 32, [], [], 0
-    end = np.array([END], np.uint64)
+    def orders(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(order, keys, histories' keys) of every token, order by order."""
+        keys = self.words
+        yield 1, keys, keys
+        for m in range(2, order + 1):
+            history = self.history(keys)
+            keys = mixed(history * _STEP + self.words)
+            yield m, keys, history
 
-    def made() -> Block:
-        flat = np.concatenate(parts)
-        words, tokens = np.unique(np.r_[flat, np.array([START], np.uint64)], return_inverse=True)
-        return Block(number, ids, np.array([len(p) for p in parts], np.int64), words, tokens[:-1].astype(np.int64))
+    def grams(self, m: int, keys: np.ndarray, inverse: bool = True) -> Grams:
+        whole = np.flatnonzero(self.age >= m - 2)
+        if not inverse:
+            return Grams(np.unique(keys[whole]), whole[:0], whole[:0])
+        distinct, first, back = np.unique(keys[whole], return_index=True, return_inverse=True)
+        place = np.full(len(keys), -1, np.int64)
+        place[whole] = back
+        return Grams(distinct, whole[first], place)
 
-    for part in slices(batches):
-        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            words = (text or "").encode().lower().split()
-            parts.append(np.r_[np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), end])
-            ids.append(doc_id)
-            size += len(words) + 1
-            if size >= BLOCK_TOKENS:
-                yield made()
-                number, ids, parts, size = number + 1, [], [], 0
-    if ids:
-        yield made()
 
+def _cut(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that sorted keys fall into, by range, and where each begins and the last ends."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return bucket[first], np.r_[first, len(keys)]
 
-def _bucket_parts(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word: its bucket as a history, and its part as a follower."""
-    return (_mixed(words) % np.uint64(buckets)).astype(np.int64), (_mixed(words) >> np.uint64(40)).astype(np.int64) % SALT
 
+REQUESTS = "order int, bucket int, block long, keys binary, counts binary"
+_REQUESTS = pa.schema([("order", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
-def _buckets(codes: np.ndarray, as_history: np.ndarray, as_follower: np.ndarray, buckets: int) -> np.ndarray:
-    n = len(as_history)
-    return (as_history[codes // n] + as_follower[codes % n] * 7919) % buckets
 
+def count_requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
+    """A row per block, order and bucket: the block's distinct n-grams there, and how often each occurs in its training texts."""
 
-def _training(block: Block) -> np.ndarray:
-    return np.repeat(np.array([not held_out(i) for i in block.doc_ids]), block.lengths)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            number, ids, *rest = (c[0].as_py() for c in part.columns)
+            block = Block(*rest)
+            training = np.repeat(np.array([not held_out(i) for i in ids]), block.lengths)
+            for m, keys, _ in block.orders(order):
+                grams = block.grams(m, keys)
+                held = training & (grams.place >= 0)
+                counts = np.bincount(grams.place[held], minlength=len(grams.keys))
+                found, ends = _cut(grams.keys, buckets)
+                rows = [(m, b, number, pack_sorted(grams.keys[x:y]), pack_numbers(counts[x:y])) for b, x, y in zip(found.tolist(), ends[:-1], ends[1:], strict=True)]
+                for at in range(0, len(rows), 64):
+                    yield _batch(rows[at : at + 64], _REQUESTS)
 
+    return blocks.mapInArrow(task, REQUESTS)
 
-_PAIRS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("digest", pa.int64()), ("histories", pa.binary()), ("runs", pa.binary()), ("followers", pa.binary()), ("places", pa.binary()), ("counts", pa.binary())])
-PAIRS = "bucket int, block long, digest long, histories binary, runs binary, followers binary, places binary, counts binary"
-_WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("digest", pa.int64()), ("words", pa.binary())])
-_DOCS = pa.schema([("block", pa.int64()), ("digest", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("tokens", pa.binary()), ("start", pa.int64()), ("as_history", pa.binary()), ("as_follower", pa.binary())])
 
+COUNTED = "kind string, order int, bucket int, block long, keys binary, counts binary, owned binary, r int, n long"
+_NAMES = [c.split()[0] for c in COUNTED.split(", ")]
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
+def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
+    whole = {"block", "r", "n", "order", "bucket"} & set(names)
+    return pd.DataFrame(rows, columns=names).astype(dict.fromkeys(whole, "Int64"))
 
-def block_pairs(docs: DataFrame, buckets: int) -> DataFrame:
-    """A row per block and bucket: the block's distinct pairs of words there, and how often each occurs in training."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks_of(batches):
-            n = len(block.words)
-            codes, back = np.unique(block.pairs(), return_inverse=True)
-            counts = np.bincount(back, weights=_training(block), minlength=len(codes)).astype(np.int64)
-            bucket = _buckets(codes, *_bucket_parts(block.words, buckets), buckets)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                mine = order[ends[b] : ends[b + 1]]
-                if len(mine):
-                    history, follower = codes[mine] // n, codes[mine] % n
-                    first = np.flatnonzero(np.r_[True, history[1:] != history[:-1]])
-                    used, place = np.unique(follower, return_inverse=True)
-                    yield _batch([(b, block.number, block.digest, block.words[history[first]].tobytes(), pack_numbers(np.diff(np.r_[first, len(mine)])), block.words[used].tobytes(), pack_numbers(place), pack_numbers(counts[mine]))], _PAIRS)
-
-    return docs.mapInArrow(task, PAIRS)
-
-
-COUNTED = "kind string, block long, digest long, bucket int, counts binary, history long, word long, n long"
-
-
-def counted(pairs: DataFrame, least: int, k: int) -> DataFrame:
-    """What the buckets of pairs add up to, by kind.
-
-    ``answer``: the totals that a block asked for, in its order. ``bigrams``:
-    (history, word, n) from ``least`` occurrences on. ``histories``: (history,
-    n) with all occurrences, by bucket. ``sizes``: how many pairs (n) occur
-    ``word`` times, up to k + 1.
+def counted(requests: DataFrame, least: tuple[int, ...], k: int) -> DataFrame:
+    """What the buckets of n-grams add up to, by kind.
+
+    ``answers``: the totals that a block asked for, in its order, and for which
+    of them it is the one to report them further (``owned``: of each n-gram one
+    block). ``ngrams``: the model's table of keys and counts, from ``least``
+    occurrences on. ``sizes``: how many n-grams (n) occur r times, up to
+    k + 1; r = 0 stands for all occurrences, -1 for all n-grams.
     """
 
     def task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        history, word, n = [], [], []
-        for h, runs, followers, places, counts in zip(rows["histories"], rows["runs"], rows["followers"], rows["places"], rows["counts"], strict=True):
-            history.append(np.repeat(np.frombuffer(h, np.uint64), unpack_numbers(runs).astype(np.int64)))
-            word.append(np.frombuffer(followers, np.uint64)[unpack_numbers(places).astype(np.int64)])
-            n.append(unpack_numbers(counts).astype(np.int64))
-        sizes = np.array([len(x) for x in n])
-        history, word, n = (np.concatenate(x) for x in (history, word, n))
-        order = np.lexsort((word, history))
-        h, w = history[order], word[order]
-        node = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]) - 1
-        total = np.bincount(node, weights=n[order]).astype(np.int64)
-        answer = np.empty(len(n), np.int64)
-        answer[order] = total[node]
-        first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        h, w = h[first], w[first]
-        often = total >= least
-        begins = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        sums = np.add.reduceat(total, begins)
-        seen = sums > 0
-        coc = np.bincount(np.minimum(total, k + 2), minlength=k + 3)
-        parts = [
-            pd.DataFrame({"kind": "answer", "block": rows["block"], "digest": rows["digest"], "bucket": int(key[0]), "counts": [pack_numbers(a) for a in np.split(answer, np.cumsum(sizes)[:-1])]}),
-            pd.DataFrame({"kind": "bigrams", "history": h[often].view(np.int64), "word": w[often].view(np.int64), "n": total[often]}),
-            pd.DataFrame({"kind": "histories", "history": h[begins][seen].view(np.int64), "n": sums[seen]}),
-            pd.DataFrame({"kind": "sizes", "word": np.arange(1, k + 2), "n": coc[1 : k + 2]}),
-        ]
-        out = pd.concat([p.reindex(columns=[c.split()[0] for c in COUNTED.split(", ")]).astype({c: "Int64" for c in ("block", "digest", "bucket", "history", "word", "n")}) for p in parts], ignore_index=True)
-        return out
-
-    return pairs.groupBy("bucket").applyInPandas(task, COUNTED)
+        order, bucket = map(int, key)
+        rows = rows.sort_values("block")
+        asked = [unpack_sorted(b) for b in rows["keys"]]
+        ends = np.cumsum([len(a) for a in asked])
+        flat = np.concatenate(asked)
+        del asked
+        keys, first, back = np.unique(flat, return_index=True, return_inverse=True)
+        n = np.concatenate([unpack_numbers(b) for b in rows["counts"]])
+        total = np.bincount(back, weights=n).astype(np.int64)
+        owned = np.zeros(len(flat), np.uint8)
+        owned[first] = 1
+        parts = [np.split(x, ends[:-1]) for x in (total[back], owned)]
+        base = {"order": order, "bucket": bucket}
+        out = [{**base, "kind": "answers", "block": int(b), "counts": pack_numbers(c), "owned": pack_numbers(o)} for b, c, o in zip(rows["block"], *parts, strict=True)]
+        kept = total >= least[order - 1]
+        out.append({**base, "kind": "ngrams", "keys": pack_sorted(keys[kept]), "counts": pack_numbers(total[kept])})
+        sizes = np.bincount(np.minimum(total, k + 2), minlength=k + 3)
+        out += [{**base, "kind": "sizes", "r": r, "n": int(v)} for r, v in [(-1, (total > 0).sum()), (0, total.sum()), *((r, sizes[r]) for r in range(1, k + 2))]]
+        return _frame(out, _NAMES)
+
+    return requests.groupBy("order", "bucket").applyInPandas(task, COUNTED)
 
 
 def good_turing(sizes: dict[int, int], k: int) -> list[float]:
@@ -203,181 +217,189 @@ def good_turing(sizes: dict[int, int], k: int) -> list[float]:
     return out
 
 
-def discounted(counts: np.ndarray, discounts: list[float]) -> np.ndarray:
-    d = np.asarray(discounts)
-    return np.where(counts < len(d), d[np.minimum(counts, len(d) - 1)], 1.0) * counts
-
-
-def _discounted(n: Column, discounts: list[float]) -> Column:
-    out = n.cast("double")
-    for r, d in enumerate(discounts):
-        out = F.when(n == r, F.lit(float(d * r))).otherwise(out)
-    return out
-
-
-@dataclass
-class Unigrams:
-    """Probabilities of single tokens by their count; what the discounts free is that of the unknown word."""
+@dataclass(frozen=True)
+class Discounts:
+    """What the sizes of the tables say: tokens and distinct ones in training, discounts by order, and what single tokens leave for unknown ones."""
 
+    least: tuple[int, ...]
     tokens: int
     distinct: int
-    discounts: list[float]
-    scale: float
+    by_order: list[list[float]]
     unknown: float
 
-    def of(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, discounted(counts, self.discounts) * (self.scale / max(1, self.tokens)), self.unknown)
+    def part(self, order: int, counts: np.ndarray, history: np.ndarray | int) -> np.ndarray:
+        """Probabilities of seen n-grams by their counts and their history's."""
+        d = np.asarray(self.by_order[order - 1])
+        kept = np.where(counts < len(d), d[np.minimum(counts, len(d) - 1)], 1.0) * counts
+        return kept * (1 - RESERVE) / np.maximum(1, history)
+
+    def single(self, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts > 0, self.part(1, counts, self.tokens), self.unknown)
+
+
+def discounts_of(sizes: DataFrame, least: tuple[int, ...], k: int) -> Discounts:
+    """From the table of sizes (order, r, n), of which the driver sees k + 3 rows an order."""
+    found = {(r["order"], r["r"]): r["n"] for r in sizes.groupBy("order", "r").agg(F.sum("n").alias("n")).collect()}
+    by_order = [good_turing({r: found.get((m, r), 0) for r in range(1, k + 2)}, k) for m in range(1, len(least) + 1)]
+    tokens = found.get((1, 0), 0)
+    mass = tokens - sum((1 - by_order[0][r]) * r * found.get((1, r), 0) for r in range(1, k + 1))
+    return Discounts(least, tokens, found.get((1, -1), 0), by_order, 1 - mass * (1 - RESERVE) / tokens if tokens else 1.0)
+
+
+class Known:
+    """A block with the counts that it asked for."""
+
+    def __init__(self, doc: pd.Series, answers: pd.DataFrame, discounts: Discounts):
+        self.block, self.discounts = Block(doc["lengths"], doc["words"], doc["tokens"]), discounts
+        answers = answers.sort_values(["order", "bucket"])
+        mine = lambda m, c: np.concatenate([np.zeros(0, np.uint8), *[unpack_numbers(b) for b in answers.loc[answers["order"] == m, c]]])
+        self.keys, self.histories, self.grams, self.counts, self.owned, self.n = {}, {}, {}, {}, {}, {}
+        for m, keys, history in self.block.orders(len(discounts.least)):
+            self.histories[m], self.grams[m] = history, self.block.grams(m, keys)
+            self.counts[m], self.owned[m] = mine(m, "counts").astype(np.int64), mine(m, "owned").astype(bool)
+            self.n[m] = self.grams[m].spread(self.counts[m], 0)
+
+    def history_counts(self, m: int) -> np.ndarray:
+        """Of every token how often its history of order m - 1 occurs in training; every text there has one end and so one start."""
+        texts = self.counts[1][np.searchsorted(self.grams[1].keys, END)]
+        out = np.empty(len(self.block.words), np.int64)
+        out[1:] = self.n[m - 1][:-1]
+        out[self.block.starts] = texts if m == 2 else 0
+        return out
 
-    def column(self, n: Column) -> Column:
-        return _discounted(n, self.discounts) * F.lit(self.scale / max(1, self.tokens))
+    def own(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of every token: whether its n-gram of order m counts as seen, and its probability then."""
+        if m == 1:
+            return np.ones(len(self.n[1]), bool), self.discounts.single(self.n[1])
+        seen = self.n[m] >= max(1, self.discounts.least[m - 1])
+        return seen, np.where(seen, self.discounts.part(m, self.n[m], self.history_counts(m)), 0.0)
 
+    def asked(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens whose history can have followers that count as seen, and the histories' distinct keys."""
+        able = np.flatnonzero((self.block.age >= m - 2) & (self.history_counts(m) >= max(1, self.discounts.least[m - 1])))
+        return able, np.unique(self.histories[m][able])
 
-@dataclass
-class Model:
-    """Tables of a trained model: ``words`` (word, n, history_n, alpha, scale), ``bigrams`` (history, word, n), and the blocks' answers."""
 
-    words: DataFrame
-    bigrams: DataFrame
-    answers: DataFrame
-    unigrams: Unigrams
-    discounts: list[float]
-    least: int
+WEIGHED = "order int, bucket int, block long, keys binary, mass binary, below binary"
+WEIGHTS = "kind string, order int, bucket int, block long, keys binary, weights binary"
 
 
-def fit(docs: DataFrame, least: int = 2, k: int = 5) -> Model:
-    """Count, discount and normalise.
+def weight_requests(blocks: DataFrame, answers: DataFrame, discounts: Discounts, buckets: int) -> DataFrame:
+    """A row per block, order and bucket of histories: their keys, and what the n-grams that the block reports add to each.
 
-    Training documents are those whose crc32 of the id's text is not divisible
-    by ten. A pair counts as seen from ``least`` occurrences on; what rarer ones
-    and the discounts leave of a history's mass is spread by the backoff weight
-    ``alpha`` over the words that it was not seen with, in proportion to their
-    single probabilities, so every history's probabilities add up to one. A
-    history whose followers leave nothing gives up one part in its count plus
-    one (``scale``).
+    ``mass`` sums the probabilities of the seen followers, ``below`` those that
+    the next lower order gives the same followers.
     """
-    spark = docs.sparkSession
-    buckets = 2 * shuffle_partitions(spark)
-    all_counts = stored(counted(block_pairs(docs, buckets), least, k), "katz", "kind")
-    of = lambda kind: all_counts.where(F.col("kind") == kind)
-    as_long = lambda h: F.lit(int(np.array([h], np.uint64).view(np.int64)[0]))
-    histories = stored(of("histories").groupBy("history").agg(F.sum("n").alias("n")), "katz-histories")
-    is_start = F.col("history") == as_long(START)
-    single = histories.select(F.when(is_start, as_long(END)).otherwise(F.col("history")).alias("word"), "n")
-    total = single.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).first()
-    tokens, distinct = total["tokens"] or 0, total["distinct"]
-    d1 = good_turing({r["n"]: r["c"] for r in single.where(F.col("n") <= k + 1).groupBy("n").agg(F.count("*").alias("c")).collect()}, k)
-    d2 = good_turing({r["word"]: r["c"] for r in of("sizes").groupBy("word").agg(F.sum("n").alias("c")).collect()}, k)
-    mass = single.agg(F.sum(_discounted(F.col("n"), d1))).first()[0] or 0.0
-    left = 1 - mass / tokens if tokens else 1.0
-    scale = 1.0 if left > 1e-12 else tokens / (tokens + 1)
-    unigrams = Unigrams(tokens, distinct, d1, scale, left if scale == 1.0 else 1 / (tokens + 1))
-    bigrams = of("bigrams").select("history", "word", "n")
-    seen = bigrams.join(single.select("word", F.col("n").alias("single")), "word").groupBy("history").agg(F.sum(_discounted(F.col("n"), d2)).alias("mass"), F.sum(unigrams.column(F.col("single"))).alias("seen"))
-    rest = 1 - F.col("mass") / F.col("n")
-    some = rest > 1e-12
-    weighed = histories.join(seen, "history", "left").select("history", F.col("n").alias("history_n"), F.coalesce(F.when(some, rest).otherwise(1 / (F.col("n") + 1)) / (1 - F.col("seen")), F.lit(1.0)).alias("alpha"), F.when(F.col("mass").isNull() | some, F.lit(1.0)).otherwise(F.col("n") / (F.col("n") + 1)).alias("scale"))
-    no = F.lit(0).cast("long")
-    words = weighed.select(F.col("history").alias("word"), F.when(is_start, no).otherwise(F.col("history_n")).alias("n"), "history_n", "alpha", "scale")
-    end = weighed.where(is_start).select(as_long(END).alias("word"), F.col("history_n").alias("n"), no.alias("history_n"), F.lit(1.0).alias("alpha"), F.lit(1.0).alias("scale"))
-    return Model(stored(words.unionByName(end), "katz-words"), bigrams, of("answer").select("block", "digest", "bucket", "counts"), unigrams, d2, least)
-
-
-ANSWERS = "block long, digest long, bucket int, counts binary, n binary, history_n binary, alpha binary, scale binary"
-
-
-def word_answers(docs: DataFrame, words: DataFrame, bits: int) -> DataFrame:
-    """For each block and range of hashes: counts, weights and scales of the block's words, in the order of their hashes."""
-
-    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks_of(batches):
-            bucket = (block.words >> np.uint64(64 - bits)).astype(np.int64)
-            ends = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-            rows = [(b, block.number, block.digest, block.words[ends[b] : ends[b + 1]].tobytes()) for b in range(1 << bits) if ends[b] < ends[b + 1]]
-            yield _batch(rows, _WORDS)
-
-    def task(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        known = known.drop_duplicates("word")
-        order = np.argsort(known["word"].to_numpy(np.int64).view(np.uint64))
-        at = known["word"].to_numpy(np.int64).view(np.uint64)[order]
-        values = {c: known[c].to_numpy()[order] for c in ("n", "history_n", "alpha", "scale")}
-        out = []
-        for block, digest, words in zip(asked["block"], asked["digest"], asked["words"], strict=True):
-            words = np.frombuffer(words, np.uint64)
-            i = np.minimum(np.searchsorted(at, words), max(0, len(at) - 1))
-            hit = at[i] == words if len(at) else np.zeros(len(words), bool)
-            got = [np.where(hit, values[c][i], 0 if c in ("n", "history_n") else 1.0) if len(at) else np.full(len(words), 0 if c in ("n", "history_n") else 1.0) for c in values]
-            out.append((block, digest, int(key[0]), None, pack_numbers(got[0].astype(np.int64)), pack_numbers(got[1].astype(np.int64)), pack_numbers(got[2].astype(float)), pack_numbers(got[3].astype(float))))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWERS.split(", ")])
-
-    asked = docs.mapInArrow(requests, "bucket int, block long, digest long, words binary")
-    known = words.withColumn("bucket", F.shiftrightunsigned("word", 64 - bits).cast("int"))
-    return asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInPandas(task, ANSWERS)
-
-
-def block_documents(docs: DataFrame, buckets: int) -> DataFrame:
-    """A row per block: its documents as places of their words, and what tells the buckets of its pairs."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks_of(batches):
-            as_history, as_follower = _bucket_parts(block.words, buckets)
-            yield _batch([(block.number, block.digest, block.doc_ids, pack_numbers(block.lengths), pack_numbers(block.tokens), int(np.searchsorted(block.words, np.uint64(START))), pack_numbers(as_history), pack_numbers(as_follower))], _DOCS)
+    def task(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        known, out = Known(docs.iloc[0], answers, discounts), []
+        for m in range(2, len(discounts.least) + 1):
+            keys = known.asked(m)[1]
+            seen, own = known.own(m)
+            lower = known.own(m - 1)[1]
+            first = known.grams[m].first
+            mine = first[known.owned[m] & seen[first]]
+            at = np.searchsorted(keys, known.histories[m][mine])
+            sums = [np.bincount(at, weights=x[mine], minlength=len(keys)) for x in (own, lower)]
+            found, ends = _cut(keys, buckets)
+            out += [{"order": m, "bucket": b, "block": int(key[0]), "keys": pack_sorted(keys[x:y]), "mass": pack_numbers(sums[0][x:y]), "below": pack_numbers(sums[1][x:y])} for b, x, y in zip(found.tolist(), ends[:-1], ends[1:], strict=True)]
+        return _frame(out, [c.split()[0] for c in WEIGHED.split(", ")])
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(task, WEIGHED)
+
+
+def backoff_weights(requests: DataFrame) -> DataFrame:
+    """By kind: ``answers``, the weights of the histories that a block asked for, and ``table``, those of all, where they are not 1.
+
+    A weight is what a history's seen followers leave of its probability, over
+    what the next lower order leaves for all others: so every history's
+    probabilities add up to one.
+    """
 
-    return docs.mapInArrow(task, "block long, digest long, doc_ids array<long>, lengths binary, tokens binary, start long, as_history binary, as_follower binary")
+    def task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        asked = [unpack_sorted(b) for b in rows["keys"]]
+        ends = np.cumsum([len(a) for a in asked])
+        keys, back = np.unique(np.concatenate(asked), return_inverse=True)
+        mass, below = (np.bincount(back, weights=np.concatenate([unpack_numbers(b) for b in rows[c]])) for c in ("mass", "below"))
+        weight = (1 - mass) / (1 - below)
+        base = {"order": int(key[0]), "bucket": int(key[1])}
+        out = [{**base, "kind": "answers", "block": int(b), "weights": pack_numbers(w)} for b, w in zip(rows["block"], np.split(weight[back], ends[:-1]), strict=True)]
+        some = mass > 0
+        out.append({**base, "kind": "table", "keys": pack_sorted(keys[some]), "weights": pack_numbers(weight[some])})
+        return _frame(out, [c.split()[0] for c in WEIGHTS.split(", ")])
+
+    return requests.groupBy("order", "bucket").applyInPandas(task, WEIGHTS)
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents' scores: each token by the pair table, or else by the backoff weight and the single table, or else as unknown."""
-    spark = docs.sparkSession
-    buckets = 2 * shuffle_partitions(spark)
-    answers = model.answers.unionByName(word_answers(docs, model.words, max(1, ceil(log2(buckets)))), allowMissingColumns=True)
-    unigrams, d2, least = model.unigrams, model.discounts, model.least
+def scored(blocks: DataFrame, counts: DataFrame, weights: DataFrame, discounts: Discounts) -> DataFrame:
+    """The documents' scores: each token by its longest n-gram that counts as seen, with the backoff weights of the histories passed by."""
+    order = len(discounts.least)
+
+    def log_probability(known: Known, weight: dict[int, np.ndarray], m: int) -> np.ndarray:
+        """Of every token, given as many words before it as order m looks at."""
+        seen, own = known.own(m)
+        if m == 1:
+            return np.log10(own)
+        with np.errstate(divide="ignore"):
+            return np.where(seen, np.log10(own), np.log10(weight[m]) + log_probability(known, weight, m - 1))
 
     def task(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         doc = docs.iloc[0]
-        if (answers["digest"] != doc["digest"]).any():
-            raise RuntimeError("the input's partitions changed between two reads; store it as a table first")
-        answers = answers.sort_values("bucket")
-        words = answers[answers["counts"].isna()]
-        n, history_n, alpha, scale = (np.concatenate([unpack_numbers(b) for b in words[c]]) for c in ("n", "history_n", "alpha", "scale"))
-        n, history_n = n.astype(np.int64), history_n.astype(np.int64)
-        lengths, tokens = unpack_numbers(doc["lengths"]).astype(np.int64), unpack_numbers(doc["tokens"]).astype(np.int64)
-        codes, back = np.unique(pair_codes(tokens, lengths, int(doc["start"]), len(n)), return_inverse=True)
-        bucket = _buckets(codes, unpack_numbers(doc["as_history"]).astype(np.int64), unpack_numbers(doc["as_follower"]).astype(np.int64), buckets)
-        together = np.empty(len(codes), np.int64)
-        together[np.argsort(bucket, kind="stable")] = np.concatenate([unpack_numbers(b) for b in answers["counts"].dropna()]).astype(np.int64)
-        history, token = codes // len(n), codes % len(n)
-        single = np.log10(unigrams.of(n))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            pair = np.log10(discounted(together, d2) / history_n[history] * scale[history])
-        logs = np.where(together >= least, pair, np.log10(alpha)[history] + single[token])
-        starts = np.cumsum(lengths) - lengths
-        base = np.log10((n + 0.1) / (unigrams.tokens + 0.1 * (unigrams.distinct + 1)))[tokens]
-        ids = pd.array(list(doc["doc_ids"]), "Int64") if not pd.isna(doc["doc_ids"]).any() else pd.array([None if pd.isna(i) else int(i) for i in doc["doc_ids"]], "Int64")
-        return pd.DataFrame({"doc_id": ids, "held_out": [held_out(None if i is pd.NA else int(i)) for i in ids], "n_tokens": lengths, "n_known": np.add.reduceat((n > 0).astype(np.int64)[tokens], starts), "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(logs[back], starts)})
-
-    out = block_documents(docs, buckets).groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(task, SCORED)
-    return out.withColumn("train_tokens", F.lit(unigrams.tokens).cast("long"))
-
-
-def score_documents(docs: DataFrame, least: int = 2, k: int = 5) -> DataFrame:
-    """Log10 probabilities of every document of ``docs`` (doc_id, text) under a Katz model of pairs fitted on most of them.
+        known = Known(doc, answers[answers["weights"].isna()], discounts)
+        given = answers[answers["weights"].notna()].sort_values(["order", "bucket"])
+        weight = {}
+        for m in range(2, order + 1):
+            able, keys = known.asked(m)
+            values = np.concatenate([np.zeros(0), *[unpack_numbers(b) for b in given.loc[given["order"] == m, "weights"]]])
+            weight[m] = np.ones(len(known.block.words))
+            weight[m][able] = values[np.searchsorted(keys, known.histories[m][able])]
+        starts, n = known.block.starts, known.n[1]
+        logs = log_probability(known, weight, order)
+        base = np.log10((n + 0.1) / (discounts.tokens + 0.1 * (discounts.distinct + 1)))
+        ids = [None if pd.isna(i) else int(i) for i in doc["doc_ids"]]
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": [held_out(i) for i in ids], "n_tokens": known.block.lengths, "n_known": np.add.reduceat((n > 0).astype(np.int64), starts), "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(logs, starts)})
+
+    answers = counts.unionByName(weights, allowMissingColumns=True)
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(task, SCORED)
+    return out.withColumn("train_tokens", F.lit(discounts.tokens).cast("long"))
+
+
+def score_documents(docs: DataFrame, least: tuple[int, ...] = LEAST, k: int = 5) -> DataFrame:
+    """Log10 probabilities of every document of ``docs`` (doc_id, text) under a Katz model fitted on most of them.
 
     Columns: doc_id, held_out, n_tokens (words and one end), n_known,
-    base_score (add-0.1 single tokens), score, train_tokens. Blocks of
-    documents ask for the counts of their distinct pairs and words; neither
-    texts nor single tokens are shuffled, and a frequent pair is asked for once
-    per block. The model's tables lie in the shared folder, by kind.
+    base_score (add-0.1 single tokens), score, train_tokens.
 
-    ``docs`` must be a table in files: it is read three times and its partitions
-    must be the same each time; a change between the reads raises an error.
+    Training documents are those whose crc32 of the id's text is not divisible
+    by ten. The model is of as many words as ``least`` has numbers: the
+    occurrences from which an n-gram of each order counts as seen (they must not
+    fall). Rarer ones are counted but left to the backoff, as is usual for the
+    longest order. Counts up to ``k`` are discounted. A word after a history
+    that it was not seen with has the history's weight times its probability
+    after the history without its first word.
+
+    Texts are read once, into blocks of documents in the shared folder. Blocks
+    ask buckets of keys for the counts of their distinct n-grams and then for
+    the weights of their histories; a frequent n-gram is asked for once per
+    block, and a bucket is a range of 64-bit keys, so no key is hot. The model's
+    tables (``ngrams`` and weights) lie there by kind.
 
     Defined results: a null or empty text is its end alone; a null id is held
     out; repeated rows count and are scored each; with no training documents
     every token is unknown, with probability one; an empty table gives no rows;
     other columns are ignored.
     """
+    if list(least) != sorted(least):
+        raise ValueError("an n-gram that counts as seen needs parts that do")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return scored(texts, fit(texts, least, k))
+    buckets = 2 * shuffle_partitions(docs.sparkSession)
+    blocks = stored(blocks_of(texts), "katz-blocks")
+    counts = stored(counted(count_requests(blocks, len(least), buckets), least, k), "katz-counts")
+    answers = counts.where(F.col("kind") == "answers").select("block", "order", "bucket", "counts", "owned")
+    discounts = discounts_of(counts.where(F.col("kind") == "sizes"), least, k)
+    weights = stored(backoff_weights(weight_requests(blocks, answers, discounts, buckets)), "katz-weights")
+    return scored(blocks, answers, weights.where(F.col("kind") == "answers").select("block", "order", "bucket", "weights"), discounts)
