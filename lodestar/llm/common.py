@@ -51,10 +51,12 @@ def words_of(text: Column) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to a few rows, so that few texts are Python objects at a time."""
+    """Arrow batches cut to a few rows, so that few texts are Python objects at a time. At the end Arrow lets go of what it keeps for more."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

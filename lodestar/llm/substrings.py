@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from math import ceil
 
@@ -30,7 +29,8 @@ BLOCK, BLOCK_BYTES = 400_000, 10 << 20
 BITS = 1 << 27
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Characters between words.
+BLANK = "\\x20\\x09-\\x0D"
 
 
 class Suffixes:
@@ -328,7 +328,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
         large = [shortest, *(bit_filter(longer.where(F.col("depth") == d), F.col("prefix")) for d in range(prefix + STEP, window, STEP))]
     windows = (size["n"] or 0) * (window - prefix + 2) // 2
     buckets = max(shuffle_partitions(docs.sparkSession), ceil(windows / GROUP))
-    sent = stored(sent_windows(texts, repeated, large, buckets, window, prefix), "windows", "kind")
+    sent = stored(sent_windows(texts, repeated, large, buckets, window, prefix), "windows")
     again = sent.where(F.col("kind") == "again").select("doc_id", "row", "starts", "ends")
     return again.unionByName(later_leaves(sent.where(F.col("kind") == "first"), window))
 
@@ -355,38 +355,26 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     text = F.col("doc.text").cast("string")
     both = whole.join(by_doc, (F.col("doc.doc_id").cast("long") == F.col("_id")) & (_row(text) == F.col("_row")), "left")
-    rest = [c for c in docs.columns if c != "text"]
-    flat = both.select(F.struct(*[F.col(f"doc.`{c}`") for c in rest]).alias("doc"), F.col("doc.text").cast("string").alias("text"), "_starts", "_ends")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            out, words, removed = [], [], []
-            for text, starts, ends in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                text, n, gone = cut(text, starts, ends)
-                out.append(text)
-                words.append(n)
-                removed.append(gone)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())], names=["doc", "text", "n_words", "n_removed"])
-
-    doc = flat.schema["doc"].dataType.simpleString()
-    return flat.mapInArrow(task, f"doc {doc}, text string, n_words long, n_removed long")
-
-
-def cut(text: str | None, starts: list[int] | None, ends: list[int] | None) -> tuple[str | None, int, int]:
-    """A text without the words of the spans, the number of its words, and of those cut."""
-    raw = (text or "").encode()
-    if not starts:
-        return text, len(raw.split()), 0
-    at = [m.start() for m in WORD.finditer(raw)]
-    n = len(at)
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, ends, -1)
-    gone = np.cumsum(edge[:n]) > 0
-    turns = np.flatnonzero(np.r_[True, gone[1:] != gone[:-1], True])
-    pieces = [raw[: at[0]]]
-    pieces += [raw[at[a] : at[b] if b < n else len(raw)] for a, b in zip(turns[:-1], turns[1:], strict=True) if not gone[a]]
-    return b"".join(pieces).decode(), n, int(gone.sum())
+    rest = F.struct(*[F.col(f"doc.`{c}`") for c in docs.columns if c != "text"])
+    n = F.coalesce(F.regexp_count("text", F.lit(f"[^{BLANK}]+")), F.lit(0))
+    flat = both.select(rest.alias("doc"), text.alias("text"), "_starts", "_ends").withColumn("_n", n)
+    flat = flat.withColumn("_kept", F.when(F.col("_starts").isNotNull(), kept_words(F.col("_starts"), F.col("_ends"), F.col("_n"))))
+    cut = F.col("_kept").isNotNull()
+    removed = F.when(cut, F.col("_n") - F.size("_kept")).otherwise(0)
+    return flat.select("doc", F.when(cut, kept_text(F.col("text"), F.col("_kept"))).otherwise(F.col("text")).alias("text"), F.col("_n").cast("long").alias("n_words"), removed.cast("long").alias("n_removed"))
+
+
+def kept_words(starts: Column, ends: Column, n: Column) -> Column:
+    """Places of the words, of ``n``, that no span covers."""
+    gone = F.flatten(F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.sequence(x["s"], x["e"] - 1)))
+    return F.array_except(F.sequence(F.lit(0), n - 1), gone)
+
+
+def kept_text(text: Column, places: Column) -> Column:
+    """A text's words at ``places``, each with the blanks behind it, behind the text's first blanks."""
+    lead = F.regexp_extract(text, f"^[{BLANK}]*", 0)
+    words = F.array(F.regexp_extract_all(text, F.lit(f"[^{BLANK}]+[{BLANK}]*"), 0))
+    return F.concat(lead, F.transform(words, lambda w: F.array_join(F.transform(places, lambda i: F.get(w, i)), ""))[0])
 
 
 def cut_documents(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestar.llm import substrings
-from lodestar.llm.substrings import cut, cut_documents, deep_nodes, sorted_suffixes, without_repeats
+from lodestar.llm.substrings import cut_documents, deep_nodes, kept_text, kept_words, sorted_suffixes, without_repeats
 
 from .conftest import ODD
 
@@ -82,10 +83,11 @@ def test_suffix_array_and_its_deep_nodes():
 
 
 def test_cut_leaves_the_rest_as_it_was(spark, table):
-    assert cut(" a  b c\nd e ", [1], [3]) == (" a  d e ", 5, 2)
-    assert cut("a b", [0], [2]) == ("", 2, 2)
-    assert cut("a b ", [1], [2]) == ("a ", 2, 1)
-    assert cut(None, None, None) == (None, 0, 0)
+    rows = [(" a  b c\nd e ", [1], [3]), ("a b", [0], [2]), ("a b ", [1], [2]), ("a b c d", [0, 1, 3], [2, 3, 4]), ("a\xa0b c", [1], [2])]
+    df = spark.createDataFrame(rows, "t string, s array<int>, e array<int>")
+    n = F.regexp_count("t", F.lit(r"[^\x20\x09-\x0D]+"))
+    out = df.select(kept_text(F.col("t"), kept_words(F.col("s"), F.col("e"), n)).alias("t")).collect()
+    assert [r.t for r in out] == [" a  d e ", "", "a ", "", "a\xa0b "]
     docs = table([(1, "p " * 25), (2, "q\n\n" + "p " * 25)])
     assert {r.doc_id: r.text for r in cut_documents(docs).collect()}[2] == "q\n\n"
     assert cut_documents(table([], name="none")).count() == 0
