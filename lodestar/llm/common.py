@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,17 +32,63 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A run whose intermediate tables go at its end: write what the operators return inside of it."""
+    mine: list[str] = []
+    _OPEN.append(mine)
+    try:
+        yield
+    finally:
+        _OPEN.remove(mine)
+        for path in mine:
+            found = spark._jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again.
 
     Cuts the lineage: later jobs read the files, so neither a lost executor nor
-    a second consumer runs the work before it again.
+    a second consumer runs the work before it again. The table stays until the
+    shared folder is cleaned, or to the end of the ``scratch`` around the call.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for paths in _OPEN:
+        paths.append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver forget the plans that nothing refers to any more: Spark's cleaner then removes their shuffle files.
+
+    A job of several written tables would else hold the shuffle files of all of them to its end.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: One part in so many of all rows makes a key hot, so there are fewer hot keys than that.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: Column) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row per key; rows without a match go.
+
+    The keys that ``hot`` marks, which must be those of more than one in ``HOT``
+    of some rows, are few whatever the data, and meet their rows where those
+    are; the others meet theirs by a shuffle, so no task gets a hot
+    key's rows to itself. Both should be tables in files.
+    """
+    few = F.broadcast(table.where(hot))
+    many = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti").join(table.where(~hot), key)
+    return rows.join(few, key).unionByName(many)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

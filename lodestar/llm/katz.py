@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import pack_numbers, pack_sorted, unpack_numbers, unpack_sorted
-from .common import shuffle_partitions, slices, stored
+from .common import let_go, shuffle_partitions, slices, stored
 from .hashing import WordHashes, mixed
 
 #: Tokens of a block of documents.
@@ -76,7 +77,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Grams:
-    """The n-grams of one order in a block: distinct keys, and for every token the place of its n-gram, -1 where its text is too young."""
+    """The n-grams of one order in a block: distinct keys, a token of each, and for every token the place of its n-gram, -1 where its text is too young."""
 
     keys: np.ndarray
     first: np.ndarray
@@ -108,23 +109,22 @@ class Block:
         out[self.starts] = START
         return out
 
-    def orders(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(order, keys, histories' keys) of every token, order by order."""
+    def orders(self, order: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(order, keys) of every token, order by order."""
         keys = self.words
-        yield 1, keys, keys
+        yield 1, keys
         for m in range(2, order + 1):
-            history = self.history(keys)
-            keys = mixed(history * _STEP + self.words)
-            yield m, keys, history
+            keys = mixed(self.history(keys) * _STEP + self.words)
+            yield m, keys
 
-    def grams(self, m: int, keys: np.ndarray, inverse: bool = True) -> Grams:
+    def grams(self, m: int, keys: np.ndarray) -> Grams:
         whole = np.flatnonzero(self.age >= m - 2)
-        if not inverse:
-            return Grams(np.unique(keys[whole]), whole[:0], whole[:0])
-        distinct, first, back = np.unique(keys[whole], return_index=True, return_inverse=True)
+        order = whole[np.argsort(keys[whole])]
+        rising = keys[order]
+        new = np.r_[True, rising[1:] != rising[:-1]][: len(order)]
         place = np.full(len(keys), -1, np.int64)
-        place[whole] = back
-        return Grams(distinct, whole[first], place)
+        place[order] = np.cumsum(new) - 1
+        return Grams(rising[new], order[new], place)
 
 
 def _cut(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,26 +139,25 @@ _REQUESTS = pa.schema([("order", pa.int32()), ("bucket", pa.int32()), ("block",
 
 
 def count_requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """A row per block, order and bucket: the block's distinct n-grams there, and how often each occurs in its training texts."""
+    """A row per block and bucket: the block's distinct n-grams of an order there, and how often each occurs in its training texts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             number, ids, *rest = (c[0].as_py() for c in part.columns)
             block = Block(*rest)
             training = np.repeat(np.array([not held_out(i) for i in ids]), block.lengths)
-            for m, keys, _ in block.orders(order):
-                grams = block.grams(m, keys)
-                held = training & (grams.place >= 0)
-                counts = np.bincount(grams.place[held], minlength=len(grams.keys))
-                found, ends = _cut(grams.keys, buckets)
-                rows = [(m, b, number, pack_sorted(grams.keys[x:y]), pack_numbers(counts[x:y])) for b, x, y in zip(found.tolist(), ends[:-1], ends[1:], strict=True)]
-                for at in range(0, len(rows), 64):
-                    yield _batch(rows[at : at + 64], _REQUESTS)
+            *_, (m, keys) = block.orders(order)
+            grams = block.grams(m, keys)
+            counts = np.bincount(grams.place[training & (grams.place >= 0)], minlength=len(grams.keys))
+            found, ends = _cut(grams.keys, buckets)
+            rows = [(m, b, number, pack_sorted(grams.keys[x:y]), pack_numbers(counts[x:y])) for b, x, y in zip(found.tolist(), ends[:-1], ends[1:], strict=True)]
+            for at in range(0, len(rows), 64):
+                yield _batch(rows[at : at + 64], _REQUESTS)
 
     return blocks.mapInArrow(task, REQUESTS)
 
 
-COUNTED = "kind string, order int, bucket int, block long, keys binary, counts binary, owned binary, r int, n long"
+COUNTED = "kind string, order int, bucket int, block long, counts binary, owned binary, r int, n long"
 _NAMES = [c.split()[0] for c in COUNTED.split(", ")]
 
 
@@ -167,14 +166,22 @@ def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names).astype(dict.fromkeys(whole, "Int64"))
 
 
-def counted(requests: DataFrame, least: tuple[int, ...], k: int) -> DataFrame:
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every key its place among the distinct ones, and for each of those one that has it, whichever it be."""
+    order = np.argsort(keys)
+    new = np.r_[True, np.diff(keys[order]) > 0][: len(keys)]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return place, order[new]
+
+
+def counted(requests: DataFrame, k: int) -> DataFrame:
     """What the buckets of n-grams add up to, by kind.
 
     ``answers``: the totals that a block asked for, in its order, and for which
     of them it is the one to report them further (``owned``: of each n-gram one
-    block). ``ngrams``: the model's table of keys and counts, from ``least``
-    occurrences on. ``sizes``: how many n-grams (n) occur r times, up to
-    k + 1; r = 0 stands for all occurrences, -1 for all n-grams.
+    block). ``sizes``: how many n-grams (n) occur r times, up to k + 1; r = 0
+    stands for all occurrences, -1 for all n-grams.
     """
 
     def task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -182,18 +189,14 @@ def counted(requests: DataFrame, least: tuple[int, ...], k: int) -> DataFrame:
         rows = rows.sort_values("block")
         asked = [unpack_sorted(b) for b in rows["keys"]]
         ends = np.cumsum([len(a) for a in asked])
-        flat = np.concatenate(asked)
+        place, first = _places(np.concatenate(asked))
         del asked
-        keys, first, back = np.unique(flat, return_index=True, return_inverse=True)
-        n = np.concatenate([unpack_numbers(b) for b in rows["counts"]])
-        total = np.bincount(back, weights=n).astype(np.int64)
-        owned = np.zeros(len(flat), np.uint8)
+        total = np.bincount(place, weights=np.concatenate([unpack_numbers(b) for b in rows["counts"]])).astype(np.int64)
+        owned = np.zeros(len(place), np.uint8)
         owned[first] = 1
-        parts = [np.split(x, ends[:-1]) for x in (total[back], owned)]
+        parts = [np.split(x, ends[:-1]) for x in (total[place], owned)]
         base = {"order": order, "bucket": bucket}
         out = [{**base, "kind": "answers", "block": int(b), "counts": pack_numbers(c), "owned": pack_numbers(o)} for b, c, o in zip(rows["block"], *parts, strict=True)]
-        kept = total >= least[order - 1]
-        out.append({**base, "kind": "ngrams", "keys": pack_sorted(keys[kept]), "counts": pack_numbers(total[kept])})
         sizes = np.bincount(np.minimum(total, k + 2), minlength=k + 3)
         out += [{**base, "kind": "sizes", "r": r, "n": int(v)} for r, v in [(-1, (total > 0).sum()), (0, total.sum()), *((r, sizes[r]) for r in range(1, k + 2))]]
         return _frame(out, _NAMES)
@@ -253,9 +256,9 @@ class Known:
         self.block, self.discounts = Block(doc["lengths"], doc["words"], doc["tokens"]), discounts
         answers = answers.sort_values(["order", "bucket"])
         mine = lambda m, c: np.concatenate([np.zeros(0, np.uint8), *[unpack_numbers(b) for b in answers.loc[answers["order"] == m, c]]])
-        self.keys, self.histories, self.grams, self.counts, self.owned, self.n = {}, {}, {}, {}, {}, {}
-        for m, keys, history in self.block.orders(len(discounts.least)):
-            self.histories[m], self.grams[m] = history, self.block.grams(m, keys)
+        self.grams, self.counts, self.owned, self.n = {}, {}, {}, {}
+        for m, keys in self.block.orders(len(discounts.least)):
+            self.grams[m] = self.block.grams(m, keys)
             self.counts[m], self.owned[m] = mine(m, "counts").astype(np.int64), mine(m, "owned").astype(bool)
             self.n[m] = self.grams[m].spread(self.counts[m], 0)
 
@@ -275,13 +278,24 @@ class Known:
         return seen, np.where(seen, self.discounts.part(m, self.n[m], self.history_counts(m)), 0.0)
 
     def asked(self, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens whose history can have followers that count as seen, and the histories' distinct keys."""
-        able = np.flatnonzero((self.block.age >= m - 2) & (self.history_counts(m) >= max(1, self.discounts.least[m - 1])))
-        return able, np.unique(self.histories[m][able])
+        """The keys of histories that can have followers which count as seen, and of every token the place of its history in them or -1."""
+        before, least = self.grams[m - 1], max(1, self.discounts.least[m - 1])
+        able = self.counts[m - 1] >= least
+        keys, place = before.keys[able], np.where(able, np.cumsum(able) - 1, -1)
+        start = -1
+        if m == 2:
+            start = int(np.searchsorted(keys, START))
+            keys, place = np.insert(keys, start, START), place + (place >= start)
+        out = np.empty(len(before.place), np.int64)
+        out[1:] = np.r_[place, -1][before.place[:-1]]
+        out[self.block.starts] = start
+        return keys, out
 
 
 WEIGHED = "order int, bucket int, block long, keys binary, mass binary, below binary"
-WEIGHTS = "kind string, order int, bucket int, block long, keys binary, weights binary"
+WEIGHTS = "order int, bucket int, block long, weights binary"
+#: Sums of probabilities travel in so small parts, as whole numbers.
+PART = 2.0**-44
 
 
 def weight_requests(blocks: DataFrame, answers: DataFrame, discounts: Discounts, buckets: int) -> DataFrame:
@@ -294,13 +308,12 @@ def weight_requests(blocks: DataFrame, answers: DataFrame, discounts: Discounts,
     def task(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         known, out = Known(docs.iloc[0], answers, discounts), []
         for m in range(2, len(discounts.least) + 1):
-            keys = known.asked(m)[1]
+            keys, place = known.asked(m)
             seen, own = known.own(m)
             lower = known.own(m - 1)[1]
             first = known.grams[m].first
             mine = first[known.owned[m] & seen[first]]
-            at = np.searchsorted(keys, known.histories[m][mine])
-            sums = [np.bincount(at, weights=x[mine], minlength=len(keys)) for x in (own, lower)]
+            sums = [np.rint(np.bincount(place[mine], weights=x[mine], minlength=len(keys)) / PART).astype(np.int64) for x in (own, lower)]
             found, ends = _cut(keys, buckets)
             out += [{"order": m, "bucket": b, "block": int(key[0]), "keys": pack_sorted(keys[x:y]), "mass": pack_numbers(sums[0][x:y]), "below": pack_numbers(sums[1][x:y])} for b, x, y in zip(found.tolist(), ends[:-1], ends[1:], strict=True)]
         return _frame(out, [c.split()[0] for c in WEIGHED.split(", ")])
@@ -309,7 +322,7 @@ def weight_requests(blocks: DataFrame, answers: DataFrame, discounts: Discounts,
 
 
 def backoff_weights(requests: DataFrame) -> DataFrame:
-    """By kind: ``answers``, the weights of the histories that a block asked for, and ``table``, those of all, where they are not 1.
+    """The weights of the histories that each block asked for.
 
     A weight is what a history's seen followers leave of its probability, over
     what the next lower order leaves for all others: so every history's
@@ -317,16 +330,12 @@ def backoff_weights(requests: DataFrame) -> DataFrame:
     """
 
     def task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
         asked = [unpack_sorted(b) for b in rows["keys"]]
         ends = np.cumsum([len(a) for a in asked])
-        keys, back = np.unique(np.concatenate(asked), return_inverse=True)
-        mass, below = (np.bincount(back, weights=np.concatenate([unpack_numbers(b) for b in rows[c]])) for c in ("mass", "below"))
+        place, _ = _places(np.concatenate(asked))
+        mass, below = (np.bincount(place, weights=np.concatenate([unpack_numbers(b) for b in rows[c]])) * PART for c in ("mass", "below"))
         weight = (1 - mass) / (1 - below)
-        base = {"order": int(key[0]), "bucket": int(key[1])}
-        out = [{**base, "kind": "answers", "block": int(b), "weights": pack_numbers(w)} for b, w in zip(rows["block"], np.split(weight[back], ends[:-1]), strict=True)]
-        some = mass > 0
-        out.append({**base, "kind": "table", "keys": pack_sorted(keys[some]), "weights": pack_numbers(weight[some])})
+        out = [{"order": int(key[0]), "bucket": int(key[1]), "block": int(b), "weights": pack_numbers(w)} for b, w in zip(rows["block"], np.split(weight[place], ends[:-1]), strict=True)]
         return _frame(out, [c.split()[0] for c in WEIGHTS.split(", ")])
 
     return requests.groupBy("order", "bucket").applyInPandas(task, WEIGHTS)
@@ -353,10 +362,8 @@ def scored(blocks: DataFrame, counts: DataFrame, weights: DataFrame, discounts:
         given = answers[answers["weights"].notna()].sort_values(["order", "bucket"])
         weight = {}
         for m in range(2, order + 1):
-            able, keys = known.asked(m)
             values = np.concatenate([np.zeros(0), *[unpack_numbers(b) for b in given.loc[given["order"] == m, "weights"]]])
-            weight[m] = np.ones(len(known.block.words))
-            weight[m][able] = values[np.searchsorted(keys, known.histories[m][able])]
+            weight[m] = np.r_[values, 1.0][known.asked(m)[1]]
         starts, n = known.block.starts, known.n[1]
         logs = log_probability(known, weight, order)
         base = np.log10((n + 0.1) / (discounts.tokens + 0.1 * (discounts.distinct + 1)))
@@ -385,8 +392,8 @@ def score_documents(docs: DataFrame, least: tuple[int, ...] = LEAST, k: int = 5)
     Texts are read once, into blocks of documents in the shared folder. Blocks
     ask buckets of keys for the counts of their distinct n-grams and then for
     the weights of their histories; a frequent n-gram is asked for once per
-    block, and a bucket is a range of 64-bit keys, so no key is hot. The model's
-    tables (``ngrams`` and weights) lie there by kind.
+    block, and a bucket is a range of 64-bit keys, so no key is hot. Counts and
+    weights lie there by order, range and block.
 
     Defined results: a null or empty text is its end alone; a null id is held
     out; repeated rows count and are scored each; with no training documents
@@ -396,10 +403,15 @@ def score_documents(docs: DataFrame, least: tuple[int, ...] = LEAST, k: int = 5)
     if list(least) != sorted(least):
         raise ValueError("an n-gram that counts as seen needs parts that do")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    buckets = 2 * shuffle_partitions(docs.sparkSession)
+    spark, buckets, orders = docs.sparkSession, 2 * shuffle_partitions(docs.sparkSession), range(1, len(least) + 1)
     blocks = stored(blocks_of(texts), "katz-blocks")
-    counts = stored(counted(count_requests(blocks, len(least), buckets), least, k), "katz-counts")
+    counts = []
+    for m in orders:
+        counts.append(stored(counted(count_requests(blocks, m, buckets), k), "katz-counts"))
+        let_go(spark)
+    counts = reduce(DataFrame.unionByName, counts)
     answers = counts.where(F.col("kind") == "answers").select("block", "order", "bucket", "counts", "owned")
     discounts = discounts_of(counts.where(F.col("kind") == "sizes"), least, k)
     weights = stored(backoff_weights(weight_requests(blocks, answers, discounts, buckets)), "katz-weights")
-    return scored(blocks, answers, weights.where(F.col("kind") == "answers").select("block", "order", "bucket", "weights"), discounts)
+    let_go(spark)
+    return scored(blocks, answers, weights.select("block", "order", "bucket", "weights"), discounts)
