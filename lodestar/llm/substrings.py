@@ -27,12 +27,31 @@ GROUP = 150_000
 BLOCK, BLOCK_BYTES = 400_000, 10 << 20
 #: Bits of the filter of repeated prefixes.
 BITS = 1 << 27
+#: Bits for the place of a word in a text, beside its fingerprint.
+PLACE_BITS = 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Characters between words.
 BLANK = "\\x20\\x09-\\x0D"
 
 
+def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Of each stretch of ``width`` values the place of the least, by its upper 44 bits; the leftmost of equal ones.
+
+    A value and its place in one number; the least of twice as wide a stretch is
+    the lesser of two.
+    """
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    if len(values) > low:
+        inside = np.lib.stride_tricks.sliding_window_view(values & ~low, width)
+        return inside.argmin(axis=1) + np.arange(len(inside))
+    least, have = (values & ~low) | np.arange(len(values), dtype=np.uint64), 1
+    while have < width:
+        step = min(have, width - have)
+        least, have = np.minimum(least[:-step], least[step:]), have + step
+    return (least & low).astype(np.int64)
+
+
 class Suffixes:
     """Fingerprints of the suffixes of a text at chosen depths, and the sampled ones among them.
 
@@ -62,10 +81,10 @@ class Suffixes:
         if n < self.window:
             return False
         self._powers(n)
-        self.sums = np.r_[np.uint64(0), np.cumsum(self.hashes.of(self.words) * self.up[:n])]
+        self.hashed = self.hashes.of(self.words)
+        self.sums = np.r_[np.uint64(0), np.cumsum(self.hashed * self.up[:n])]
         short = self.at(np.arange(n + 1 - self.prefix), self.prefix)
-        inside = np.lib.stride_tricks.sliding_window_view(short, self.window - self.prefix + 1)
-        self.anchor = inside.argmin(axis=1) + np.arange(len(inside))
+        self.anchor = leftmost_least(short, self.window - self.prefix + 1)
         self.short = short[self.anchor]
         return True
 
@@ -124,8 +143,8 @@ def prefix_counts(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, l
     return docs.mapInArrow(task, "depth int, prefix long, n long").groupBy("depth", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
 
 
-SENT = "kind string, bucket int, doc_id long, row long, starts array<int>, ends array<int>, docs binary, rows binary, places binary, runs binary, words binary"
-_SENT = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("docs", pa.binary()), ("rows", pa.binary()), ("places", pa.binary()), ("runs", pa.binary()), ("words", pa.binary())])
+SENT = "kind string, bucket int, doc_id long, row long, starts array<int>, ends array<int>, docs binary, rows binary, places binary, runs binary, words binary, said binary"
+_SENT = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("docs", pa.binary()), ("rows", pa.binary()), ("places", pa.binary()), ("runs", pa.binary()), ("words", pa.binary()), ("said", pa.binary())])
 SPANS = "doc_id long, row long, starts array<int>, ends array<int>"
 
 
@@ -163,50 +182,74 @@ def _spans(doc: np.ndarray, row: np.ndarray, place: np.ndarray, window: int) ->
         yield int(doc[start[a]]), int(row[start[a]]), starts[a:b].tolist(), ends[a:b].tolist()
 
 
+def _by_node(deep: np.ndarray, doc: np.ndarray, place: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The order by node and then by document, place and row; the last three matter among equal nodes only."""
+    order = np.argsort(deep)
+    same = np.flatnonzero(~_changes(deep[order]))
+    some = np.unique(np.r_[same - 1, same])
+    mine = order[some]
+    order[some] = mine[np.lexsort((row[mine], place[mine], doc[mine], deep[mine]))]
+    return order
+
+
 class Held:
-    """Windows of a block of texts, and the words of those texts as bytes with the place of each."""
+    """Windows of a block of texts, and the words of those texts: as hashes, and as bytes with the place of each."""
 
     def __init__(self) -> None:
         self.parts: list[tuple] = []
+        self.hashed: list[np.ndarray] = []
         self.texts: list[tuple[bytes, np.ndarray]] = []
-        self.windows = self.bytes = 0
+        self.windows = self.bytes = self.words = 0
 
     def add(self, suffixes: Suffixes, doc_id: int, row: int, windows: np.ndarray, deep: np.ndarray, group: np.ndarray) -> None:
         lengths = np.fromiter(map(len, suffixes.words), np.int64, len(suffixes.words)) + 1
-        self.texts.append((b" ".join(suffixes.words), np.r_[0, np.cumsum(lengths)].astype(np.int32 if lengths.sum() < 1 << 31 else np.int64)))
+        self.texts.append((b" ".join(suffixes.words), np.r_[0, np.cumsum(lengths)]))
+        self.hashed.append(suffixes.hashed)
         n = len(windows)
-        self.parts.append((deep, group, np.full(n, doc_id, np.int64), np.full(n, row, np.int64), windows, np.full(n, len(self.texts) - 1, np.int64)))
-        self.windows, self.bytes = self.windows + n, self.bytes + len(self.texts[-1][0])
+        self.parts.append((deep, group, np.full(n, doc_id, np.int64), np.full(n, row, np.int64), windows, np.full(n, self.words, np.int64)))
+        self.windows, self.bytes, self.words = self.windows + n, self.bytes + len(self.texts[-1][0]), self.words + len(suffixes.words)
 
     @property
     def full(self) -> bool:
         return self.windows >= BLOCK or self.bytes >= BLOCK_BYTES
 
+    def _names(self) -> tuple[np.ndarray, list[bytes]]:
+        """Of every word of the block the number of its name, and the names."""
+        _, first, number = np.unique(np.concatenate(self.hashed), return_index=True, return_inverse=True)
+        sizes = np.array([len(h) for h in self.hashed])
+        text = np.repeat(np.arange(len(sizes)), sizes)[first]
+        at = first - (np.cumsum(sizes) - sizes)[text]
+        names = [self.texts[t][0][self.texts[t][1][i] : self.texts[t][1][i + 1] - 1] for t, i in zip(text.tolist(), at.tolist(), strict=True)]
+        return number, names
+
     def sent(self, buckets: int, window: int) -> Iterator[pa.RecordBatch]:
         """The first of equal windows, by bucket and in runs of words; of the others the spans."""
-        deep, group, doc, row, place, text = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        deep, group, doc, row, place, base = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         self.parts = []
-        order = np.lexsort((row, place, doc, deep))
-        deep, doc, row, place = deep[order], doc[order], row[order], place[order]
-        later = _later(deep, doc, place)
-        out = [("again", None, *span, *[None] * 5) for span in _spans(doc[later], row[later], place[later], window)]
+        number, names = self._names()
+        self.hashed, self.texts = [], []
+        order = _by_node(deep, doc, place, row)
+        later = _later(deep[order], doc[order], place[order])
+        again = order[later]
+        out = [("again", None, *span, *[None] * 6) for span in _spans(doc[again], row[again], place[again], window)]
         for at in range(0, len(out), 5000):
             yield _sent(out[at : at + 5000])
-        keep = ~later & _changes(deep, row)
-        bucket, doc, row, place, text = (group[order[keep]] % np.uint64(buckets)).astype(np.int64), doc[keep], row[keep], place[keep], text[order[keep]]
-        order = np.lexsort((place, text, bucket))
-        bucket, doc, row, place, text = bucket[order], doc[order], row[order], place[order], text[order]
-        first = np.flatnonzero(_changes(bucket, text) | np.r_[True, place[1:] != place[:-1] + 1][: len(bucket)])
-        runs = np.diff(np.r_[first, len(bucket)])
+        keep = order[~later & _changes(deep[order], row[order])]
+        at = base[keep] + place[keep]
+        bucket = (group[keep] % np.uint64(buckets)).astype(np.int64)
+        del deep, group, order, later
+        turn = np.argsort(bucket * (self.words + 1) + at)
+        keep, bucket, at = keep[turn], bucket[turn], at[turn]
+        doc, row, place = doc[keep], row[keep], place[keep]
+        first = np.flatnonzero(_changes(bucket, doc, row) | np.r_[True, at[1:] != at[:-1] + 1][: len(at)])
+        runs = np.diff(np.r_[first, len(at)])
         edges = np.r_[np.flatnonzero(_changes(bucket[first])), len(first)]
         out = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            said = []
-            for i, n in zip(first[a:b], runs[a:b], strict=True):
-                joined, at = self.texts[text[i]]
-                said.append(joined[at[place[i]] : at[place[i] + n + window - 1] - 1])
             mine = first[a:b]
-            out.append(("first", int(bucket[mine[0]]), None, None, None, None, pack_numbers(doc[mine].view(np.uint64)), pack_numbers(row[mine].view(np.uint64)), pack_numbers(place[mine]), pack_numbers(runs[a:b]), zstandard.compress(b" ".join(said), 3)))
+            said, used = np.unique(number[spread(at[mine], runs[a:b] + window - 1)], return_inverse=True)
+            words = zstandard.compress(b" ".join([names[i] for i in said.tolist()]), 3)
+            out.append(("first", int(bucket[mine[0]]), None, None, None, None, pack_numbers(doc[mine].view(np.uint64)), pack_numbers(row[mine].view(np.uint64)), pack_numbers(place[mine]), pack_numbers(runs[a:b]), words, pack_numbers(used)))
             if len(out) == 256:
                 yield _sent(out)
                 out = []
@@ -218,8 +261,8 @@ def sent_windows(docs: DataFrame, repeated: np.ndarray, large: list[np.ndarray],
     """Windows whose anchor may be repeated, compared inside their task.
 
     Of equal windows in a task only the first is sent on (kind ``first``, packed
-    by bucket, each run of neighbours with its words once); the spans of the
-    others are known by then (kind ``again``). A bucket holds whole groups
+    by bucket: each run of neighbours with its words once, as numbers of their
+    names); the spans of the others are known by then (kind ``again``). A bucket holds whole groups
     (``Suffixes.groups``).
     """
 
@@ -289,7 +332,8 @@ def later_leaves(first: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def task(rows: pd.DataFrame) -> pd.DataFrame:
         number: dict[bytes, int] = {}
-        words = np.concatenate([np.fromiter([number.setdefault(w, len(number)) for w in zstandard.decompress(b).split(b" ")], np.int32) for b in rows["words"]])
+        names = [np.fromiter([number.setdefault(w, len(number)) for w in zstandard.decompress(b).split(b" ")], np.int32) for b in rows["words"]]
+        words = np.concatenate([n[unpack_numbers(b)] for n, b in zip(names, rows["said"], strict=True)])
         number.clear()
         doc, row, place, runs = (np.concatenate([unpack_numbers(b).astype(np.uint64) for b in rows[c]]).view(np.int64) for c in ("docs", "rows", "places", "runs"))
         long = runs + window - 1
@@ -300,7 +344,7 @@ def later_leaves(first: DataFrame, window: int = WINDOW) -> DataFrame:
         later = _later(deep_nodes(shared, window), doc, place)
         return pd.DataFrame(list(_spans(doc[later], row[later], place[later], window)), columns=["doc_id", "row", "starts", "ends"])
 
-    return first.select("bucket", "docs", "rows", "places", "runs", "words").groupBy("bucket").applyInPandas(task, SPANS)
+    return first.select("bucket", "docs", "rows", "places", "runs", "words", "said").groupBy("bucket").applyInPandas(task, SPANS)
 
 
 def _row(text: Column) -> Column:
