@@ -5,19 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import stored
-
-#: One part in so many of all links makes a label a hub, so there are at most so many hubs.
-HUBS = 1000
-
-
-def _moved(links: DataFrame, down: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(x, b): ``links`` (a, b) with a's new label for a. The few hubs' links stay where they are, the others meet their label by a shuffle."""
-    direct = links.join(F.broadcast(hubs.select("a", F.col("to").alias("hub_to"))), "a", "left")
-    near = direct.where(F.col("hub_to").isNotNull()).select(F.col("hub_to").alias("x"), "b")
-    far = direct.where(F.col("hub_to").isNull()).select("a", "b").join(down, "a").select(F.col("to").alias("x"), "b")
-    return near.unionByName(far)
-
+from .common import HOT, spread_join, stored
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): component is the smallest node that it reaches.
@@ -27,8 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     new labels; those inside a label vanish. At least half of the labels that
     still have links go in a round. The rounds' maps, one small table each in
     the shared folder, are put together at the end. A label with more than a
-    thousandth of the links is a hub; there are fewer than ``2 * HUBS``, whose
-    map is sent to all tasks, so no task gets a hub's links to itself.
+    thousandth of the links is a hub, whose links are spread (``spread_join``).
     """
     ends = [links.select(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba")]
     left = stored(ends[0].unionByName(ends[1]).where(F.col("a") != F.col("b")).distinct(), "links")
@@ -40,10 +27,11 @@ def components(links: DataFrame) -> DataFrame:
             further = down.select(F.col("a").alias("to"), F.col("to").alias("further"))
             down = down.join(further, "to").select("a", F.col("further").alias("to"))
         down = stored(down.join(seen.select("a", "n"), "a"), "labels")
-        hubs, down = down.where(F.col("n") * HUBS > n).select("a", "to"), down.select("a", "to")
         labels = labels.join(down.select(F.col("a").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        moved = _moved(_moved(left, down, hubs).select(F.col("b").alias("a"), F.col("x").alias("b")), down, hubs)
-        moved = moved.where(F.col("x") != F.col("b")).select(F.col("x").alias("a"), "b").distinct()
+        hub = F.col("n") * HOT > n
+        moved = spread_join(left, down, "a", hub).select(F.col("to").alias("x"), F.col("b").alias("a"))
+        moved = spread_join(moved, down, "a", hub).select(F.col("x").alias("a"), F.col("to").alias("b"))
+        moved = moved.where(F.col("a") != F.col("b")).distinct()
         left_again = Observation()
         left = stored(moved.observe(left_again, F.count(F.lit(1)).alias("n")), "links")
         n = left_again.get["n"]

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices, stored
+from .common import HOT, shuffle_partitions, slices, spread_join, stored
 from .components import components
 from .filters import bit_filter, passing
 from .hashing import WordHashes, mixed
@@ -170,9 +170,10 @@ def list_units(long: DataFrame, labels: DataFrame) -> DataFrame:
     though neither is linked with the head.
     """
     both = long.unionByName(long.select("head", F.col("head").alias("node")).distinct())
-    known = both.join(labels, "node", "left").select(F.col("head").alias("unit"), "node", F.coalesce("component", "node").alias("component"))
+    known = stored(both.join(labels, "node", "left").select(F.col("head").alias("unit"), "node", F.coalesce("component", "node").alias("component")), "long-lists")
     open_ = known.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where((F.col("low") != F.col("high")) & (F.col("n") > 2))
-    dealt = known.join(open_.select("unit", F.ceil(F.col("n") / STRETCH).cast("int").alias("cuts")), "unit").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    open_ = stored(open_.select("unit", F.ceil(F.col("n") / STRETCH).cast("int").alias("cuts"), "n"), "open-lists")
+    dealt = spread_join(known, open_, "unit", F.col("n") * HOT > known.count()).drop("n").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     return dealt.select("unit", (low.cast("long") * F.col("cuts") + high).alias("part"), F.when(F.col("mine") == low, 0).otherwise(1).alias("side"), "node", "component")

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import scratch, shared_dir
 from lodestar.llm.components import components
 from lodestar.llm.filters import bit_filter, passing
 from lodestar.llm.neardup import distinct_documents, matches_needed, near_duplicates
@@ -116,3 +117,14 @@ def test_filter_holds_all(spark):
 
     ok = passing(held, np.array([some[i] for i in range(4000)]), 1 << 16)
     assert ok[::7].all() and ok.mean() < 0.3
+
+
+def test_scratch_tables_go(spark, table, tmp_path):
+    import os
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with scratch(spark):
+        near_duplicates(table(corpus()[:30])).write.parquet(str(tmp_path / "out"))
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before and spark.read.parquet(str(tmp_path / "out")).count() == 30
