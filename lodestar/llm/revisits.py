@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .asof import with_latest_before
+from .common import HOT, stored
 
 #: Headers that a 304 response may bring (RFC 9110, 15.4.5, with the validators). Fixed values.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -75,10 +76,17 @@ def resolved(records: DataFrame) -> DataFrame:
     judged = revisits.select("record_id", "canonical_url", "ts", status.alias("status"), "headers", dated.alias("original"))
     fits = F.col("status") == "resolved"
     judged = judged.select("record_id", "canonical_url", "ts", "status", F.when(fits, F.col("original.record_id")).alias("refers_to"), F.when(fits, merged_headers(F.col("original.headers"), F.col("headers"))).otherwise(F.col("headers")).alias("headers"))
-    bodies = records.where((F.col("type") == "response") & F.col("body").isNotNull() & F.col("record_id").isNotNull()).select(F.col("record_id").alias("refers_to"), "body").dropDuplicates(["refers_to"])
+    judged = stored(judged, "revisits")
+    total = max(1, judged.count())
+    # a response with more than one in HOT of all revisits stands under as many numbers as it has such parts, and its revisits are dealt to them
+    asked = judged.where(F.col("refers_to").isNotNull()).groupBy("refers_to").agg(F.count("*").alias("n"))
+    cuts = F.broadcast(asked.where(F.col("n") * HOT > total).select("refers_to", F.ceil(F.col("n") * HOT / total).cast("int").alias("cuts")))
+    number = F.pmod(F.xxhash64("record_id", "ts"), F.coalesce("cuts", F.lit(1))).cast("int")
     # what refers to nothing has no key to be dealt by, and is spread by its own id
-    spread = F.when(F.col("refers_to").isNull(), F.xxhash64("record_id", "ts")).otherwise(F.lit(0))
-    both = judged.withColumn("_spread", spread).join(bodies.withColumn("_spread", F.lit(0).cast("long")), ["refers_to", "_spread"], "left")
+    spread = F.when(F.col("refers_to").isNull(), F.pmod(F.xxhash64("record_id", "ts"), F.lit(1 << 20)).cast("int")).otherwise(number)
+    bodies = records.where((F.col("type") == "response") & F.col("body").isNotNull() & F.col("record_id").isNotNull()).select(F.col("record_id").alias("refers_to"), "body").dropDuplicates(["refers_to"])
+    bodies = bodies.join(cuts, "refers_to", "left").withColumn("spread", F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1))).drop("cuts")
+    both = judged.join(cuts, "refers_to", "left").withColumn("spread", spread).drop("cuts").join(bodies, ["refers_to", "spread"], "left")
     return both.select("record_id", "canonical_url", "ts", "status", "refers_to", "headers", "body")
 
 
