@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-INDEX = "block int, dim int, level int, low long, high long, ids binary, impacts binary, keys binary, vectors binary"
+INDEX = "block int, dim int, level int, low long, high long, kind string, ids binary, impacts binary, keys binary, vectors binary"
 HITS = "query_id long, vec_id long, score long"
 #: Vectors of a block, queries of a chunk, impact levels of a dimension.
-BLOCK, CHUNK, LEVELS = 16_384, 4_096, 8
+BLOCK, CHUNK, LEVELS = 16_384, 16_384, 8
 #: Segments between two looks at the bounds.
 STRIDE = 32
 
@@ -34,6 +34,12 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _narrow(x: np.ndarray) -> str:
+    """The narrowest kind of whole number that holds all of ``x``."""
+    top = int(np.abs(x).max()) if x.size else 0
+    return next(kind for kind, most in (("<i2", 1 << 15), ("<i4", 1 << 31), ("<i8", 1 << 63)) if top < most)
+
+
 def build_index(vectors: DataFrame, blocks: int, levels: int = LEVELS) -> DataFrame:
     """Posting segments of ``vectors`` (vec_id, v): one row for each block, dimension and impact level.
 
@@ -45,7 +51,8 @@ def build_index(vectors: DataFrame, blocks: int, levels: int = LEVELS) -> DataFr
     def segments(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id")
         x = _matrix(rows["v"], int(rows["v"].map(len).max()))
-        out = [(int(key[0]), -1, x.shape[1], 0, 0, b"", b"", rows["vec_id"].to_numpy("<i8").tobytes(), x.astype("<i8").tobytes())]
+        kind = _narrow(x)
+        out = [(int(key[0]), -1, x.shape[1], 0, 0, kind, b"", b"", rows["vec_id"].to_numpy("<i8").tobytes(), x.astype(kind).tobytes())]
         for dim in range(x.shape[1]):
             column = x[:, dim]
             low, high = int(column.min()), int(column.max())
@@ -55,7 +62,7 @@ def build_index(vectors: DataFrame, blocks: int, levels: int = LEVELS) -> DataFr
             for n in range(levels):
                 ids = order[ends[n] : ends[n + 1]]
                 if len(ids):
-                    out.append((int(key[0]), dim, n, int(column[ids].min()), int(column[ids].max()), ids.tobytes(), column[ids].astype("<i8").tobytes(), b"", b""))
+                    out.append((int(key[0]), dim, n, int(column[ids].min()), int(column[ids].max()), kind, ids.tobytes(), column[ids].astype(kind).tobytes(), b"", b""))
         return pd.DataFrame(out, columns=[c.split()[0] for c in INDEX.split(", ")])
 
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
@@ -69,12 +76,12 @@ class Block:
         whole = rows[rows["dim"] == -1].iloc[0]
         self.width = int(whole["level"])
         self.keys = np.frombuffer(whole["keys"], "<i8")
-        self.x = np.frombuffer(whole["vectors"], "<i8").reshape(len(self.keys), self.width)
+        self.x = np.frombuffer(whole["vectors"], whole["kind"]).reshape(len(self.keys), self.width)
         rows = rows[rows["dim"] >= 0].sort_values(["dim", "level"])
         self.dim = rows["dim"].to_numpy(np.int64)
         self.low, self.high = rows["low"].to_numpy(np.int64), rows["high"].to_numpy(np.int64)
         self.ids = [np.frombuffer(b, "<i4") for b in rows["ids"]]
-        self.impacts = [np.frombuffer(b, "<i8") for b in rows["impacts"]]
+        self.impacts = [np.frombuffer(b, whole["kind"]).astype(np.int64) for b in rows["impacts"]]
         first = np.r_[True, self.dim[1:] != self.dim[:-1]] if len(self.dim) else np.zeros(0, bool)
         last = np.r_[first[1:], True] if len(self.dim) else first
         self.first, self.last = first, last
@@ -116,7 +123,7 @@ class Block:
                 possible = np.flatnonzero(other & (total + left[at] >= sure))
                 if len(possible) <= few:
                     break
-        score = self.x[possible] @ w
+        score = self.x[possible].astype(np.int64) @ w
         top = np.lexsort((self.keys[possible], -score))[:k]
         return self.keys[possible][top], score[top]
 
