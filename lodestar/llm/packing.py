@@ -25,17 +25,24 @@ OUT_ROWS, OUT_BYTES = 4096, 8 << 20
 CACHE = 250_000
 #: Letters whose normal form is themselves, then ASCII signs but the apostrophe.
 LETTERS_THEN_SIGNS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
-#: Normalisers and pre-tokenizers under which such a word falls into its letters and its signs.
-PLAIN_STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+#: The normalisers and pre-tokenizers, patterns included, under which such a word falls into its letters and its signs.
+PLAIN_STEPS = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Windows that a partition keeps open; with more, all are closed.
+OPEN = 4096
 #: The byte alphabet of byte-level vocabularies: bytes that have no printable character take those from 256 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_ALPHABET = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
-def _steps(tokenizer_json: str) -> tuple[list[str], list[str]]:
+def _steps(tokenizer_json: str) -> dict[str, list]:
     found = json.loads(tokenizer_json)
-    kinds = lambda part, inner: [x["type"] for x in (found.get(part) or {}).get(inner, [])]
-    return kinds("normalizer", "normalizers"), kinds("pre_tokenizer", "pretokenizers")
+    return {part: (found.get(part) or {}).get(inner, []) for part, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))}
 
 
 class WordEncoder(dict):
@@ -76,12 +83,12 @@ class WordEncoder(dict):
             ids = self.part(match[1].lower()) + (self.part(signs) if signs else b"")
         else:
             ids = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) > CACHE:
+            self.clear()
         self[word] = ids
         return ids
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self) > CACHE:
-            self.clear()
         get = self.__getitem__
         return [b"".join(map(get, (t or "").encode().split())) + self.end for t in texts]
 
@@ -98,6 +105,7 @@ class LevelArray:
         self.window = window
         self.count = np.zeros(window + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
+        self.n_open = 0
 
     def level_for(self, size: int) -> int:
         last = self.window - size
@@ -114,11 +122,13 @@ class LevelArray:
         pieces = [] if level == 0 else self.open[level].pop()
         if level:
             self.count[level] -= 1
+            self.n_open -= 1
         pieces.append(piece)
         if level + size == self.window:
             return pieces
         self.open[level + size].append(pieces)
         self.count[level + size] += 1
+        self.n_open += 1
         return None
 
     def rest(self) -> list[tuple[int, list]]:
@@ -179,6 +189,9 @@ def windows(docs: Iterator[tuple[int | None, bytes]], window: int) -> Iterator[l
             full = levels.place((doc_id, start, part, total), len(part) // WIDTH)
             if full:
                 yield full
+        if levels.n_open > OPEN:
+            yield from closed(levels.rest(), window)
+            levels = LevelArray(window)
     yield from closed(levels.rest(), window)
 
 
@@ -206,8 +219,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     offset in that sequence. Each partition packs its own rows in one pass with
     its own level array, so nothing is shuffled, no key can make a task heavy
     and a lost task is run again on the same rows with the same result. A
-    partition keeps at most its open windows (one list of pieces per level in
-    the array) in memory and leaves no window partly filled: see ``closed``.
+    partition keeps its open windows (one list of pieces per level in the array)
+    in memory, ``OPEN`` at most and those of one more document, and leaves no
+    window partly filled: see ``closed``.
     ``sequence_id`` carries the partition in its upper bits.
 
     Defined results: a null or empty text is a document of the end id alone; a

@@ -78,12 +78,26 @@ def test_pack(spark, table):
         whole[r.doc_id].append(bytes(r.ids))
         assert r.length * 4 == len(r.ids)
     for i, text in rows:
-        if i != 905:
+        if i not in (905, 907):
             assert np.frombuffer(b"".join(whole[i]), "<u4").tolist() == library(text)
     assert sum(r.length for r in out if r.doc_id == 905) == 2 * len(library("again and again"))
     assert pack(table([], name="none"), PATH).count() == 0
 
 
+def test_open_windows_are_bounded(monkeypatch):
+    monkeypatch.setattr("lodestar.llm.packing.OPEN", 10)
+    docs = [(i, np.full(33, i, "<u4").tobytes()) for i in range(100)]
+    sizes = [sum(len(p[2]) // 4 for p in pieces) for pieces in windows(iter(docs), 64)]
+    assert sum(sizes) == 3300 and all(n & (n - 1) == 0 for n in sizes) and sizes.count(64) > 40
+
+
+def test_another_pattern_takes_the_whole_way():
+    other = open(PATH, encoding="utf-8").read().replace("[\\\\p{L}]+", "[\\\\p{L}]")
+    ours = WordEncoder(other, 1)
+    assert not ours.plain and OURS.plain
+    assert np.frombuffer(ours(["some words"])[0], "<u4").tolist() == [*Tokenizer.from_str(other).encode("some words", add_special_tokens=False).ids, 1]
+
+
 @pytest.mark.parametrize("text", ["don't", "ÀÉ!!", "a<|endoftext|>b", "ÿ÷", "12'll x"])
 def test_known_words(text):
     assert np.frombuffer(OURS([text])[0], "<u4").tolist() == library(text)
