@@ -157,7 +157,7 @@ def count_requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
     return blocks.mapInArrow(task, REQUESTS)
 
 
-COUNTED = "kind string, order int, bucket int, block long, counts binary, owned binary, r int, n long"
+COUNTED = "kind string, order int, bucket int, block long, counts binary, owned binary, places binary, r int, n long"
 _NAMES = [c.split()[0] for c in COUNTED.split(", ")]
 
 
@@ -175,12 +175,13 @@ def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, order[new]
 
 
-def counted(requests: DataFrame, k: int) -> DataFrame:
+def counted(requests: DataFrame, k: int, placed: bool) -> DataFrame:
     """What the buckets of n-grams add up to, by kind.
 
     ``answers``: the totals that a block asked for, in its order, and for which
     of them it is the one to report them further (``owned``: of each n-gram one
-    block). ``sizes``: how many n-grams (n) occur r times, up to k + 1; r = 0
+    block), and if they are to be histories (``placed``) their places among the
+    bucket's n-grams. ``sizes``: how many n-grams (n) occur r times, up to k + 1; r = 0
     stands for all occurrences, -1 for all n-grams.
     """
 
@@ -194,9 +195,9 @@ def counted(requests: DataFrame, k: int) -> DataFrame:
         total = np.bincount(place, weights=np.concatenate([unpack_numbers(b) for b in rows["counts"]])).astype(np.int64)
         owned = np.zeros(len(place), np.uint8)
         owned[first] = 1
-        parts = [np.split(x, ends[:-1]) for x in (total[place], owned)]
+        parts = [np.split(x, ends[:-1]) for x in (total[place], owned, place)]
         base = {"order": order, "bucket": bucket}
-        out = [{**base, "kind": "answers", "block": int(b), "counts": pack_numbers(c), "owned": pack_numbers(o)} for b, c, o in zip(rows["block"], *parts, strict=True)]
+        out = [{**base, "kind": "answers", "block": int(b), "counts": pack_numbers(c), "owned": pack_numbers(o), "places": pack_sorted(p) if placed else None} for b, c, o, p in zip(rows["block"], *parts, strict=True)]
         sizes = np.bincount(np.minimum(total, k + 2), minlength=k + 3)
         out += [{**base, "kind": "sizes", "r": r, "n": int(v)} for r, v in [(-1, (total > 0).sum()), (0, total.sum()), *((r, sizes[r]) for r in range(1, k + 2))]]
         return _frame(out, _NAMES)
@@ -255,11 +256,13 @@ class Known:
     def __init__(self, doc: pd.Series, answers: pd.DataFrame, discounts: Discounts):
         self.block, self.discounts = Block(doc["lengths"], doc["words"], doc["tokens"]), discounts
         answers = answers.sort_values(["order", "bucket"])
-        mine = lambda m, c: np.concatenate([np.zeros(0, np.uint8), *[unpack_numbers(b) for b in answers.loc[answers["order"] == m, c]]])
-        self.grams, self.counts, self.owned, self.n = {}, {}, {}, {}
+        mine = lambda m, c, unpack=unpack_numbers: np.concatenate([np.zeros(0, np.uint8), *[unpack(b) for b in answers.loc[answers["order"] == m, c]]])
+        self.grams, self.counts, self.owned, self.places, self.n = {}, {}, {}, {}, {}
         for m, keys in self.block.orders(len(discounts.least)):
             self.grams[m] = self.block.grams(m, keys)
             self.counts[m], self.owned[m] = mine(m, "counts").astype(np.int64), mine(m, "owned").astype(bool)
+            if m < len(discounts.least):
+                self.places[m] = mine(m, "places", unpack_sorted).astype(np.int64)
             self.n[m] = self.grams[m].spread(self.counts[m], 0)
 
     def history_counts(self, m: int) -> np.ndarray:
@@ -277,29 +280,31 @@ class Known:
         seen = self.n[m] >= max(1, self.discounts.least[m - 1])
         return seen, np.where(seen, self.discounts.part(m, self.n[m], self.history_counts(m)), 0.0)
 
-    def asked(self, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """The keys of histories that can have followers which count as seen, and of every token the place of its history in them or -1."""
+    def asked(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Histories that can have followers which count as seen: their keys, their numbers in their buckets, and of every token the place of its history here or -1.
+
+        A history's number is its place there and one more; that of the start mark is 0.
+        """
         before, least = self.grams[m - 1], max(1, self.discounts.least[m - 1])
         able = self.counts[m - 1] >= least
-        keys, place = before.keys[able], np.where(able, np.cumsum(able) - 1, -1)
-        start = -1
+        keys, numbers, place, start = before.keys[able], self.places[m - 1][able] + 1, np.where(able, np.cumsum(able) - 1, -1), -1
         if m == 2:
             start = int(np.searchsorted(keys, START))
-            keys, place = np.insert(keys, start, START), place + (place >= start)
+            keys, numbers, place = np.insert(keys, start, START), np.insert(numbers, start, 0), place + (place >= start)
         out = np.empty(len(before.place), np.int64)
         out[1:] = np.r_[place, -1][before.place[:-1]]
         out[self.block.starts] = start
-        return keys, out
+        return keys, numbers, out
 
 
-WEIGHED = "order int, bucket int, block long, keys binary, mass binary, below binary"
+WEIGHED = "order int, bucket int, block long, numbers binary, mass binary, below binary"
 WEIGHTS = "order int, bucket int, block long, weights binary"
 #: Sums of probabilities travel in so small parts, as whole numbers.
-PART = 2.0**-44
+PART = 2.0**-40
 
 
 def weight_requests(blocks: DataFrame, answers: DataFrame, discounts: Discounts, buckets: int) -> DataFrame:
-    """A row per block, order and bucket of histories: their keys, and what the n-grams that the block reports add to each.
+    """A row per block, order and bucket of histories: their numbers, and what the n-grams that the block reports add to each.
 
     ``mass`` sums the probabilities of the seen followers, ``below`` those that
     the next lower order gives the same followers.
@@ -308,19 +313,24 @@ def weight_requests(blocks: DataFrame, answers: DataFrame, discounts: Discounts,
     def task(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         known, out = Known(docs.iloc[0], answers, discounts), []
         for m in range(2, len(discounts.least) + 1):
-            keys, place = known.asked(m)
+            keys, numbers, place = known.asked(m)
             seen, own = known.own(m)
             lower = known.own(m - 1)[1]
             first = known.grams[m].first
             mine = first[known.owned[m] & seen[first]]
             sums = [np.rint(np.bincount(place[mine], weights=x[mine], minlength=len(keys)) / PART).astype(np.int64) for x in (own, lower)]
             found, ends = _cut(keys, buckets)
-            out += [{"order": m, "bucket": b, "block": int(key[0]), "keys": pack_sorted(keys[x:y]), "mass": pack_numbers(sums[0][x:y]), "below": pack_numbers(sums[1][x:y])} for b, x, y in zip(found.tolist(), ends[:-1], ends[1:], strict=True)]
+            out += [{"order": m, "bucket": b, "block": int(key[0]), "numbers": pack_sorted(numbers[x:y]), "mass": pack_numbers(sums[0][x:y]), "below": pack_numbers(sums[1][x:y])} for b, x, y in zip(found.tolist(), ends[:-1], ends[1:], strict=True)]
         return _frame(out, [c.split()[0] for c in WEIGHED.split(", ")])
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(task, WEIGHED)
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """Floats to 37 binary digits, which pack smaller."""
+    return (x.view(np.int64) & ~np.int64(0xFFFF)).view(np.float64)
+
+
 def backoff_weights(requests: DataFrame) -> DataFrame:
     """The weights of the histories that each block asked for.
 
@@ -330,12 +340,12 @@ def backoff_weights(requests: DataFrame) -> DataFrame:
     """
 
     def task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        asked = [unpack_sorted(b) for b in rows["keys"]]
+        asked = [unpack_sorted(b) for b in rows["numbers"]]
         ends = np.cumsum([len(a) for a in asked])
         place, _ = _places(np.concatenate(asked))
         mass, below = (np.bincount(place, weights=np.concatenate([unpack_numbers(b) for b in rows[c]])) * PART for c in ("mass", "below"))
         weight = (1 - mass) / (1 - below)
-        out = [{"order": int(key[0]), "bucket": int(key[1]), "block": int(b), "weights": pack_numbers(w)} for b, w in zip(rows["block"], np.split(weight[place], ends[:-1]), strict=True)]
+        out = [{"order": int(key[0]), "bucket": int(key[1]), "block": int(b), "weights": pack_numbers(w)} for b, w in zip(rows["block"], np.split(_short(weight)[place], ends[:-1]), strict=True)]
         return _frame(out, [c.split()[0] for c in WEIGHTS.split(", ")])
 
     return requests.groupBy("order", "bucket").applyInPandas(task, WEIGHTS)
@@ -363,7 +373,7 @@ def scored(blocks: DataFrame, counts: DataFrame, weights: DataFrame, discounts:
         weight = {}
         for m in range(2, order + 1):
             values = np.concatenate([np.zeros(0), *[unpack_numbers(b) for b in given.loc[given["order"] == m, "weights"]]])
-            weight[m] = np.r_[values, 1.0][known.asked(m)[1]]
+            weight[m] = np.r_[values, 1.0][known.asked(m)[2]]
         starts, n = known.block.starts, known.n[1]
         logs = log_probability(known, weight, order)
         base = np.log10((n + 0.1) / (discounts.tokens + 0.1 * (discounts.distinct + 1)))
@@ -407,10 +417,10 @@ def score_documents(docs: DataFrame, least: tuple[int, ...] = LEAST, k: int = 5)
     blocks = stored(blocks_of(texts), "katz-blocks")
     counts = []
     for m in orders:
-        counts.append(stored(counted(count_requests(blocks, m, buckets), k), "katz-counts"))
+        counts.append(stored(counted(count_requests(blocks, m, buckets), k, m < len(least)), "katz-counts"))
         let_go(spark)
     counts = reduce(DataFrame.unionByName, counts)
-    answers = counts.where(F.col("kind") == "answers").select("block", "order", "bucket", "counts", "owned")
+    answers = counts.where(F.col("kind") == "answers").select("block", "order", "bucket", "counts", "owned", "places")
     discounts = discounts_of(counts.where(F.col("kind") == "sizes"), least, k)
     weights = stored(backoff_weights(weight_requests(blocks, answers, discounts, buckets)), "katz-weights")
     let_go(spark)
