@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -68,8 +69,10 @@ def let_go(spark: SparkSession) -> None:
 
     A job of several written tables would else hold the shuffle files of all of them to its end.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # listeners hold a plan for a moment after its end
+        time.sleep(0.4)
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 #: One part in so many of all rows makes a key hot, so there are fewer hot keys than that.

@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -77,7 +76,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Grams:
-    """The n-grams of one order in a block: distinct keys, a token of each, and for every token the place of its n-gram, -1 where its text is too young."""
+    """The n-grams of one order in a block: distinct keys, a token of each, and for every token the place of its n-gram, -1 where there is none or it is not asked for."""
 
     keys: np.ndarray
     first: np.ndarray
@@ -117,8 +116,8 @@ class Block:
             keys = mixed(self.history(keys) * _STEP + self.words)
             yield m, keys
 
-    def grams(self, m: int, keys: np.ndarray) -> Grams:
-        whole = np.flatnonzero(self.age >= m - 2)
+    def grams(self, keys: np.ndarray, asked: np.ndarray) -> Grams:
+        whole = np.flatnonzero(asked)
         order = whole[np.argsort(keys[whole])]
         rising = keys[order]
         new = np.r_[True, rising[1:] != rising[:-1]][: len(order)]
@@ -134,27 +133,43 @@ def _cut(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket[first], np.r_[first, len(keys)]
 
 
-REQUESTS = "order int, bucket int, block long, keys binary, counts binary"
-_REQUESTS = pa.schema([("order", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+REQUESTS = "order int, bucket int, block long, keys binary, counts binary, occurrences long"
+_REQUESTS = [c.split()[0] for c in REQUESTS.split(", ")]
 
 
-def count_requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """A row per block and bucket: the block's distinct n-grams of an order there, and how often each occurs in its training texts."""
+def count_requests(blocks: DataFrame, answers: DataFrame, order: int, least: tuple[int, ...], buckets: int) -> DataFrame:
+    """A row per block and bucket: the block's distinct n-grams of an order there, and how often each occurs in its training texts.
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1):
-            number, ids, *rest = (c[0].as_py() for c in part.columns)
-            block = Block(*rest)
-            training = np.repeat(np.array([not held_out(i) for i in ids]), block.lengths)
-            *_, (m, keys) = block.orders(order)
-            grams = block.grams(m, keys)
-            counts = np.bincount(grams.place[training & (grams.place >= 0)], minlength=len(grams.keys))
-            found, ends = _cut(grams.keys, buckets)
-            rows = [(m, b, number, pack_sorted(grams.keys[x:y]), pack_numbers(counts[x:y])) for b, x, y in zip(found.tolist(), ends[:-1], ends[1:], strict=True)]
-            for at in range(0, len(rows), 64):
-                yield _batch(rows[at : at + 64], _REQUESTS)
+    ``answers`` holds the counts of the shorter orders. From order three on, if
+    n-grams count from two occurrences on, only those are asked for whose
+    history and whose end occur twice: of all others it is known that they occur once at
+    most. ``occurrences``, in one row per block, counts all of the training texts.
+    """
+
+    def requests(doc: pd.Series, block: Block, keys: np.ndarray, asked: np.ndarray) -> pd.DataFrame:
+        training = np.repeat(np.array([not held_out(None if pd.isna(i) else int(i)) for i in doc["doc_ids"]]), block.lengths)
+        grams, number = block.grams(keys, asked), int(doc["block"])
+        counts = np.bincount(grams.place[training & (grams.place >= 0)], minlength=len(grams.keys))
+        found, ends = _cut(grams.keys, buckets)
+        out = [(order, b, number, pack_sorted(grams.keys[x:y]), pack_numbers(counts[x:y]), 0) for b, x, y in zip(found.tolist(), ends[:-1], ends[1:], strict=True)]
+        out = out or [(order, 0, number, pack_sorted(grams.keys), pack_numbers(counts), 0)]
+        out[0] = (*out[0][:-1], int((training & (block.age >= order - 2)).sum()))
+        return pd.DataFrame(out, columns=_REQUESTS)
 
-    return blocks.mapInArrow(task, REQUESTS)
+    def all_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for _, doc in part.iterrows():
+                block = Block(doc["lengths"], doc["words"], doc["tokens"])
+                *_, (_, keys) = block.orders(order)
+                yield requests(doc, block, keys, block.age >= order - 2)
+
+    def some_of(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        known = Known(docs.iloc[0], answers, least, order - 1)
+        return requests(docs.iloc[0], known.block, known.keys, known.askable(order))
+
+    if order < 3:
+        return blocks.mapInPandas(all_of, REQUESTS)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(some_of, REQUESTS)
 
 
 COUNTED = "kind string, order int, bucket int, block long, counts binary, owned binary, places binary, r int, n long"
@@ -181,8 +196,9 @@ def counted(requests: DataFrame, k: int, placed: bool) -> DataFrame:
     ``answers``: the totals that a block asked for, in its order, and for which
     of them it is the one to report them further (``owned``: of each n-gram one
     block), and if they are to be histories (``placed``) their places among the
-    bucket's n-grams. ``sizes``: how many n-grams (n) occur r times, up to k + 1; r = 0
-    stands for all occurrences, -1 for all n-grams.
+    bucket's n-grams. ``sizes``: how many n-grams (n) occur r times, up to
+    k + 1; r = 0 stands for all occurrences, -1 for all n-grams; -2 for all
+    occurrences with those that were not asked for.
     """
 
     def task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -199,7 +215,7 @@ def counted(requests: DataFrame, k: int, placed: bool) -> DataFrame:
         base = {"order": order, "bucket": bucket}
         out = [{**base, "kind": "answers", "block": int(b), "counts": pack_numbers(c), "owned": pack_numbers(o), "places": pack_sorted(p) if placed else None} for b, c, o, p in zip(rows["block"], *parts, strict=True)]
         sizes = np.bincount(np.minimum(total, k + 2), minlength=k + 3)
-        out += [{**base, "kind": "sizes", "r": r, "n": int(v)} for r, v in [(-1, (total > 0).sum()), (0, total.sum()), *((r, sizes[r]) for r in range(1, k + 2))]]
+        out += [{**base, "kind": "sizes", "r": r, "n": int(v)} for r, v in [(-2, rows["occurrences"].sum()), (-1, (total > 0).sum()), (0, total.sum()), *((r, sizes[r]) for r in range(1, k + 2))]]
         return _frame(out, _NAMES)
 
     return requests.groupBy("order", "bucket").applyInPandas(task, COUNTED)
@@ -244,27 +260,41 @@ class Discounts:
 def discounts_of(sizes: DataFrame, least: tuple[int, ...], k: int) -> Discounts:
     """From the table of sizes (order, r, n), of which the driver sees k + 3 rows an order."""
     found = {(r["order"], r["r"]): r["n"] for r in sizes.groupBy("order", "r").agg(F.sum("n").alias("n")).collect()}
-    by_order = [good_turing({r: found.get((m, r), 0) for r in range(1, k + 2)}, k) for m in range(1, len(least) + 1)]
+    by_order = []
+    for m in range(1, len(least) + 1):
+        counts = {r: found.get((m, r), 0) for r in range(1, k + 2)}
+        counts[1] += found.get((m, -2), 0) - found.get((m, 0), 0)  # what was not asked for and occurs at all occurs once
+        by_order.append(good_turing(counts, k))
     tokens = found.get((1, 0), 0)
     mass = tokens - sum((1 - by_order[0][r]) * r * found.get((1, r), 0) for r in range(1, k + 1))
     return Discounts(least, tokens, found.get((1, -1), 0), by_order, 1 - mass * (1 - RESERVE) / tokens if tokens else 1.0)
 
 
 class Known:
-    """A block with the counts that it asked for."""
+    """A block with the counts that it asked for, of the orders up to ``upto``; ``keys`` are those of the next one."""
 
-    def __init__(self, doc: pd.Series, answers: pd.DataFrame, discounts: Discounts):
-        self.block, self.discounts = Block(doc["lengths"], doc["words"], doc["tokens"]), discounts
+    def __init__(self, doc: pd.Series, answers: pd.DataFrame, least: tuple[int, ...], upto: int, discounts: Discounts | None = None):
+        self.block, self.least, self.discounts = Block(doc["lengths"], doc["words"], doc["tokens"]), least, discounts
         answers = answers.sort_values(["order", "bucket"])
         mine = lambda m, c, unpack=unpack_numbers: np.concatenate([np.zeros(0, np.uint8), *[unpack(b) for b in answers.loc[answers["order"] == m, c]]])
         self.grams, self.counts, self.owned, self.places, self.n = {}, {}, {}, {}, {}
-        for m, keys in self.block.orders(len(discounts.least)):
-            self.grams[m] = self.block.grams(m, keys)
+        for m, self.keys in self.block.orders(min(upto + 1, len(least))):
+            if m > upto:
+                break
+            self.grams[m] = self.block.grams(self.keys, self.askable(m))
             self.counts[m], self.owned[m] = mine(m, "counts").astype(np.int64), mine(m, "owned").astype(bool)
-            if m < len(discounts.least):
+            if m < len(least):
                 self.places[m] = mine(m, "places", unpack_sorted).astype(np.int64)
             self.n[m] = self.grams[m].spread(self.counts[m], 0)
 
+    def askable(self, m: int) -> np.ndarray:
+        """Which tokens' n-grams of order m are asked for."""
+        old = self.block.age >= m - 2
+        if m < 3:
+            return old
+        often = self.n[m - 1] >= min(2, max(1, self.least[m - 1]))
+        return old & often & np.r_[False, often[:-1]]
+
     def history_counts(self, m: int) -> np.ndarray:
         """Of every token how often its history of order m - 1 occurs in training; every text there has one end and so one start."""
         texts = self.counts[1][np.searchsorted(self.grams[1].keys, END)]
@@ -277,7 +307,7 @@ class Known:
         """Of every token: whether its n-gram of order m counts as seen, and its probability then."""
         if m == 1:
             return np.ones(len(self.n[1]), bool), self.discounts.single(self.n[1])
-        seen = self.n[m] >= max(1, self.discounts.least[m - 1])
+        seen = self.n[m] >= max(1, self.least[m - 1])
         return seen, np.where(seen, self.discounts.part(m, self.n[m], self.history_counts(m)), 0.0)
 
     def asked(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -285,7 +315,7 @@ class Known:
 
         A history's number is its place there and one more; that of the start mark is 0.
         """
-        before, least = self.grams[m - 1], max(1, self.discounts.least[m - 1])
+        before, least = self.grams[m - 1], max(1, self.least[m - 1])
         able = self.counts[m - 1] >= least
         keys, numbers, place, start = before.keys[able], self.places[m - 1][able] + 1, np.where(able, np.cumsum(able) - 1, -1), -1
         if m == 2:
@@ -311,8 +341,9 @@ def weight_requests(blocks: DataFrame, answers: DataFrame, discounts: Discounts,
     """
 
     def task(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        known, out = Known(docs.iloc[0], answers, discounts), []
-        for m in range(2, len(discounts.least) + 1):
+        least = discounts.least
+        known, out = Known(docs.iloc[0], answers, least, len(least), discounts), []
+        for m in range(2, len(least) + 1):
             keys, numbers, place = known.asked(m)
             seen, own = known.own(m)
             lower = known.own(m - 1)[1]
@@ -368,7 +399,7 @@ def scored(blocks: DataFrame, counts: DataFrame, weights: DataFrame, discounts:
 
     def task(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         doc = docs.iloc[0]
-        known = Known(doc, answers[answers["weights"].isna()], discounts)
+        known = Known(doc, answers[answers["weights"].isna()], discounts.least, order, discounts)
         given = answers[answers["weights"].notna()].sort_values(["order", "bucket"])
         weight = {}
         for m in range(2, order + 1):
@@ -415,11 +446,12 @@ def score_documents(docs: DataFrame, least: tuple[int, ...] = LEAST, k: int = 5)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     spark, buckets, orders = docs.sparkSession, 2 * shuffle_partitions(docs.sparkSession), range(1, len(least) + 1)
     blocks = stored(blocks_of(texts), "katz-blocks")
-    counts = []
+    counts = spark.createDataFrame([], COUNTED)
     for m in orders:
-        counts.append(stored(counted(count_requests(blocks, m, buckets), k, m < len(least)), "katz-counts"))
+        answers = counts.where(F.col("kind") == "answers").select("block", "order", "bucket", "counts", "owned", "places")
+        made = stored(counted(count_requests(blocks, answers, m, least, buckets), k, m < len(least)), "katz-counts")
+        counts = made if m == 1 else counts.unionByName(made)
         let_go(spark)
-    counts = reduce(DataFrame.unionByName, counts)
     answers = counts.where(F.col("kind") == "answers").select("block", "order", "bucket", "counts", "owned", "places")
     discounts = discounts_of(counts.where(F.col("kind") == "sizes"), least, k)
     weights = stored(backoff_weights(weight_requests(blocks, answers, discounts, buckets)), "katz-weights")
