@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import with_latest_before
-from .common import stored
+from .common import HOT, spread_join, stored
 
 #: Turns of a conversation that one task looks through at a time.
 STRETCH = 1024
@@ -18,7 +18,8 @@ def normalised(text: Column) -> Column:
 
 
 def _hash(text: Column) -> Column:
-    return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
+    """128 bits of a passage's digest."""
+    return F.unhex(F.substring(F.sha2(normalised(text).cast("binary"), 256), 1, 32))
 
 
 def passages(text: Column) -> Column:
@@ -55,17 +56,16 @@ def _lines(text: Column) -> Column:
 
 
 def _runs(lines: Column) -> Column:
-    """All runs of 2, 4, 8 ... of two lines or more, as (k, p, h): 2^k lines from place p on, and their hash out of the halves' hashes."""
-    sha = lambda b: F.unhex(F.sha2(b, 256))
-    none = F.array().cast("array<struct<k:int,p:int,h:binary>>")
+    """All runs of 2, 4, 8 ... of two lines or more, as (k, p, h): 2^k lines from place p on, and their 64-bit hash out of the halves' hashes."""
+    none = F.array().cast("array<struct<k:int,p:int,h:bigint>>")
 
     def doubled(acc: Column, k: Column) -> Column:
         half = F.pow(F.lit(2), k - 1).cast("int")
         heads = F.slice(acc["now"], F.lit(1), F.size(acc["now"]) - half)
-        now = F.transform(heads, lambda h, i: sha(F.concat(h, F.get(acc["now"], i + half))))
+        now = F.transform(heads, lambda h, i: F.xxhash64(h, F.get(acc["now"], i + half)))
         return F.transform(F.array(now), lambda n: F.struct(n.alias("now"), F.concat(acc["all"], F.transform(n, lambda h, i: F.struct(k.cast("int").alias("k"), i.cast("int").alias("p"), h.alias("h")))).alias("all")))[0]
 
-    start = F.struct(F.transform(lines, lambda x: sha(x.cast("binary"))).alias("now"), none.alias("all"))
+    start = F.struct(F.transform(lines, lambda x: F.xxhash64(x)).alias("now"), none.alias("all"))
     return F.aggregate(F.sequence(F.lit(1), _doublings(lines)), start, doubled, lambda acc: acc["all"])
 
 
@@ -86,7 +86,7 @@ def quoted_runs(messages: DataFrame) -> DataFrame:
     apart = (F.size("lines") - F.pow(F.lit(2), F.col("k")).cast("int")).alias("apart")
     quotes = quotes.select("hash", "lines", _doublings(F.col("lines")).alias("k"), _runs(F.col("lines")).alias("runs")).select("hash", "k", "runs", apart)
     quotes = quotes.select("hash", "k", "apart", at(F.lit(0)).alias("head"), at(F.col("apart")).alias("tail")).distinct()
-    texts = several(messages.select("conv_id", "turn", _lines(F.col("own")).alias("lines"))).withColumn("own_hash", F.unhex(F.sha2(F.array_join("lines", "\n").cast("binary"), 256)))
+    texts = several(messages.select("conv_id", "turn", _lines(F.col("own")).alias("lines"))).withColumn("own_hash", F.unhex(F.substring(F.sha2(F.array_join("lines", "\n").cast("binary"), 256), 1, 32)))
     posts = texts.select("own_hash", "lines").dropDuplicates(["own_hash"]).select("own_hash", F.explode(_runs(F.col("lines"))).alias("run")).select("own_hash", "run.*")
     heads = quotes.join(posts.withColumnRenamed("h", "head"), ["k", "head"]).select("hash", "k", "own_hash", "tail", (F.col("p") + F.col("apart")).alias("p"))
     whole = heads.join(posts.withColumnRenamed("h", "tail"), ["own_hash", "k", "p", "tail"], "left_semi").select("hash", "own_hash").distinct()
@@ -94,25 +94,32 @@ def quoted_runs(messages: DataFrame) -> DataFrame:
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """A row per quoted passage: (conv_id, turn, place, level, source), ``source`` (conv_id, turn) null where nothing matches.
+    """A row per quoted passage that an earlier message holds: (conv_id, turn, place, level, source), ``source`` being (conv_id, turn).
 
     A message can be quoted as a whole, by a stretch of its own between quotes,
     by a paragraph, or by any of its lines that follow each other. The latest
     earlier message of the same conversation is taken; failing that the first
-    of all messages that hold the passage, if it comes before.
+    of all messages that hold the passage, if it comes before. Passages that
+    nobody holds give no row.
     """
     quotes = messages.select("conv_id", "turn", F.posexplode("quotes").alias("place", "quote")).select("conv_id", "turn", "place", "quote.level", _hash(F.col("quote.text")).alias("hash"))
     paragraphs = F.flatten(F.transform("parts", lambda p: F.split(p, r"\n\s*\n")))
     pieces = F.array_distinct(F.concat(F.split("own", "\n"), F.col("parts"), paragraphs, F.array("own")))
-    originals = messages.select("conv_id", "turn", F.explode(F.filter(pieces, lambda p: normalised(p) != "")).alias("piece")).select("conv_id", "turn", _hash(F.col("piece")).alias("hash")).unionByName(quoted_runs(messages)).distinct()
-    both = quotes.select("conv_id", "turn", "hash", "place", "level", F.lit(1).alias("kind")).unionByName(originals.select("conv_id", "turn", "hash", F.lit(-1).alias("place"), F.lit(0).alias("level"), F.lit(0).alias("kind")))
+    originals = messages.select("conv_id", "turn", F.explode(F.filter(pieces, lambda p: normalised(p) != "")).alias("piece")).select("conv_id", "turn", _hash(F.col("piece")).alias("hash")).unionByName(quoted_runs(messages))
+    # what nobody quotes in a conversation goes before the rest is looked through
+    here = originals.join(quotes.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
+    both = quotes.select("conv_id", "turn", "hash", "place", "level", F.lit(1).alias("kind")).unionByName(here.select("conv_id", "turn", "hash", F.lit(-1).alias("place"), F.lit(0).alias("level"), F.lit(0).alias("kind")))
     # quotes of a turn stand before its own pieces: no message quotes itself
     at = both.withColumn("after", F.col("kind") == 0)
-    near = with_latest_before(at, ["conv_id", "hash"], F.floor(F.col("turn") / STRETCH), ["turn", "after", "place"], F.col("kind") == 0, F.struct("conv_id", "turn"), "near")
-    first = originals.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    out = near.where(F.col("kind") == 1).join(first, "hash", "left")
-    earlier = F.when(F.col("first") < F.struct("conv_id", "turn"), F.col("first"))
-    return out.select("conv_id", "turn", "place", "level", F.coalesce("near", earlier).alias("source"))
+    near = with_latest_before(at, ["conv_id", "hash"], F.floor(F.col("turn") / STRETCH), ["turn", "after", "place"], F.col("kind") == 0, F.struct("conv_id", "turn"), "source")
+    near = stored(near.where(F.col("kind") == 1).select("conv_id", "turn", "place", "level", "hash", "source"), "near-sources")
+    found, open_ = near.where(F.col("source").isNotNull()).drop("hash"), near.where(F.col("source").isNull()).drop("source")
+    asked = open_.groupBy("hash").agg(F.count("*").alias("n"))
+    if asked.isEmpty():
+        return found
+    first = stored(originals.join(asked, "hash").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("source"), F.max("n").alias("n")), "first-sources")
+    far = spread_join(open_, first, "hash", F.col("n") * HOT > near.count()).where(F.col("source") < F.struct("conv_id", "turn"))
+    return found.unionByName(far.select(found.columns))
 
 
 def replies(messages: DataFrame) -> DataFrame:
