@@ -70,7 +70,7 @@ def let_go(spark: SparkSession) -> None:
     A job of several written tables would else hold the shuffle files of all of them to its end.
     """
     for _ in range(2):  # listeners hold a plan for a moment after its end
-        time.sleep(0.4)
+        time.sleep(0.2)
         gc.collect()
         spark._jvm.System.gc()
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .blobs import pack_numbers, pack_sorted, unpack_numbers, unpack_sorted
 from .common import let_go, shuffle_partitions, slices, stored
-from .hashing import WordHashes, mixed
+from .hashing import mixed, word_hashes
 
 #: Tokens of a block of documents.
 BLOCK_TOKENS = 1_250_000
@@ -49,7 +49,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, number = WordHashes(), TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
         ids, parts, size = [], [], 0
 
         def made() -> pa.RecordBatch:
@@ -62,7 +62,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         for part in slices(batches):
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 words = (text or "").encode().lower().split()
-                parts.append(np.r_[hashes.of(words), END])
+                parts.append(np.r_[word_hashes(words), END])
                 ids.append(doc_id)
                 size += len(words) + 1
                 if size >= BLOCK_TOKENS:

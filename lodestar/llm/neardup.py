@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import HOT, shuffle_partitions, slices, spread_join, stored
 from .components import components
 from .filters import bit_filter, passing
-from .hashing import WordHashes, mixed
+from .hashing import mixed, word_hashes
 
 #: Words of a shingle; coordinates of a signature.
 WORDS, COORDINATES = 5, 64
@@ -45,9 +45,6 @@ def matches_needed(similarity: float, coordinates: int = COORDINATES, miss: floa
 class Shingler:
     """Distinct shingles of a text, as sorted 64-bit hashes."""
 
-    def __init__(self) -> None:
-        self.hashes = WordHashes()
-
     def words(self, text: str | None) -> list[bytes]:
         return (text or "").encode().lower().split()
 
@@ -55,7 +52,7 @@ class Shingler:
         n = len(words)
         if n < WORDS:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)] if n else [], np.uint64)
-        w = self.hashes.of(words)
+        w = word_hashes(words)
         h = w[: n - WORDS + 1] * _PLACES[0]
         for i in range(1, WORDS):
             h = h + w[i : n - WORDS + 1 + i] * _PLACES[i]
@@ -286,8 +283,10 @@ def distinct_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Of rows that repeat an id and its text one stays; rows without id all stay.
     """
-    found = near_duplicates(docs, percent).where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"))
-    marks = found.agg(F.bool_or(~F.col("kept")).alias("_gone"), (F.count("*") > 1).alias("_often")).where(F.col("_gone") | F.col("_often"))
-    left = docs.join(marks, docs["doc_id"] == marks["_id"], "left").where(~F.coalesce("_gone", F.lit(False)))
-    often = F.coalesce("_often", F.lit(False))
-    return left.where(~often).select(*[docs[c] for c in docs.columns]).unionByName(left.where(often).dropDuplicates(["_id", "text"]).select(*[docs[c] for c in docs.columns]))
+    found = near_duplicates(docs, percent).where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id"))
+    marks = found.agg(F.bool_or(~F.col("kept")).alias("gone"), (F.count("*") > 1).alias("often")).where(F.col("gone") | F.col("often"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("id"))
+    left = whole.join(marks, "id", "left").where(~F.coalesce("gone", F.lit(False)))
+    often = F.coalesce("often", F.lit(False))
+    once = left.where(often).withColumn("text", F.col("doc.text")).dropDuplicates(["id", "text"])
+    return left.where(~often).select("doc").unionByName(once.select("doc")).select("doc.*")

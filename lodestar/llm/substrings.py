@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .blobs import pack_numbers, spread, unpack_numbers
 from .common import shuffle_partitions, slices, stored
 from .filters import bit_filter, passing
-from .hashing import WordHashes, mixed
+from .hashing import mixed, word_hashes
 
 #: Words of a window, of the shortest prefix by which suffixes are grouped, and of each extension of a prefix.
 WINDOW, PREFIX, STEP = 20, 8, 4
@@ -53,19 +53,19 @@ def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Suffixes:
-    """Fingerprints of the suffixes of a text at chosen depths, and the sampled ones among them.
+    """Fingerprints of the suffixes of some texts at chosen depths, and the sampled ones among them.
 
     The fingerprint of depth k at a place is a 64-bit hash of the k words from
     there. Of the prefixes that lie inside a window the one of the smallest
     fingerprint is its anchor, the leftmost of equal ones. Equal windows have
     equal anchors at equal offsets, so it is enough to group the suffixes that
-    begin at anchors, about one place in seven.
+    begin at anchors, about one place in seven. Places run through all texts;
+    no window reaches from one into the next.
     """
 
     def __init__(self, window: int = WINDOW, prefix: int = PREFIX):
         self.window, self.prefix = window, prefix
         self.depths = tuple(range(prefix, window, STEP))
-        self.hashes = WordHashes()
         self.up = self.down = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
@@ -74,39 +74,42 @@ class Suffixes:
                 self.up = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, _BASE, np.uint64)])
                 self.down = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, _INVERSE, np.uint64)])
 
-    def read(self, text: str) -> bool:
-        """Take a text; whether it holds a window. Its ``words``, each window's ``anchor`` and their fingerprints follow."""
-        self.words = text.encode().split()
+    def read(self, texts: list[str]) -> None:
+        """Take texts: their ``words``, the ``start`` and ``end`` of each, and of every window its place, its text's number, its anchor and the anchor's fingerprint."""
+        each = [t.encode().split() for t in texts]
+        self.words = [w for words in each for w in words]
+        self.end = np.cumsum([len(words) for words in each])
+        self.start = self.end - [len(words) for words in each]
         n = len(self.words)
-        if n < self.window:
-            return False
         self._powers(n)
-        self.hashed = self.hashes.of(self.words)
-        self.sums = np.r_[np.uint64(0), np.cumsum(self.hashed * self.up[:n])]
-        short = self.at(np.arange(n + 1 - self.prefix), self.prefix)
-        self.anchor = leftmost_least(short, self.window - self.prefix + 1)
+        self.sums = np.r_[np.uint64(0), np.cumsum(word_hashes(self.words) * self.up[:n])]
+        windows = np.maximum(0, self.end - self.start - self.window + 1)
+        self.place, self.text = spread(self.start, windows), np.repeat(np.arange(len(each)), windows)
+        short = self.at(np.arange(max(0, n + 1 - self.prefix)), self.prefix)
+        self.anchor = leftmost_least(short, self.window - self.prefix + 1)[self.place] if len(self.place) else self.place
         self.short = short[self.anchor]
-        return True
 
     def at(self, places: np.ndarray, depth: int) -> np.ndarray:
         return mixed((self.sums[places + depth] - self.sums[places]) * self.down[places])
 
-    def anchors(self) -> np.ndarray:
-        """The places that are anchors, once each."""
-        return self.anchor[np.r_[True, self.anchor[1:] != self.anchor[:-1]]]
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places that are anchors, once each, and what each may reach: the end of its text."""
+        new = np.r_[True, self.anchor[1:] != self.anchor[:-1]][: len(self.anchor)]
+        return self.anchor[new], self.end[self.text[new]]
 
-    def groups(self, windows: np.ndarray, deep: np.ndarray, large: list[np.ndarray]) -> np.ndarray:
-        """Of each window the prefix that names its group: extended step by step while too many suffixes share it.
+    def groups(self, some: np.ndarray, deep: np.ndarray, large: list[np.ndarray]) -> np.ndarray:
+        """Of some windows the prefix that names their group: extended step by step while too many suffixes share it.
 
         A prefix reaches from the anchor to the window's end at most; where
         that is still shared by too many, the whole window is the prefix.
         """
-        anchor, key = self.anchor[windows], self.short[windows].copy()
+        anchor, key = self.anchor[some], self.short[some].copy()
         if not large:
             return key
+        room = self.place[some] + self.window - anchor
         open_ = passing(large[0], key.view(np.int64))
         for depth, shared in zip(self.depths[1:], large[1:], strict=True):
-            fits = np.flatnonzero(open_ & (anchor - windows + depth <= self.window))
+            fits = np.flatnonzero(open_ & (depth <= room))
             if len(fits):
                 key[fits] = self.at(anchor[fits], depth)
                 open_[fits] = passing(shared, key[fits].view(np.int64))
@@ -123,28 +126,23 @@ def prefix_counts(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, l
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         suffixes = Suffixes(window, prefix)
         for part in slices(batches):
-            found: dict[int, list[np.ndarray]] = {}
-            for text in part.column(2).to_pylist():
-                if not suffixes.read(text):
-                    continue
-                at = suffixes.anchors()
-                short = suffixes.at(at, prefix)
-                if large is None:
-                    found.setdefault(prefix, []).append(short)
-                    continue
-                at = at[passing(large, short.view(np.int64))]
-                for depth in suffixes.depths[1:]:
-                    whole = at[at + depth <= len(suffixes.words)]
-                    found.setdefault(depth, []).append(suffixes.at(whole, depth))
+            suffixes.read(part.column(2).to_pylist())
+            at, ends = suffixes.anchors()
+            short = suffixes.at(at, prefix)
+            found = {prefix: short}
+            if large is not None:
+                some = passing(large, short.view(np.int64))
+                at, ends = at[some], ends[some]
+                found = {depth: suffixes.at(at[at + depth <= ends], depth) for depth in suffixes.depths[1:]}
             for depth, values in found.items():
-                values, counts = np.unique(np.concatenate(values), return_counts=True)
+                values, counts = np.unique(values, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), depth, np.int32)), pa.array(values.view(np.int64)), pa.array(counts)], names=["depth", "prefix", "n"])
 
     return docs.mapInArrow(task, "depth int, prefix long, n long").groupBy("depth", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
 
 
-SENT = "kind string, bucket int, doc_id long, row long, starts array<int>, ends array<int>, docs binary, rows binary, places binary, runs binary, words binary, said binary"
-_SENT = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("docs", pa.binary()), ("rows", pa.binary()), ("places", pa.binary()), ("runs", pa.binary()), ("words", pa.binary()), ("said", pa.binary())])
+SENT = "kind string, bucket int, doc_id long, row long, starts array<int>, ends array<int>, docs binary, rows binary, places binary, runs binary, words binary"
+_SENT = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("docs", pa.binary()), ("rows", pa.binary()), ("places", pa.binary()), ("runs", pa.binary()), ("words", pa.binary())])
 SPANS = "doc_id long, row long, starts array<int>, ends array<int>"
 
 
@@ -193,63 +191,57 @@ def _by_node(deep: np.ndarray, doc: np.ndarray, place: np.ndarray, row: np.ndarr
 
 
 class Held:
-    """Windows of a block of texts, and the words of those texts: as hashes, and as bytes with the place of each."""
+    """Windows of a block of texts, and the words of those texts as bytes with the place of each."""
 
     def __init__(self) -> None:
         self.parts: list[tuple] = []
-        self.hashed: list[np.ndarray] = []
-        self.texts: list[tuple[bytes, np.ndarray]] = []
-        self.windows = self.bytes = self.words = 0
-
-    def add(self, suffixes: Suffixes, doc_id: int, row: int, windows: np.ndarray, deep: np.ndarray, group: np.ndarray) -> None:
-        lengths = np.fromiter(map(len, suffixes.words), np.int64, len(suffixes.words)) + 1
-        self.texts.append((b" ".join(suffixes.words), np.r_[0, np.cumsum(lengths)]))
-        self.hashed.append(suffixes.hashed)
-        n = len(windows)
-        self.parts.append((deep, group, np.full(n, doc_id, np.int64), np.full(n, row, np.int64), windows, np.full(n, self.words, np.int64)))
-        self.windows, self.bytes, self.words = self.windows + n, self.bytes + len(self.texts[-1][0]), self.words + len(suffixes.words)
+        self.words: list[bytes] = []
+        self.ends: list[np.ndarray] = []
+        self.windows = self.bytes = self.size = 0
+
+    def add(self, suffixes: Suffixes, doc_ids: np.ndarray, rows: np.ndarray, some: np.ndarray, large: list[np.ndarray]) -> None:
+        """Take some windows, and the words of the texts that they stand in."""
+        deep, text = suffixes.at(suffixes.place[some], suffixes.window), suffixes.text[some]
+        used, of = np.unique(text, return_inverse=True)
+        start, end = suffixes.start[used], suffixes.end[used]
+        words = [w for a, b in zip(start.tolist(), end.tolist(), strict=True) for w in suffixes.words[a:b]]
+        base = self.size + np.cumsum(end - start) - (end - start)
+        place = suffixes.place[some] - start[of]
+        self.parts.append((deep, suffixes.groups(some, deep, large), doc_ids[text], rows[text], place, base[of] + place))
+        self.words.append(b" ".join(words))
+        self.ends.append(self.bytes + np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1))
+        self.windows, self.bytes, self.size = self.windows + len(some), self.bytes + len(self.words[-1]) + 1, self.size + len(words)
 
     @property
     def full(self) -> bool:
         return self.windows >= BLOCK or self.bytes >= BLOCK_BYTES
 
-    def _names(self) -> tuple[np.ndarray, list[bytes]]:
-        """Of every word of the block the number of its name, and the names."""
-        _, first, number = np.unique(np.concatenate(self.hashed), return_index=True, return_inverse=True)
-        sizes = np.array([len(h) for h in self.hashed])
-        text = np.repeat(np.arange(len(sizes)), sizes)[first]
-        at = first - (np.cumsum(sizes) - sizes)[text]
-        names = [self.texts[t][0][self.texts[t][1][i] : self.texts[t][1][i + 1] - 1] for t, i in zip(text.tolist(), at.tolist(), strict=True)]
-        return number, names
-
     def sent(self, buckets: int, window: int) -> Iterator[pa.RecordBatch]:
         """The first of equal windows, by bucket and in runs of words; of the others the spans."""
-        deep, group, doc, row, place, base = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        deep, group, doc, row, place, at = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         self.parts = []
-        number, names = self._names()
-        self.hashed, self.texts = [], []
         order = _by_node(deep, doc, place, row)
         later = _later(deep[order], doc[order], place[order])
         again = order[later]
-        out = [("again", None, *span, *[None] * 6) for span in _spans(doc[again], row[again], place[again], window)]
-        for at in range(0, len(out), 5000):
-            yield _sent(out[at : at + 5000])
+        out = [("again", None, *span, *[None] * 5) for span in _spans(doc[again], row[again], place[again], window)]
+        for n in range(0, len(out), 5000):
+            yield _sent(out[n : n + 5000])
         keep = order[~later & _changes(deep[order], row[order])]
-        at = base[keep] + place[keep]
         bucket = (group[keep] % np.uint64(buckets)).astype(np.int64)
-        del deep, group, order, later
-        turn = np.argsort(bucket * (self.words + 1) + at)
-        keep, bucket, at = keep[turn], bucket[turn], at[turn]
-        doc, row, place = doc[keep], row[keep], place[keep]
+        turn = np.argsort(bucket * (self.size + 1) + at[keep])
+        keep, bucket = keep[turn], bucket[turn]
+        at, doc, row, place = at[keep], doc[keep], row[keep], place[keep]
+        del deep, group, order, later, again
         first = np.flatnonzero(_changes(bucket, doc, row) | np.r_[True, at[1:] != at[:-1] + 1][: len(at)])
         runs = np.diff(np.r_[first, len(at)])
         edges = np.r_[np.flatnonzero(_changes(bucket[first])), len(first)]
+        joined, ends = b" ".join(self.words), np.r_[0, np.concatenate(self.ends)]
+        begins, stops = ends[at[first]].tolist(), (ends[at[first] + runs + window - 1] - 1).tolist()
         out = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             mine = first[a:b]
-            said, used = np.unique(number[spread(at[mine], runs[a:b] + window - 1)], return_inverse=True)
-            words = zstandard.compress(b" ".join([names[i] for i in said.tolist()]), 3)
-            out.append(("first", int(bucket[mine[0]]), None, None, None, None, pack_numbers(doc[mine].view(np.uint64)), pack_numbers(row[mine].view(np.uint64)), pack_numbers(place[mine]), pack_numbers(runs[a:b]), words, pack_numbers(used)))
+            said = zstandard.compress(b" ".join([joined[x:y] for x, y in zip(begins[a:b], stops[a:b], strict=True)]), 3)
+            out.append(("first", int(bucket[mine[0]]), None, None, None, None, pack_numbers(doc[mine].view(np.uint64)), pack_numbers(row[mine].view(np.uint64)), pack_numbers(place[mine]), pack_numbers(runs[a:b]), said))
             if len(out) == 256:
                 yield _sent(out)
                 out = []
@@ -261,24 +253,21 @@ def sent_windows(docs: DataFrame, repeated: np.ndarray, large: list[np.ndarray],
     """Windows whose anchor may be repeated, compared inside their task.
 
     Of equal windows in a task only the first is sent on (kind ``first``, packed
-    by bucket: each run of neighbours with its words once, as numbers of their
-    names); the spans of the others are known by then (kind ``again``). A bucket holds whole groups
+    by bucket, each run of neighbours with its words once); the spans of the
+    others are known by then (kind ``again``). A bucket holds whole groups
     (``Suffixes.groups``).
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         suffixes, held = Suffixes(window, prefix), Held()
         for part in slices(batches):
-            for doc_id, row, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                if not suffixes.read(text):
-                    continue
-                at = np.flatnonzero(passing(repeated, suffixes.short.view(np.int64), BITS))
-                if len(at):
-                    deep = suffixes.at(at, window)
-                    held.add(suffixes, doc_id, row, at, deep, suffixes.groups(at, deep, large))
-                if held.full:
-                    yield from held.sent(buckets, window)
-                    held = Held()
+            suffixes.read(part.column(2).to_pylist())
+            some = np.flatnonzero(passing(repeated, suffixes.short.view(np.int64), BITS))
+            if len(some):
+                held.add(suffixes, part.column(0).to_numpy(), part.column(1).to_numpy(), some, large)
+            if held.full:
+                yield from held.sent(buckets, window)
+                held = Held()
         if held.windows:
             yield from held.sent(buckets, window)
 
@@ -332,8 +321,7 @@ def later_leaves(first: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def task(rows: pd.DataFrame) -> pd.DataFrame:
         number: dict[bytes, int] = {}
-        names = [np.fromiter([number.setdefault(w, len(number)) for w in zstandard.decompress(b).split(b" ")], np.int32) for b in rows["words"]]
-        words = np.concatenate([n[unpack_numbers(b)] for n, b in zip(names, rows["said"], strict=True)])
+        words = np.concatenate([np.fromiter([number.setdefault(w, len(number)) for w in zstandard.decompress(b).split(b" ")], np.int32) for b in rows["words"]])
         number.clear()
         doc, row, place, runs = (np.concatenate([unpack_numbers(b).astype(np.uint64) for b in rows[c]]).view(np.int64) for c in ("docs", "rows", "places", "runs"))
         long = runs + window - 1
@@ -344,7 +332,7 @@ def later_leaves(first: DataFrame, window: int = WINDOW) -> DataFrame:
         later = _later(deep_nodes(shared, window), doc, place)
         return pd.DataFrame(list(_spans(doc[later], row[later], place[later], window)), columns=["doc_id", "row", "starts", "ends"])
 
-    return first.select("bucket", "docs", "rows", "places", "runs", "words", "said").groupBy("bucket").applyInPandas(task, SPANS)
+    return first.select("bucket", "docs", "rows", "places", "runs", "words").groupBy("bucket").applyInPandas(task, SPANS)
 
 
 def _row(text: Column) -> Column:

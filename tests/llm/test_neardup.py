@@ -67,6 +67,8 @@ def test_components_match_all_pairs(spark, table):
 def test_distinct_documents_and_empty(spark, table):
     rows = corpus()
     left = distinct_documents(table(rows), 80)
+    clashing = distinct_documents(table([(1, "a b", 7, 8), (1, "a b", 7, 8), (2, "a b", 0, 0)], "doc_id long, text string, gone int, id int", "clashing"))
+    assert [tuple(r) for r in clashing.collect()] == [(1, "a b", 7, 8)]
     want = {i for i, _, c in restated(rows, 80) if i is None or i == c}
     kept = left.collect()
     assert {r.doc_id for r in kept} == want and left.columns == ["doc_id", "text"]
