@@ -20,6 +20,8 @@ CHARS_PER_TOKEN, ROW_TOKENS, CHUNK_TOKENS, OVERLAP_TOKENS = 4, 2048, 500, 75
 RETRY_DOWNLOAD = (408, 425, 429, 500, 502, 503, 504)
 RETRY_CALL = (408, 409, 425, 429, 500, 502, 503, 504)
 LONGEST_WAIT = 60
+#: Fixed value: the first bytes of a PDF.
+PDF = b"%PDF"
 #: Fixed pattern: numbers of sections with dots between them, before a title.
 NUMBERED = r"^(\d+(?:\.\d+)*\.?)\s+\S"
 BLANKS = r"(?U)\s+"
@@ -140,7 +142,7 @@ def pdf_name(paper_id: Column) -> Column:
 
 def is_pdf(content: Column) -> Column:
     """Not empty, with the format's first bytes."""
-    return F.coalesce(F.substring(content, 1, 4) == F.lit(b"%PDF"), F.lit(False))
+    return F.coalesce(F.substring(content, 1, 4) == F.lit(PDF), F.lit(False))
 
 
 def to_sparse(weights: Column) -> Column:

@@ -6,11 +6,66 @@ batches; the engine around it can be tested with a fake.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..functions.text import LONGEST_WAIT, PDF, RETRY_DOWNLOAD
+
+ATTEMPTS = 3
+
+
+class Again(Exception):
+    """What a call raises if it is worth another try, perhaps after the seconds that the other side asks for."""
+
+    def __init__(self, reason: str, after: float | None = None):
+        super().__init__(reason)
+        self.after = after
+
+
+def tried(call: Callable[..., Any], *args: Any, attempts: int = ATTEMPTS, wait: Callable[[float], None] = time.sleep) -> tuple[Any, str | None, int]:
+    """(result, error, attempts) of a call: it is tried anew where it raises ``Again``, after a doubling wait or what is asked for if that is longer."""
+    for n in range(1, attempts + 1):
+        try:
+            return call(*args), None, n
+        except Again as e:
+            if n == attempts:
+                return None, str(e), n
+            wait(min(LONGEST_WAIT, max(2.0 ** (n - 1), e.after or 0.0)))
+        except Exception as e:  # noqa: BLE001  a failed call is a result
+            return None, f"{type(e).__name__}: {e}", n
+    return None, "no attempt", 0
+
+
+def downloaded(urls: DataFrame, make: Callable[[], Callable[[str], tuple[int, bytes, float | None]]], wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(paper_id, url, content, reason, attempts) of ``urls`` (paper_id, url): the PDFs, or why there is none.
+
+    The function fetches a URL and gives its status, its bytes and the seconds
+    after which the server wants to be asked again, if it says so.
+    """
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fetch = make()
+
+        def one(url: str) -> bytes:
+            status, content, after = fetch(url)
+            if status in RETRY_DOWNLOAD:
+                raise Again(f"HTTP {status}", after)
+            if status != 200:
+                raise ValueError(f"HTTP {status}")
+            if not content.startswith(PDF):
+                raise ValueError("not a PDF")
+            return content
+
+        for part in batches:
+            made = [tried(one, url, wait=wait) for url in part["url"]]
+            yield pd.DataFrame({"paper_id": part["paper_id"], "url": part["url"], "content": [c for c, _, _ in made], "reason": [e for _, e, _ in made], "attempts": [n for *_, n in made]})
+
+    return urls.select("paper_id", "url").mapInPandas(task, "paper_id string, url string, content binary, reason string, attempts int")
+
 BLOCKS = "doc_id string, page int, seq int, kind string, text string, size double, flags int, x0 double, y0 double, x1 double, y1 double"
 
 
@@ -45,20 +100,30 @@ def embedded(rows: DataFrame, make: Callable[[], Callable[[list[str]], list[tupl
     return rows.select("id", "embed_text").mapInPandas(task, "id string, dense array<float>, sparse map<string,float>")
 
 
-def completed(prompts: DataFrame, make: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """(custom_id, content, error) of ``prompts`` (custom_id, prompt)."""
+def completed(prompts: DataFrame, make: Callable[[], Callable[[str], str]], wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(custom_id, content, error) of ``prompts`` (custom_id, prompt); a call that raises ``Again`` is tried anew."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = make()
-
-        def one(prompt: str) -> tuple[str | None, str | None]:
-            try:
-                return call(prompt), None
-            except Exception as e:  # noqa: BLE001  a failed call is a result
-                return None, str(e)
-
         for part in batches:
-            made = [one(p) for p in part["prompt"]]
-            yield pd.DataFrame({"custom_id": part["custom_id"], "content": [c for c, _ in made], "error": [e for _, e in made]})
+            made = [tried(call, p, wait=wait) for p in part["prompt"]]
+            yield pd.DataFrame({"custom_id": part["custom_id"], "content": [c for c, _, _ in made], "error": [e for _, e, _ in made]})
 
     return prompts.select("custom_id", "prompt").mapInPandas(task, "custom_id string, content string, error string")
+
+
+def timed(requests: DataFrame, make: Callable[[str], Callable[[str], str]]) -> DataFrame:
+    """(custom_id, model, seconds, description) of ``requests`` (custom_id, model, prompt); null where a call fails. ``make`` takes the model."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        calls: dict[str, Callable[[str], str]] = {}
+        for part in batches:
+            out = []
+            for model, prompt in zip(part["model"], part["prompt"], strict=True):
+                call = calls.get(model) or calls.setdefault(model, make(model))
+                began = time.perf_counter()
+                said = tried(call, prompt)[0]
+                out.append((time.perf_counter() - began, said))
+            yield pd.DataFrame({"custom_id": part["custom_id"], "model": part["model"], "seconds": [t for t, _ in out], "description": [d for _, d in out]})
+
+    return requests.select("custom_id", "model", "prompt").mapInPandas(task, "custom_id string, model string, seconds double, description string")

@@ -170,7 +170,7 @@ def test_seams_with_fakes(spark):
 
         return call
 
-    assert tuple(seams.completed(spark.createDataFrame([("c", "p")], "custom_id string, prompt string"), broken).first()) == ("c", None, "no")
+    assert tuple(seams.completed(spark.createDataFrame([("c", "p")], "custom_id string, prompt string"), broken).first()) == ("c", None, "ValueError: no")
 
     def extractor():
         def extract(doc_id, content):
@@ -184,6 +184,32 @@ def test_seams_with_fakes(spark):
     assert sorted((r.doc_id, r.kind) for r in kinds) == [("d", "text"), ("e", "failure")]
 
 
+def test_calls_are_tried_again(spark):
+    def make():
+        seen = {}
+
+        def fetch(url):
+            seen[url] = seen.get(url, 0) + 1
+            if url == "busy" or url == "late" and seen[url] < 3:
+                return 503, b"", 1.5
+            return {"late": (200, b"%PDF-1", None), "page": (200, b"<html>", None)}.get(url, (404, b"", None))
+
+        return fetch
+
+    urls = spark.createDataFrame([(u, u) for u in ("late", "busy", "page", "gone")], "paper_id string, url string").coalesce(1)
+    out = {r.paper_id: (r.content, r.reason, r.attempts) for r in seams.downloaded(urls, make, wait=lambda s: None).collect()}
+    assert out == {"late": (b"%PDF-1", None, 3), "busy": (None, "HTTP 503", 3), "page": (None, "ValueError: not a PDF", 1), "gone": (None, "ValueError: HTTP 404", 1)}
+    waits = []
+
+    def refused():
+        raise seams.Again("no", after=9.0 if waits else None)
+
+    assert seams.tried(refused, attempts=3, wait=waits.append) == (None, "no", 3) and waits == [1.0, 9.0]
+    asked = spark.createDataFrame([("c", "m", "hi"), ("c", "n", "hi")], "custom_id string, model string, prompt string")
+    said = {r.model: r.description for r in seams.timed(asked, lambda model: (lambda p: p + model) if model == "m" else (lambda p: 1 / 0)).collect()}
+    assert said == {"m": "him", "n": None}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/ok.pdf").write_bytes(b"%PDF-1")
