@@ -46,6 +46,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _OPEN.remove(mine)
         for path in mine:
+            spark.sql(f"drop table if exists {_table_name(path)}")
             found = spark._jvm.org.apache.hadoop.fs.Path(path)
             found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
@@ -64,6 +65,23 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _table_name(path: str) -> str:
+    return path.rsplit("/", 1)[-1].replace("-", "_")
+
+
+def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` stored as a table that is dealt by ``key``: what groups by it reads its files in place and shuffles nothing.
+
+    The table's name is the session's; its files lie where those of ``stored`` do.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _OPEN:
+        paths.append(path)
+    df.write.bucketBy(shuffle_partitions(spark), key).option("path", path).saveAsTable(_table_name(path))
+    return spark.table(_table_name(path))
+
+
 def let_go(spark: SparkSession) -> None:
     """Have the driver forget the plans that nothing refers to any more: Spark's cleaner then removes their shuffle files.
 

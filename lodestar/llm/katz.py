@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import pack_numbers, pack_sorted, unpack_numbers, unpack_sorted
-from .common import let_go, shuffle_partitions, slices, stored
+from .common import dealt, let_go, shuffle_partitions, slices, stored
 from .hashing import mixed, word_hashes
 
 #: Tokens of a block of documents.
@@ -430,11 +430,12 @@ def score_documents(docs: DataFrame, least: tuple[int, ...] = LEAST, k: int = 5)
     that it was not seen with has the history's weight times its probability
     after the history without its first word.
 
-    Texts are read once, into blocks of documents in the shared folder. Blocks
-    ask buckets of keys for the counts of their distinct n-grams and then for
-    the weights of their histories; a frequent n-gram is asked for once per
-    block, and a bucket is a range of 64-bit keys, so no key is hot. Counts and
-    weights lie there by order, range and block.
+    Texts are read once, into blocks of documents in the shared folder, dealt so
+    that answers come to them. Blocks ask buckets of keys for the counts of
+    their distinct n-grams and then for the weights of their histories; a
+    frequent n-gram is asked for once per block, and a bucket is a range of
+    64-bit keys, so no key is hot. Counts and weights lie there by order, range
+    and block.
 
     Defined results: a null or empty text is its end alone; a null id is held
     out; repeated rows count and are scored each; with no training documents
@@ -445,7 +446,7 @@ def score_documents(docs: DataFrame, least: tuple[int, ...] = LEAST, k: int = 5)
         raise ValueError("an n-gram that counts as seen needs parts that do")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     spark, buckets, orders = docs.sparkSession, 2 * shuffle_partitions(docs.sparkSession), range(1, len(least) + 1)
-    blocks = stored(blocks_of(texts), "katz-blocks")
+    blocks = dealt(blocks_of(texts), "katz-blocks", "block")
     counts = spark.createDataFrame([], COUNTED)
     for m in orders:
         answers = counts.where(F.col("kind") == "answers").select("block", "order", "bucket", "counts", "owned", "places")
