@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -107,6 +107,12 @@ def histogram(df: DataFrame, column: str, missing: str = "unknown") -> DataFrame
     return df.groupBy(F.coalesce(column, F.lit(missing)).alias(column)).agg(F.count("*").alias("n"))
 
 
+def most_common(df: DataFrame, column: str, n: int) -> DataFrame:
+    """The ``n`` values that occur most, the first of equals by value, with their rank."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), column)))
+
+
 def sizing(docs: DataFrame, targets: DataFrame, dims: int = 768, overlap: float = 1.15) -> DataFrame:
     """Characters, tokens (a quarter), and for each chunk size of ``targets`` (size) the estimated chunks and bytes of their vectors."""
     total = docs.agg(F.sum(F.char_length("text")).alias("chars")).first()["chars"] or 0

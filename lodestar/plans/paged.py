@@ -366,6 +366,11 @@ def readable_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.md5(T.readable(said).cast("binary")).alias("description_md5"))
 
 
+def most_common_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)
+    return stats.most_common(_t(spark, sf_dir, "pages").select(host.alias("host")), "host", 10)
+
+
 def last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.last_per(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"], 2)
 
@@ -391,7 +396,7 @@ QUERIES = {
         split_headings, block_texts, index_asset_rows, index_rows_by_kind, pending_limited, pending_index_kinds, ledger_union,
         figure_context, describe_prompts, pending_figures, collected_descriptions, collected_failures, collected_counts,
         enqueued_bytes, batch_phases, hash_checked_merge, memoized_requests, fallback_routes, model_comparison, modality_sums,
-        caption_coverage, call_costs, file_totals, paper_urls, names_and_checks, readable_descriptions, last_turns,
+        caption_coverage, call_costs, file_totals, most_common_hosts, paper_urls, names_and_checks, readable_descriptions, last_turns,
         request_lines, sampled_figures,
     )
 }

@@ -152,6 +152,8 @@ select paper_id, arg_max(url, file) as url from m group by paper_id""",
 select event_id, n || '.pdf' as pdf, n % 2 = 0 as is_pdf, status in (408, 425, 429, 500, 503) as again, status in (408, 409, 425, 429, 500, 503) as call_again,
   'p' as provider, case n % 3 when 1 then 'm' when 2 then 'm:x' end as model, cast(n as int) as sparse_index, n * 2 as sparse_value from e""",
     "readable_descriptions": f"select conv_id, turn, md5(case when turn % 3 = 0 then '' else regexp_replace(text, {_STRIP}) end) as description_md5 from conversations",
+    "most_common_hosts": """with h as (select regexp_extract(url, '^https?://([^/:?#]+)', 1) as host, count(*) as n from pages where url is not null group by 1)
+select host, n, cast(row_number() over (order by n desc, host) as int) as rank from h order by n desc, host limit 10""",
     "last_turns": "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations) where r <= 2",
     "request_lines": "select conv_id || '::' || turn as custom_id, conv_id || '::' || turn as named, 'POST' as method, 'm' as model, cast(120 as int) as max_tokens, md5(text) as prompt_md5 from conversations",
 }
