@@ -31,8 +31,9 @@ def broken(spark: SparkSession, path: str, schema: str = DOCUMENT) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    found = spark.read.schema(f"{schema}, _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path, multiLine=True)
-    return found.withColumn("_file", F.col("_metadata.file_path"))
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    return raw.select(F.from_json("value", f"{schema}, _broken string", options).alias("d"), "_file").select("d.*", "_file")
 
 
 def sections(docs: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def image_hashes(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
     """(path, image_sha256) of the image files below a path; ``path`` as they are named below it."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    below = F.substring_index("path", F.lit(f"{path.rstrip('/').rsplit('/', 1)[-1]}/"), -1)
+    below = F.substring_index("path", f"{path.rstrip('/').rsplit('/', 1)[-1]}/", -1)
     return found.select(below.alias("path"), F.sha2("content", 256).alias("image_sha256"))
 
 
