@@ -106,6 +106,7 @@ def linked(messages: DataFrame) -> DataFrame:
     paragraphs = F.flatten(F.transform("parts", lambda p: F.split(p, r"\n\s*\n")))
     pieces = F.array_distinct(F.concat(F.split("own", "\n"), F.col("parts"), paragraphs, F.array("own")))
     originals = messages.select("conv_id", "turn", F.explode(F.filter(pieces, lambda p: normalised(p) != "")).alias("piece")).select("conv_id", "turn", _hash(F.col("piece")).alias("hash")).unionByName(quoted_runs(messages))
+    originals = stored(originals, "passages")
     # what nobody quotes in a conversation goes before the rest is looked through
     here = originals.join(quotes.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
     both = quotes.select("conv_id", "turn", "hash", "place", "level", F.lit(1).alias("kind")).unionByName(here.select("conv_id", "turn", "hash", F.lit(-1).alias("place"), F.lit(0).alias("level"), F.lit(0).alias("kind")))
