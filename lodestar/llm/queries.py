@@ -178,5 +178,12 @@ select rid * 2 + 1 as record_id, canonical_url, later as ts,
 from v
 """
 
-QUERIES = {"op2_quotation_linking": op2_quotation_linking, "op10_revisits": op10_revisits, "op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op4_minhash": op4_minhash, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_exact_topk": op7_exact_topk, "op8_katz": op8_katz, "op9_pii": op9_pii}
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the commoner words that they are likely to stand for."""
+    from .variants import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_quotation_linking": op2_quotation_linking, "op10_revisits": op10_revisits, "op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op4_minhash": op4_minhash, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_exact_topk": op7_exact_topk, "op8_katz": op8_katz, "op9_pii": op9_pii, "op13_variants": op13_variants}
 ORACLE_SQL = {"op4_minhash": OP4_SQL, "op6_substrings": OP6_SQL, "op2_quotation_linking": OP2_SQL, "op10_revisits": OP10_SQL, "op7_exact_topk": OP7_SQL}
