@@ -178,6 +178,31 @@ select rid * 2 + 1 as record_id, canonical_url, later as ts,
 from v
 """
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives for each of the five positives of every hundredth vector."""
+    from .negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"), relabelled=7)
+
+
+OP12_SQL = """
+with u as (select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+                  list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+           from embeddings where vec_id is not null and label is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+v as (select * from u qualify row_number() over (partition by vec_id order by len(v), v, label) = 1),
+s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same,
+             cast(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+      from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0),
+p as (select * from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.vec_id as positive_id,
+       cast(row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) as int) as rank,
+       n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+from p join s n on p.anchor_id = n.anchor_id and not n.same and 80 * p.score <= 100 * n.score and n.score <= p.score
+qualify rank <= 5
+"""
+
+
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with the commoner words that they are likely to stand for."""
     from .variants import variants
@@ -185,5 +210,5 @@ def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quotation_linking": op2_quotation_linking, "op10_revisits": op10_revisits, "op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op4_minhash": op4_minhash, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_exact_topk": op7_exact_topk, "op8_katz": op8_katz, "op9_pii": op9_pii, "op13_variants": op13_variants}
-ORACLE_SQL = {"op4_minhash": OP4_SQL, "op6_substrings": OP6_SQL, "op2_quotation_linking": OP2_SQL, "op10_revisits": OP10_SQL, "op7_exact_topk": OP7_SQL}
+QUERIES = {"op2_quotation_linking": op2_quotation_linking, "op10_revisits": op10_revisits, "op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op4_minhash": op4_minhash, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_exact_topk": op7_exact_topk, "op8_katz": op8_katz, "op9_pii": op9_pii, "op12_hard_negatives": op12_hard_negatives, "op13_variants": op13_variants}
+ORACLE_SQL = {"op4_minhash": OP4_SQL, "op6_substrings": OP6_SQL, "op2_quotation_linking": OP2_SQL, "op10_revisits": OP10_SQL, "op7_exact_topk": OP7_SQL, "op12_hard_negatives": OP12_SQL}
