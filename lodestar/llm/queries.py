@@ -178,6 +178,13 @@ select rid * 2 + 1 as record_id, canonical_url, later as ts,
 from v
 """
 
+def op11_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    from .kernel import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five hard negatives for each of the five positives of every hundredth vector."""
     from .negatives import hard_negatives
@@ -210,5 +217,5 @@ def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quotation_linking": op2_quotation_linking, "op10_revisits": op10_revisits, "op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op4_minhash": op4_minhash, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_exact_topk": op7_exact_topk, "op8_katz": op8_katz, "op9_pii": op9_pii, "op12_hard_negatives": op12_hard_negatives, "op13_variants": op13_variants}
+QUERIES = {"op2_quotation_linking": op2_quotation_linking, "op10_revisits": op10_revisits, "op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op4_minhash": op4_minhash, "op5_bpe": op5_bpe, "op6_substrings": op6_substrings, "op7_exact_topk": op7_exact_topk, "op8_katz": op8_katz, "op9_pii": op9_pii, "op11_kernel_quality": op11_kernel_quality, "op12_hard_negatives": op12_hard_negatives, "op13_variants": op13_variants}
 ORACLE_SQL = {"op4_minhash": OP4_SQL, "op6_substrings": OP6_SQL, "op2_quotation_linking": OP2_SQL, "op10_revisits": OP10_SQL, "op7_exact_topk": OP7_SQL, "op12_hard_negatives": OP12_SQL}
