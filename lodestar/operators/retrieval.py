@@ -113,19 +113,6 @@ def fused(runs: list[DataFrame], k: int, constant: int = RRF) -> DataFrame:
     return ranked(both.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score")), k)
 
 
-def search(queries: DataFrame, docs: DataFrame, dense_queries: DataFrame, dense_docs: DataFrame, k: int = 5, allowed: DataFrame | None = None) -> DataFrame:
-    """Hybrid search of ``queries`` (query_id, text) over ``docs`` (doc_id, text): both legs give 4k rows, fused to k.
-
-    ``allowed`` (doc_id) restricts both legs before they rank, so it costs no recall.
-    """
-    if allowed is not None:
-        keep = allowed.select("doc_id").distinct()
-        docs, dense_docs = (d.join(keep, "doc_id", "left_semi") for d in (docs, dense_docs))
-    asked = terms(queries, "query_id")
-    sparse = ranked(sparse_scores(asked, asked_terms(docs, asked)), 4 * k)
-    return fused([sparse, dense_topk(dense_queries, dense_docs, 4 * k)], k)
-
-
 def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(query_id, doc_id): the documents (doc_id, text) that hold a passage (query_id, passage) letter by letter.
 

@@ -182,3 +182,4 @@ d as (select a.doc_id, a.seq, b.seq as place, b.text, case when b.y0 >= a.y1 the
 n as (select doc_id, seq, text, row_number() over (partition by doc_id, seq order by distance, place) as r from d where distance <= 80)
 select a.doc_id, cast(1 as int) as page, 'img-' || a.seq as asset_id, n.text as caption from a left join n on a.doc_id = n.doc_id and a.seq = n.seq and r = 1""",
 }
+ORACLE_SQL["sparse_index_topk"] = ORACLE_SQL["sparse_topk"]

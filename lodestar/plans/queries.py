@@ -8,19 +8,19 @@ where their summation order is open.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import batches as B
-from ..operators import chunking, evaluation, incremental, layout, retrieval, stats
+from ..operators import chunking, evaluation, incremental, inverted, layout, retrieval, stats
 from ..operators import sections as S
 from ..operators.rows import text_rows
 
-#: Letters that make up the stand-in for an embedding: their counts in a text.
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
-
-
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -168,7 +168,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return retrieval.ranked(retrieval.bm25_scores(retrieval.terms(_items(spark, sf_dir), "query_id"), _docs(spark, sf_dir).select("doc_id", "text")), k)
+    return inverted.bm25_topk(inverted.build(_docs(spark, sf_dir)), retrieval.terms(_items(spark, sf_dir), "query_id"), k)[0]
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +180,12 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.ranked(retrieval.sparse_scores(asked, retrieval.asked_terms(_docs(spark, sf_dir), asked)), 10).select("query_id", "doc_id", "rank", "score")
 
 
+def sparse_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``sparse_topk``, through the inverted index."""
+    asked = retrieval.terms(_items(spark, sf_dir), "query_id")
+    return inverted.dot_topk(inverted.build(_docs(spark, sf_dir)), asked, 10)[0].select("query_id", "doc_id", "rank", "score")
+
+
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest vectors of each label's mean."""
     vectors = _t(spark, sf_dir, "embeddings")
@@ -189,14 +195,21 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _letter_counts(texts: DataFrame, key: str) -> DataFrame:
-    low = F.lower("text")
-    return texts.select(key, F.array(*[(F.char_length(low) - F.char_length(F.replace(low, F.lit(c), F.lit("")))) for c in LETTERS]).alias("v"))
+    """The stand-in for an embedding call, text by text as such a call would go: (key, v)."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.columns
+            rows = [np.bincount(np.frombuffer(t, np.uint8), minlength=123)[97:123].tolist() for t in texts.cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.list_(pa.int32()))], names=[key, "v"])
+
+    return texts.select(F.col(key).cast("long").alias(key), F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(counted, f"{key} long, v array<int>")
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, english: bool) -> DataFrame:
-    asked, docs = _items(spark, sf_dir), _docs(spark, sf_dir).select("doc_id", "text")
+    asked, index = _items(spark, sf_dir), inverted.build(_docs(spark, sf_dir))
     allowed = _docs(spark, sf_dir).where(F.col("lang") == "en").select("doc_id") if english else None
-    return retrieval.search(asked, docs, _letter_counts(_items(spark, sf_dir), "query_id"), _letter_counts(_docs(spark, sf_dir), "doc_id"), 5, allowed).select("query_id", "doc_id", "rank", "score")
+    return inverted.hybrid(index, asked, _letter_counts(_items(spark, sf_dir), "query_id"), _letter_counts(_docs(spark, sf_dir), "doc_id"), 5, allowed).select("query_id", "doc_id", "rank", "score")
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,7 +349,7 @@ QUERIES = {
         paragraph_spans, chunk_spans, chunk_stats_by_lang, index_rows_text, asset_chunk_range_join, placeholder_integrity,
         heading_sections, first_heading_titles, running_heads, prose_lines, length_quantiles_exclusive, threshold_counts,
         density_stats, modality_mix, coverage_ratio, corpus_sizing, failure_histogram, report_full_outer, latency_summary,
-        bm25_topk, sparse_topk, dense_topk, hybrid_rrf, hybrid_rrf_filtered, recall_at_k_by_modality, pending_anti, retry_semi,
+        bm25_topk, sparse_topk, sparse_index_topk, dense_topk, hybrid_rrf, hybrid_rrf_filtered, recall_at_k_by_modality, pending_anti, retry_semi,
         in_flight_anti, null_safe_merge, upsert_latest, request_batches_by_count, request_batches_by_bytes, backoff_schedule,
         parse_results_json, passages_numbered, chat_prompt_assembly, custom_id_codec, snippets, xy_cut_order, figure_merge, near_box_captions,
     )
