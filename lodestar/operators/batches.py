@@ -7,11 +7,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import readable, split_custom_id
+from .cuts import STRETCH, cut
 from .stats import by_rank
 
 #: Bytes and requests of a batch, enqueued tokens and tokens of a request.
 BATCH_BYTES, BATCH_REQUESTS, ENQUEUED_TOKENS, REQUEST_TOKENS = 180 * 1024 * 1024, 40_000, 1_800_000, 1_300
 MESSAGE, DETAIL = 300, 200
+#: Rows of a group that one task goes through in order.
+LONG = STRETCH
 
 
 def requests_per_batch(enqueued: int = ENQUEUED_TOKENS, each: int = REQUEST_TOKENS) -> int:
@@ -23,16 +26,18 @@ def by_count(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / n).cast("long"))
 
 
-def by_bytes(rows: DataFrame, group: str, order: str, size: str, cap: int, n: int = BATCH_REQUESTS) -> DataFrame:
+def by_bytes(rows: DataFrame, group: str, order: str, size: str, cap: int, n: int = BATCH_REQUESTS, long: int = LONG) -> DataFrame:
     """(group, order, batch): rows in order, a new batch where the next row would pass ``cap`` bytes or ``n`` rows.
 
-    What fits depends on all rows before, so a group is gone through in order;
-    only its keys and sizes go along, and groups are the units of scale.
+    What fits depends on all rows before. A group of up to ``long`` rows is gone
+    through in one task, with keys and sizes only; longer ones are cut together
+    by pointers (``cuts.cut``), where no task holds a group. Rows of one order go
+    by size; a null size counts as 0; null is a group like any other.
     """
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def task(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
+        part = part.sort_values([order, size])
         batch, held, count, out = 0, 0, 0, []
         for bytes_ in part[size]:
             if count and (held + bytes_ > cap or count >= n):
@@ -41,7 +46,14 @@ def by_bytes(rows: DataFrame, group: str, order: str, size: str, cap: int, n: in
             out.append(batch)
         return part[[group, order]].assign(batch=pd.Series(out, index=part.index, dtype="int64"))
 
-    return rows.select(group, order, size).groupBy(group).applyInPandas(task, f"{group} {kind[group]}, {order} {kind[order]}, batch long")
+    bare = rows.select(group, order, F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias(size))
+    whole = f"{group} {kind[group]}, {order} {kind[order]}, batch long"
+    big = [r[group] for r in bare.groupBy(group).count().where(F.col("count") > long).select(group).collect()]  # fewer than one in ``long`` rows
+    if not big:
+        return bare.groupBy(group).applyInPandas(task, whole)
+    known = [g for g in big if g is not None]
+    hot = F.coalesce(F.col(group).isin(known), F.lit(None in big))
+    return bare.where(~hot).groupBy(group).applyInPandas(task, whole).unionByName(cut(bare.where(hot), group, order, size, cap, n))
 
 
 def _given(c: Column) -> Column:

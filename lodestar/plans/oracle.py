@@ -183,3 +183,4 @@ n as (select doc_id, seq, text, row_number() over (partition by doc_id, seq orde
 select a.doc_id, cast(1 as int) as page, 'img-' || a.seq as asset_id, n.text as caption from a left join n on a.doc_id = n.doc_id and a.seq = n.seq and r = 1""",
 }
 ORACLE_SQL["sparse_index_topk"] = ORACLE_SQL["sparse_topk"]
+ORACLE_SQL["request_batches_by_pointers"] = ORACLE_SQL["request_batches_by_bytes"]

@@ -267,9 +267,17 @@ def request_batches_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.by_count(_docs(spark, sf_dir).select("source", "doc_id"), "source", "doc_id", 7)
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("source", "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+
+
 def request_batches_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).select("source", "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
-    return B.by_bytes(docs, "source", "doc_id", "bytes", 20_000)
+    return B.by_bytes(_sized(spark, sf_dir), "source", "doc_id", "bytes", 20_000)
+
+
+def request_batches_by_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``request_batches_by_bytes``, with every source taken for a long one."""
+    return B.by_bytes(_sized(spark, sf_dir), "source", "doc_id", "bytes", 20_000, long=0)
 
 
 def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,7 +358,7 @@ QUERIES = {
         heading_sections, first_heading_titles, running_heads, prose_lines, length_quantiles_exclusive, threshold_counts,
         density_stats, modality_mix, coverage_ratio, corpus_sizing, failure_histogram, report_full_outer, latency_summary,
         bm25_topk, sparse_topk, sparse_index_topk, dense_topk, hybrid_rrf, hybrid_rrf_filtered, recall_at_k_by_modality, pending_anti, retry_semi,
-        in_flight_anti, null_safe_merge, upsert_latest, request_batches_by_count, request_batches_by_bytes, backoff_schedule,
+        in_flight_anti, null_safe_merge, upsert_latest, request_batches_by_count, request_batches_by_bytes, request_batches_by_pointers, backoff_schedule,
         parse_results_json, passages_numbered, chat_prompt_assembly, custom_id_codec, snippets, xy_cut_order, figure_merge, near_box_captions,
     )
 }
