@@ -72,7 +72,8 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float =
     return weighed.join(asked, "term").groupBy("doc_id", "query_id").agg(F.round(F.sum("w"), 6).alias("score")).select("query_id", "doc_id", "score")
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
+def unit(rows: pd.Series) -> np.ndarray:
+    """Vectors of one length as rows of length 1; those without a length stay 0."""
     x = np.array([np.asarray(v, np.float64) for v in rows])
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
@@ -94,7 +95,7 @@ def dense_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         if not len(found) or not len(asked):
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
         found = found.sort_values("doc_id", ignore_index=True)
-        scores = np.floor(_unit(asked["v"]) @ _unit(found["v"]).T * 1e6 + 0.5) / 1e6
+        scores = np.floor(unit(asked["v"]) @ unit(found["v"]).T * 1e6 + 0.5) / 1e6
         best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({"query_id": np.repeat(asked["query_id"].to_numpy(), best.shape[1]), "doc_id": found["doc_id"].to_numpy()[best.ravel()], "score": np.take_along_axis(scores, best, 1).ravel()})
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import batches as B
-from ..operators import chunking, evaluation, incremental, inverted, layout, retrieval, stats
+from ..operators import ann, chunking, evaluation, incremental, inverted, layout, retrieval, stats
 from ..operators import sections as S
 from ..operators.rows import text_rows
 
@@ -186,12 +186,26 @@ def sparse_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inverted.dot_topk(inverted.build(_docs(spark, sf_dir)), asked, 10)[0].select("query_id", "doc_id", "rank", "score")
 
 
-def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest vectors of each label's mean."""
+def _means(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each label's mean as a query, and all vectors."""
     vectors = _t(spark, sf_dir, "embeddings")
     means = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 4).alias("x"))
     queries = means.groupBy(F.col("label").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    return retrieval.dense_topk(queries, vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")), 10).select("query_id", "doc_id", "rank", "score")
+    return queries, vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+
+
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors of each label's mean."""
+    queries, docs = _means(spark, sf_dir)
+    return retrieval.dense_topk(queries, docs, 10).select("query_id", "doc_id", "rank", "score")
+
+
+def dense_lists_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``dense_topk``, through inverted lists, with as many probes as a recall of 0.95 takes."""
+    queries, docs = _means(spark, sf_dir)
+    index = ann.build(docs)
+    probes, _ = ann.tuned(index, docs, queries, 10)
+    return ann.search(index, queries, 10, probes).select("query_id", "doc_id", "rank", "score")
 
 
 def _letter_counts(texts: DataFrame, key: str) -> DataFrame:
@@ -357,7 +371,7 @@ QUERIES = {
         paragraph_spans, chunk_spans, chunk_stats_by_lang, index_rows_text, asset_chunk_range_join, placeholder_integrity,
         heading_sections, first_heading_titles, running_heads, prose_lines, length_quantiles_exclusive, threshold_counts,
         density_stats, modality_mix, coverage_ratio, corpus_sizing, failure_histogram, report_full_outer, latency_summary,
-        bm25_topk, sparse_topk, sparse_index_topk, dense_topk, hybrid_rrf, hybrid_rrf_filtered, recall_at_k_by_modality, pending_anti, retry_semi,
+        bm25_topk, sparse_topk, sparse_index_topk, dense_topk, dense_lists_topk, hybrid_rrf, hybrid_rrf_filtered, recall_at_k_by_modality, pending_anti, retry_semi,
         in_flight_anti, null_safe_merge, upsert_latest, request_batches_by_count, request_batches_by_bytes, request_batches_by_pointers, backoff_schedule,
         parse_results_json, passages_numbered, chat_prompt_assembly, custom_id_codec, snippets, xy_cut_order, figure_merge, near_box_captions,
     )
