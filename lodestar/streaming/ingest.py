@@ -6,32 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.incremental import replaced
+from ..sources import deltas
+from ..sources.deltas import current
 
+__all__ = ["current", "ingest"]
 
-def ingest(spark: SparkSession, source: str, schema: str, checkpoint: str, rows: Callable[[DataFrame], DataFrame], index: str, owner: list[str]) -> None:
+
+def ingest(spark: SparkSession, source: str, schema: str, checkpoint: str, rows: Callable[[DataFrame], DataFrame], index: str, owner: list[str], records: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Index every document file that has come since the last run, then stop.
 
-    The checkpoint stands for the ledger: a file is taken once. Each run writes
-    the index anew beside the old one (``index/v=n``) with the owners of the new
-    rows replaced, so a run that is cut off leaves the last index whole.
+    The checkpoint stands for the ledger: a file is taken once. Each batch adds
+    its rows to the index (``deltas``) with the owners of the new rows replaced,
+    and writes no more than them; the batch's number goes into the manifest, so
+    a batch that is run again after a crash changes nothing. A batch that is cut
+    off leaves the last index whole. The index is compacted when that pays.
+    ``records`` makes the ledger's rows of a batch's documents.
     """
 
     def take(batch: DataFrame, number: int) -> None:
-        new = rows(batch)
-        old = current(spark, index)
-        (new if old is None else replaced(old, new, owner)).write.mode("overwrite").parquet(f"{index}/v={number + 1}")
+        done = deltas.upserted(spark, index, rows(batch), owner, None if records is None else records(batch), (checkpoint, number))
+        if done.due:
+            deltas.compacted(spark, index, owner)
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def current(spark: SparkSession, index: str) -> DataFrame | None:
-    """The index of the latest complete run."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(index)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    whole = [s.getPath() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    versions = sorted(int(p.getName().split("=")[1]) for p in whole)
-    return spark.read.parquet(f"{index}/v={versions[-1]}") if versions else None
