@@ -86,6 +86,34 @@ def ledger(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).distinct()
 
 
+def fingerprints(rows: DataFrame, content: list[str], config: str = "") -> DataFrame:
+    """(doc_id, kind, fingerprint, config) of index ``rows`` (doc_id, kind, ...): what a document's rows of a kind hold, in any order.
+
+    The fingerprint is the rows' number and two sums over digests of their
+    ``content`` columns, so it adds up before the shuffle and no task gathers a
+    document. Null and empty differ. ``config`` names what rows were made with.
+    """
+    digest = F.md5(F.concat_ws("\n", *[F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.md5(F.col(c).cast("string").cast("binary")))) for c in content]).cast("binary"))
+    part = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(19,0)"))
+    sums = rows.groupBy(F.col("doc_id").cast("string").alias("doc_id"), "kind").agg(F.count("*").alias("n"), part(1).alias("a"), part(16).alias("b"))
+    return sums.select("doc_id", "kind", F.concat_ws(":", "n", "a", "b").alias("fingerprint"), F.lit(config).alias("config"))
+
+
+def index_work(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, kind, state, fingerprint, config) of what an index must take in: ``new``, ``changed`` (other rows, or another config) or ``gone``.
+
+    ``wanted`` and ``known`` are fingerprints, of the rows as they are now and
+    in the ledger. A figure that gets a description later changes its document's
+    rows, so nobody has to force it; a document without rows of a kind has
+    nothing to wait for.
+    """
+    w, k = wanted.alias("w"), known.where(F.col("fingerprint").isNotNull()).alias("k")
+    both = w.join(k, (F.col("w.doc_id") == F.col("k.doc_id")) & (F.col("w.kind") == F.col("k.kind")), "full")
+    same = (F.col("w.fingerprint") == F.col("k.fingerprint")) & (F.col("w.config") == F.col("k.config"))
+    state = F.when(F.col("k.doc_id").isNull(), "new").when(F.col("w.doc_id").isNull(), "gone").when(~same, "changed")
+    return both.select(F.coalesce("w.doc_id", "k.doc_id").alias("doc_id"), F.coalesce("w.kind", "k.kind").alias("kind"), state.alias("state"), "w.fingerprint", F.coalesce("w.config", "k.config").alias("config")).where(F.col("state").isNotNull())
+
+
 def sampled(figures: DataFrame, n: int, seed: int, key: str = "image_id", require_caption: bool = True) -> DataFrame:
     """``n`` figures, of those with a caption unless told otherwise, by a seeded hash of their id: the same for every run and partitioning."""
     some = figures.where(F.coalesce("caption", F.lit("")) != "") if require_caption else figures

@@ -16,10 +16,9 @@ KINDS = ("text", "figure", "table")
 def text_rows(sections: DataFrame, assets: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of ``sections`` (doc_id, section_id, heading, title, pages, text) with the ids of the ``assets`` whose place falls inside."""
     chunked = chunk_rows(sections, target, overlap)
-    inside = (F.col("a.char_offset") >= F.col("c.char_start")) & (F.col("a.char_offset") < F.col("c.char_end"))
     key = ["doc_id", "section_id", "ord"]
     held = (
-        chunked.alias("c").join(assets.alias("a"), (F.col("c.doc_id") == F.col("a.doc_id")) & (F.col("c.section_id") == F.col("a.section_id")) & inside)
+        meetings(chunked, assets, target).where((F.col("a.char_offset") >= F.col("c.char_start")) & (F.col("a.char_offset") < F.col("c.char_end")))
         .groupBy(*[F.col(f"c.{k}").alias(k) for k in key])
         .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("a.kind") == "figure", 0).otherwise(1).alias("k"), F.col("a.position").alias("p"), F.col("a.asset_id").alias("asset_id")))), lambda x: x["asset_id"]).alias("asset_ids"))
     )
@@ -29,6 +28,20 @@ def text_rows(sections: DataFrame, assets: DataFrame, target: int = TARGET, over
     )
 
 
+def meetings(chunked: DataFrame, assets: DataFrame, width: int) -> DataFrame:
+    """Chunks (c) and assets (a) that lie in one stretch of ``width`` characters of a section: every pair that a range join needs, once.
+
+    An asset lies in one stretch and a chunk in those that it reaches into, and
+    both are dealt by section and stretch; so a long section is no one task's,
+    and an asset meets the few chunks around it.
+    """
+    stretch = lambda c: F.floor(c / width)
+    reach = F.sequence(stretch(F.col("char_start")), F.greatest(stretch(F.col("char_start")), stretch(F.col("char_end") - 1)))
+    c = chunked.select("doc_id", "section_id", "ord", "char_start", "char_end", F.explode(reach).alias("stretch")).alias("c")
+    a = assets.withColumn("stretch", stretch(F.col("char_offset"))).alias("a")
+    return c.join(a, (F.col("c.doc_id") == F.col("a.doc_id")) & (F.col("c.section_id") == F.col("a.section_id")) & (F.col("c.stretch") == F.col("a.stretch")))
+
+
 def asset_rows(sections: DataFrame, assets: DataFrame, kind: str) -> DataFrame:
     """Rows of figures (those with a description) or tables, caption first."""
     mine = assets.where(F.col("kind") == kind)

@@ -184,3 +184,10 @@ select a.doc_id, cast(1 as int) as page, 'img-' || a.seq as asset_id, n.text as
 }
 ORACLE_SQL["sparse_index_topk"] = ORACLE_SQL["sparse_topk"]
 ORACLE_SQL["request_batches_by_pointers"] = ORACLE_SQL["request_batches_by_bytes"]
+ORACLE_SQL["index_work_states"] = """with d as (select doc_id, lang, coalesce(text, '') as text from documents),
+f as (select *, md5(concat_ws(chr(10), case when lang is null then '-' else '+' || md5(lang) end, '+' || md5(text))) as h from d),
+w as (select doc_id, concat_ws(':', 1, ('0x' || left(h, 15))::bigint, ('0x' || substr(h, 16, 15))::bigint) as fingerprint from f where doc_id % 9 <> 0),
+b as (select doc_id, doc_id % 5 = 0 or length(text || case when doc_id % 5 = 0 then '.' else '' end) > 4000 as other from d where doc_id % 7 <> 0)
+select cast(coalesce(w.doc_id, b.doc_id) as varchar) as doc_id, 'text' as kind, case when b.doc_id is null then 'new' when w.doc_id is null then 'gone' else 'changed' end as state, fingerprint,
+  case when w.doc_id is not null then '2000/300' else (select case when length(text || case when doc_id % 5 = 0 then '.' else '' end) > 4000 then '1000/300' else '2000/300' end from d where d.doc_id = b.doc_id) end as config
+from w full join b on w.doc_id = b.doc_id where b.doc_id is null or w.doc_id is null or other"""

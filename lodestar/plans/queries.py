@@ -248,6 +248,16 @@ def pending_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.pending(_docs(spark, sf_dir).select("doc_id", "source"), _t(spark, sf_dir, "labels"), ["doc_id"])
 
 
+def index_work_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against a ledger of another day: every seventh was not there, every fifth had another text, of every ninth no rows are left; longer ones were made with other chunks."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.lit("text").alias("kind"), "lang", F.coalesce("text", F.lit("")).alias("text"))
+    before = docs.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    other = F.char_length("text") > 4000
+    content = ["lang", "text"]
+    known = incremental.fingerprints(before.where(~other), content, "2000/300").unionByName(incremental.fingerprints(before.where(other), content, "1000/300"))
+    return incremental.index_work(incremental.fingerprints(docs.where("doc_id % 9 <> 0"), content, "2000/300"), known)
+
+
 def retry_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.retry_failed(_docs(spark, sf_dir).select("doc_id", "source"), _t(spark, sf_dir, "labels").where("quality = 0"), ["doc_id"])
 
@@ -371,7 +381,7 @@ QUERIES = {
         paragraph_spans, chunk_spans, chunk_stats_by_lang, index_rows_text, asset_chunk_range_join, placeholder_integrity,
         heading_sections, first_heading_titles, running_heads, prose_lines, length_quantiles_exclusive, threshold_counts,
         density_stats, modality_mix, coverage_ratio, corpus_sizing, failure_histogram, report_full_outer, latency_summary,
-        bm25_topk, sparse_topk, sparse_index_topk, dense_topk, dense_lists_topk, hybrid_rrf, hybrid_rrf_filtered, recall_at_k_by_modality, pending_anti, retry_semi,
+        bm25_topk, sparse_topk, sparse_index_topk, dense_topk, dense_lists_topk, hybrid_rrf, hybrid_rrf_filtered, recall_at_k_by_modality, pending_anti, index_work_states, retry_semi,
         in_flight_anti, null_safe_merge, upsert_latest, request_batches_by_count, request_batches_by_bytes, request_batches_by_pointers, backoff_schedule,
         parse_results_json, passages_numbered, chat_prompt_assembly, custom_id_codec, snippets, xy_cut_order, figure_merge, near_box_captions,
     )

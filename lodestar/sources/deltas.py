@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.incremental import fingerprints, index_work
+from ..operators.tables import stored
+
 #: Folders of data, and share of deleted rows, from which a table should be compacted.
 FOLDERS, DELETED = 16, 0.3
 #: Rows of one of Spark's bitmaps.
@@ -141,8 +144,8 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
     return all_.groupBy("doc_id", "kind").agg(F.max_by(F.struct("fingerprint", "config"), "n").alias("s")).select("doc_id", "kind", "s.fingerprint", "s.config")
 
 
-def upserted(spark: SparkSession, path: str, new: DataFrame, owner: list[str], records: DataFrame | None = None, batch: tuple[str, int] | None = None) -> Manifest:
-    """The next version: ``new`` in place of all rows of the owners that it names. Only new rows and bitmaps are written.
+def upserted(spark: SparkSession, path: str, new: DataFrame, owner: list[str], records: DataFrame | None = None, batch: tuple[str, int] | None = None, gone: DataFrame | None = None) -> Manifest:
+    """The next version: ``new`` in place of all rows of the owners that it names, and without those of ``gone``. Only new rows and bitmaps are written.
 
     ``records`` (doc_id, kind, fingerprint, config) go to the ledger in the same
     step. ``batch`` (stream, number) makes a repeated run of a batch do nothing.
@@ -155,7 +158,8 @@ def upserted(spark: SparkSession, path: str, new: DataFrame, owner: list[str], r
     name = uuid.uuid4().hex
     new.sortWithinPartitions(*owner).write.parquet(f"{path}/data-{name}")
     there = spark.read.schema(new.schema).parquet(f"{path}/data-{name}")
-    deletes, deleted = _deletes(spark, path, old, there.select(*owner), owner, name)
+    named = there.select(*owner) if gone is None else there.select(*owner).unionByName(gone.select(*owner))
+    deletes, deleted = _deletes(spark, path, old, named, owner, name)
     written = ()
     if records is not None:
         records.select("doc_id", "kind", "fingerprint", "config").write.parquet(f"{path}/ledger-{name}")
@@ -164,6 +168,19 @@ def upserted(spark: SparkSession, path: str, new: DataFrame, owner: list[str], r
     return _commit(spark, path, made)
 
 
+def populated(spark: SparkSession, path: str, rows: DataFrame, content: list[str], config: str = "") -> Manifest:
+    """The next version: the rows (doc_id, kind, ...) of documents and kinds that are new or changed since the ledger, in place of their old ones.
+
+    Index and ledger change in one step. Where nothing is new, the version stays.
+    """
+    work = stored(index_work(fingerprints(rows, content, config), ledger(spark, path)), "index-work")
+    if work.isEmpty():
+        return manifest(spark, path)
+    take = work.where(F.col("state") != "gone").select("doc_id", "kind")
+    some = rows.withColumn("doc_id", F.col("doc_id").cast("string")).join(take, ["doc_id", "kind"], "left_semi")
+    return upserted(spark, path, some, ["doc_id", "kind"], work, gone=work.where("state = 'gone'"))
+
+
 def removed(spark: SparkSession, path: str, owners: DataFrame, owner: list[str]) -> Manifest:
     """The next version: without the rows of ``owners``."""
     old = manifest(spark, path)

@@ -70,6 +70,27 @@ def image_hashes(spark: SparkSession, path: str, glob: str = "*.png") -> DataFra
     return found.select(below.alias("path"), F.sha2("content", 256).alias("image_sha256"))
 
 
+def known_hashes(spark: SparkSession, path: str, known: DataFrame | None = None, glob: str = "*.png") -> DataFrame:
+    """(path, bytes, modified, image_sha256) of the image files below a path, opening only those that ``known`` (the same, of an earlier run) does not tell.
+
+    The listing is joined with the known one from both sides: a file of the same
+    place, size and time keeps its hash, one that is new or another is read, one
+    that is no more there goes. Paths of the files to be read pass through the
+    driver, as those of any file source do.
+    """
+    listed = files(spark, path, glob)
+    if known is None:
+        known = spark.createDataFrame([], "path string, bytes long, modified timestamp, image_sha256 string")
+    old = known.select("path", F.col("bytes").alias("_bytes"), F.col("modified").alias("_modified"), "image_sha256")
+    same = (F.col("bytes") == F.col("_bytes")) & (F.col("modified") == F.col("_modified"))
+    both = listed.join(old, "path", "full").where(F.col("bytes").isNotNull()).select("path", "bytes", "modified", F.when(same, F.col("image_sha256")).alias("image_sha256"))
+    unread = [r["path"] for r in both.where(F.col("image_sha256").isNull()).select("path").collect()]
+    if not unread:
+        return both
+    read = spark.read.format("binaryFile").load(unread).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("image_sha256"))
+    return both.where(F.col("image_sha256").isNotNull()).unionByName(read)
+
+
 def url_maps(spark: SparkSession, path: str) -> DataFrame:
     """(file, urls) of every ``pdf_urls.json`` below a path."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "pdf_urls.json").text(path, wholetext=True)

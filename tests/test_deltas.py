@@ -110,3 +110,23 @@ def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path):
     m = deltas.manifest(spark, path)
     assert rows(deltas.current(spark, path)) == [("a", 0, "z"), ("b", 0, "y")]
     assert deltas.upserted(spark, path, spark.createDataFrame([("b", 0, "again")], DDL), ["doc_id"], batch=(str(tmp_path / "cp"), 1)) == m
+
+
+def test_only_what_changed_is_indexed(spark, tmp_path):
+    path = str(tmp_path / "t")
+    ddl = "doc_id string, kind string, ord string, text string"
+    first = [("a", "text", "0", "x"), ("a", "text", "1", "y"), ("a", "figure", "f1", "one"), ("b", "text", "0", "z"), ("c", "text", "0", None)]
+    take = lambda data, config="c1": deltas.populated(spark, path, spark.createDataFrame(data, ddl), ["ord", "text"], config)
+    live = lambda: sorted((tuple(r) for r in deltas.current(spark, path).select("doc_id", "kind", "ord", "text").collect()), key=repr)
+    assert take(first).version == 1 and live() == sorted(first, key=repr)
+    assert take(first[::-1]).version == 1  # the order of rows is no change
+    described = [*first, ("a", "figure", "f2", "later")]  # a description came after the figures were indexed
+    m = take(described)
+    assert m.version == 2 and live() == sorted(described, key=repr)
+    assert spark.read.parquet(f"{path}/{m.data[-1]}").select("doc_id", "kind").distinct().collect() == [("a", "figure")]
+    emptied = [r if r[0] != "c" else (*r[:3], "") for r in described]
+    assert take(emptied).version == 3 and live() == sorted(emptied, key=repr)  # null and empty differ
+    fewer = [r for r in emptied if r[0] != "b" and r[2] != "1"]
+    assert take(fewer).version == 4 and live() == sorted(fewer, key=repr)
+    assert take(fewer, "c2").version == 5 and live() == sorted(fewer, key=repr)  # another chunk size makes all of it anew
+    assert sorted((r.doc_id, r.kind) for r in deltas.ledger(spark, path).where("fingerprint is not null").collect()) == [("a", "figure"), ("a", "text"), ("c", "text")]
