@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,10 +86,42 @@ def answer_prompt(questions: DataFrame, blocks: DataFrame) -> DataFrame:
     return questions.join(blocks, "query_id", "left").select("query_id", F.concat(F.lit("Context passages:\n\n"), context, F.lit("\n\nQuestion: "), F.col("question")).alias("prompt"))
 
 
+_PART = "struct<type:string,text:string,image_url:struct<url:string>>"
+
+
+def message(role: str, text: Column, image: Column | None = None) -> Column:
+    """A chat message; with an ``image`` (its data URL; null: none) its content is a list of parts, else the text."""
+    none = F.lit(None).cast(f"array<{_PART}>")
+    if image is None:
+        return F.struct(F.lit(role).alias("role"), text.alias("text"), none.alias("parts"))
+    words = F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("struct<url:string>").alias("image_url")).cast(_PART)
+    shown = F.struct(F.lit("image_url").alias("type"), F.lit(None).cast("string").alias("text"), F.struct(image.alias("url")).alias("image_url")).cast(_PART)
+    seen = image.isNotNull()
+    return F.struct(F.lit(role).alias("role"), F.when(~seen, text).alias("text"), F.when(seen, F.array(words, shown)).alias("parts"))
+
+
+def chat(system: Column, user: Column) -> Column:
+    """The messages of a request: the system's, where it says something, and the user's."""
+    return F.when(_given(system), F.array(message("system", system), user)).otherwise(F.array(user))
+
+
+def _written(m: Column) -> Column:
+    """A message as JSON, whose content is a string or a list of parts."""
+    parts = F.to_json(F.struct(m["role"].alias("role"), m["parts"].alias("content")))
+    return F.when(m["parts"].isNotNull(), parts).otherwise(F.to_json(F.struct(m["role"].alias("role"), m["text"].alias("content"))))
+
+
+def chat_lines(rows: DataFrame, model: str, max_tokens: int = 400, temperature: float = 0.0) -> DataFrame:
+    """(custom_id, line): JSON requests of ``rows`` (custom_id, messages; as ``chat`` makes them)."""
+    tail = F.to_json(F.struct(F.lit(temperature).alias("temperature"), F.lit(max_tokens).alias("max_tokens")))
+    body = F.concat(F.lit('{"model":'), F.lit(json.dumps(model)), F.lit(',"messages":['), F.array_join(F.transform("messages", _written), ","), F.lit("],"), F.substring(tail, 2, 1 << 20))
+    head = F.to_json(F.struct("custom_id", F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url")))
+    return rows.select("custom_id", F.concat(F.regexp_replace(head, "[}]$", ""), F.lit(',"body":'), body, F.lit("}")).alias("line"))
+
+
 def request_lines(rows: DataFrame, model: str, max_tokens: int = 400) -> DataFrame:
-    """(custom_id, line): JSON requests of ``rows`` (custom_id, prompt)."""
-    body = F.struct(F.lit(model).alias("model"), F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))).alias("messages"), F.lit(0.0).alias("temperature"), F.lit(max_tokens).alias("max_tokens"))
-    return rows.select("custom_id", F.to_json(F.struct("custom_id", F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), body.alias("body"))).alias("line"))
+    """(custom_id, line): JSON requests of ``rows`` (custom_id, prompt), the prompt as the user's one message."""
+    return chat_lines(rows.select("custom_id", F.array(message("user", F.col("prompt"))).alias("messages")), model, max_tokens)
 
 
 def result_lines(lines: DataFrame) -> DataFrame:

@@ -7,7 +7,11 @@ batches; the engine around it can be tested with a fake.
 from __future__ import annotations
 
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from itertools import islice
 from typing import Any
 
 import pandas as pd
@@ -40,11 +44,52 @@ def tried(call: Callable[..., Any], *args: Any, attempts: int = ATTEMPTS, wait:
     return None, "no attempt", 0
 
 
-def downloaded(urls: DataFrame, make: Callable[[], Callable[[str], tuple[int, bytes, float | None]]], wait: Callable[[float], None] = time.sleep) -> DataFrame:
+@dataclass(frozen=True)
+class Lanes:
+    """A budget of calls over all tasks: ``most`` at a time, and ``rate`` begun a second (None: as many as come; tries of one call count once).
+
+    Rows are dealt to ``lanes`` partitions, and each keeps its share of both, so
+    the budget holds however many of them run at once. A task that is started
+    anew after a loss begins with its own share again.
+    """
+
+    most: int = 10
+    rate: float | None = None
+    lanes: int = 4
+
+    @property
+    def partitions(self) -> int:
+        return max(1, min(self.lanes, self.most))
+
+    @property
+    def share(self) -> int:
+        return max(1, self.most // self.partitions)
+
+    def called(self, call: Callable[[Any], Any], rows: Iterator[Any], now: Callable[[], float] = time.monotonic, wait: Callable[[float], None] = time.sleep) -> Iterator[tuple[Any, Any]]:
+        """(row, result) of every row, in their order: a window of ``share`` calls is under way at a time, so a slow one holds up what comes after it and no more."""
+        gap = 0.0 if self.rate is None else self.partitions / self.rate
+        due, open_ = now(), deque()
+        with ThreadPoolExecutor(self.share) as pool:
+            for row in rows:
+                if len(open_) == self.share:
+                    first, result = open_.popleft()
+                    yield first, result.result()
+                if gap:
+                    if (pause := due - now()) > 0:
+                        wait(pause)
+                    due = max(due, now()) + gap
+                open_.append((row, pool.submit(call, row)))
+            for row, result in open_:
+                yield row, result.result()
+
+
+def downloaded(urls: DataFrame, make: Callable[[], Callable[[str], tuple[int, bytes, float | None]]], wait: Callable[[float], None] = time.sleep, budget: Lanes | None = None, batch: int = 64) -> DataFrame:
     """(paper_id, url, content, reason, attempts) of ``urls`` (paper_id, url): the PDFs, or why there is none.
 
     The function fetches a URL and gives its status, its bytes and the seconds
-    after which the server wants to be asked again, if it says so.
+    after which the server wants to be asked again, if it says so. It is called
+    from several threads where a ``budget`` allows for several calls at a time;
+    without one, calls follow each other in every task.
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,11 +105,16 @@ def downloaded(urls: DataFrame, make: Callable[[], Callable[[str], tuple[int, by
                 raise ValueError("not a PDF")
             return content
 
-        for part in batches:
-            made = [tried(one, url, wait=wait) for url in part["url"]]
-            yield pd.DataFrame({"paper_id": part["paper_id"], "url": part["url"], "content": [c for c, _, _ in made], "reason": [e for _, e, _ in made], "attempts": [n for *_, n in made]})
+        rows = ((p, u) for part in batches for p, u in zip(part["paper_id"], part["url"], strict=True))
+        made = (budget or Lanes(1, None, 1)).called(lambda row: tried(one, row[1], wait=wait), rows)
+        while some := list(islice(made, batch)):
+            yield pd.DataFrame({"paper_id": [p for (p, _), _ in some], "url": [u for (_, u), _ in some], "content": [r[0] for _, r in some], "reason": [r[1] for _, r in some], "attempts": [r[2] for _, r in some]})
+
+    rows = urls.select("paper_id", "url")
+    if budget:
+        rows = rows.repartition(budget.partitions)
+    return rows.mapInPandas(task, "paper_id string, url string, content binary, reason string, attempts int")
 
-    return urls.select("paper_id", "url").mapInPandas(task, "paper_id string, url string, content binary, reason string, attempts int")
 
 BLOCKS = "doc_id string, page int, seq int, kind string, text string, size double, flags int, x0 double, y0 double, x1 double, y1 double"
 
