@@ -124,8 +124,8 @@ def request_lines(rows: DataFrame, model: str, max_tokens: int = 400) -> DataFra
     return chat_lines(rows.select("custom_id", F.array(message("user", F.col("prompt"))).alias("messages")), model, max_tokens)
 
 
-def result_lines(lines: DataFrame) -> DataFrame:
-    """(custom_id, content, error) of JSON results (value): an error, a status other than 200, or a body without content; else the content stripped."""
+def result_lines(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(custom_id, content, error), behind the columns to ``keep``, of JSON results (value): an error, a status other than 200, or a body without content; else the content stripped."""
     at = lambda path: F.get_json_object("value", path)
     fault, status, content = at("$.error"), at("$.response.status_code").try_cast("int"), F.regexp_replace(at("$.response.body.choices[0].message.content"), r"(?U)^\s+|\s+$", "")
     error = (
@@ -134,7 +134,7 @@ def result_lines(lines: DataFrame) -> DataFrame:
         .when(status.isNull() | (status != 200), F.concat(F.lit("HTTP "), F.coalesce(status.cast("string"), F.lit("?")), F.lit(": "), F.substring(F.coalesce(at("$.response.body"), F.lit("")), 1, DETAIL)))
         .when(F.coalesce(content, F.lit("")) == "", F.lit("no content"))
     )
-    return lines.select(at("$.custom_id").alias("custom_id"), F.when(error.isNull(), content).alias("content"), error.alias("error"))
+    return lines.select(*(keep or []), at("$.custom_id").alias("custom_id"), F.when(error.isNull(), content).alias("content"), error.alias("error"))
 
 
 def collected(results: DataFrame, figures: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
