@@ -21,7 +21,7 @@ from .hashing import mixed, word_hashes
 #: Tokens of a block of documents.
 BLOCK_TOKENS = 1_250_000
 #: Occurrences in training from which an n-gram of each order counts as seen; its length is the order of the model.
-LEAST = (1, 1, 2)
+LEAST = (1, 1, 1)
 #: Share of every history's probability that is kept for what it was not seen with, whatever the discounts leave.
 RESERVE = 1e-3
 #: Hashes of the two marks, which no word stands for: of texts with a blank.
@@ -329,8 +329,6 @@ class Known:
 
 WEIGHED = "order int, bucket int, block long, numbers binary, mass binary, below binary"
 WEIGHTS = "order int, bucket int, block long, weights binary"
-#: Sums of probabilities travel in so small parts, as whole numbers.
-PART = 2.0**-40
 
 
 def weight_requests(blocks: DataFrame, answers: DataFrame, discounts: Discounts, buckets: int) -> DataFrame:
@@ -349,7 +347,7 @@ def weight_requests(blocks: DataFrame, answers: DataFrame, discounts: Discounts,
             lower = known.own(m - 1)[1]
             first = known.grams[m].first
             mine = first[known.owned[m] & seen[first]]
-            sums = [np.rint(np.bincount(place[mine], weights=x[mine], minlength=len(keys)) / PART).astype(np.int64) for x in (own, lower)]
+            sums = [np.bincount(place[mine], weights=x[mine], minlength=len(keys)) for x in (own, lower)]
             found, ends = _cut(keys, buckets)
             out += [{"order": m, "bucket": b, "block": int(key[0]), "numbers": pack_sorted(numbers[x:y]), "mass": pack_numbers(sums[0][x:y]), "below": pack_numbers(sums[1][x:y])} for b, x, y in zip(found.tolist(), ends[:-1], ends[1:], strict=True)]
         return _frame(out, [c.split()[0] for c in WEIGHED.split(", ")])
@@ -357,11 +355,6 @@ def weight_requests(blocks: DataFrame, answers: DataFrame, discounts: Discounts,
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(task, WEIGHED)
 
 
-def _short(x: np.ndarray) -> np.ndarray:
-    """Floats to 37 binary digits, which pack smaller."""
-    return (x.view(np.int64) & ~np.int64(0xFFFF)).view(np.float64)
-
-
 def backoff_weights(requests: DataFrame) -> DataFrame:
     """The weights of the histories that each block asked for.
 
@@ -374,9 +367,9 @@ def backoff_weights(requests: DataFrame) -> DataFrame:
         asked = [unpack_sorted(b) for b in rows["numbers"]]
         ends = np.cumsum([len(a) for a in asked])
         place, _ = _places(np.concatenate(asked))
-        mass, below = (np.bincount(place, weights=np.concatenate([unpack_numbers(b) for b in rows[c]])) * PART for c in ("mass", "below"))
+        mass, below = (np.bincount(place, weights=np.concatenate([unpack_numbers(b) for b in rows[c]])) for c in ("mass", "below"))
         weight = (1 - mass) / (1 - below)
-        out = [{"order": int(key[0]), "bucket": int(key[1]), "block": int(b), "weights": pack_numbers(w)} for b, w in zip(rows["block"], np.split(_short(weight)[place], ends[:-1]), strict=True)]
+        out = [{"order": int(key[0]), "bucket": int(key[1]), "block": int(b), "weights": pack_numbers(w)} for b, w in zip(rows["block"], np.split(weight[place], ends[:-1]), strict=True)]
         return _frame(out, [c.split()[0] for c in WEIGHTS.split(", ")])
 
     return requests.groupBy("order", "bucket").applyInPandas(task, WEIGHTS)
@@ -425,8 +418,8 @@ def score_documents(docs: DataFrame, least: tuple[int, ...] = LEAST, k: int = 5)
     Training documents are those whose crc32 of the id's text is not divisible
     by ten. The model is of as many words as ``least`` has numbers: the
     occurrences from which an n-gram of each order counts as seen (they must not
-    fall). Rarer ones are counted but left to the backoff, as is usual for the
-    longest order. Counts up to ``k`` are discounted. A word after a history
+    fall): all of them, unless told otherwise; rarer ones are counted but left
+    to the backoff. Counts up to ``k`` are discounted. A word after a history
     that it was not seen with has the history's weight times its probability
     after the history without its first word.
 

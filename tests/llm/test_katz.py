@@ -7,13 +7,13 @@ from functools import cache
 
 import pytest
 
-from lodestar.llm.katz import RESERVE, good_turing, score_documents
+from lodestar.llm.katz import LEAST, RESERVE, good_turing, score_documents
 from lodestar.llm.queries import op8_katz
 
 DDL = "doc_id long, text string"
 
 
-def restated(rows, least=(1, 1, 2), k=5):
+def restated(rows, least=LEAST, k=5):
     """Every count, discount and weight from the definition; each history's probabilities must add up to one."""
     texts = [(i, (t or "").encode().lower().split() + [None]) for i, t in rows]
     held = {n for n, (i, _) in enumerate(texts) if zlib.crc32(str(i).encode()) % 10 == 0}
@@ -51,7 +51,7 @@ def restated(rows, least=(1, 1, 2), k=5):
 
     for m in range(1, len(least)):
         for h in list(follow[m])[:12]:
-            assert sum(p(h, w) for (w,) in grams[0]) + p(h, object()) == pytest.approx(1)
+            assert sum(p(h, w) for (w,) in grams[0]) + p(h, object()) == pytest.approx(1, abs=1e-12)
     out = []
     for n, (i, words) in enumerate(texts):
         base = sum(math.log10((grams[0][w,] + 0.1) / (total + 0.1 * (distinct + 1))) for w in words)
