@@ -133,10 +133,10 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
-           from (select distinct vec_id, embedding from embeddings)
-           where vec_id is not null and embedding is not null
+with u as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+           from embeddings where vec_id is not null and embedding is not null
              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+v as (select * from u qualify row_number() over (partition by vec_id order by len(v), v) = 1),
 s as (select q.vec_id as query_id, c.vec_id as vec_id,
              cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
       from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),

@@ -21,10 +21,11 @@ STRIDE = 32
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, v): each component x as floor(scale * x), for whole finite vectors only."""
-    usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    """(vec_id, v): each component x as floor(scale * x), for whole finite vectors whose components fit a long; of one id's vectors the shortest, then least."""
+    usable = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) * F.lit(float(scale)) < F.lit(2.0**63)))
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).dropDuplicates(["vec_id"])
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    return rows.groupBy("vec_id").agg(F.min(F.struct(F.size("v").alias("n"), "v")).alias("o")).select("vec_id", "o.v")
 
 
 def _matrix(rows: pd.Series, width: int) -> np.ndarray:
@@ -36,8 +37,8 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
 
 def _narrow(x: np.ndarray) -> str:
     """The narrowest kind of whole number that holds all of ``x``."""
-    top = int(np.abs(x).max()) if x.size else 0
-    return next(kind for kind, most in (("<i2", 1 << 15), ("<i4", 1 << 31), ("<i8", 1 << 63)) if top < most)
+    low, high = (int(x.min()), int(x.max())) if x.size else (0, 0)
+    return next(kind for kind, bits in (("<i2", 15), ("<i4", 31), ("<i8", 63)) if -(1 << bits) <= low and high < 1 << bits)
 
 
 def build_index(vectors: DataFrame, blocks: int, levels: int = LEVELS) -> DataFrame:
@@ -56,7 +57,7 @@ def build_index(vectors: DataFrame, blocks: int, levels: int = LEVELS) -> DataFr
         for dim in range(x.shape[1]):
             column = x[:, dim]
             low, high = int(column.min()), int(column.max())
-            level = (column - low) * levels // (high - low + 1)
+            level = np.minimum((column.astype(np.float64) - low) / (float(high - low) + 1) * levels, levels - 1).astype(np.int64)
             order = np.argsort(level, kind="stable").astype("<i4")
             ends = np.searchsorted(level[order], np.arange(levels + 1))
             for n in range(levels):
@@ -86,6 +87,7 @@ class Block:
         last = np.r_[first[1:], True] if len(self.dim) else first
         self.first, self.last = first, last
         self.least, self.most = self.low[first], self.high[last]
+        self.size = np.maximum(np.abs(self.least.astype(np.float64)), np.abs(self.most.astype(np.float64)))
 
     def best(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys and scores of the k best, by score and then smaller key.
@@ -99,6 +101,8 @@ class Block:
         w = np.zeros(self.width, np.int64)
         n = min(self.width, len(q))
         w[:n] = q[:n]
+        if 4 * float(np.abs(w.astype(np.float64)) @ self.size) >= 2.0**63:
+            return self._whole(query_id, w, k)
         up = w[self.dim] >= 0
         size = np.abs(w)[self.dim]
         bound = size * np.where(up, self.high - self.least[self.dim], self.most[self.dim] - self.low)
@@ -128,6 +132,23 @@ class Block:
         return self.keys[possible][top], score[top]
 
 
+    def _whole(self, query_id: int, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``best``, where sums could pass a long: all vectors are scored, those that need it in whole numbers of any length, and what is beyond a long falls away."""
+        here = np.flatnonzero(self.keys != query_id)
+        x = self.x[here].astype(np.int64)
+        plain = np.abs(x.astype(np.float64)) @ np.abs(w.astype(np.float64)) < 2.0**62
+        score = np.zeros(len(here), np.int64)
+        score[plain] = x[plain] @ w
+        fits = np.ones(len(here), bool)
+        for i in np.flatnonzero(~plain):
+            s = sum(map(int.__mul__, x[i].tolist(), w.tolist()))
+            fits[i] = -(1 << 63) <= s < 1 << 63
+            score[i] = s if fits[i] else 0
+        here, score = here[fits], score[fits]
+        top = np.lexsort((self.keys[here], ~score))[:k]  # ~s falls as s rises, for every long
+        return self.keys[here][top], score[top]
+
+
 def search(index: DataFrame, queries: DataFrame, blocks: int, chunks: int, k: int) -> DataFrame:
     """The k best (query_id, rank, vec_id, score) of every query over all blocks, the query's own row apart.
 
@@ -159,9 +180,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     the table needs.
 
     Defined results: vectors that are null or hold a null or non-finite
-    component take no part, nor do null ids; vectors of unlike length are
-    padded with zeros; an id that repeats counts once; equal scores go to the
-    smaller id; fewer than k other rows give all of them; an empty table gives
+    component take no part, nor do null ids and vectors with a component beyond
+    a long; a pair whose score is beyond a long is no candidate, all other scores
+    are exact; vectors of unlike length are padded with zeros; of the vectors of
+    one id the shortest, then least counts; equal scores go to the smaller id; fewer than k other rows give all of them; an empty table gives
     no rows; other columns are ignored.
     """
     usable = stored(quantised(vectors, scale), "quantised")
