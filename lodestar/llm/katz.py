@@ -303,11 +303,32 @@ class Known:
         out[self.block.starts] = texts if m == 2 else 0
         return out
 
+    def seen(self, m: int) -> np.ndarray:
+        """Of every token whether its n-gram of order m counts as seen."""
+        return self.n[m] >= max(1, self.least[m - 1])
+
+    def weights(self, m: int, sums: list[np.ndarray]) -> np.ndarray:
+        """Of every token the backoff weight of its history of order m - 1, from the histories' ``sums``.
+
+        A weight is what a history's seen followers leave of its probability,
+        over what the next lower order leaves for all others: so every history's
+        probabilities add up to one.
+        """
+        place, k = self.asked(m)[2], len(sums) // 2 - 1
+        has = place >= 0
+        left = []
+        for order, mine in ((m, sums[: k + 1]), (m - 1, sums[k + 1 :])):
+            of = np.ones(len(mine[0]))
+            of[place[has]] = (self.history_counts(order) if order > 1 else np.full(len(place), self.discounts.tokens))[has]
+            kept = mine[k] + sum(self.discounts.by_order[order - 1][r] * r * mine[r - 1] for r in range(1, k + 1))
+            left.append(1 - kept * (1 - RESERVE) / np.maximum(1, of))
+        return np.r_[left[0] / left[1], 1.0][place]
+
     def own(self, m: int) -> tuple[np.ndarray, np.ndarray]:
         """Of every token: whether its n-gram of order m counts as seen, and its probability then."""
         if m == 1:
             return np.ones(len(self.n[1]), bool), self.discounts.single(self.n[1])
-        seen = self.n[m] >= max(1, self.least[m - 1])
+        seen = self.seen(m)
         return seen, np.where(seen, self.discounts.part(m, self.n[m], self.history_counts(m)), 0.0)
 
     def asked(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,58 +348,68 @@ class Known:
         return keys, numbers, out
 
 
-WEIGHED = "order int, bucket int, block long, numbers binary, mass binary, below binary"
-WEIGHTS = "order int, bucket int, block long, weights binary"
+WEIGHED = "order int, bucket int, block long, numbers binary, sums array<binary>"
+SUMS = "order int, bucket int, block long, sums array<binary>"
+
+
+def _classes(counts: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Of n-grams' counts what a sum of discounted ones needs, in whole numbers: which occur r times, for r up to k, and the counts of those beyond."""
+    for r in range(1, k + 1):
+        yield (counts == r).astype(np.int64)
+    yield np.where(counts > k, counts, 0)
 
 
 def weight_requests(blocks: DataFrame, answers: DataFrame, discounts: Discounts, buckets: int) -> DataFrame:
     """A row per block, order and bucket of histories: their numbers, and what the n-grams that the block reports add to each.
 
-    ``mass`` sums the probabilities of the seen followers, ``below`` those that
-    the next lower order gives the same followers.
+    All followers of a history have its count, and their next shorter n-grams
+    have one history, too. So the probabilities of its seen followers, and those
+    that the next lower order gives them, are known from how many of them occur
+    how often: ``sums`` holds those numbers (``_classes``), which add up exactly
+    and are short.
     """
 
     def task(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        least = discounts.least
+        least, k = discounts.least, len(discounts.by_order[0]) - 1
         known, out = Known(docs.iloc[0], answers, least, len(least), discounts), []
         for m in range(2, len(least) + 1):
             keys, numbers, place = known.asked(m)
-            seen, own = known.own(m)
-            lower = known.own(m - 1)[1]
             first = known.grams[m].first
-            mine = first[known.owned[m] & seen[first]]
-            sums = [np.bincount(place[mine], weights=x[mine], minlength=len(keys)) for x in (own, lower)]
+            mine = first[known.owned[m] & known.seen(m)[first]]
             found, ends = _cut(keys, buckets)
-            out += [{"order": m, "bucket": b, "block": int(key[0]), "numbers": pack_sorted(numbers[x:y]), "mass": pack_numbers(sums[0][x:y]), "below": pack_numbers(sums[1][x:y])} for b, x, y in zip(found.tolist(), ends[:-1], ends[1:], strict=True)]
+            sums: list[list[bytes]] = [[] for _ in found]
+            for order in (m, m - 1):
+                for some in _classes(known.n[order][mine], k):
+                    added = np.bincount(place[mine], weights=some, minlength=len(keys)).astype(np.int64)
+                    for blobs, x, y in zip(sums, ends[:-1], ends[1:], strict=True):
+                        blobs.append(pack_numbers(added[x:y]))
+            out += [{"order": m, "bucket": b, "block": int(key[0]), "numbers": pack_sorted(numbers[x:y]), "sums": blobs} for b, blobs, x, y in zip(found.tolist(), sums, ends[:-1], ends[1:], strict=True)]
         return _frame(out, [c.split()[0] for c in WEIGHED.split(", ")])
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(task, WEIGHED)
 
 
-def backoff_weights(requests: DataFrame) -> DataFrame:
-    """The weights of the histories that each block asked for.
-
-    A weight is what a history's seen followers leave of its probability, over
-    what the next lower order leaves for all others: so every history's
-    probabilities add up to one.
-    """
+def history_sums(requests: DataFrame) -> DataFrame:
+    """The added ``sums`` of the histories that each block asked for, in its order."""
 
     def task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         asked = [unpack_sorted(b) for b in rows["numbers"]]
         ends = np.cumsum([len(a) for a in asked])
         place, _ = _places(np.concatenate(asked))
-        mass, below = (np.bincount(place, weights=np.concatenate([unpack_numbers(b) for b in rows[c]])) for c in ("mass", "below"))
-        weight = (1 - mass) / (1 - below)
-        out = [{"order": int(key[0]), "bucket": int(key[1]), "block": int(b), "weights": pack_numbers(w)} for b, w in zip(rows["block"], np.split(weight[place], ends[:-1]), strict=True)]
-        return _frame(out, [c.split()[0] for c in WEIGHTS.split(", ")])
+        sums: list[list[bytes]] = [[] for _ in asked]
+        for parts in zip(*rows["sums"], strict=True):
+            total = np.bincount(place, weights=np.concatenate([unpack_numbers(b) for b in parts])).astype(np.int64)
+            for blobs, x in zip(sums, np.split(total[place], ends[:-1]), strict=True):
+                blobs.append(pack_numbers(x))
+        return pd.DataFrame({"order": int(key[0]), "bucket": int(key[1]), "block": rows["block"], "sums": sums})
 
-    return requests.groupBy("order", "bucket").applyInPandas(task, WEIGHTS)
+    return requests.groupBy("order", "bucket").applyInPandas(task, SUMS)
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def scored(blocks: DataFrame, counts: DataFrame, weights: DataFrame, discounts: Discounts) -> DataFrame:
+def scored(blocks: DataFrame, counts: DataFrame, sums: DataFrame, discounts: Discounts) -> DataFrame:
     """The documents' scores: each token by its longest n-gram that counts as seen, with the backoff weights of the histories passed by."""
     order = len(discounts.least)
 
@@ -392,19 +423,19 @@ def scored(blocks: DataFrame, counts: DataFrame, weights: DataFrame, discounts:
 
     def task(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         doc = docs.iloc[0]
-        known = Known(doc, answers[answers["weights"].isna()], discounts.least, order, discounts)
-        given = answers[answers["weights"].notna()].sort_values(["order", "bucket"])
-        weight = {}
+        known = Known(doc, answers[answers["sums"].isna()], discounts.least, order, discounts)
+        given = answers[answers["sums"].notna()].sort_values(["order", "bucket"])
+        weight, classes = {}, 2 * len(discounts.by_order[0])
         for m in range(2, order + 1):
-            values = np.concatenate([np.zeros(0), *[unpack_numbers(b) for b in given.loc[given["order"] == m, "weights"]]])
-            weight[m] = np.r_[values, 1.0][known.asked(m)[2]]
+            parts = given.loc[given["order"] == m, "sums"]
+            weight[m] = known.weights(m, [np.concatenate([np.zeros(0, np.int64), *[unpack_numbers(p[c]) for p in parts]]) for c in range(classes)])
         starts, n = known.block.starts, known.n[1]
         logs = log_probability(known, weight, order)
         base = np.log10((n + 0.1) / (discounts.tokens + 0.1 * (discounts.distinct + 1)))
         ids = [None if pd.isna(i) else int(i) for i in doc["doc_ids"]]
         return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": [held_out(i) for i in ids], "n_tokens": known.block.lengths, "n_known": np.add.reduceat((n > 0).astype(np.int64), starts), "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(logs, starts)})
 
-    answers = counts.unionByName(weights, allowMissingColumns=True)
+    answers = counts.unionByName(sums, allowMissingColumns=True)
     out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(task, SCORED)
     return out.withColumn("train_tokens", F.lit(discounts.tokens).cast("long"))
 
@@ -425,9 +456,9 @@ def score_documents(docs: DataFrame, least: tuple[int, ...] = LEAST, k: int = 5)
 
     Texts are read once, into blocks of documents in the shared folder, dealt so
     that answers come to them. Blocks ask buckets of keys for the counts of
-    their distinct n-grams and then for the weights of their histories; a
+    their distinct n-grams and then for what their histories' followers add up to; a
     frequent n-gram is asked for once per block, and a bucket is a range of
-    64-bit keys, so no key is hot. Counts and weights lie there by order, range
+    64-bit keys, so no key is hot. Counts and sums lie there by order, range
     and block.
 
     Defined results: a null or empty text is its end alone; a null id is held
@@ -448,6 +479,6 @@ def score_documents(docs: DataFrame, least: tuple[int, ...] = LEAST, k: int = 5)
         let_go(spark)
     answers = counts.where(F.col("kind") == "answers").select("block", "order", "bucket", "counts", "owned", "places")
     discounts = discounts_of(counts.where(F.col("kind") == "sizes"), least, k)
-    weights = stored(backoff_weights(weight_requests(blocks, answers, discounts, buckets)), "katz-weights")
+    sums = stored(history_sums(weight_requests(blocks, answers, discounts, buckets)), "katz-sums")
     let_go(spark)
-    return scored(blocks, answers, weights.select("block", "order", "bucket", "weights"), discounts)
+    return scored(blocks, answers, sums.select("block", "order", "bucket", "sums"), discounts)
