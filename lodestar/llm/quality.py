@@ -17,8 +17,8 @@ REPEAT = 8
 FEATURES = ("n_words", "mean_word_chars", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share")
 #: Labelled documents that rules are learned from, at most.
 SAMPLE = 10_000
-#: Cuts of a feature that are tried, conditions of a rule, rules of a list.
-CUTS, CONDITIONS, RULES = 31, 3, 6
+#: Cuts of a feature that are tried.
+CUTS = 31
 #: Shares of the sample at either end where a feature is cut as well.
 TAIL = (0.001, 0.003, 0.01)
 #: Share of rejected documents among those that a rule catches in the pruning part, and their least number.
@@ -113,38 +113,38 @@ def learn(sample: DataFrame) -> list[Rule]:
     """A decision list for the bad class by sequential covering.
 
     A rule grows by the condition of the largest gain (FOIL) until it catches
-    no good document of the growing part, gains nothing or is long enough. It
-    is then cut back to the prefix with the best precision in the pruning part
-    and kept if that is good enough; what it catches goes, and the next rule is
-    sought. All counts are grouped aggregates; the driver holds the counts of a
-    feature's cuts.
+    no good document of the growing part or gains nothing. It is then cut back
+    to the prefix with the best precision in the pruning part and kept if that
+    is good enough; what it catches goes. What a rule that is not kept catches
+    goes from the growing part alone, so that another can be sought. It ends
+    when a rule catches too few to be told from chance. All counts are grouped
+    aggregates; the driver holds the counts of a feature's cuts.
     """
     cuts = sample.agg(*[F.percentile_approx(f"stats.{f}", [*TAIL, *[i / (CUTS + 1) for i in range(1, CUTS + 1)], *[1 - t for t in TAIL]], 10_000).alias(f) for f in FEATURES]).first()
     cuts = {f: sorted(set(map(float, cuts[f] or []))) for f in FEATURES}
     place = lambda f: F.size(F.filter(F.array(*map(F.lit, cuts[f])), lambda c: F.col(f"stats.{f}") > c)) if cuts[f] else F.lit(0)
     rest = stored(sample.select("stats", "bad", "prune", F.array(*map(place, FEATURES)).alias("places")), "rule-sample")
     rules: list[Rule] = []
-    while len(rules) < RULES:
+    while True:
         rule: Rule = ()
-        while len(rule) < CONDITIONS:
+        while True:
             inside = rest.where(~F.col("prune")).where(_all(rule))
             counts = inside.select("bad", F.posexplode("places").alias("feature", "place")).groupBy("feature", "place").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect()
             best = _best_condition(counts, cuts)
             if best is None:
                 break
-            rule = (*rule, best[0])
+            rule, caught = (*rule, best[0]), best[2]
             if best[1] == 0:
                 break
-        rule = _pruned(rest, rule)
-        if not rule:
-            break
-        rules.append(rule)
-        rest = rest.where(~_all(rule))
-    return rules
+        if not rule or caught < COVER:
+            return rules
+        kept = _pruned(rest, rule)
+        rules += [kept] if kept else []
+        rest = rest.where(~_all(kept) if kept else F.col("prune") | ~_all(rule))
 
 
-def _best_condition(counts: list, cuts: dict[str, list[float]]) -> tuple[Condition, int] | None:
-    """The condition of the largest gain, and the good documents that it still catches."""
+def _best_condition(counts: list, cuts: dict[str, list[float]]) -> tuple[Condition, int, int] | None:
+    """The condition of the largest gain, and the good and bad documents that it still catches."""
     best, gain = None, 0.0
     for number, feature in enumerate(FEATURES):
         mine = {r["place"]: (r["p"], r["n"]) for r in counts if r["feature"] == number}
@@ -156,7 +156,7 @@ def _best_condition(counts: list, cuts: dict[str, list[float]]) -> tuple[Conditi
             low_p, low_n = low_p + mine.get(place, (0, 0))[0], low_n + mine.get(place, (0, 0))[1]
             for above, a, b in ((False, low_p, low_n), (True, p - low_p, n - low_n)):
                 if a and (found := a * (log2(a / (a + b)) - log2(p / (p + n)))) > gain:
-                    best, gain = (Condition(feature, above, cut), b), found
+                    best, gain = (Condition(feature, above, cut), b, a), found
     return best
 
 
@@ -165,7 +165,7 @@ def _pruned(rest: DataFrame, rule: Rule) -> Rule:
     if not rule:
         return ()
     prefixes = [rule[: i + 1] for i in range(len(rule))]
-    found = rest.where("prune").agg(*[F.count_if(_all(r) & (F.col("bad") if bad else ~F.col("bad"))).alias(f"{'p' if bad else 'n'}{i}") for i, r in enumerate(prefixes) for bad in (True, False)]).first()
+    found = rest.where(F.col("prune")).agg(*[F.count_if(_all(r) & (F.col("bad") if bad else ~F.col("bad"))).alias(f"{'p' if bad else 'n'}{i}") for i, r in enumerate(prefixes) for bad in (True, False)]).first()
     scored = [((found[f"p{i}"] / max(1, found[f"p{i}"] + found[f"n{i}"])), -i) for i in range(len(prefixes))]
     precision, i = max(scored)
     return prefixes[-i] if precision >= PRECISION and found[f"p{-i}"] >= COVER else ()

@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lodestar.llm.quality import judged, kept_documents, labelled_sample, learn, with_stats
+from lodestar.llm.quality import first_rule, judged, kept_documents, labelled_sample, learn, with_stats
 
 from .conftest import ODD
 
@@ -62,3 +62,23 @@ def test_without_labels_or_rows(spark, table):
     none = table([], "doc_id long, quality int", "labels")
     assert judged(table(corpus()), none).where(~F.col("base_failed") & ~F.col("kept")).count() == 0
     assert judged(table([], name="none"), none).count() == 0
+
+
+def test_covering_goes_on_after_a_rule_that_fails(spark):
+    """Eight kinds of bad texts, each with a statistic of its own, behind a kind whose pruning part is good."""
+    rnd = random.Random(5)
+    names = ["n_words", "mean_word_chars", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share"]
+    rows = []
+    for n in range(3600):
+        stats, kind, prune = [rnd.uniform(0.4, 0.6) for _ in names], n % 18, n // 18 % 3 == 0
+        bad = kind < 9
+        if bad:
+            at, side = (kind // 2, kind % 2) if kind < 8 else (5, 1)
+            stats[at] = 0.9 + n * 1e-6 if side else 0.1 - n * 1e-6
+        rows.append((stats, bad and not (kind == 8 and prune), prune))
+    df = spark.createDataFrame(rows, "s array<double>, bad boolean, prune boolean")
+    sample = df.select(F.struct(*[F.get("s", i).alias(n) for i, n in enumerate(names)]).alias("stats"), "bad", "prune")
+    rules = learn(sample)
+    caught = {r["bad"]: r["share"] for r in sample.groupBy("bad").agg(F.avg((first_rule(rules) > 0).cast("int")).alias("share")).collect()}
+    assert len(rules) >= 8 and {(c.feature, c.above) for r in rules for c in r} >= {(n, side) for n in names[:4] for side in (True, False)}
+    assert caught[True] > 0.6 and caught[False] < 0.02  # cuts lie at percentiles, and the ninth kind is not to be told
