@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -51,6 +49,21 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
+#: Spark's setting by which a statement's shuffle files go at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Statements whose shuffle files go with them. Right for those that write a table: nothing else reads their shuffles, and a job of several of them holds one's at a time."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again.
 
@@ -82,17 +95,6 @@ def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(_table_name(path))
 
 
-def let_go(spark: SparkSession) -> None:
-    """Have the driver forget the plans that nothing refers to any more: Spark's cleaner then removes their shuffle files.
-
-    A job of several written tables would else hold the shuffle files of all of them to its end.
-    """
-    for _ in range(2):  # listeners hold a plan for a moment after its end
-        time.sleep(0.2)
-        gc.collect()
-        spark._jvm.System.gc()
-
-
 #: One part in so many of all rows makes a key hot, so there are fewer hot keys than that.
 HOT = 1000
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import pack_numbers, pack_sorted, unpack_numbers, unpack_sorted
-from .common import dealt, let_go, shuffle_partitions, slices, stored
+from .common import cleaned, dealt, shuffle_partitions, slices, stored
 from .hashing import mixed, word_hashes
 
 #: Tokens of a block of documents.
@@ -470,15 +470,14 @@ def score_documents(docs: DataFrame, least: tuple[int, ...] = LEAST, k: int = 5)
         raise ValueError("an n-gram that counts as seen needs parts that do")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     spark, buckets, orders = docs.sparkSession, 2 * shuffle_partitions(docs.sparkSession), range(1, len(least) + 1)
-    blocks = dealt(blocks_of(texts), "katz-blocks", "block")
-    counts = spark.createDataFrame([], COUNTED)
-    for m in orders:
+    with cleaned(spark):
+        blocks = dealt(blocks_of(texts), "katz-blocks", "block")
+        counts = spark.createDataFrame([], COUNTED)
+        for m in orders:
+            answers = counts.where(F.col("kind") == "answers").select("block", "order", "bucket", "counts", "owned", "places")
+            made = stored(counted(count_requests(blocks, answers, m, least, buckets), k, m < len(least)), "katz-counts")
+            counts = made if m == 1 else counts.unionByName(made)
         answers = counts.where(F.col("kind") == "answers").select("block", "order", "bucket", "counts", "owned", "places")
-        made = stored(counted(count_requests(blocks, answers, m, least, buckets), k, m < len(least)), "katz-counts")
-        counts = made if m == 1 else counts.unionByName(made)
-        let_go(spark)
-    answers = counts.where(F.col("kind") == "answers").select("block", "order", "bucket", "counts", "owned", "places")
-    discounts = discounts_of(counts.where(F.col("kind") == "sizes"), least, k)
-    sums = stored(history_sums(weight_requests(blocks, answers, discounts, buckets)), "katz-sums")
-    let_go(spark)
+        discounts = discounts_of(counts.where(F.col("kind") == "sizes"), least, k)
+        sums = stored(history_sums(weight_requests(blocks, answers, discounts, buckets)), "katz-sums")
     return scored(blocks, answers, sums.select("block", "order", "bucket", "sums"), discounts)
