@@ -117,7 +117,7 @@ def index_work(wanted: DataFrame, known: DataFrame) -> DataFrame:
 def sampled(figures: DataFrame, n: int, seed: int, key: str = "image_id", require_caption: bool = True) -> DataFrame:
     """``n`` figures, of those with a caption unless told otherwise, by a seeded hash of their id: the same for every run and partitioning."""
     some = figures.where(F.coalesce("caption", F.lit("")) != "") if require_caption else figures
-    return some.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return some.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def url_map(entries: DataFrame) -> DataFrame:

@@ -138,10 +138,11 @@ def page_order(boxes: DataFrame) -> DataFrame:
 def page_figures(boxes: DataFrame) -> DataFrame:
     """Figures of each page, in candidate order: (doc_id, page, figure, x0, y0, x1, y1).
 
-    ``boxes``: doc_id, page, seq, kind (raster, cluster, drawing, text), text,
-    x0, y0, x1, y1. Rasters come first, each placement once; clusters are cut at
-    prose, and fall away if small, mostly text, or mostly claimed already. Then
-    panels merge, labels are taken in, and neighbouring columns are left out.
+    ``boxes``: doc_id, page, seq, kind (raster, cluster, drawing, table, text),
+    text, x0, y0, x1, y1. Rasters come first, each placement once; clusters are
+    cut at prose, and fall away if small, mostly text, or mostly claimed already
+    by a table or another figure. Then panels merge, labels are taken in, and
+    neighbouring columns are left out.
     """
     marked = boxes.withColumn("prose", (F.col("kind") == "text") & is_prose(F.col("text"))).withColumn("label", (F.col("kind") == "text") & ~F.col("prose") & (F.char_length("text") <= LABEL_CHARS))
 
@@ -150,9 +151,10 @@ def page_figures(boxes: DataFrame) -> DataFrame:
         pick = lambda m: list(rows[m][["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
         texts, prose, labels, drawings = pick(rows["kind"] == "text"), pick(rows["prose"]), pick(rows["label"]), pick(rows["kind"] == "drawing")
         found = [b for b in dict.fromkeys(pick(rows["kind"] == "raster")) if min(b[2] - b[0], b[3] - b[1]) >= MIN_RASTER]
+        tables = pick(rows["kind"] == "table")
         for cluster in pick(rows["kind"] == "cluster"):
             for b in split_at_prose(cluster, prose, drawings):
-                if min(b[2] - b[0], b[3] - b[1]) < MIN_FIGURE or any(_overlap(b, c) > _area(b) * CLAIMED_SHARE for c in found):
+                if min(b[2] - b[0], b[3] - b[1]) < MIN_FIGURE or any(_overlap(b, c) > _area(b) * CLAIMED_SHARE for c in tables + found):
                     continue
                 if sum(_overlap(t, b) for t in texts) <= _area(b) * TEXT_SHARE:
                     found.append(b)

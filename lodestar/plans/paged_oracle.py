@@ -115,6 +115,7 @@ select doc_id, seq, case when hd then text end as heading, md5(case when hd then
     "pending_index_kinds": """with w as (select doc_id, unnest(['text', 'figure', 'table']) as kind from documents),
 l as (select doc_id, case when quality = 1 then 'text' else 'figure' end as kind from labels) select doc_id, kind from w anti join l using (doc_id, kind)""",
     "ledger_union": "select 'text' as kind, count(*) as n, cast(sum(doc_id) as bigint) as ids from (select distinct doc_id from labels where quality = 1 or doc_id % 3 = 0)",
+    "sampled_figures": f"with {_FIGURES} select custom_id, caption from fg where coalesce(caption, '') <> '' order by md5('7:' || custom_id), custom_id limit 20",
     "figure_context": f"with {_FIGURES} select custom_id, image_sha256, caption, title, heading from fg",
     "describe_prompts": """select conv_id, turn, md5(concat_ws(chr(10), case when turn % 2 = 0 then 'Paper: T' end, case when turn % 3 = 0 then 'Section: H' end,
   case when turn % 5 <> 0 and role <> '' then 'Caption: ' || role end, case when turn % 7 <> 0 and text <> '' then 'Surrounding text: ' || text end, 'Describe the figure.')) as prompt_md5 from conversations""",

@@ -367,6 +367,30 @@ def figure_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.page_figures(boxes.select("doc_id", "page", "seq", F.when(F.col("seq") % 5 == 0, "cluster").otherwise("text").alias("kind"), "text", "x0", "y0", wide.alias("x1"), tall.alias("y1")))
 
 
+def _scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines as boxes of all kinds, twelve a page, at places and of sizes that digests of their numbers give."""
+    lines = _lines(spark, sf_dir).where(F.col("text") != "")
+    digest = F.md5(F.concat_ws(":", "doc_id", "seq").cast("binary"))
+    part = lambda n, most: F.conv(F.substring(digest, 4 * n + 1, 4), 16, 10).cast("int") % most
+    kind = F.element_at(F.array(*map(F.lit, ("raster", "cluster", "cluster", "drawing", "drawing", "table", "text", "text", "text", "text"))), part(0, 10) + 1)
+    own = F.when(part(1, 3) == 0, F.col("text")).otherwise(F.substring_index("text", " ", 2))
+    is_text = F.col("kind") == "text"
+    boxes = lines.select(F.col("doc_id").cast("string").alias("doc_id"), (F.floor(F.col("seq") / 12) + 1).cast("int").alias("page"), "seq", kind.alias("kind"), own.alias("text"), part(2, 300).alias("x"), part(3, 400).alias("y"), part(4, 200).alias("w"), part(5, 200).alias("h"))
+    sized = boxes.withColumns({"w": F.when(is_text, F.col("w") + 10).otherwise(F.col("w") + 20), "h": F.when(is_text, F.col("h") % 30 + 8).otherwise(F.col("h") + 20)})
+    return sized.select("doc_id", "page", "seq", "kind", "text", *[c.cast("double").alias(n) for n, c in (("x0", F.col("x")), ("y0", F.col("y")), ("x1", F.col("x") + F.col("w")), ("y1", F.col("y") + F.col("h")))])
+
+
+def xy_cut_scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading order of those pages, with boxes of a tenth of the size, so that some can be cut apart."""
+    b = _scattered(spark, sf_dir)
+    return layout.page_order(b.select("doc_id", "page", "seq", "x0", "y0", F.floor(F.col("x0") + (F.col("x1") - F.col("x0")) / 4).alias("x1"), F.floor(F.col("y0") + (F.col("y1") - F.col("y0")) / 4).alias("y1")))
+
+
+def figures_scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of those pages."""
+    return layout.page_figures(_scattered(spark, sf_dir))
+
+
 def near_box_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each fourth line of those pages as an asset, the others as blocks, every seventh a caption."""
     boxes = _laid_out(spark, sf_dir).withColumn("bbox", F.array("x0", "y0", "x1", "y1"))
@@ -383,6 +407,6 @@ QUERIES = {
         density_stats, modality_mix, coverage_ratio, corpus_sizing, failure_histogram, report_full_outer, latency_summary,
         bm25_topk, sparse_topk, sparse_index_topk, dense_topk, dense_lists_topk, hybrid_rrf, hybrid_rrf_filtered, recall_at_k_by_modality, pending_anti, index_work_states, retry_semi,
         in_flight_anti, null_safe_merge, upsert_latest, request_batches_by_count, request_batches_by_bytes, request_batches_by_pointers, backoff_schedule,
-        parse_results_json, passages_numbered, chat_prompt_assembly, custom_id_codec, snippets, xy_cut_order, figure_merge, near_box_captions,
+        parse_results_json, passages_numbered, chat_prompt_assembly, custom_id_codec, snippets, xy_cut_order, xy_cut_scattered, figure_merge, figures_scattered, near_box_captions,
     )
 }
