@@ -168,7 +168,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.array_join(F.slice(words, F.greatest(F.size(words) - n, F.lit(0)) + 1, n), " ")
     said = F.concat(F.lit("line "), F.col("seq").cast("string"))
     lines = F.array(_line((head, 10.0, 16), (F.concat(F.lit(" "), tail), 10.0, 0)), _line((F.concat(F.lit("  of a bro-"), F.lit(" ")), 10.0, 0)), _line((F.concat(F.lit("ken\t"), said), 10.0, 0)))
-    plain = _elements(spark, sf_dir).where((F.col("kind") == "text") & ~F.col("text").rlike(r"[^\x21-\x7E\p{L} ]|  |-( |$)|^ | $"))
+    plain = _elements(spark, sf_dir).where(F.col("kind") == "text")
     return plain.select("doc_id", "seq", lines.alias("lines"), F.lit(10.0).alias("body_size"))
 
 
@@ -183,10 +183,10 @@ def block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _assets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Sections and assets of the documents: a section each, the first lines as figures and tables, some without description."""
+    """Sections and assets of the documents: a section each, the lines as figures and tables, some without description."""
     docs = _t(spark, sf_dir, "documents")
     sections = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("section_id"), F.col("lang").alias("heading"), F.col("source").alias("title"), F.array(F.lit(1)).alias("pages"), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n\n").alias("text"))
-    each = _elements(spark, sf_dir).where("seq < 6")
+    each = _elements(spark, sf_dir)
     kind = F.when(F.col("seq") % 2 == 0, "figure").otherwise("table")
     said = F.when(F.col("seq") % 3 != 0, F.col("text"))
     assets = each.select("doc_id", F.lit(0).alias("section_id"), kind.alias("kind"), F.col("seq").alias("position"), F.concat(kind, F.lit("-"), F.col("seq").cast("string")).alias("asset_id"), "page", "bbox", F.when(F.col("seq") % 4 < 2, F.concat(F.lit("Figure "), F.col("seq").cast("string"))).alias("caption"), F.lit(0).alias("char_offset"), F.lit("p").alias("path"), said.alias("description"), F.col("text").alias("markdown"), F.lit(2).alias("rows"), F.lit(2).alias("cols"))

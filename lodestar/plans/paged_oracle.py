@@ -46,7 +46,7 @@ dc as (select p.doc_id, count(*) as page_count, bool_or(needs_ocr) as needs_ocr,
 _BLOCKS = (
     _EL
     + r""",
-bl as (select doc_id, seq, text as whole, string_split(text, ' ') as w from el where kind = 'text' and not regexp_matches(text, '[^\x21-\x7E\p{L} ]|  |-( |$)|^ | $')),
+bl as (select doc_id, seq, text as whole, string_split(text, ' ') as w from el where kind = 'text'),
 bs as (select *, array_to_string(w[1:greatest(len(w) - 3, 0)], ' ') as text, array_to_string(w[greatest(len(w) - 3, 0) + 1:], ' ') as tail from bl)"""
 )
 _FIGURES = """
@@ -62,7 +62,7 @@ _ASSETS = (
     _EL
     + """,
 ast as (select doc_id, seq, text, case when seq % 2 = 0 then 'figure' else 'table' end as kind, case when seq % 4 < 2 then 'Figure ' || seq end as caption,
-       case when seq % 3 <> 0 then text end as description from el where seq < 6),
+       case when seq % 3 <> 0 then text end as description from el),
 ar as (select a.kind, a.doc_id, a.kind || '-' || a.seq as ord, coalesce(d.lang, '') as heading, md5(concat_ws(chr(10) || chr(10), nullif(caption, ''), nullif(a.text, ''))) as text_md5
        from ast a join documents d on a.doc_id = cast(d.doc_id as varchar) where a.kind = 'table' or coalesce(description, '') <> '')"""
 )
