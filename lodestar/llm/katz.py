@@ -108,6 +108,10 @@ class Block:
         out[self.starts] = START
         return out
 
+    def training(self, doc_ids: list) -> np.ndarray:
+        """Of every token whether its text is one to learn from."""
+        return np.repeat(np.array([not held_out(None if pd.isna(i) else int(i)) for i in doc_ids], bool), self.lengths)
+
     def orders(self, order: int) -> Iterator[tuple[int, np.ndarray]]:
         """(order, keys) of every token, order by order."""
         keys = self.words
@@ -147,7 +151,7 @@ def count_requests(blocks: DataFrame, answers: DataFrame, order: int, least: tup
     """
 
     def requests(doc: pd.Series, block: Block, keys: np.ndarray, asked: np.ndarray) -> pd.DataFrame:
-        training = np.repeat(np.array([not held_out(None if pd.isna(i) else int(i)) for i in doc["doc_ids"]]), block.lengths)
+        training = block.training(doc["doc_ids"])
         grams, number = block.grams(keys, asked), int(doc["block"])
         counts = np.bincount(grams.place[training & (grams.place >= 0)], minlength=len(grams.keys))
         found, ends = _cut(grams.keys, buckets)
@@ -270,6 +274,13 @@ def discounts_of(sizes: DataFrame, least: tuple[int, ...], k: int) -> Discounts:
     return Discounts(least, tokens, found.get((1, -1), 0), by_order, 1 - mass * (1 - RESERVE) / tokens if tokens else 1.0)
 
 
+def _classes(counts: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Of n-grams' counts what a sum of discounted ones needs, in whole numbers: which occur r times, for r up to k, and the counts of those beyond."""
+    for r in range(1, k + 1):
+        yield (counts == r).astype(np.int64)
+    yield np.where(counts > k, counts, 0)
+
+
 class Known:
     """A block with the counts that it asked for, of the orders up to ``upto``; ``keys`` are those of the next one."""
 
@@ -277,13 +288,16 @@ class Known:
         self.block, self.least, self.discounts = Block(doc["lengths"], doc["words"], doc["tokens"]), least, discounts
         answers = answers.sort_values(["order", "bucket"])
         mine = lambda m, c, unpack=unpack_numbers: np.concatenate([np.zeros(0, np.uint8), *[unpack(b) for b in answers.loc[answers["order"] == m, c]]])
+        self.doc_ids = doc["doc_ids"]
         self.grams, self.counts, self.owned, self.places, self.n = {}, {}, {}, {}, {}
         for m, self.keys in self.block.orders(min(upto + 1, len(least))):
             if m > upto:
                 break
             self.grams[m] = self.block.grams(self.keys, self.askable(m))
-            self.counts[m], self.owned[m] = mine(m, "counts").astype(np.int64), mine(m, "owned").astype(bool)
-            if m < len(least):
+            self.counts[m] = mine(m, "counts").astype(np.int64)
+            if "owned" in answers:
+                self.owned[m] = mine(m, "owned").astype(bool)
+            if "places" in answers and m < len(least):
                 self.places[m] = mine(m, "places", unpack_sorted).astype(np.int64)
             self.n[m] = self.grams[m].spread(self.counts[m], 0)
 
@@ -307,18 +321,35 @@ class Known:
         """Of every token whether its n-gram of order m counts as seen."""
         return self.n[m] >= max(1, self.least[m - 1])
 
+    def open(self, m: int) -> np.ndarray:
+        """Of every history that is asked for whether training has it outside of this block, too."""
+        before, training = self.grams[m - 1], self.block.training(self.doc_ids)
+        able = self.counts[m - 1] >= max(1, self.least[m - 1])
+        own = np.bincount(before.place[training & (before.place >= 0)], minlength=len(before.keys))
+        out = own[able] < self.counts[m - 1][able]
+        if m > 2:
+            return out
+        texts = int(training[self.block.starts].sum())
+        return np.insert(out, int(np.searchsorted(before.keys[able], START)), texts < self.counts[1][np.searchsorted(before.keys, END)])
+
     def weights(self, m: int, sums: list[np.ndarray]) -> np.ndarray:
-        """Of every token the backoff weight of its history of order m - 1, from the histories' ``sums``.
+        """Of every token the backoff weight of its history of order m - 1, from the ``sums`` of the histories that the block has waited for.
 
         A weight is what a history's seen followers leave of its probability,
         over what the next lower order leaves for all others: so every history's
         probabilities add up to one.
         """
-        place, k = self.asked(m)[2], len(sums) // 2 - 1
-        has = place >= 0
+        keys, place = self.histories(m)
+        k, has, open_ = len(sums) // 2 - 1, place >= 0, self.open(m)
+        first = self.grams[m].first
+        local = first[self.seen(m)[first]]
         left = []
-        for order, mine in ((m, sums[: k + 1]), (m - 1, sums[k + 1 :])):
-            of = np.ones(len(mine[0]))
+        for order, given in ((m, sums[: k + 1]), (m - 1, sums[k + 1 :])):
+            mine = []
+            for some, total in zip(_classes(self.n[order][local], k), given, strict=True):
+                mine.append(np.bincount(place[local], weights=some, minlength=len(keys)))
+                mine[-1][open_] = total
+            of = np.ones(len(keys))
             of[place[has]] = (self.history_counts(order) if order > 1 else np.full(len(place), self.discounts.tokens))[has]
             kept = mine[k] + sum(self.discounts.by_order[order - 1][r] * r * mine[r - 1] for r in range(1, k + 1))
             left.append(1 - kept * (1 - RESERVE) / np.maximum(1, of))
@@ -331,32 +362,28 @@ class Known:
         seen = self.seen(m)
         return seen, np.where(seen, self.discounts.part(m, self.n[m], self.history_counts(m)), 0.0)
 
-    def asked(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Histories that can have followers which count as seen: their keys, their numbers in their buckets, and of every token the place of its history here or -1.
-
-        A history's number is its place there and one more; that of the start mark is 0.
-        """
+    def histories(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Histories that can have followers which count as seen: their keys, and of every token the place of its history here or -1."""
         before, least = self.grams[m - 1], max(1, self.least[m - 1])
         able = self.counts[m - 1] >= least
-        keys, numbers, place, start = before.keys[able], self.places[m - 1][able] + 1, np.where(able, np.cumsum(able) - 1, -1), -1
+        keys, place, start = before.keys[able], np.where(able, np.cumsum(able) - 1, -1), -1
         if m == 2:
             start = int(np.searchsorted(keys, START))
-            keys, numbers, place = np.insert(keys, start, START), np.insert(numbers, start, 0), place + (place >= start)
+            keys, place = np.insert(keys, start, START), place + (place >= start)
         out = np.empty(len(before.place), np.int64)
         out[1:] = np.r_[place, -1][before.place[:-1]]
         out[self.block.starts] = start
-        return keys, numbers, out
-
+        return keys, out
 
-WEIGHED = "order int, bucket int, block long, numbers binary, sums array<binary>"
-SUMS = "order int, bucket int, block long, sums array<binary>"
+    def numbers(self, m: int) -> np.ndarray:
+        """Of those histories the numbers in their buckets: one more than their places there, 0 for the start mark."""
+        able = self.counts[m - 1] >= max(1, self.least[m - 1])
+        out = self.places[m - 1][able] + 1
+        return np.insert(out, int(np.searchsorted(self.grams[m - 1].keys[able], START)), 0) if m == 2 else out
 
 
-def _classes(counts: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """Of n-grams' counts what a sum of discounted ones needs, in whole numbers: which occur r times, for r up to k, and the counts of those beyond."""
-    for r in range(1, k + 1):
-        yield (counts == r).astype(np.int64)
-    yield np.where(counts > k, counts, 0)
+WEIGHED = "order int, bucket int, block long, numbers binary, open binary, sums array<binary>"
+SUMS = "order int, bucket int, block long, sums array<binary>"
 
 
 def weight_requests(blocks: DataFrame, answers: DataFrame, discounts: Discounts, buckets: int) -> DataFrame:
@@ -366,40 +393,44 @@ def weight_requests(blocks: DataFrame, answers: DataFrame, discounts: Discounts,
     have one history, too. So the probabilities of its seen followers, and those
     that the next lower order gives them, are known from how many of them occur
     how often: ``sums`` holds those numbers (``_classes``), which add up exactly
-    and are short.
+    and are short. ``open`` marks the histories whose totals the block waits for:
+    it has all followers itself of those that training has nowhere else.
     """
 
     def task(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         least, k = discounts.least, len(discounts.by_order[0]) - 1
         known, out = Known(docs.iloc[0], answers, least, len(least), discounts), []
         for m in range(2, len(least) + 1):
-            keys, numbers, place = known.asked(m)
+            keys, place, numbers = *known.histories(m), known.numbers(m)
             first = known.grams[m].first
             mine = first[known.owned[m] & known.seen(m)[first]]
             found, ends = _cut(keys, buckets)
+            open_ = known.open(m).astype(np.uint8)
             sums: list[list[bytes]] = [[] for _ in found]
             for order in (m, m - 1):
                 for some in _classes(known.n[order][mine], k):
                     added = np.bincount(place[mine], weights=some, minlength=len(keys)).astype(np.int64)
                     for blobs, x, y in zip(sums, ends[:-1], ends[1:], strict=True):
                         blobs.append(pack_numbers(added[x:y]))
-            out += [{"order": m, "bucket": b, "block": int(key[0]), "numbers": pack_sorted(numbers[x:y]), "sums": blobs} for b, blobs, x, y in zip(found.tolist(), sums, ends[:-1], ends[1:], strict=True)]
+            out += [{"order": m, "bucket": b, "block": int(key[0]), "numbers": pack_sorted(numbers[x:y]), "open": pack_numbers(open_[x:y]), "sums": blobs} for b, blobs, x, y in zip(found.tolist(), sums, ends[:-1], ends[1:], strict=True)]
         return _frame(out, [c.split()[0] for c in WEIGHED.split(", ")])
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(task, WEIGHED)
 
 
 def history_sums(requests: DataFrame) -> DataFrame:
-    """The added ``sums`` of the histories that each block asked for, in its order."""
+    """The added ``sums`` of the histories that each block waits for, in its order."""
 
     def task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         asked = [unpack_sorted(b) for b in rows["numbers"]]
-        ends = np.cumsum([len(a) for a in asked])
+        waits = [unpack_numbers(b).astype(bool) for b in rows["open"]]
+        ends = np.cumsum([w.sum() for w in waits])
         place, _ = _places(np.concatenate(asked))
+        back = place[np.concatenate(waits)]
         sums: list[list[bytes]] = [[] for _ in asked]
         for parts in zip(*rows["sums"], strict=True):
             total = np.bincount(place, weights=np.concatenate([unpack_numbers(b) for b in parts])).astype(np.int64)
-            for blobs, x in zip(sums, np.split(total[place], ends[:-1]), strict=True):
+            for blobs, x in zip(sums, np.split(total[back], ends[:-1]), strict=True):
                 blobs.append(pack_numbers(x))
         return pd.DataFrame({"order": int(key[0]), "bucket": int(key[1]), "block": rows["block"], "sums": sums})
 
@@ -474,10 +505,10 @@ def score_documents(docs: DataFrame, least: tuple[int, ...] = LEAST, k: int = 5)
         blocks = dealt(blocks_of(texts), "katz-blocks", "block")
         counts = spark.createDataFrame([], COUNTED)
         for m in orders:
-            answers = counts.where(F.col("kind") == "answers").select("block", "order", "bucket", "counts", "owned", "places")
+            answers = counts.where(F.col("kind") == "answers").select("block", "order", "bucket", "counts")
             made = stored(counted(count_requests(blocks, answers, m, least, buckets), k, m < len(least)), "katz-counts")
             counts = made if m == 1 else counts.unionByName(made)
         answers = counts.where(F.col("kind") == "answers").select("block", "order", "bucket", "counts", "owned", "places")
         discounts = discounts_of(counts.where(F.col("kind") == "sizes"), least, k)
         sums = stored(history_sums(weight_requests(blocks, answers, discounts, buckets)), "katz-sums")
-    return scored(blocks, answers, sums.select("block", "order", "bucket", "sums"), discounts)
+    return scored(blocks, answers.drop("owned", "places"), sums.select("block", "order", "bucket", "sums"), discounts)
