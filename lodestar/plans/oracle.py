@@ -191,3 +191,4 @@ b as (select doc_id, doc_id % 5 = 0 or length(text || case when doc_id % 5 = 0 t
 select cast(coalesce(w.doc_id, b.doc_id) as varchar) as doc_id, 'text' as kind, case when b.doc_id is null then 'new' when w.doc_id is null then 'gone' else 'changed' end as state, fingerprint,
   case when w.doc_id is not null then '2000/300' else (select case when length(text || case when doc_id % 5 = 0 then '.' else '' end) > 4000 then '1000/300' else '2000/300' end from d where d.doc_id = b.doc_id) end as config
 from w full join b on w.doc_id = b.doc_id where b.doc_id is null or w.doc_id is null or other"""
+ORACLE_SQL["index_rows_by_function"] = ORACLE_SQL["index_rows_text"]

@@ -20,6 +20,7 @@ from ..operators import batches as B
 from ..operators import ann, chunking, evaluation, incremental, inverted, layout, retrieval, stats
 from ..operators import sections as S
 from ..operators.rows import text_rows
+from ..sources import functions
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,6 +59,15 @@ def index_rows_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(T.point_id(F.col("doc_id"), F.lit(0), F.lit("text"), F.col("ord")).alias("id"), "doc_id", "ord", F.char_length("text").alias("chars"), F.char_length(body).alias("embed_chars"), F.md5(body.cast("binary")).alias("embed_md5"))
 
 
+def index_rows_by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``index_rows_text``, by a LATERAL call of the table function."""
+    functions.register(spark)
+    docs = _paragraphed(spark, sf_dir).select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("heading"), "text")
+    called = "select d.doc_id, c.* from {docs} d, lateral index_text(cast(d.doc_id as string), 0, d.heading, d.text, 2000, 300) c"
+    rows = spark.sql(called, docs=docs)
+    return rows.select("id", "doc_id", "ord", F.char_length("text").alias("chars"), F.char_length("embed_text").alias("embed_chars"), F.md5(F.col("embed_text").cast("binary")).alias("embed_md5"))
+
+
 def _with_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a placeholder paragraph after each third paragraph: (doc_id, text)."""
     blocks = F.transform(F.split("text", "\n\n"), lambda b, i: F.when(i % 3 == 2, F.concat(b, F.lit("\n\n"), S.placeholder(F.concat(F.lit("img-"), F.floor(i / 3).cast("string"), F.lit(".png"))))).otherwise(b))
@@ -402,7 +412,7 @@ def near_box_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        paragraph_spans, chunk_spans, chunk_stats_by_lang, index_rows_text, asset_chunk_range_join, placeholder_integrity,
+        paragraph_spans, chunk_spans, chunk_stats_by_lang, index_rows_text, index_rows_by_function, asset_chunk_range_join, placeholder_integrity,
         heading_sections, first_heading_titles, running_heads, prose_lines, length_quantiles_exclusive, threshold_counts,
         density_stats, modality_mix, coverage_ratio, corpus_sizing, failure_histogram, report_full_outer, latency_summary,
         bm25_topk, sparse_topk, sparse_index_topk, dense_topk, dense_lists_topk, hybrid_rrf, hybrid_rrf_filtered, recall_at_k_by_modality, pending_anti, index_work_states, retry_semi,
