@@ -98,8 +98,11 @@ def placeholder(asset_id: Column) -> Column:
     return F.concat(F.lit("!["), asset_id, F.lit("]("), asset_id, F.lit(")"))
 
 
-def placeholder_faults(sections: DataFrame, assets: DataFrame) -> DataFrame:
-    """Assets without placeholder, placeholders without asset, and placeholders that are not where their asset says: (doc_id, section_id, asset_id, fault)."""
+def placeholder_faults(sections: DataFrame, assets: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Assets without placeholder, placeholders without asset, and placeholders that are not where their asset says: (doc_id, section_id, asset_id, fault).
+
+    With ``files`` (path), as listed, also assets with a path where no file is.
+    """
     key = ["doc_id", "section_id", "asset_id"]
     marks = sections.select("doc_id", "section_id", F.explode(F.regexp_extract_all("text", F.lit(r"!\[([^\]]+)\]\([^)]+\)"), 1)).alias("asset_id")).distinct()
     missing = assets.select(key).join(marks, key, "left_anti").withColumn("fault", F.lit("no-placeholder"))
@@ -107,7 +110,11 @@ def placeholder_faults(sections: DataFrame, assets: DataFrame) -> DataFrame:
     at = assets.join(sections.select("doc_id", "section_id", "text"), ["doc_id", "section_id"])
     mark = placeholder(F.col("asset_id"))
     moved = at.where(F.substr("text", F.col("char_offset") + 1, F.char_length(mark)) != mark).select(*key, F.lit("offset").alias("fault")).join(marks, key, "left_semi")
-    return missing.unionByName(unknown).unionByName(moved)
+    found = missing.unionByName(unknown).unionByName(moved)
+    if files is None:
+        return found
+    lost = assets.where(F.col("path").isNotNull()).join(files.select("path").distinct(), "path", "left_anti")
+    return found.unionByName(lost.select(*key, F.lit("no-file").alias("fault")))
 
 
 def is_real_table(cells: Column) -> Column:

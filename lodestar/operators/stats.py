@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import stored
+
 
 def by_rank(df: DataFrame, group: str, column: str, wanted: Callable[[int], list[int]]) -> DataFrame:
     """(group, rank, value): the values at the ranks, from 1, that ``wanted`` names for a group's number of rows.
@@ -20,22 +21,19 @@ def by_rank(df: DataFrame, group: str, column: str, wanted: Callable[[int], list
     spark = df.sparkSession
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
     dealt = df.select(group, column).repartitionByRange(group, column).sortWithinPartitions(group, column)
-    ranged = dealt.select(group, column, F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")).persist(StorageLevel.DISK_ONLY)
-    try:
-        sizes = ranged.groupBy("_range", group).agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect()
-        seen: dict[object, int] = {}
-        totals: dict[object, int] = {}
-        for r in sizes:
-            totals[r[group]] = totals.get(r[group], 0) + r["n"]
-        asked = []
-        for r in sorted(sizes, key=lambda r: r["_range"]):
-            before = seen.get(r[group], 0)
-            asked += [(r["first"] + rank - before - 1, rank) for rank in wanted(totals[r[group]]) if before < rank <= before + r["n"]]
-            seen[r[group]] = before + r["n"]
-        at = spark.createDataFrame(asked, "_at long, rank long")
-        found = ranged.join(F.broadcast(at), "_at").select(group, "rank", F.col(column).alias("value")).collect()
-    finally:
-        ranged.unpersist()
+    ranged = stored(dealt.select(group, column, F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")), "ranks")  # both jobs must see the same ranges
+    sizes = ranged.groupBy("_range", group).agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect()
+    seen: dict[object, int] = {}
+    totals: dict[object, int] = {}
+    for r in sizes:
+        totals[r[group]] = totals.get(r[group], 0) + r["n"]
+    asked = []
+    for r in sorted(sizes, key=lambda r: r["_range"]):
+        before = seen.get(r[group], 0)
+        asked += [(r["first"] + rank - before - 1, rank) for rank in wanted(totals[r[group]]) if before < rank <= before + r["n"]]
+        seen[r[group]] = before + r["n"]
+    at = spark.createDataFrame(asked, "_at long, rank long")
+    found = ranged.join(F.broadcast(at), "_at").select(group, "rank", F.col(column).alias("value")).collect()
     return spark.createDataFrame(found, f"`{group}` {kind[group]}, rank long, value {kind[column]}")
 
 
@@ -107,6 +105,16 @@ def histogram(df: DataFrame, column: str, missing: str = "unknown") -> DataFrame
     return df.groupBy(F.coalesce(column, F.lit(missing)).alias(column)).agg(F.count("*").alias("n"))
 
 
+def progress(wanted: DataFrame, have: DataFrame, failures: DataFrame, key: str) -> DataFrame:
+    """(measure, reason, n): how many of the ``wanted`` (key) there are, how many of them we ``have`` (key), have failed and are pending, and the ``failures`` (key, reason) by reason."""
+    all_, there, bad = wanted.select(key).distinct(), have.select(key).distinct(), failures.groupBy(key).agg(F.max(F.coalesce("reason", F.lit("unknown"))).alias("reason"))
+    marked = all_.join(there.withColumn("there", F.lit(True)), key, "left").join(bad, key, "left")
+    got, failed = F.col("there").isNotNull(), F.col("reason").isNotNull()
+    sums = marked.agg(F.count("*").alias("wanted"), F.count_if(got).alias("have"), F.count_if(~got & failed).alias("failed"), F.count_if(~got & ~failed).alias("pending"))
+    totals = sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.lit(None).cast("string").alias("reason"), F.col(c).alias("n")) for c in ("wanted", "have", "failed", "pending")])))
+    return totals.unionByName(bad.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("reason").alias("measure"), "reason", "n"))
+
+
 def most_common(df: DataFrame, column: str, n: int) -> DataFrame:
     """The ``n`` values that occur most, the first of equals by value, with their rank."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)

@@ -192,3 +192,9 @@ select cast(coalesce(w.doc_id, b.doc_id) as varchar) as doc_id, 'text' as kind,
   case when w.doc_id is not null then '2000/300' else (select case when length(text || case when doc_id % 5 = 0 then '.' else '' end) > 4000 then '1000/300' else '2000/300' end from d where d.doc_id = b.doc_id) end as config
 from w full join b on w.doc_id = b.doc_id where b.doc_id is null or w.doc_id is null or other"""
 ORACLE_SQL["index_rows_by_function"] = ORACLE_SQL["index_rows_text"]
+ORACLE_SQL["upsert_deltas"] = ORACLE_SQL["upsert_latest"]
+ORACLE_SQL["placeholder_files"] = f"""with {_PLACED} select doc_id, asset_id, 'no-file' as fault from assets
+where cast(doc_id as bigint) % 3 = 0 and cast(doc_id as bigint) not in (select doc_id from labels where doc_id is not null)"""
+ORACLE_SQL["progress_report"] = """with d as (select doc_id, doc_id in (select doc_id from labels where doc_id is not null) as there, source in ('src1', 'src2', 'src3') as failed, case when source <> 'src3' then source else 'unknown' end as reason from documents)
+select 'wanted' as measure, null as reason, count(*) as n from d union all select 'have', null, count(*) filter (where there) from d union all select 'failed', null, count(*) filter (where not there and failed) from d
+union all select 'pending', null, count(*) filter (where not there and not failed) from d union all select 'reason', reason, count(*) from d where failed group by reason"""

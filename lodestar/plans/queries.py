@@ -8,6 +8,7 @@ where their summation order is open.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,8 @@ from ..operators import batches as B
 from ..operators import ann, chunking, evaluation, incremental, inverted, layout, retrieval, stats
 from ..operators import sections as S
 from ..operators.rows import text_rows
-from ..sources import functions
+from ..operators.tables import shared_dir
+from ..sources import deltas, functions
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -97,6 +99,31 @@ def placeholder_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.placeholder_faults(marked, broken).groupBy("fault").agg(F.count("*").alias("n"))
 
 
+def placeholder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets of every third document whose file is not among those of the labelled documents."""
+    marked = _with_placeholders(spark, sf_dir).withColumn("section_id", F.lit(0))
+    path = F.when(F.col("doc_id").cast("long") % 3 == 0, F.concat_ws("/", "doc_id", "asset_id"))
+    assets = _placed(marked).withColumn("path", path)
+    there = assets.join(_t(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return S.placeholder_faults(marked, assets, there.select("path")).select("doc_id", "asset_id", "fault")
+
+
+def progress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are wanted, the labelled ones are there, and those of some sources have failed."""
+    docs = _docs(spark, sf_dir)
+    failed = docs.where("source in ('src1', 'src2', 'src3')").select("doc_id", F.when(F.col("source") != "src3", F.col("source")).alias("reason"))
+    return stats.progress(docs, _t(spark, sf_dir, "labels"), failed, "doc_id")
+
+
+def upsert_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``upsert_latest``, through a table of data files and deletion bitmaps that is written and read again."""
+    events = _t(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    path = f"{shared_dir(spark)}/upsert-deltas-{uuid.uuid4().hex}"
+    deltas.upserted(spark, path, incremental.latest(events, ["user_id"], -F.col("event_id")), ["user_id"])
+    deltas.upserted(spark, path, incremental.latest(events.where("event_type = 'purchase'"), ["user_id"], F.col("event_id")), ["user_id"])
+    return deltas.current(spark, path).select("user_id", "event_id", "event_type")
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", "lang", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("seq", "text"))
 
@@ -412,7 +439,7 @@ def near_box_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        paragraph_spans, chunk_spans, chunk_stats_by_lang, index_rows_text, index_rows_by_function, asset_chunk_range_join, placeholder_integrity,
+        paragraph_spans, chunk_spans, chunk_stats_by_lang, index_rows_text, index_rows_by_function, asset_chunk_range_join, placeholder_integrity, placeholder_files, progress_report, upsert_deltas,
         heading_sections, first_heading_titles, running_heads, prose_lines, length_quantiles_exclusive, threshold_counts,
         density_stats, modality_mix, coverage_ratio, corpus_sizing, failure_histogram, report_full_outer, latency_summary,
         bm25_topk, sparse_topk, sparse_index_topk, dense_topk, dense_lists_topk, hybrid_rrf, hybrid_rrf_filtered, recall_at_k_by_modality, pending_anti, index_work_states, retry_semi,

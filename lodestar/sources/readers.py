@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +46,10 @@ def sections(docs: DataFrame) -> DataFrame:
 
 
 def assets(docs: DataFrame) -> DataFrame:
-    """A row per image and table of each section, images first, in map order."""
+    """A row per image and table of each section, images first, in map order; of one id in both maps the table counts, as the later."""
     s = docs.select(F.col("id").alias("doc_id"), F.explode("sections").alias("s"))
-    images = s.select("doc_id", "s.section_id", F.lit("figure").alias("kind"), F.posexplode("s.images").alias("position", "asset_id", "a")).select("doc_id", "section_id", "kind", "position", "asset_id", "a.page", "a.bbox", "a.caption", "a.char_offset", "a.path", "a.description")
+    own = F.map_filter("s.images", lambda k, _: ~F.coalesce(F.array_contains(F.map_keys("s.tables"), k), F.lit(False)))
+    images = s.select("doc_id", "s.section_id", F.lit("figure").alias("kind"), F.posexplode(own).alias("position", "asset_id", "a")).select("doc_id", "section_id", "kind", "position", "asset_id", "a.page", "a.bbox", "a.caption", "a.char_offset", "a.path", "a.description")
     tables = s.select("doc_id", "s.section_id", F.lit("table").alias("kind"), F.posexplode("s.tables").alias("position", "asset_id", "a")).select("doc_id", "section_id", "kind", "position", "asset_id", "a.page", "a.bbox", "a.caption", "a.char_offset", "a.markdown", "a.rows", "a.cols")
     return images.unionByName(tables, allowMissingColumns=True)
 
@@ -63,6 +66,31 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return found.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
+#: Folders below the data folder that belong to each named part of it.
+PARTS = {"descriptions": ("processed/pdf/descriptions",), "docs": ("processed/pdf/docs", "processed/pdf/layout"), "processed": ("processed",), "dataset": ("dataset",), "raw": ("raw_dataset",), "all": ("",)}
+TOP = ("dataset", "raw_dataset", "processed")
+LEFT_OUT = (".cache", ".DS_Store", ".gitattributes")
+
+
+def part(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(path, bytes, modified, top) of the files of a named part of the data folder, without caches; ``path`` as it is below the folder."""
+    if name not in PARTS:
+        raise ValueError(f"no part {name}; there are {', '.join(PARTS)}")
+    below = F.substring_index("path", f"{root.rstrip('/').rsplit('/', 1)[-1]}/", -1)
+    listed = files(spark, root).withColumn("path", below)
+    inside = [F.lit(True) if not folder else F.col("path").startswith(f"{folder}/") for folder in PARTS[name]]
+    wanted = listed.where(reduce(lambda a, b: a | b, inside)).withColumn("top", F.substring_index("path", "/", 1))
+    return wanted.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, LEFT_OUT))))
+
+
+def descriptions(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, image_id, description, model, prompt_version, image_sha256, batch) of files by document; a broken one holds none."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    entry = "map<string,struct<description:string,model:string,prompt_version:string,image_sha256:string,batch:string>>"
+    doc_id = F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"^(.*)\.json$", 1)
+    return raw.select(doc_id.alias("doc_id"), F.explode(F.from_json("value", entry)).alias("image_id", "d")).select("doc_id", "image_id", "d.*")
+
+
 def image_hashes(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
     """(path, image_sha256) of the image files below a path; ``path`` as they are named below it."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)

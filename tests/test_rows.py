@@ -46,3 +46,27 @@ def test_a_second_run_opens_nothing(spark, tmp_path):
     (tmp_path / "3.png").unlink()
     (tmp_path / "9.png").write_bytes(b"\x89PNG new")
     assert found(readers.known_hashes(spark, str(tmp_path), kept)) == {"0.png": want["0.png"], "1.png": want["1.png"], "2.png": sha(2), "9.png": sha(9)}
+
+
+def test_parts_of_the_data_folder(spark, tmp_path):
+    root = tmp_path / "data"
+    names = ["processed/pdf/docs/a.json", "processed/pdf/layout/a.json", "processed/pdf/descriptions/a.json", "dataset/x.csv", "raw_dataset/pdf/raw_pdf/a.pdf", "dataset/.cache/y", "processed/.DS_Store"]
+    for n in names:
+        (root / n).parent.mkdir(parents=True, exist_ok=True)
+        (root / n).write_text("x" * len(n))
+    found = lambda part: sorted((r.path, r.bytes, r.top) for r in readers.part(spark, str(root), part).collect())
+    want = lambda *at: sorted((names[i], len(names[i]), names[i].split("/")[0]) for i in at)
+    assert found("docs") == want(0, 1) and found("descriptions") == want(2) and found("processed") == want(0, 1, 2)
+    assert found("raw") == want(4) and found("all") == want(0, 1, 2, 3, 4)
+
+
+def test_descriptions_by_document(spark, tmp_path):
+    (tmp_path / "2301.1.json").write_text('{"img-1.png": {"description": "d", "model": "m", "prompt_version": "p", "image_sha256": "s", "batch": "b"}, "img-2.png": {"description": ""}}')
+    (tmp_path / "broken.json").write_text("{")
+    assert sorted(tuple(r) for r in readers.descriptions(spark, str(tmp_path)).collect()) == [("2301.1", "img-1.png", "d", "m", "p", "s", "b"), ("2301.1", "img-2.png", "", None, None, None, None)]
+
+
+def test_of_one_id_the_later_asset_counts(spark):
+    image = lambda p: {"page": p, "path": "x.png"}
+    docs = spark.createDataFrame([{"id": "d", "sections": [{"section_id": 0, "images": {"a": image(1), "b": image(2)}, "tables": {"b": {"page": 3, "markdown": "|"}}}, {"section_id": 1, "images": {"c": image(4)}, "tables": None}]}], readers.DOCUMENT)
+    assert sorted((r.section_id, r.asset_id, r.kind, r.page) for r in readers.assets(docs).collect()) == [(0, "a", "figure", 1), (0, "b", "table", 3), (1, "c", "figure", 4)]
