@@ -78,7 +78,9 @@ def quoted_runs(messages: DataFrame) -> DataFrame:
 
     Blank lines do not count. A run of n lines is its first and its last 2^k
     lines, the largest power that fits, at their distance in one text; equal
-    texts and equal passages are looked at once.
+    texts and equal passages are looked at once. A text first gives its own runs
+    of the lengths that are quoted with their beginning, and those meet the
+    quotes as a whole: many passages that begin alike do not meet each other.
     """
     several = lambda df: df.where(F.size("lines") >= 2)
     quotes = several(messages.select(F.explode("quotes").alias("quote")).select(_hash(F.col("quote.text")).alias("hash"), _lines(F.col("quote.text")).alias("lines")).distinct())
@@ -88,8 +90,9 @@ def quoted_runs(messages: DataFrame) -> DataFrame:
     quotes = quotes.select("hash", "k", "apart", at(F.lit(0)).alias("head"), at(F.col("apart")).alias("tail")).distinct()
     texts = several(messages.select("conv_id", "turn", _lines(F.col("own")).alias("lines"))).withColumn("own_hash", F.unhex(F.substring(F.sha2(F.array_join("lines", "\n").cast("binary"), 256), 1, 32)))
     posts = texts.select("own_hash", "lines").dropDuplicates(["own_hash"]).select("own_hash", F.explode(_runs(F.col("lines"))).alias("run")).select("own_hash", "run.*")
-    heads = quotes.join(posts.withColumnRenamed("h", "head"), ["k", "head"]).select("hash", "k", "own_hash", "tail", (F.col("p") + F.col("apart")).alias("p"))
-    whole = heads.join(posts.withColumnRenamed("h", "tail"), ["own_hash", "k", "p", "tail"], "left_semi").select("hash", "own_hash").distinct()
+    heads = posts.withColumnRenamed("h", "head").join(quotes.select("k", "head", "apart").distinct(), ["k", "head"]).select("own_hash", "k", "head", "apart", (F.col("p") + F.col("apart")).alias("p"))
+    runs = heads.join(posts.withColumnRenamed("h", "tail"), ["own_hash", "k", "p"]).select("own_hash", "k", "head", "apart", "tail").distinct()
+    whole = runs.join(quotes, ["k", "head", "apart", "tail"]).select("hash", "own_hash").distinct()
     return texts.select("conv_id", "turn", "own_hash").join(whole, "own_hash").select("conv_id", "turn", "hash")
 
 

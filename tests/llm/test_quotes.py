@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestar.llm.quotes import passages, quoting, replies
+from lodestar.llm.quotes import parsed, passages, quoted_runs, quoting, replies
 
 DDL = "conv_id long, turn long, role string, text string"
 
@@ -87,3 +87,30 @@ def test_many_marks_and_long_texts(spark):
     found = got(spark, rows)
     assert [found[1, n].n_quotes for n in range(4)] == [1, 0, 0, 1]
     assert (found[1, 3].parent_conv, found[1, 3].parent_turn) == (1, 2)
+
+
+def test_a_common_beginning_makes_no_pairs(spark):
+    """Messages of three lines that begin with one greeting, each quoted once without its other line: rows in proportion."""
+    n = 300
+    rows = []
+    for i in range(n):
+        said = ["Dear all,", "good morning", f"number {i}"]
+        rows += [(i, 0, "a", "\n".join(["Intro", *said, "Bye"])), (i, 1, "b", "\n".join([*(f"> {x}" for x in said), "thanks"]))]
+    known = parsed(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    runs = quoted_runs(known)
+    assert runs.count() == n and runs.where("turn = 0").select("conv_id").distinct().count() == n
+    runs.collect()
+    plan = runs._jdf.queryExecution()
+    plan.executedPlan().executeCollect()
+
+    def most(node):
+        metrics = node.metrics()
+        own = metrics.apply("numOutputRows").value() if metrics.contains("numOutputRows") else 0
+        inner = [node.children().apply(i) for i in range(node.children().length())]
+        if node.nodeName() == "AdaptiveSparkPlan":
+            inner = [node.executedPlan()]
+        elif "QueryStage" in node.nodeName():
+            inner = [node.plan()]
+        return max([own, *map(most, inner)])
+
+    assert n <= most(plan.executedPlan()) <= 40 * n
