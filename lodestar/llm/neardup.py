@@ -25,6 +25,8 @@ MISS = 1e-9
 STRETCH, COLUMNS = 1024, 4096
 #: Posting lists up to this length are merged pair by pair; longer ones go through their least node.
 SHORT = 16
+#: Collisions of two prefixes from which a pair is looked at.
+TOGETHER = 4
 _RANDOM = np.random.default_rng(20_240_601)
 #: Odd multipliers: of the places in a shingle, and of the coordinates.
 _PLACES = _RANDOM.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,22 +105,21 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, ["least", "digest"]).dropDuplicates(["node"]).select("node", "shingles")
 
 
-def postings(nodes: DataFrame, needed: int) -> DataFrame:
-    """(key, node, skipped): each node under the coordinate values of its prefix that another node's prefix may share.
+def postings(nodes: DataFrame, needed: int, together: int = TOGETHER) -> DataFrame:
+    """(key, node, n, skipped): each node under the coordinate values of its prefix that another node shares; ``n`` nodes have the value.
 
-    A pair with ``needed`` of the coordinates in common shares one of the first
-    COORDINATES - needed + 1 of each, whatever the common order. The order is
-    by rarity, so values that many share come last and are skipped
-    (``skipped`` counts them); values of one node alone fill the prefix without
-    being posted.
+    A pair with ``needed`` of the coordinates in common shares ``together`` of
+    the first COORDINATES - needed + together of each, whatever the common
+    order. The order is by rarity: values of one node alone fill the prefix
+    without being posted, and those of more than ``SHORT`` nodes come last, to
+    be skipped when collisions are counted (``skipped`` is their number).
     """
     keys = nodes.select("node", F.explode("signature").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     mine = Window.partitionBy("node")
-    ranked = keys.join(shared, "key").withColumns({"rank": F.row_number().over(mine.orderBy("n", "key")), "shared": F.count("*").over(mine)})
-    place = F.col("rank") + (COORDINATES - F.col("shared"))
-    prefix = COORDINATES - needed + 1
-    return ranked.where(place <= prefix).select("key", "node", F.least("shared", F.lit(COORDINATES - prefix)).cast("int").alias("skipped"))
+    ranked = keys.join(shared, "key").withColumns({"rank": F.row_number().over(mine.orderBy("n", "key")), "shared": F.count("*").over(mine), "short": F.count_if(F.col("n") <= SHORT).over(mine)})
+    last = F.lit(COORDINATES - needed + together) - (COORDINATES - F.col("shared"))
+    return ranked.where(F.col("rank") <= last).select("key", "node", "n", F.greatest(F.least(last, "shared") - F.col("short"), F.lit(0)).cast("int").alias("skipped"))
 
 
 def collisions(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,15 +127,15 @@ def collisions(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Short lists are merged: all their pairs, each once, with the number of
     lists that it meets in. A long list pairs its least node, its head, with
-    each of the others. ``most`` bounds the coordinates that a pair can have in
-    common: those counted, and those skipped.
+    each of the others. ``most`` bounds how often a pair's prefixes can meet:
+    the collisions counted, and the skipped values, of the one that has fewer.
     """
-    sized = lists.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).where(F.col("n") > 1)
-    listed = lists.join(sized, "key")
-    short = listed.where(F.col("n") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "skipped"))).alias("l"))
+    short = lists.where(F.col("n") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "skipped"))).alias("l"))
     each = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.least(x["skipped"], y["skipped"]).alias("rest")))))
     merged = short.select(F.explode(each).alias("p")).groupBy("p.a", "p.b").agg((F.count("*") + F.max("p.rest")).alias("most"))
-    long = listed.where((F.col("n") > SHORT) & (F.col("head") != F.col("node"))).select("head", "node").distinct()
+    many = lists.where(F.col("n") > SHORT)
+    heads = many.groupBy("key").agg(F.min("node").alias("head"))
+    long = many.join(heads, "key").where(F.col("head") != F.col("node")).select("head", "node").distinct()
     return merged.unionByName(long.select(F.col("head").alias("a"), F.col("node").alias("b"), F.lit(COORDINATES).cast("long").alias("most"))), long
 
 
@@ -143,10 +144,10 @@ def agreement(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
-def colliding(pairs: DataFrame, nodes: DataFrame, needed: int) -> DataFrame:
-    """(a, b): those of the ``pairs`` (a, b, most) that agree in ``needed`` coordinates. The skipped ones are looked up where they could decide."""
+def colliding(pairs: DataFrame, nodes: DataFrame, needed: int, together: int = TOGETHER) -> DataFrame:
+    """(a, b): those of the ``pairs`` (a, b, most) that agree in ``needed`` coordinates. Signatures are compared only where prefixes may meet ``together`` times."""
     a, b = (nodes.select(F.col("node").alias(x), F.col("signature").alias(f"sig_{x}")) for x in "ab")
-    open_ = pairs.where(F.col("most") >= needed).select("a", "b").distinct()
+    open_ = pairs.where(F.col("most") >= together).select("a", "b").distinct()
     return open_.join(a, "a").join(b, "b").where(agreement(F.col("sig_a"), F.col("sig_b")) >= needed).select("a", "b")
 
 
@@ -239,8 +240,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Rows of the same words are one node. Nodes are posted under the values of
     their MinHash coordinates (``postings``); collisions are counted over the
-    lists (``collisions``), and pairs above the threshold (``matches_needed``:
-    a true pair is missed with a chance of 1e-9) are confirmed on whole sets.
+    lists (``collisions``). A pair that collides less than ``TOGETHER`` times
+    goes; those whose signatures then reach the threshold (``matches_needed``: a
+    true pair is missed with a chance of 1e-9) are confirmed on whole sets.
     Long lists go through their heads first, which joins large groups at once;
     what is in one of them but not one component yet is compared in stretches.
     Links inside a component would not change it, so none of them is needed.
@@ -259,9 +261,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     classes = real.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature"))
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     needed = matches_needed(percent / 100)
-    lists = stored(postings(nodes, needed), "postings")
+    together = min(TOGETHER, needed)
+    lists = stored(postings(nodes, needed, together), "postings")
     pairs, long = collisions(lists)
-    near, long = stored(colliding(pairs, nodes, needed), "collisions"), stored(long, "long-lists")
+    near, long = stored(colliding(pairs, nodes, needed, together), "collisions"), stored(long, "long-lists")
     met = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select(F.explode(F.array("head", "node")).alias("node"))).distinct()
     sets = stored(shingle_sets(texts, stored(nodes.join(met, "node").select("node", "least", "digest"), "wanted")), "sets")
     links = stored(linked(star_units(near), sets, percent), "links")

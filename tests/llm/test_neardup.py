@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lodestar.llm import neardup
 from lodestar.llm.common import scratch, shared_dir
 from lodestar.llm.components import components
 from lodestar.llm.filters import bit_filter, passing
@@ -129,3 +130,26 @@ def test_scratch_tables_go(spark, table, tmp_path):
         near_duplicates(table(corpus()[:30])).write.parquet(str(tmp_path / "out"))
         assert set(os.listdir(folder)) > before
     assert set(os.listdir(folder)) == before and spark.read.parquet(str(tmp_path / "out")).count() == 30
+
+
+def test_pairs_go_by_their_count_and_none_above_the_threshold(spark, table):
+    """Pairs of texts at every similarity from a tenth to one: few collisions drop a pair, and all that are linked keep enough."""
+    rnd = random.Random(31)
+    rows = []
+    for n in range(260):
+        words = [f"w{rnd.randrange(40_000)}" for _ in range(150)]
+        other = list(words)
+        changed = n % 26
+        for at in sorted(rnd.sample(range(150), changed)):
+            other[at] = f"x{rnd.randrange(40_000)}"
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+    nodes = neardup.signed(table(rows)).select(F.col("doc_id").alias("node"), "signature")
+    needed = neardup.matches_needed(0.8)
+    pairs = neardup.collisions(neardup.postings(nodes, needed))[0].collect()
+    few = [p for p in pairs if p.most < neardup.TOGETHER]
+    sets = {i: {tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)} for i, t in rows}
+    similar = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert len(few) > 10 and all(similar(p.a, p.b) < 0.8 for p in few)
+    kept = {(p.a, p.b) for p in pairs if p.most >= neardup.TOGETHER}
+    linked = {(2 * n, 2 * n + 1) for n in range(260) if similar(2 * n, 2 * n + 1) >= 0.8}
+    assert len(linked) > 40 and linked <= kept
