@@ -1,14 +1,17 @@
 """The pipeline's stages, each against a restatement on its own input."""
 
 import random
+import re
+import zlib
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from lodestar.llm.queries import PII_KEY
 
-from . import test_neardup, test_quality, test_substrings
+from . import test_neardup, test_pii, test_quality, test_substrings
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -32,7 +35,21 @@ def corpus():
     return rows
 
 
-def test_stages(spark, tmp_path):
+def pseudonyms(text):
+    """The text with its phone numbers, which are all valid, permuted by the restatement of the permutations."""
+
+    def permuted(m):
+        area, exchange, line = map(int, m.groups())
+        n = (area - 200) * 8_000_000 + (exchange - 200) * 10_000 + line
+        left, right = test_pii.number(*divmod(n, 80_000), (80_000, 80_000), "phone")
+        n = left * 80_000 + right
+        return f"+1 ({n // 8_000_000 + 200}) {n % 8_000_000 // 10_000 + 200}-{n % 10_000:04d}"
+
+    return re.sub(r"[+]1 [(](\d{3})[)] (\d{3})-(\d{4})", permuted, text)
+
+
+def test_stages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(test_pii, "KEY", PII_KEY)
     rows = corpus()
     spark.createDataFrame([(i, t, "en", "s", len(t) if t else None) for i, t in rows], DDL).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     labels = [(i, 0 if t and "|" in t else 1, 0) for i, t in rows if i is not None and i % 2 == 0]
@@ -53,10 +70,18 @@ def test_stages(spark, tmp_path):
     assert near == [(i, t) for i, t in quality if i in least] and len(near) < len(quality)
     want = {i: (gone, text) for i, _, gone, text in test_substrings.restated(near, 20)}
     assert {i: " ".join(t.split()) for i, t in cut} == {i: " ".join(text.split()) for i, (_, text) in want.items()} and any(gone for gone, _ in want.values())
-    assert "555-" in str(cut) and all(a == b or "555-" in a for (_, a), (_, b) in zip(cut, private, strict=True))
+    assert "555-" in str(cut) and private == [(i, pseudonyms(t)) for i, t in cut] and private != cut
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    assert {r.doc_id: r.n for r in docs.groupBy("doc_id").sum("length").toDF("doc_id", "n").collect()} == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in private}
-    assert np.all([r.length > 0 for r in docs.collect()])
+    ids = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in private}
+    pieces, sequences, covered = docs.collect(), {}, {}
+    for r in pieces:
+        mine = ids[r.doc_id]
+        assert r.length > 0 and r.doc_tokens == len(mine) and r.ids_crc32 == zlib.crc32(np.array(mine[r.start : r.start + r.length], "<u4").tobytes())
+        covered.setdefault(r.doc_id, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    whole = lambda parts: all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and parts[0][0] == 0
+    assert set(covered) == set(ids) and all(whole(sorted(p)) and sum(n for _, n in p) == len(ids[i]) for i, p in covered.items())
+    assert all(whole(sorted(p)) and sum(n for _, n in p) <= 2048 for p in sequences.values())
 
 
 def test_empty(spark, tmp_path):
