@@ -16,6 +16,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.text import LONGEST_WAIT, PDF, RETRY_DOWNLOAD
 
@@ -177,3 +178,60 @@ def timed(requests: DataFrame, make: Callable[[str], Callable[[str], str]]) -> D
             yield pd.DataFrame({"custom_id": part["custom_id"], "model": part["model"], "seconds": [t for t, _ in out], "description": [d for _, d in out]})
 
     return requests.select("custom_id", "model", "prompt").mapInPandas(task, "custom_id string, model string, seconds double, description string")
+
+
+SUBMITTED = "name string, at timestamp, ids array<string>, batch_id string, input_file_id string, status string, error string"
+POLLED = "name string, at timestamp, status string, lines long, output_file_id string, error_file_id string, error string"
+
+
+def submitted(lines: DataFrame, make: Callable[[], Callable[[str, list[str]], tuple[str, str, str]]], wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """A row of each batch of request ``lines`` (batch, custom_id, line; a batch of bounded size) that is uploaded and created.
+
+    The function takes a batch's name and lines and gives its remote id, the id
+    of its file and its status. A call that raises ``Again`` is tried anew; one
+    that fails gives a row with the error and no id, and its requests stay
+    pending. Write the result before anything else: the id is all that leads to
+    what has been paid for, and ``streaming.batch_states`` follows it from here.
+    """
+
+    def task(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("custom_id")
+        made, error, _ = tried(make(), str(key[0]), part["line"].tolist(), wait=wait)
+        batch_id, file_id, status = made or (None, None, None)
+        return pd.DataFrame({"name": [str(key[0])], "at": [pd.Timestamp.now("UTC").tz_localize(None)], "ids": [part["custom_id"].tolist()], "batch_id": [batch_id], "input_file_id": [file_id], "status": [status], "error": [error]})
+
+    return lines.select("batch", "custom_id", "line").groupBy("batch").applyInPandas(task, SUBMITTED)
+
+
+def polled(batches: DataFrame, make: Callable[[], Callable[[str], dict[str, Any]]], budget: Lanes | None = None, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """The remote state of ``batches`` (name, batch_id), as the function tells it by id: ``status``, ``output_file_id``, ``error_file_id`` and, if known, the ``lines`` of both files."""
+
+    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = make()
+        rows = ((n, i) for part in parts for n, i in zip(part["name"], part["batch_id"], strict=True))
+        made = (budget or Lanes(1, None, 1)).called(lambda row: tried(ask, row[1], wait=wait), rows)
+        while some := list(islice(made, 256)):
+            now = pd.Timestamp.now("UTC").tz_localize(None)
+            told = [(name, now, *((state or {}).get(k) for k in ("status", "lines", "output_file_id", "error_file_id")), error) for (name, _), (state, error, _) in some]
+            out = pd.DataFrame(told, columns=[c.split()[0] for c in POLLED.split(", ")])
+            yield out.astype({"lines": "Int64"})
+
+    rows = batches.where("batch_id is not null").select("name", "batch_id")
+    return (rows.repartition(budget.partitions) if budget else rows).mapInPandas(task, POLLED)
+
+
+def result_files(states: DataFrame, make: Callable[[], Callable[[str], str]], wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(name, at, value): the lines of both files of finished batches (name, at, output_file_id, error_file_id), as the function downloads them by id."""
+
+    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        load = make()
+        for part in parts:
+            for name, at, file_id in zip(part["name"], part["at"], part["file_id"], strict=True):
+                text, error, _ = tried(load, file_id, wait=wait)
+                if error:
+                    raise RuntimeError(f"{name}: {file_id}: {error}")  # a lost file would lose results; the task is tried anew
+                lines = [x for x in text.splitlines() if x.strip()]
+                yield pd.DataFrame({"name": [name] * len(lines), "at": [at] * len(lines), "value": lines})
+
+    files = states.select("name", "at", F.explode(F.array_compact(F.array("output_file_id", "error_file_id"))).alias("file_id"))
+    return files.mapInPandas(task, "name string, at timestamp, value string")

@@ -122,3 +122,48 @@ def test_messages_have_their_roles_and_parts(spark):
     assert got["d"]["body"]["messages"][0] == {"role": "system", "content": "S"}
     plain = batches.request_lines(df.select("custom_id", "prompt"), "m").where("custom_id = 'b'").first().line
     assert plain == '{"custom_id":"b","method":"POST","url":"/v1/chat/completions","body":{"model":"m","messages":[{"role":"user","content":"Only text"}],"temperature":0.0,"max_tokens":400}}'
+
+
+class Remote:
+    """A batch service in a folder: uploads, states and result files."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def create(self, name, lines):
+        if name == "2":
+            raise ValueError("over quota")
+        ids = [json.loads(x)["custom_id"] for x in lines]
+        good = [{"custom_id": i, "response": {"status_code": 200, "body": {"choices": [{"message": {"content": f"said {i}"}}]}}} for i in ids if not i.endswith("9")]
+        bad = [{"custom_id": i, "error": {"message": "refused"}} for i in ids if i.endswith("9")]
+        for kind, rows in (("out", good), ("err", bad)):
+            with open(f"{self.folder}/{kind}-{name}", "w") as f:
+                f.write("\n".join(map(json.dumps, rows)) + "\n")
+        return f"remote-{name}", f"file-{name}", "validating"
+
+    def state(self, batch_id):
+        name = batch_id.rsplit("-", 1)[1]
+        lines = sum(1 for kind in ("out", "err") for x in open(f"{self.folder}/{kind}-{name}") if x.strip())
+        return {"status": "completed", "lines": lines, "output_file_id": f"out-{name}", "error_file_id": f"err-{name}"}
+
+    def load(self, file_id):
+        return open(f"{self.folder}/{file_id}").read()
+
+
+def test_batches_are_submitted_polled_and_collected(spark, tmp_path):
+    from lodestar.sources import seams
+
+    remote = Remote(str(tmp_path))
+    prompts = spark.range(60).select(F.format_string("d%d::i%02d", F.col("id"), F.col("id")).alias("custom_id"), F.lit("say").alias("prompt"), F.lit("g").alias("g"))
+    batch = batches.by_count(prompts, "g", "custom_id", 20).select("custom_id", "batch")
+    lines = batches.request_lines(prompts, "m").join(batch, "custom_id")
+    made = seams.submitted(lines, lambda: remote.create, wait=lambda s: None)
+    made.write.parquet(str(tmp_path / "states"))
+    states = spark.read.parquet(str(tmp_path / "states"))
+    got = {r.name: r for r in states.collect()}
+    assert got["0"].batch_id == "remote-0" and len(got["0"].ids) == 20 and got["2"].batch_id is None and "over quota" in got["2"].error
+    told = seams.polled(states, lambda: remote.state, Lanes(2, None, 2))
+    assert sorted((r.name, r.status, r.lines) for r in told.collect()) == [("0", "completed", 20), ("1", "completed", 20)]
+    results = batches.result_lines(seams.result_files(told, lambda: remote.load), keep=["name"])
+    failed = results.where("error is not null").collect()
+    assert results.count() == 40 and {r.error for r in failed} == {"refused"} and all(r.custom_id.endswith("9") for r in failed)
