@@ -24,7 +24,7 @@ LARGE = 100_000
 #: Windows of a group: what a task holds as one subtree.
 GROUP = 150_000
 #: Windows, and bytes of their texts, that a task compares among themselves before it sends the first of each on.
-BLOCK, BLOCK_BYTES = 400_000, 10 << 20
+BLOCK, BLOCK_BYTES = 300_000, 8 << 20
 #: Bits of the filter of repeated prefixes.
 BITS = 1 << 27
 #: Bits for the place of a word in a text, beside its fingerprint.
@@ -82,7 +82,8 @@ class Suffixes:
         self.start = self.end - [len(words) for words in each]
         n = len(self.words)
         self._powers(n)
-        self.sums = np.r_[np.uint64(0), np.cumsum(word_hashes(self.words) * self.up[:n])]
+        self.hashes = word_hashes(self.words)
+        self.sums = np.r_[np.uint64(0), np.cumsum(self.hashes * self.up[:n])]
         windows = np.maximum(0, self.end - self.start - self.window + 1)
         self.place, self.text = spread(self.start, windows), np.repeat(np.arange(len(each)), windows)
         short = self.at(np.arange(max(0, n + 1 - self.prefix)), self.prefix)
@@ -180,22 +181,13 @@ def _spans(doc: np.ndarray, row: np.ndarray, place: np.ndarray, window: int) ->
         yield int(doc[start[a]]), int(row[start[a]]), starts[a:b].tolist(), ends[a:b].tolist()
 
 
-def _by_node(deep: np.ndarray, doc: np.ndarray, place: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The order by node and then by document, place and row; the last three matter among equal nodes only."""
-    order = np.argsort(deep)
-    same = np.flatnonzero(~_changes(deep[order]))
-    some = np.unique(np.r_[same - 1, same])
-    mine = order[some]
-    order[some] = mine[np.lexsort((row[mine], place[mine], doc[mine], deep[mine]))]
-    return order
-
-
 class Held:
-    """Windows of a block of texts, and the words of those texts as bytes with the place of each."""
+    """Windows of a block of texts, and the words of those texts: as hashes, and as bytes with the place of each."""
 
     def __init__(self) -> None:
         self.parts: list[tuple] = []
         self.words: list[bytes] = []
+        self.hashes: list[np.ndarray] = []
         self.ends: list[np.ndarray] = []
         self.windows = self.bytes = self.size = 0
 
@@ -207,8 +199,9 @@ class Held:
         words = [w for a, b in zip(start.tolist(), end.tolist(), strict=True) for w in suffixes.words[a:b]]
         base = self.size + np.cumsum(end - start) - (end - start)
         place = suffixes.place[some] - start[of]
-        self.parts.append((deep, suffixes.groups(some, deep, large), doc_ids[text], rows[text], place, base[of] + place))
+        self.parts.append((suffixes.groups(some, deep, large), doc_ids[text], rows[text], place, base[of] + place))
         self.words.append(b" ".join(words))
+        self.hashes.append(suffixes.hashes[spread(start, end - start)])
         self.ends.append(self.bytes + np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1))
         self.windows, self.bytes, self.size = self.windows + len(some), self.bytes + len(self.words[-1]) + 1, self.size + len(words)
 
@@ -217,21 +210,24 @@ class Held:
         return self.windows >= BLOCK or self.bytes >= BLOCK_BYTES
 
     def sent(self, buckets: int, window: int) -> Iterator[pa.RecordBatch]:
-        """The first of equal windows, by bucket and in runs of words; of the others the spans."""
-        deep, group, doc, row, place, at = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-        self.parts = []
-        order = _by_node(deep, doc, place, row)
-        later = _later(deep[order], doc[order], place[order])
+        """The first leaf of each deep node of the block's suffixes, by bucket and in runs of words; of the others the spans."""
+        group, doc, row, place, at = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        numbers = np.unique(np.concatenate(self.hashes), return_inverse=True)[1].astype(np.int32)
+        self.parts, self.hashes = [], []
+        order, shared = sorted_suffixes(numbers, at, window, doc, place, row)
+        del numbers
+        node = deep_nodes(shared, window)
+        later = _later(node, doc[order], place[order])
         again = order[later]
         out = [("again", None, *span, *[None] * 5) for span in _spans(doc[again], row[again], place[again], window)]
         for n in range(0, len(out), 5000):
             yield _sent(out[n : n + 5000])
-        keep = order[~later & _changes(deep[order], row[order])]
+        keep = order[~later & _changes(node, row[order])]
         bucket = (group[keep] % np.uint64(buckets)).astype(np.int64)
         turn = np.argsort(bucket * (self.size + 1) + at[keep])
         keep, bucket = keep[turn], bucket[turn]
         at, doc, row, place = at[keep], doc[keep], row[keep], place[keep]
-        del deep, group, order, later, again
+        del group, order, shared, node, later, again
         first = np.flatnonzero(_changes(bucket, doc, row) | np.r_[True, at[1:] != at[:-1] + 1][: len(at)])
         runs = np.diff(np.r_[first, len(at)])
         edges = np.r_[np.flatnonzero(_changes(bucket[first])), len(first)]
@@ -252,7 +248,9 @@ class Held:
 def sent_windows(docs: DataFrame, repeated: np.ndarray, large: list[np.ndarray], buckets: int, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """Windows whose anchor may be repeated, compared inside their task.
 
-    Of equal windows in a task only the first is sent on (kind ``first``, packed
+    A task sorts the suffixes of a block of texts (``sorted_suffixes``), which
+    decides its repeats as it does those of a bucket, so that a window which
+    very many texts share is sent once a block. Of equal windows only the first is sent on (kind ``first``, packed
     by bucket, each run of neighbours with its words once); the spans of the
     others are known by then (kind ``again``). A bucket holds whole groups
     (``Suffixes.groups``).
