@@ -118,8 +118,8 @@ def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(query_id, doc_id): the documents (doc_id, text) that hold a passage (query_id, passage) letter by letter.
 
     A passage's words but the first and the last stand whole in such a text. Up
-    to five of them, hashed, are its anchor; texts are joined by the hashes of
-    as many words at each place, and what meets is compared. Passages of fewer
+    to five of them, hashed, are its anchor; texts are read once and joined by
+    the hashes of as many words at each place, and what meets is compared. Passages of fewer
     than three words have no anchor and meet every text if they are few.
     """
     split = lambda text: F.filter(F.split(text, " "), lambda w: w != "")
@@ -127,14 +127,15 @@ def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
     inner = inner.withColumn("n", F.when((F.size("w") >= 3) & (F.col("gaps") == 0), F.least(F.size("w") - 2, F.lit(ANCHOR))).otherwise(0))
     lengths = sorted(r["n"] for r in inner.select("n").distinct().collect())
     found = []
-    for n in lengths:
-        mine = inner.where(F.col("n") == n)
-        if n == 0:
-            found.append(docs.join(_sent(mine.select("query_id", "passage")), F.contains("text", "passage")))
-            continue
-        anchors = mine.select("query_id", "passage", F.xxhash64(*[F.get("w", i + 1) for i in range(n)]).alias("h"))
-        places = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(n)]))
-        held = docs.select("doc_id", "text", split(F.col("text")).alias("w")).where(F.size("w") >= n + 2)
-        held = held.select("doc_id", "text", F.explode(F.array_distinct(places)).alias("h"))
-        found.append(held.join(_sent(anchors), "h").where(F.contains("text", "passage")))
+    if 0 in lengths:
+        few = inner.where(F.col("n") == 0).select("query_id", "passage")
+        found.append(docs.join(_sent(few), F.contains("text", "passage")))
+    if some := [n for n in lengths if n]:
+        own = [F.when(F.col("n") == n, F.xxhash64(*[F.get("w", i + 1) for i in range(n)])) for n in some]
+        anchors = inner.where(F.col("n") > 0).select("query_id", "passage", "n", F.coalesce(*own).alias("h"))
+        at = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(*[F.get("w", i + j) for j in range(n)]).alias("h")))
+        none = F.array().cast("array<struct<n:int,h:bigint>>")
+        places = F.concat(*[F.when(F.size("w") >= n + 2, at(n)).otherwise(none) for n in some])
+        held = docs.select("doc_id", "text", split(F.col("text")).alias("w")).select("doc_id", "text", F.inline(F.array_distinct(places)))
+        found.append(held.join(_sent(anchors), ["n", "h"]).where(F.contains("text", "passage")))
     return reduce(DataFrame.unionByName, [f.select("query_id", "doc_id") for f in found]).distinct() if found else docs.select(F.lit(None).cast("long").alias("query_id"), "doc_id").limit(0)
