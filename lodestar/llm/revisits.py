@@ -63,7 +63,7 @@ def resolved(records: DataFrame) -> DataFrame:
     null headers count as none; a revisit without URL or time has no original,
     and a response without one, or without body, is no original; rows of other
     types are ignored; repeated rows are resolved each, repeated ids of
-    responses count once; an empty table gives no rows; other columns are ignored.
+    responses count once, with the least of their bodies; an empty table gives no rows; other columns are ignored.
     """
     none = F.create_map().cast("map<string,string>")
     known = records.where(F.col("type").isin("response", "revisit")).select("record_id", "type", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), F.coalesce("headers", none).alias("headers"), (F.col("body").isNotNull() & F.col("ts").isNotNull()).alias("full"))
@@ -84,7 +84,9 @@ def resolved(records: DataFrame) -> DataFrame:
     number = F.pmod(F.xxhash64("record_id", "ts"), F.coalesce("cuts", F.lit(1))).cast("int")
     # what refers to nothing has no key to be dealt by, and is spread by its own id
     spread = F.when(F.col("refers_to").isNull(), F.pmod(F.xxhash64("record_id", "ts"), F.lit(1 << 20)).cast("int")).otherwise(number)
-    bodies = records.where((F.col("type") == "response") & F.col("body").isNotNull() & F.col("record_id").isNotNull()).select(F.col("record_id").alias("refers_to"), "body").dropDuplicates(["refers_to"])
+    bodies = records.where((F.col("type") == "response") & F.col("body").isNotNull() & F.col("record_id").isNotNull()).select(F.col("record_id").alias("refers_to"), "body")
+    # bodies that nobody asks for go first; of several under one id the least counts
+    bodies = bodies.join(asked.select("refers_to"), "refers_to", "left_semi").groupBy("refers_to").agg(F.min("body").alias("body"))
     bodies = bodies.join(cuts, "refers_to", "left").withColumn("spread", F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1))).drop("cuts")
     both = judged.join(cuts, "refers_to", "left").withColumn("spread", spread).drop("cuts").join(bodies, ["refers_to", "spread"], "left")
     return both.select("record_id", "canonical_url", "ts", "status", "refers_to", "headers", "body")

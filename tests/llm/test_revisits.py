@@ -53,3 +53,11 @@ def test_hot_url_over_many_stretches(spark):
     rows = [(i, "response" if i % 3 == 0 else "revisit", "http://h.com", i * 50_000, {}, "b" if i % 3 == 0 else None) for i in range(200)]
     out = {r.record_id: r.refers_to for r in resolved(spark.createDataFrame(rows, DDL)).collect()}
     assert out == {i: i - i % 3 for i in range(200) if i % 3}
+
+
+def test_one_body_of_several_and_a_very_long_one(spark):
+    long = "line of a page\n" * 200_000
+    rows = [(1, "response", "http://a.com", 10, {}, b) for b in ("two", "one", "three")] + [(2, "response", "http://b.com", 10, {}, long), (3, "response", "http://c.com", 10, {}, "nobody asks")]
+    rows += [(n, "revisit", f"http://{'ab'[n % 2]}.com", 20, {}, None) for n in range(10, 40)] * 2
+    out = resolved(spark.createDataFrame(rows, DDL).repartition(4)).collect()
+    assert len(out) == 60 and {(r.refers_to, r.body) for r in out} == {(1, "one"), (2, long)}
