@@ -322,22 +322,25 @@ class Known:
         return self.n[m] >= max(1, self.least[m - 1])
 
     def open(self, m: int) -> np.ndarray:
-        """Of every history that is asked for whether training has it outside of this block, too."""
+        """Of every history whether the block needs what others know of it: a token follows it here that it was not seen with, and training has it elsewhere, too."""
+        keys, place = self.histories(m)
+        needed = np.zeros(len(keys), bool)
+        needed[place[(place >= 0) & ~self.seen(m)]] = True
         before, training = self.grams[m - 1], self.block.training(self.doc_ids)
         able = self.counts[m - 1] >= max(1, self.least[m - 1])
         own = np.bincount(before.place[training & (before.place >= 0)], minlength=len(before.keys))
         out = own[able] < self.counts[m - 1][able]
-        if m > 2:
-            return out
-        texts = int(training[self.block.starts].sum())
-        return np.insert(out, int(np.searchsorted(before.keys[able], START)), texts < self.counts[1][np.searchsorted(before.keys, END)])
+        if m == 2:
+            texts = int(training[self.block.starts].sum())
+            out = np.insert(out, int(np.searchsorted(keys, START)), texts < self.counts[1][np.searchsorted(before.keys, END)])
+        return out & needed
 
     def weights(self, m: int, sums: list[np.ndarray]) -> np.ndarray:
         """Of every token the backoff weight of its history of order m - 1, from the ``sums`` of the histories that the block has waited for.
 
         A weight is what a history's seen followers leave of its probability,
         over what the next lower order leaves for all others: so every history's
-        probabilities add up to one.
+        probabilities add up to one. Where it is not needed it may be any number.
         """
         keys, place = self.histories(m)
         k, has, open_ = len(sums) // 2 - 1, place >= 0, self.open(m)
@@ -393,8 +396,8 @@ def weight_requests(blocks: DataFrame, answers: DataFrame, discounts: Discounts,
     have one history, too. So the probabilities of its seen followers, and those
     that the next lower order gives them, are known from how many of them occur
     how often: ``sums`` holds those numbers (``_classes``), which add up exactly
-    and are short. ``open`` marks the histories whose totals the block waits for:
-    it has all followers itself of those that training has nowhere else.
+    and are short. ``open`` marks the histories whose totals the block waits for
+    (``Known.open``).
     """
 
     def task(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
