@@ -70,7 +70,7 @@ class LedgerReader(DataSourceReader):
 
 
 class LedgerWriter(DataSourceWriter):
-    """Tasks write aside; the commit moves their files in and then removes the old ones, an abort removes theirs. A ledger without rows is no file at all."""
+    """Tasks write aside; the commit moves their files in and then removes the old ones, an abort removes theirs (a task that ends after it may leave one aside, which nobody reads). A ledger without rows is no file at all."""
 
     def __init__(self, path: str, schema: StructType, overwrite: bool):
         self.path, self.names, self.overwrite, self.run = path, schema.names, overwrite, uuid.uuid4().hex

@@ -80,4 +80,6 @@ def test_a_broken_write_leaves_the_ledger(spark, ledger):
     bad = spark.createDataFrame(FAILED, ledgers.KINDS["failures"]).repartition(3).withColumn("url", F.when(F.col("paper_id") == "p2", F.raise_error(F.lit("cut off"))).otherwise("new"))
     with pytest.raises(Exception, match="cut off"):
         ledger.write(bad)
-    assert ledger.read() == sorted(FAILED, key=repr) and all(f.endswith(".json") for f in os.listdir(ledger.path))
+    assert ledger.read() == sorted(FAILED, key=repr) and all(f.endswith(".json") or f.startswith("_staging-") for f in os.listdir(ledger.path))
+    ledger.write(FAILED[1:])
+    assert ledger.read() == sorted(FAILED[1:], key=repr)
