@@ -17,9 +17,13 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def _digest(text: Column) -> Column:
+    """128 bits of a normalised passage's digest."""
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+
+
 def _hash(text: Column) -> Column:
-    """128 bits of a passage's digest."""
-    return F.unhex(F.substring(F.sha2(normalised(text).cast("binary"), 256), 1, 32))
+    return _digest(normalised(text))
 
 
 def passages(text: Column) -> Column:
@@ -83,12 +87,14 @@ def quoted_runs(messages: DataFrame) -> DataFrame:
     quotes as a whole: many passages that begin alike do not meet each other.
     """
     several = lambda df: df.where(F.size("lines") >= 2)
-    quotes = several(messages.select(F.explode("quotes").alias("quote")).select(_hash(F.col("quote.text")).alias("hash"), _lines(F.col("quote.text")).alias("lines")).distinct())
+    # lines stand behind a generator, so that a filter on them is not moved down and works them out again
+    once = lambda text: F.explode(F.array(_lines(text))).alias("lines")
+    quotes = several(messages.select(F.explode("quotes").alias("quote")).select(_hash(F.col("quote.text")).alias("hash"), once(F.col("quote.text")))).distinct()
     at = lambda place: F.filter("runs", lambda r: (r["k"] == F.col("k")) & (r["p"] == place))[0]["h"]
     apart = (F.size("lines") - F.pow(F.lit(2), F.col("k")).cast("int")).alias("apart")
     quotes = quotes.select("hash", "lines", _doublings(F.col("lines")).alias("k"), _runs(F.col("lines")).alias("runs")).select("hash", "k", "runs", apart)
     quotes = quotes.select("hash", "k", "apart", at(F.lit(0)).alias("head"), at(F.col("apart")).alias("tail")).distinct()
-    texts = several(messages.select("conv_id", "turn", _lines(F.col("own")).alias("lines"))).withColumn("own_hash", F.unhex(F.substring(F.sha2(F.array_join("lines", "\n").cast("binary"), 256), 1, 32)))
+    texts = several(messages.select("conv_id", "turn", once(F.col("own")))).withColumn("own_hash", F.unhex(F.substring(F.sha2(F.array_join("lines", "\n").cast("binary"), 256), 1, 32)))
     posts = texts.select("own_hash", "lines").dropDuplicates(["own_hash"]).select("own_hash", F.explode(_runs(F.col("lines"))).alias("run")).select("own_hash", "run.*")
     heads = posts.withColumnRenamed("h", "head").join(quotes.select("k", "head", "apart").distinct(), ["k", "head"]).select("own_hash", "k", "head", "apart", (F.col("p") + F.col("apart")).alias("p"))
     runs = heads.join(posts.withColumnRenamed("h", "tail"), ["own_hash", "k", "p"]).select("own_hash", "k", "head", "apart", "tail").distinct()
@@ -107,8 +113,8 @@ def linked(messages: DataFrame) -> DataFrame:
     """
     quotes = messages.select("conv_id", "turn", F.posexplode("quotes").alias("place", "quote")).select("conv_id", "turn", "place", "quote.level", _hash(F.col("quote.text")).alias("hash"))
     paragraphs = F.flatten(F.transform("parts", lambda p: F.split(p, r"\n\s*\n")))
-    pieces = F.array_distinct(F.concat(F.split("own", "\n"), F.col("parts"), paragraphs, F.array("own")))
-    originals = messages.select("conv_id", "turn", F.explode(F.filter(pieces, lambda p: normalised(p) != "")).alias("piece")).select("conv_id", "turn", _hash(F.col("piece")).alias("hash")).unionByName(quoted_runs(messages))
+    pieces = F.array_distinct(F.transform(F.array_distinct(F.concat(F.split("own", "\n"), F.col("parts"), paragraphs, F.array("own"))), normalised))
+    originals = messages.select("conv_id", "turn", F.explode(F.array_remove(pieces, "")).alias("piece")).select("conv_id", "turn", _digest(F.col("piece")).alias("hash")).unionByName(quoted_runs(messages))
     originals = stored(originals, "passages")
     # what nobody quotes in a conversation goes before the rest is looked through
     here = originals.join(quotes.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
