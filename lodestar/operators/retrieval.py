@@ -131,11 +131,12 @@ def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
         few = inner.where(F.col("n") == 0).select("query_id", "passage")
         found.append(docs.join(_sent(few), F.contains("text", "passage")))
     if some := [n for n in lengths if n]:
-        own = [F.when(F.col("n") == n, F.xxhash64(*[F.get("w", i + 1) for i in range(n)])) for n in some]
-        anchors = inner.where(F.col("n") > 0).select("query_id", "passage", "n", F.coalesce(*own).alias("h"))
-        at = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(*[F.get("w", i + j) for j in range(n)]).alias("h")))
-        none = F.array().cast("array<struct<n:int,h:bigint>>")
+        anchor = lambda n, i: F.xxhash64(F.lit(n), *[F.get("w", i + j) for j in range(n)])
+        own = [F.when(F.col("n") == n, anchor(n, F.lit(1))) for n in some]
+        anchors = inner.where(F.col("n") > 0).select("query_id", "passage", F.coalesce(*own).alias("h"))
+        at = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: anchor(n, i))
+        none = F.array().cast("array<bigint>")
         places = F.concat(*[F.when(F.size("w") >= n + 2, at(n)).otherwise(none) for n in some])
-        held = docs.select("doc_id", "text", split(F.col("text")).alias("w")).select("doc_id", "text", F.inline(F.array_distinct(places)))
-        found.append(held.join(_sent(anchors), ["n", "h"]).where(F.contains("text", "passage")))
+        held = docs.select("doc_id", "text", split(F.col("text")).alias("w")).select("doc_id", "text", F.explode(F.array_distinct(places)).alias("h"))
+        found.append(held.join(_sent(anchors), "h").where(F.contains("text", "passage")))
     return reduce(DataFrame.unionByName, [f.select("query_id", "doc_id") for f in found]).distinct() if found else docs.select(F.lit(None).cast("long").alias("query_id"), "doc_id").limit(0)
