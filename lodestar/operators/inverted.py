@@ -31,7 +31,8 @@ def build(docs: DataFrame) -> DataFrame:
     nothing is shuffled. A block has a row for each of its terms: the places of
     the documents that hold it, how often, and the greatest count and least
     length among them, from which a search bounds what the block can score
-    without reading it. The row without a term has the block's ids and lengths.
+    without reading it. The row without a term has the block's ids and lengths,
+    and in the place of those two numbers its documents with words and its words.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -70,7 +71,7 @@ def _block(number: int, rows: pa.Table) -> pa.RecordBatch:
     most = np.maximum.reduceat(n, start) if some else np.zeros(0, "<i4")
     return pa.RecordBatch.from_pydict({
         "block": pa.array([number] * (some + 1), pa.int64()), "term": pa.array([*coded.dictionary.take(pa.array(term[start])).to_pylist(), None], pa.string()), "posts": pa.array([*(end - start), len(ids)], pa.int32()),
-        "most": pa.array([*most, 0], pa.int32()), "least": pa.array([*least, 0], pa.int32()), "places": pa.array([*cut(place), None], pa.binary()), "counts": pa.array([*cut(n), None], pa.binary()),
+        "most": pa.array([*most, int((lengths > 0).sum())], pa.int32()), "least": pa.array([*least, int(lengths.sum())], pa.int32()), "places": pa.array([*cut(place), None], pa.binary()), "counts": pa.array([*cut(n), None], pa.binary()),
         "docs": pa.array([*none, ids.to_pylist()], pa.list_(ids.type)), "lengths": pa.array([*none, lengths.tobytes()], pa.binary()),
     })
 
@@ -98,7 +99,7 @@ def bm25_topk(index: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: f
     rise and lengths fall towards a better score, so a block's bound is that of
     the greatest count in the shortest document.
     """
-    whole = index.where(F.col("term").isNull()).select("block", "lengths").mapInArrow(_sizes, "docs long, words long").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")).first()
+    whole = index.where(F.col("term").isNull()).agg(F.sum("most").alias("docs"), F.sum("least").alias("words")).first()
     n, mean = float(whole["docs"] or 0), (whole["words"] or 0) / (whole["docs"] or 1) or 1.0
     once = stored(queries.select("query_id", "term").distinct(), "asked-terms")
     few = once.count()
@@ -108,12 +109,6 @@ def bm25_topk(index: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: f
     return _searched(index, stored(asked, "asked-terms"), k, part, part, 6, allowed)
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lengths = [np.frombuffer(x, "<i4") for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_pydict({"docs": pa.array([int((x > 0).sum()) for x in lengths], pa.int64()), "words": pa.array([int(x.sum()) for x in lengths], pa.int64())})
-
-
 def _searched(index: DataFrame, asked: DataFrame, k: int, bound: Callable[[Column, Column], Column], part: Callable, digits: int | None, allowed: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Top k of ``asked`` (query_id, term, weight; weights not negative), and (query_id, blocks, read).
 
