@@ -1,12 +1,14 @@
-"""Layout of a page: reading order, figures and captions. One group per page, each a few dozen boxes."""
+"""Layout of a page: reading order, figures and captions. One array of boxes per page, many pages a call of Python."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import accumulate
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import covered
@@ -44,12 +46,18 @@ def widest_gap(spans: list[tuple[float, float]], least: float) -> float | None:
 
 
 def reading_order(boxes: list[Box]) -> list[int]:
-    """Recursive XY-cut: at the widest gutter into columns, else at the widest gap into rows, else from the top left."""
+    """Recursive XY-cut: at the widest gutter into columns, else at the widest gap into rows, else from the top left.
+
+    Where the last left edge lies less than a gutter behind the first right one,
+    no part has a gutter, and cuts into rows only order by the top: such a group
+    is sorted at once.
+    """
     out: list[int] = []
     work = [list(range(len(boxes)))]
     while work:
         group = work.pop()
-        for axis, least in ((0, COLUMN_GAP), (1, ROW_GAP)) if len(group) > 1 else ():
+        narrow = len(group) < 2 or max(boxes[i][0] for i in group) - min(boxes[i][2] for i in group) < COLUMN_GAP
+        for axis, least in () if narrow else ((0, COLUMN_GAP), (1, ROW_GAP)):
             at = widest_gap([(boxes[i][axis], boxes[i][axis + 2]) for i in group], least)
             sides = at is not None and ([i for i in group if boxes[i][axis] < at], [i for i in group if boxes[i][axis] >= at])
             if sides and all(sides):
@@ -65,18 +73,26 @@ def _prose_hit(box: Box, prose: list[Box]) -> bool:
 
 
 def merged_figures(boxes: list[Box], prose: list[Box], gap: float = MERGE_GAP) -> list[Box]:
-    """Boxes within ``gap`` of each other as one, unless the union would touch prose; until nothing merges."""
+    """Boxes within ``gap`` of each other as one, unless the union would touch prose; until nothing merges.
+
+    The first pair merges first. Boxes before a merged one had no partner, so it
+    alone can be their new one.
+    """
     groups = list(boxes)
+
+    def meet(i: int, j: int) -> bool:
+        a, b = groups[i], groups[j]
+        near = (a[0] - gap, a[1] - gap, a[2] + gap, a[3] + gap)
+        return _overlap(near, b) > 0 and not _prose_hit(_hull(a, b), prose)
+
     i = 0
     while i < len(groups):
-        a = groups[i]
-        near = (a[0] - gap, a[1] - gap, a[2] + gap, a[3] + gap)
-        j = next((j for j in range(i + 1, len(groups)) if _overlap(near, groups[j]) > 0 and not _prose_hit(_hull(a, groups[j]), prose)), None)
-        if j is None:
-            i += 1
-        else:
-            groups[i] = _hull(a, groups.pop(j))
-            i = 0
+        pair = next(((i, j) for j in range(i + 1, len(groups)) if meet(i, j)), None)
+        while pair:
+            i, j = pair
+            groups[i] = _hull(groups[i], groups.pop(j))
+            pair = next(((h, i) for h in range(i) if meet(h, i)), None) or next(((i, j) for j in range(i + 1, len(groups)) if meet(i, j)), None)
+        i += 1
     return groups
 
 
@@ -124,15 +140,87 @@ def trimmed(box: Box, prose: list[Box]) -> Box:
     return box if right - left < MIN_FIGURE else (left, box[1], right, box[3])
 
 
-def page_order(boxes: DataFrame) -> DataFrame:
-    """``boxes`` (doc_id, page, seq, x0, y0, x1, y1) with their place in reading order."""
+def _pages(b: pa.Array, *names: str) -> Iterator[list[tuple]]:
+    """The rows of each array of structs, with those fields."""
+    flat = b.flatten()
+    rows = list(zip(*(flat.field(n).to_numpy(zero_copy_only=False).tolist() for n in names), strict=True))
+    ends = np.cumsum(b.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    yield from (rows[low:high] for low, high in zip([0, *ends], ends, strict=False))
+
+
+def _lists(lengths: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(lengths)], pa.int32()), values)
+
+
+def is_covered(inner: Box, outer: Box, share: float = 0.6) -> bool:
+    """As ``boxes.covered``."""
+    return _area(inner) > 0 and _overlap(inner, outer) >= _area(inner) * share
 
-    def task(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq").reset_index(drop=True)
-        order = reading_order(list(rows[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)))
-        return rows[["doc_id", "page", "seq"]].assign(place=pd.Series(range(len(order)), index=order, dtype="int32"))
 
-    return boxes.groupBy("doc_id", "page").applyInPandas(task, "doc_id string, page int, seq int, place int")
+def _places(b: pa.Array) -> pa.Array:
+    """The place of each box (rank, seq, x0, y0, x1, y1, block) of a page, none for blocks that another box covers."""
+    out: list[int | None] = []
+    lengths = []
+    for rows in _pages(b, "rank", "seq", "x0", "y0", "x1", "y1", "block"):
+        assets = [r[2:6] for r in rows if r[6] == 0]
+        left = sorted((n for n, r in enumerate(rows) if r[6] != 1 or not any(is_covered(r[2:6], a) for a in assets)), key=lambda n: rows[n][:2])
+        places: list[int | None] = [None] * len(rows)
+        for place, n in enumerate(reading_order([rows[n][2:6] for n in left])):
+            places[left[n]] = place
+        out += places
+        lengths.append(len(rows))
+    return _lists(lengths, pa.array(out, pa.int32()))
+
+
+def places(rank: Column, seq: Column, corners: Column, block: Column) -> Column:
+    """What ``placed`` collects of each box: its order among equals, corners, and whether it is an asset (0), a block that assets may cover (1), or neither (2)."""
+    return F.struct(rank.alias("rank"), seq.alias("seq"), *[corners[i].cast("double").alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))], block.alias("block"))
+
+
+def placed(rows: DataFrame, box: Column) -> DataFrame:
+    """``rows`` (doc_id, page, ...) with their place in the reading order of their page; covered blocks are left out.
+
+    ``box``: as ``places`` makes it. Rows are shuffled once, and only boxes go
+    through Python.
+    """
+    own = [c for c in rows.columns if c not in ("doc_id", "page")]
+    dealt = rows.select("doc_id", "page", F.struct(*own, box.alias("_box")).alias("row"))
+    pages = dealt.groupBy("doc_id", "page").agg(F.collect_list("row").alias("rows"))
+    order = F.arrow_udf(_places, "array<int>")
+    each = pages.withColumn("_at", order(F.col("rows._box"))).select("doc_id", "page", F.explode(F.arrays_zip("rows", "_at")).alias("r")).where(F.col("r._at").isNotNull())
+    return each.select("doc_id", "page", *[F.col("r.rows")[c].alias(c) for c in own], F.col("r._at").alias("place"))
+
+
+def page_order(boxes: DataFrame) -> DataFrame:
+    """``boxes`` (doc_id, page, seq, x0, y0, x1, y1) with their place in reading order."""
+    box = places(F.lit(0), F.col("seq"), F.array("x0", "y0", "x1", "y1"), F.lit(2))
+    return placed(boxes.select("doc_id", "page", "seq", box.alias("box")), F.col("box")).select("doc_id", "page", F.col("seq").cast("int").alias("seq"), "place")
+
+
+#: Kinds of boxes by number, as ``_figures`` receives them.
+KINDS = ("raster", "cluster", "drawing", "table", "text")
+
+
+def _figures(b: pa.Array) -> pa.Array:
+    """The figures (x0, y0, x1, y1) of each page, from its boxes (seq, kind, prose, label, x0, y0, x1, y1)."""
+    out: list[Box] = []
+    lengths = []
+    for rows in _pages(b, "seq", "kind", "prose", "label", "x0", "y0", "x1", "y1"):
+        rows.sort(key=lambda r: r[0])
+        of = {k: [r[4:] for r in rows if r[1] == n] for n, k in enumerate(KINDS)}
+        prose, labels = [r[4:] for r in rows if r[2]], [r[4:] for r in rows if r[3]]
+        found = [b for b in dict.fromkeys(of["raster"]) if min(b[2] - b[0], b[3] - b[1]) >= MIN_RASTER]
+        for cluster in of["cluster"]:
+            for b in split_at_prose(cluster, prose, of["drawing"]):
+                if min(b[2] - b[0], b[3] - b[1]) < MIN_FIGURE or any(_overlap(b, c) > _area(b) * CLAIMED_SHARE for c in of["table"] + found):
+                    continue
+                if sum(_overlap(t, b) for t in of["text"]) <= _area(b) * TEXT_SHARE:
+                    found.append(b)
+        made = [trimmed(with_labels(b, labels, prose), prose) for b in merged_figures(found, prose)]
+        out += made
+        lengths.append(len(made))
+    corners = np.array(out, np.float64).reshape(-1, 4)
+    return _lists(lengths, pa.StructArray.from_arrays([pa.array(corners[:, i]) for i in range(4)], ["x0", "y0", "x1", "y1"]))
 
 
 def page_figures(boxes: DataFrame) -> DataFrame:
@@ -144,25 +232,13 @@ def page_figures(boxes: DataFrame) -> DataFrame:
     by a table or another figure. Then panels merge, labels are taken in, and
     neighbouring columns are left out.
     """
-    marked = boxes.withColumn("prose", (F.col("kind") == "text") & is_prose(F.col("text"))).withColumn("label", (F.col("kind") == "text") & ~F.col("prose") & (F.char_length("text") <= LABEL_CHARS))
-
-    def task(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        pick = lambda m: list(rows[m][["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
-        texts, prose, labels, drawings = pick(rows["kind"] == "text"), pick(rows["prose"]), pick(rows["label"]), pick(rows["kind"] == "drawing")
-        found = [b for b in dict.fromkeys(pick(rows["kind"] == "raster")) if min(b[2] - b[0], b[3] - b[1]) >= MIN_RASTER]
-        tables = pick(rows["kind"] == "table")
-        for cluster in pick(rows["kind"] == "cluster"):
-            for b in split_at_prose(cluster, prose, drawings):
-                if min(b[2] - b[0], b[3] - b[1]) < MIN_FIGURE or any(_overlap(b, c) > _area(b) * CLAIMED_SHARE for c in tables + found):
-                    continue
-                if sum(_overlap(t, b) for t in texts) <= _area(b) * TEXT_SHARE:
-                    found.append(b)
-        out = [trimmed(with_labels(b, labels, prose), prose) for b in merged_figures(found, prose)]
-        key = rows[["doc_id", "page"]].iloc[0]
-        return pd.DataFrame([(key["doc_id"], key["page"], n, *map(float, b)) for n, b in enumerate(out)], columns=["doc_id", "page", "figure", "x0", "y0", "x1", "y1"])
-
-    return marked.groupBy("doc_id", "page").applyInPandas(task, "doc_id string, page int, figure int, x0 double, y0 double, x1 double, y1 double")
+    is_text = F.col("kind") == "text"
+    marked = boxes.withColumn("prose", F.coalesce(is_text & is_prose(F.col("text")), F.lit(False))).withColumn("label", F.coalesce(is_text & ~F.col("prose") & (F.char_length("text") <= LABEL_CHARS), F.lit(False)))
+    number = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for n, k in enumerate(KINDS)], F.lit(len(KINDS)))
+    corners = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    pages = marked.select("doc_id", "page", F.struct("seq", number.alias("kind"), "prose", "label", *corners).alias("b")).groupBy("doc_id", "page").agg(F.collect_list("b").alias("b"))
+    found = F.arrow_udf(_figures, "array<struct<x0: double, y0: double, x1: double, y1: double>>")
+    return pages.select("doc_id", "page", F.posexplode(found(F.col("b"))).alias("figure", "f")).select("doc_id", "page", "figure", "f.x0", "f.y0", "f.x1", "f.y1")
 
 
 def captions(assets: DataFrame, blocks: DataFrame) -> DataFrame:

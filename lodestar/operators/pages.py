@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import page_order, text_outside
+from .layout import placed, places
 from .sections import heading_paragraph, placeholder, sections, with_sections
 
 #: Elements of equal place are taken in this order.
@@ -19,24 +19,20 @@ def page_elements(tables: DataFrame, blocks: DataFrame, figures: DataFrame) -> D
     each kind has besides. A block that a table or figure covers is left out,
     as that asset carries it already.
     """
-    key = ["doc_id", "page", "bbox"]
-    assets = tables.select(key).unionByName(figures.select(key))
-    parts = {"image": figures, "table": tables, "text": text_outside(blocks, assets)}
+    parts = {"image": figures, "table": tables, "text": blocks}
     made = [parts[k].withColumns({"kind": F.lit(k), "_rank": F.lit(n)}) for n, k in enumerate(KINDS)]
     both = made[0].unionByName(made[1], allowMissingColumns=True).unionByName(made[2], allowMissingColumns=True)
-    number = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("_rank", "seq")) - 1
-    both = both.withColumn("_number", number).drop("_rank")
-    corner = [F.col("bbox")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
-    order = page_order(both.select("doc_id", "page", F.col("_number").alias("seq"), *corner)).withColumnRenamed("seq", "_number")
-    return both.join(order, ["doc_id", "page", "_number"]).drop("_number")
+    box = places(F.col("_rank"), F.col("seq"), F.col("bbox"), (F.col("kind") == "text").cast("int"))
+    return placed(both, box).drop("_rank")
 
 
 def with_asset_ids(elements: DataFrame) -> DataFrame:
     """``elements`` with asset_id: tables are numbered in reading order, images as they were found; a blank image has no number and goes.
 
-    Columns used: kind, page, place, seq, and ``blank`` of images.
+    Columns used: kind, page, place, seq, and ``blank`` of images. Rows are dealt
+    by document, and what follows per document needs no other shuffle.
     """
-    left = elements.where(~((F.col("kind") == "image") & F.coalesce("blank", F.lit(False))))
+    left = elements.where(~((F.col("kind") == "image") & F.coalesce("blank", F.lit(False)))).repartition("doc_id")
     of_kind = lambda *order: (F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy(*order)) - 1).cast("string")
     name = F.when(F.col("kind") == "table", F.concat(F.lit("table-"), of_kind("page", "place"))).when(F.col("kind") == "image", F.concat(F.lit("img-"), of_kind("page", "seq"), F.lit(".png")))
     return left.withColumn("asset_id", name)
@@ -75,8 +71,20 @@ def document_counts(sections: DataFrame, assets: DataFrame, pages: DataFrame) ->
     by_page = pages.groupBy("doc_id").agg(F.count("*").alias("page_count"), F.bool_or("needs_ocr").alias("needs_ocr"))
     by_section = sections.groupBy("doc_id").agg(F.count("*").alias("sections"))
     by_asset = assets.groupBy("doc_id").agg(F.count_if(F.col("kind") == "image").alias("images"), F.count_if(F.col("kind") == "table").alias("tables"))
-    both = by_page.join(by_section, "doc_id", "left").join(by_asset, "doc_id", "left").na.fill(0, ["sections", "images", "tables"])
-    return both.select("doc_id", "page_count", "needs_ocr", F.struct("sections", "images", "tables").alias("counts"))
+    return _counted(by_page.join(by_section, "doc_id", "left").join(by_asset, "doc_id", "left"))
+
+
+def paragraph_counts(paragraphs: DataFrame, pages: DataFrame) -> DataFrame:
+    """As ``document_counts``, from ``sectioned`` paragraphs, which are gone through once."""
+    by_page = pages.groupBy("doc_id").agg(F.count("*").alias("page_count"), F.bool_or("needs_ocr").alias("needs_ocr"))
+    of_kind = lambda kind: F.count_if(F.col("asset_id").isNotNull() & (F.col("kind") == kind))
+    by_section = paragraphs.groupBy("doc_id", "section_id").agg(of_kind("image").alias("images"), of_kind("table").alias("tables"))
+    by_document = by_section.groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum("images").alias("images"), F.sum("tables").alias("tables"))
+    return _counted(by_page.join(by_document, "doc_id", "left"))
+
+
+def _counted(both: DataFrame) -> DataFrame:
+    return both.na.fill(0, ["sections", "images", "tables"]).select("doc_id", "page_count", "needs_ocr", F.struct("sections", "images", "tables").alias("counts"))
 
 
 def run_totals(documents: DataFrame, failures: DataFrame) -> DataFrame:
