@@ -16,6 +16,8 @@ RRF = 60
 SMALL = 10_000
 #: Vectors, and queries, of one piece of a dense search.
 BLOCK, CHUNK = 16_384, 4_096
+#: Pairs of a document and a query that one task of a sparse search holds, about.
+PAIRS = 1 << 18
 #: Words of a passage by which documents that hold it are found.
 ANCHOR = 5
 
@@ -39,11 +41,13 @@ def asked_terms(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(doc_id, term, n, length) of ``docs`` (doc_id, text; an id is one text), for terms of ``queries`` (query_id, term, n) only.
 
     Other terms go before anything is shuffled. The rows are dealt by document,
-    and what follows per document needs no other shuffle.
+    and what follows per document needs no other shuffle. The number of tasks
+    goes by documents times queries, so that what a task holds does not grow.
     """
     wanted = _sent(queries.select("term").distinct())
+    parts = max(1, ceil(docs.count() * queries.select("query_id").distinct().count() / PAIRS))
     each = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("length"), F.explode("w").alias("term"))
-    return each.join(wanted, "term", "left_semi").repartition("doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.max("length").alias("length"))
+    return each.join(wanted, "term", "left_semi").repartition(parts, "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.max("length").alias("length"))
 
 
 def ranked(scores: DataFrame, k: int, query: str = "query_id", item: str = "doc_id") -> DataFrame:
