@@ -20,10 +20,14 @@ def page_elements(tables: DataFrame, blocks: DataFrame, figures: DataFrame) -> D
     as that asset carries it already.
     """
     parts = {"image": figures, "table": tables, "text": blocks}
-    made = [parts[k].withColumns({"kind": F.lit(k), "_rank": F.lit(n)}) for n, k in enumerate(KINDS)]
-    both = made[0].unionByName(made[1], allowMissingColumns=True).unionByName(made[2], allowMissingColumns=True)
-    box = places(F.col("_rank"), F.col("seq"), F.col("bbox"), (F.col("kind") == "text").cast("int"))
-    return placed(both, box).drop("_rank")
+    made = [parts[k].withColumn("kind", F.lit(k)) for k in KINDS]
+    return ordered_elements(made[0].unionByName(made[1], allowMissingColumns=True).unionByName(made[2], allowMissingColumns=True))
+
+
+def ordered_elements(elements: DataFrame) -> DataFrame:
+    """As ``page_elements``, from one table whose rows have their kind, which is read once."""
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    return placed(elements, places(rank, F.col("seq"), F.col("bbox"), (F.col("kind") == "text").cast("int")))
 
 
 def with_asset_ids(elements: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import layout, pages
+from lodestar.plans import paged
 
 BOXES = "doc_id string, page int, seq int, x0 double, y0 double, x1 double, y1 double"
 
@@ -108,3 +109,21 @@ def test_counts_from_one_pass(spark):
     both = [pages.paragraph_counts(made, known), pages.document_counts(pages.document_sections(made), pages.document_assets(made), known)]
     a, b = (sorted((r.doc_id, r.page_count, r.needs_ocr, tuple(r.counts)) for r in df.collect()) for df in both)
     assert a == b == [("d", 2, True, (2, 1, 1)), ("empty", 1, False, (0, 0, 0))]
+
+
+@pytest.fixture(scope="module")
+def lines(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("lines")
+    text = "\n".join(f"{n}. Line {n}" if n % 3 else f"line {n} goes on, in plain words." for n in range(90))
+    spark.createDataFrame([(1, text), (2, "one\n\ntwo"), (3, ""), (4, None)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(2, 0)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def _reads(df):
+    return sum("FileScan" in line and "documents.parquet" in line for line in _plan(df).splitlines())
+
+
+def test_counts_read_the_documents_for_the_page_step_and_for_the_summaries(spark, lines):
+    found = paged.document_counts(spark, lines)
+    assert _reads(found) == 2 and len(found.collect()) == 2
