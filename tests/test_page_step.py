@@ -127,3 +127,8 @@ def _reads(df):
 def test_counts_read_the_documents_for_the_page_step_and_for_the_summaries(spark, lines):
     found = paged.document_counts(spark, lines)
     assert _reads(found) == 2 and len(found.collect()) == 2
+
+
+def test_totals_read_the_documents_for_the_page_step_and_for_the_summaries(spark, lines):
+    found = paged.run_totals(spark, lines)
+    assert _reads(found) == 2 and [(r.docs, r.failed) for r in found.collect()] == [(1, 1)]
