@@ -15,9 +15,9 @@ def recall(run: DataFrame, gold: DataFrame, queries: DataFrame, k: int = 10) ->
     """
     pair = ["query_id", "doc_id", "section_id"]
     truth = gold.select(pair).distinct()
-    hit = run.where(F.col("rank") <= k).select(pair).distinct().join(truth, pair).groupBy("query_id").agg(F.count("*").alias("hits"))
-    each = truth.groupBy("query_id").agg(F.count("*").alias("gold")).join(queries.select("query_id", "source"), "query_id").join(hit, "query_id", "left")
-    each = each.select("source", (F.coalesce("hits", F.lit(0)) / F.col("gold")).alias("recall"))
+    got = run.where(F.col("rank") <= k).select(pair).distinct().withColumn("hit", F.lit(1))
+    each = truth.join(got, pair, "left").groupBy("query_id").agg(F.count("*").alias("gold"), F.count("hit").alias("hits")).join(queries.select("query_id", "source"), "query_id")
+    each = each.select("source", (F.col("hits") / F.col("gold")).alias("recall"))
     out = each.rollup("source").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("recall"), F.grouping("source").alias("all"))
     return out.select(F.when(F.col("all") == 1, F.lit("ALL")).otherwise(F.col("source")).alias("source"), "n", "recall")
 

@@ -122,8 +122,9 @@ def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(query_id, doc_id): the documents (doc_id, text) that hold a passage (query_id, passage) letter by letter.
 
     A passage's words but the first and the last stand whole in such a text. Up
-    to five of them, hashed, are its anchor; texts are read once and joined by
-    the hashes of as many words at each place, and what meets is compared. Passages of fewer
+    to five of them, hashed, are its anchor; texts are met with the anchors by
+    the hashes of as many words at each place, and what meets is compared. A
+    text is copied once a hash that meets, not once a place. Passages of fewer
     than three words have no anchor and meet every text if they are few.
     """
     split = lambda text: F.filter(F.split(text, " "), lambda w: w != "")
@@ -141,6 +142,12 @@ def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
         at = lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: anchor(n, i))
         none = F.array().cast("array<bigint>")
         places = F.concat(*[F.when(F.size("w") >= n + 2, at(n)).otherwise(none) for n in some])
-        held = docs.select("doc_id", "text", split(F.col("text")).alias("w")).select("doc_id", "text", F.explode(F.array_distinct(places)).alias("h"))
-        found.append(held.join(_sent(anchors), "h").where(F.contains("text", "passage")))
+        if anchors.limit(SMALL + 1).count() <= SMALL:
+            known = F.broadcast(anchors.agg(F.collect_set("h").alias("known")))
+            held = docs.select("doc_id", "text", split(F.col("text")).alias("w")).crossJoin(known).select("doc_id", "text", F.array_intersect(places, F.col("known")).alias("met"))
+            met = held.select("doc_id", "text", F.explode("met").alias("h")).join(F.broadcast(anchors), "h")
+        else:
+            held = docs.select("doc_id", split(F.col("text")).alias("w")).select("doc_id", F.array_distinct(places).alias("met"))
+            met = held.select("doc_id", F.explode("met").alias("h")).join(anchors, "h").drop("h").distinct().join(docs.select("doc_id", "text"), "doc_id")
+        found.append(met.where(F.contains("text", "passage")))
     return reduce(DataFrame.unionByName, [f.select("query_id", "doc_id") for f in found]).distinct() if found else docs.select(F.lit(None).cast("long").alias("query_id"), "doc_id").limit(0)
