@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import accumulate
 
@@ -177,13 +177,13 @@ def places(rank: Column, seq: Column, corners: Column, block: Column) -> Column:
     return F.struct(rank.alias("rank"), seq.alias("seq"), *[corners[i].cast("double").alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))], block.alias("block"))
 
 
-def placed(rows: DataFrame, box: Column) -> DataFrame:
+def placed(rows: DataFrame, box: Column, own: Sequence[str] | None = None) -> DataFrame:
     """``rows`` (doc_id, page, ...) with their place in the reading order of their page; covered blocks are left out.
 
-    ``box``: as ``places`` makes it. Rows are shuffled once, and only boxes go
-    through Python.
+    ``box``: as ``places`` makes it. Rows are shuffled once, with the columns
+    ``own`` (all, if not named), and only boxes go through Python.
     """
-    own = [c for c in rows.columns if c not in ("doc_id", "page")]
+    own = [c for c in rows.columns if c not in ("doc_id", "page")] if own is None else list(own)
     dealt = rows.select("doc_id", "page", F.struct(*own, box.alias("_box")).alias("row"))
     pages = dealt.groupBy("doc_id", "page").agg(F.collect_list("row").alias("rows"))
     order = F.arrow_udf(_places, "array<int>")

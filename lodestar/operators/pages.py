@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +26,14 @@ def page_elements(tables: DataFrame, blocks: DataFrame, figures: DataFrame) -> D
     return ordered_elements(made[0].unionByName(made[1], allowMissingColumns=True).unionByName(made[2], allowMissingColumns=True))
 
 
-def ordered_elements(elements: DataFrame) -> DataFrame:
-    """As ``page_elements``, from one table whose rows have their kind, which is read once."""
+def ordered_elements(elements: DataFrame, own: Sequence[str] | None = None) -> DataFrame:
+    """As ``page_elements``, from one table whose rows have their kind, which is read once; only the columns ``own`` go along, if named."""
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    return placed(elements, places(rank, F.col("seq"), F.col("bbox"), (F.col("kind") == "text").cast("int")))
+    return placed(elements, places(rank, F.col("seq"), F.col("bbox"), (F.col("kind") == "text").cast("int")), own)
+
+
+def _blank_image() -> Column:
+    return (F.col("kind") == "image") & F.coalesce("blank", F.lit(False))
 
 
 def with_asset_ids(elements: DataFrame) -> DataFrame:
@@ -36,7 +42,7 @@ def with_asset_ids(elements: DataFrame) -> DataFrame:
     Columns used: kind, page, place, seq, and ``blank`` of images. Rows are dealt
     by document, and what follows per document needs no other shuffle.
     """
-    left = elements.where(~((F.col("kind") == "image") & F.coalesce("blank", F.lit(False)))).repartition("doc_id")
+    left = elements.where(~_blank_image()).repartition("doc_id")
     of_kind = lambda *order: (F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy(*order)) - 1).cast("string")
     name = F.when(F.col("kind") == "table", F.concat(F.lit("table-"), of_kind("page", "place"))).when(F.col("kind") == "image", F.concat(F.lit("img-"), of_kind("page", "seq"), F.lit(".png")))
     return left.withColumn("asset_id", name)
@@ -87,6 +93,22 @@ def paragraph_counts(paragraphs: DataFrame, pages: DataFrame) -> DataFrame:
     return _counted(by_page.join(by_document, "doc_id", "left"))
 
 
+def element_counts(elements: DataFrame, pages: DataFrame) -> DataFrame:
+    """As ``document_counts``, from placed elements, with neither texts nor an order of whole documents.
+
+    ``elements``: doc_id, page, place, kind, blank (of images) and opens: whether
+    the element's first paragraph is a heading, null if it has no paragraph.
+    Every heading opens a section, and so does what precedes the first one.
+    """
+    by_page = pages.groupBy("doc_id").agg(F.count("*").alias("page_count"), F.bool_or("needs_ocr").alias("needs_ocr"))
+    place = F.shiftleft(F.col("page").cast("long"), 32) + F.col("place")
+    of_kind = lambda kind: F.count_if(F.col("kind") == kind)
+    left = elements.where(F.col("opens").isNotNull() & ~_blank_image())
+    sums = left.groupBy("doc_id").agg(F.count_if("opens").alias("headings"), F.min_by("opens", place).alias("first"), of_kind("image").alias("images"), of_kind("table").alias("tables"))
+    by_document = sums.select("doc_id", (F.col("headings") + (~F.col("first")).cast("long")).alias("sections"), "images", "tables")
+    return _counted(by_page.join(by_document, "doc_id", "left"))
+
+
 def _counted(both: DataFrame) -> DataFrame:
     return both.na.fill(0, ["sections", "images", "tables"]).select("doc_id", "page_count", "needs_ocr", F.struct("sections", "images", "tables").alias("counts"))
 

@@ -132,3 +132,33 @@ def test_counts_read_the_documents_for_the_page_step_and_for_the_summaries(spark
 def test_totals_read_the_documents_for_the_page_step_and_for_the_summaries(spark, lines):
     found = paged.run_totals(spark, lines)
     assert _reads(found) == 2 and [(r.docs, r.failed) for r in found.collect()] == [(1, 1)]
+
+
+def test_counts_shuffle_no_text(spark, lines):
+    """Lines are told apart where they are read: neither the page step nor what follows it carries texts, and no document is put in order."""
+    for df in (paged.run_totals(spark, lines), paged.document_counts(spark, lines)):
+        rows = [line for line in _plan(df).splitlines() if "struct(" in line and "_box" in line]
+        assert rows and not any("text, text#" in line or "bbox, bbox#" in line for line in rows)
+        assert "row_number" not in _plan(df) and "Window" not in _plan(df)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_counts_of_elements_are_those_of_paragraphs(spark, seed):
+    """With and without headings, assets first, blank images, blocks under assets, empty elements."""
+    rng = random.Random(seed)
+    rows = []
+    for d in range(60):
+        for n in range(rng.randrange(1, 9)):
+            kind, y = rng.choice(["text", "text", "text", "table", "image"]), 14.0 * rng.randrange(6)
+            heading = "H" if kind == "text" and rng.random() < 0.4 else None
+            body = rng.choice(["b", "b", "", None])
+            rows.append((f"d{d}", rng.randrange(1, 4), n, kind, rng.choice([True, False, None]), heading, 3 if heading else None, body, [0.0, y, 90.0, y + 12]))
+    schema = "doc_id string, page int, seq int, kind string, blank boolean, heading string, level int, body string, bbox array<double>"
+    each = spark.createDataFrame(rows, schema)
+    known = each.groupBy("doc_id", "page").agg(F.bool_or(F.col("seq") == 3).alias("needs_ocr")).unionByName(spark.createDataFrame([("empty", 1, False)], "doc_id string, page int, needs_ocr boolean"))
+    says = (F.col("kind") != "text") | (F.coalesce("body", F.lit("")) != "")
+    opens = F.when(F.col("heading").isNotNull(), True).when(says, False)
+    found = pages.element_counts(pages.ordered_elements(each.withColumn("opens", opens), ("kind", "blank", "opens")), known)
+    wanted = pages.paragraph_counts(pages.sectioned(pages.with_asset_ids(pages.ordered_elements(each))), known)
+    a, b = (sorted((r.doc_id, r.page_count, r.needs_ocr, tuple(r.counts)) for r in df.collect()) for df in (found, wanted))
+    assert a == b and len(a) == 61
